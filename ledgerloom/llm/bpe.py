@@ -24,14 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_CHARS, groups_by_size, strings
+from .common import CHUNK_CHARS, groups_by_size, slices, strings
 
 #: Widths of the padded matrices in bytes; longer pieces go through the heap.
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 128, 256, 512)
+#: Cells of a matrix at most, so that a worker's memory is bounded.
+MATRIX_CELLS = 300_000
 #: Distinct pieces a worker remembers before it starts its memory anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Matches taken at once from a text longer than a chunk.
-SLICE = 200_000
+SLICE = 100_000
 
 _NONE = np.int32(2**31 - 1)
 _EMPTY = np.uint64(2**64 - 1)
@@ -126,7 +128,7 @@ class Codec:
         for width in WIDTHS:
             rows = np.flatnonzero((lengths > low) & (lengths <= width))
             low = width
-            step = max(1, 2_000_000 // width)
+            step = max(1, MATRIX_CELLS // width)
             for at in range(0, len(rows), step):
                 self._merge_matrix([pieces[i] for i in rows[at : at + step]], rows[at : at + step], width, done)
         for i in np.flatnonzero(lengths > low):
@@ -216,8 +218,8 @@ class Codec:
 
     def encode_texts(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
-        for a, b in groups_by_size(texts):
-            if b - a == 1 and len(texts[a] or "") > CHUNK_CHARS:
+        for a, b in groups_by_size(texts, CHUNK_CHARS // 2):
+            if b - a == 1 and len(texts[a] or "") > CHUNK_CHARS // 2:
                 found, parts = (m[0] for m in self.pattern.finditer(texts[a])), []
                 while pieces := list(islice(found, SLICE)):
                     parts.append(self.encode(pieces)[0])
@@ -270,7 +272,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", keep: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(raw.value, pattern)
-        for batch in batches:
+        for batch in slices(batches, len(keep)):
             packed = [x.astype("<u4").tobytes() for x in codec.encode_texts(strings(batch.column(len(keep))))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(packed, pa.binary())], [*keep, ids])
 
@@ -284,7 +286,7 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", keep: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(raw.value, pattern)
-        for batch in batches:
+        for batch in slices(batches, len(keep)):
             lists = [np.frombuffer(b or b"", dtype="<u4") for b in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(codec.decode_ids(lists), pa.binary())], [*keep, decoded])
 

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of at most about limit bytes of one text or binary column, so that a worker holds few Python objects at once."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(size[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(size, before + limit, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def strings(column: pa.Array) -> list[str | None]:
     """A text column as Python strings; bytes that are not UTF-8 become replacement characters."""
     try:

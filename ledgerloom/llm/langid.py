@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_CHARS, held_out, strings, table
+from .common import CHUNK_CHARS, held_out, slices, strings, table
 
 #: Length of an n-gram in characters.
 NGRAM = 3
@@ -107,7 +107,7 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n-gram hash, count) of each batch."""
-    for batch in batches:
+    for batch in slices(batches, 0):
         langs = batch.column(1).to_pylist()
         for part, rows in _parts(strings(batch.column(0))):
             h, at = _grams(part)
@@ -188,7 +188,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     shipped = df.sparkSession.sparkContext.broadcast(model)  # 8 bytes a cell for each 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(keep)):
             langs, score = predict_batch(shipped.value, strings(batch.column(len(keep))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 

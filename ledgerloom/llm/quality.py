@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, strings, table
+from .common import held_out, slices, strings, table
 
 #: Expected number of labelled rows that the model is fitted on; a hash sample if there are more.
 TRAIN_ROWS = 20_000
@@ -67,7 +67,7 @@ def with_features(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     """Result: keep..., features array<double>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(keep)):
             found = [features(t) for t in strings(batch.column(len(keep)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.list_(pa.float64()))], [*keep, "features"])
 
@@ -189,7 +189,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
     shipped = df.sparkSession.sparkContext.broadcast(model)  # some kilobytes of tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(keep)):
             x = np.array([features(t) for t in strings(batch.column(len(keep)))], dtype=float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(shipped.value.score(x))], [*keep, "score"])
 

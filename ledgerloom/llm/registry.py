@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, quality, rules, urls
+from . import bpe, embeddings, jaccard, langid, licenses, mixing, preferences, quality, rules, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.language_query,
         "op2_url_cascade": urls.url_query,
+        "op3_temperature_mixing": mixing.mixing_query,
         "op4_quality_gam": quality.quality_query,
+        "op5_sorted_projections": embeddings.embedding_query,
         "op6_byte_bpe": bpe.digest_query,
+        "op7_preference_pairs": preferences.preference_query,
         "op8_divergence_rules": rules.rules_query,
+        "op9_jaccard_join": jaccard.jaccard_query,
         "op10_license_scan": licenses.license_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_cascade": urls.ORACLE}
+    return {"op2_url_cascade": urls.ORACLE, "op7_preference_pairs": preferences.ORACLE}

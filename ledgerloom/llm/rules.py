@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import strings, table
+from .common import slices, strings, table
 
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: Word characters and words below which a histogram isn't compared.
@@ -118,19 +118,19 @@ def _count(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarray
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each batch and language: the class counts (word null), the number of words, and words that reach the share here."""
     for batch in batches:
-        langs, texts = batch.column(1).to_pylist(), strings(batch.column(0))
-        for lang in sorted(set(langs)):
-            found, classes = Counter(), np.zeros(len(CLASSES))
-            for name, t in zip(langs, texts, strict=True):
-                if name == lang:
-                    raw = _raw(t)
-                    found.update(raw.split())
-                    classes += _class_counts(_bytes(raw))
+        words: dict[str, Counter] = {}
+        classes: dict[str, np.ndarray] = {}
+        for part in slices(iter([batch]), 0):
+            for t, lang in zip(strings(part.column(0)), part.column(1).to_pylist(), strict=True):
+                raw = _raw(t)
+                words.setdefault(lang, Counter()).update(raw.split())
+                classes[lang] = classes.get(lang, 0) + _class_counts(_bytes(raw))
+        for lang, found in words.items():
             n = sum(found.values())
-            words = [w for w, k in found.items() if k >= n * LEAST_WORD_SHARE]
-            kinds = [*range(len(CLASSES)), -1, *[-2] * len(words)]
+            common = [w for w, k in found.items() if k >= n * LEAST_WORD_SHARE]
+            kinds = [*range(len(CLASSES)), -1, *[-2] * len(common)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(kinds), pa.string()), pa.array(kinds, pa.int32()), pa.array([*[None] * (len(CLASSES) + 1), *words], pa.binary()), pa.array([*classes.astype(int).tolist(), n, *[found[w] for w in words]], pa.int64())], ["lang", "kind", "word", "n"]
+                [pa.array([lang] * len(kinds), pa.string()), pa.array(kinds, pa.int32()), pa.array([*[None] * (len(CLASSES) + 1), *common], pa.binary()), pa.array([*classes[lang].astype(int).tolist(), n, *[found[w] for w in common]], pa.int64())], ["lang", "kind", "word", "n"]
             )
 
 
@@ -155,11 +155,12 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> References
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
-            for t, name in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                here, known = Counter(_raw(t).split()), shipped.value[name]
-                for w in known:
-                    if n := here.get(w):
-                        found[name, w] += n
+            for part in slices(iter([batch]), 0):
+                for t, name in zip(strings(part.column(0)), part.column(1).to_pylist(), strict=True):
+                    here = Counter(_raw(t).split())
+                    for w in shipped.value[name]:
+                        if n := here.get(w):
+                            found[name, w] += n
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.string()), pa.array([w for _, w in found], pa.binary()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
     exact = rows.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
@@ -206,7 +207,7 @@ def judge(df: DataFrame, refs: References, text: str = "text", keep: tuple[str,
         return (*figures, failed, not failed and a <= MOST_CLASS_DISTANCE and b <= MOST_WORD_DISTANCE, shipped.value.languages[i], a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(keep)):
             got = [one(t) for t in strings(batch.column(len(keep)))]
             columns = zip(*got, strict=True) if got else [()] * len(_OUT)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, kind) for c, (_, kind) in zip(columns, _OUT, strict=True))], [*keep, *(n for n, _ in _OUT)])
