@@ -16,7 +16,7 @@ and documents link where d <= RADIUS = 0.25.
 4. *Regions join recursively.* Within a shingle's region only pairs of different regions of step 2 whose sizes allow
    a link are compared. If that would be too many, its shingle moves to the end of the order and the documents it held
    are replicated anew, to other regions; in the last round every region is joined whatever its size. Two linked
-   documents share a prefix shingle in each order; if one of these was joined the pair was compared, else both
+   documents share prefix shingles in each order; if all of these were joined the pair was counted in full, else both
    documents are in the next round. So no link is lost.
 
 Distances are measured on whole sets. Classes are then united over all links.
@@ -42,9 +42,9 @@ from .embeddings import _runs
 
 WORDS, PERCENT = 5, 75
 #: Bands and min-hashes in a band.
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 8, 4
 #: Expected documents and least count of the sample that finds frequent shingles, and how many of these are told apart.
-SAMPLE_DOCS, SAMPLE_COUNT, MOST_FREQUENT = 10_000, 6, 200_000
+SAMPLE_DOCS, SAMPLE_COUNT, MOST_FREQUENT = 5_000, 5, 200_000
 #: A shingle's region is put off to the next round if it would compare more pairs than this; rounds.
 MOST_PAIRS, ROUNDS = 2_000, 3
 
@@ -114,7 +114,7 @@ def _describe(docs: DataFrame, frequent) -> DataFrame:
                 n.append(len(s))
                 h1.append(xxhash.xxh3_64_intdigest(s.tobytes()))
                 h2.append(xxhash.xxh3_64_intdigest(s.tobytes(), seed=1))
-                least = np.array([_mix(s * a + b).min() for a, b in zip(_A, _B, strict=True)]).reshape(BANDS, ROWS)
+                least = np.min([(_A[:, None] * s[None, at : at + 20_000] + _B[:, None]).min(1) for at in range(0, len(s), 20_000)], axis=0).reshape(BANDS, ROWS)
                 key = np.arange(BANDS, dtype=np.uint64)
                 for k in range(ROWS):
                     key = _mix(key) + least[:, k]
@@ -159,7 +159,7 @@ def _measured(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _pairs_by_region(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by shingle: pairs to compare (a, b, null), and shingles put off (shingle, pairs it has, null)."""
+    """Of rows sorted by shingle: pairs in different regions with their sizes and number of shared prefix shingles, and shingles put off (in a; b: their pairs)."""
     for whole in _runs(batches, 1):
         token, region, doc, n = (whole[c].to_numpy() for c in ("token", "region", "doc_id", "n"))
         cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -176,7 +176,9 @@ def _pairs_by_region(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[
                 i, j = np.arange(at, min(e, at + 500)), np.arange(at, e)
                 less, more = np.minimum(n[i][:, None], n[j][None, :]), np.maximum(n[i][:, None], n[j][None, :])
                 a, b = np.nonzero((region[i][:, None] != region[j][None, :]) & (i[:, None] < j[None, :]) & (100 * less >= PERCENT * more))
-                found.append(np.sort(np.stack([doc[i[a]], doc[j[b]]]), axis=0))
+                a, b = i[a], j[b]
+                a, b = np.where(doc[a] < doc[b], a, b), np.where(doc[a] < doc[b], b, a)
+                found.append(np.stack([doc[a], doc[b], n[a], n[b]]))
                 size += len(a)
                 if size > 200_000:
                     yield _batch(found)
@@ -184,19 +186,35 @@ def _pairs_by_region(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[
         if found:
             yield _batch(found)
         if late:
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in late], pa.int64()), pa.array([c for _, c in late], pa.int64()), pa.array([True] * len(late))], ["a", "b", "late"])
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in late], pa.int64()), pa.array([c for _, c in late], pa.int64()), *[pa.nulls(len(late), pa.int64())] * 3, pa.array([True] * len(late))], _PAIR)
+
+
+_PAIR = ["a", "b", "n_a", "n_b", "shared", "late"]
 
 
 def _batch(found: list[np.ndarray]) -> pa.RecordBatch:
-    both = np.unique(np.concatenate(found, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(np.zeros(both.shape[1], dtype=bool))], ["a", "b", "late"])
+    both, shared = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
+    return pa.RecordBatch.from_arrays([*map(pa.array, both), pa.array(shared), pa.array(np.zeros(len(shared), dtype=bool))], _PAIR)
+
+
+def _could_link(met: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose shared prefix shingles leave a link possible.
+
+    Up to the end of the prefix that ends first both sets are known, so what they share is at most the shared prefix
+    shingles and what that set has behind its prefix. A link needs 75 / 175 of both sizes together. Shingles put off
+    are not in the count: a pair that has one in common is met again in the next round.
+    """
+    pairs = met.where("not late").groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("shared").alias("shared"))
+    behind = lambda n: F.ceil(n * PERCENT / 100) - 1
+    most = F.col("shared") + F.greatest(behind(F.col("n_a")), behind(F.col("n_b")))
+    return pairs.where((100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _window_join(described: DataFrame, last: bool) -> DataFrame:
     """Replicates documents to the regions of their prefix shingles and joins these."""
     rows = described.select(F.explode("prefix").alias("token"), "region", "doc_id", "n")
     ordered = rows.repartition("token").sortWithinPartitions("token", "region", "doc_id")
-    return ordered.mapInArrow(lambda batches: _pairs_by_region(batches, last), "a long, b long, late boolean")
+    return ordered.mapInArrow(lambda batches: _pairs_by_region(batches, last), "a long, b long, n_a long, n_b long, shared long, late boolean")
 
 
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,9 +227,10 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     classes = materialise(all_docs.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
     # pivots and regions
-    banded = classes.select("doc_id", F.explode("bands").alias("band"))
-    pivots = banded.groupBy("band").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p < q")
-    to_pivots = banded.join(pivots, "band").select("doc_id", F.explode(F.array("p", "q")).alias("pivot")).where("doc_id <> pivot")
+    banded = classes.select(F.struct("doc_id", "n").alias("x"), F.explode("bands").alias("band"))
+    pivots = banded.groupBy("band").agg(F.min("x").alias("p"), F.max("x").alias("q")).where("p < q")
+    to_pivots = banded.join(pivots, "band").select("x", F.explode(F.array("p", "q")).alias("y")).where("x <> y")
+    to_pivots = to_pivots.where(100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")).select(F.col("x.doc_id").alias("doc_id"), F.col("y.doc_id").alias("pivot"))
     to_pivots = to_pivots.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
     links = materialise(_measured(given, materialise(to_pivots, "pivots")), "near")
     regions = materialise(components(links), "regions")
@@ -222,7 +241,7 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     for k in range(ROUNDS):
         last = k == ROUNDS - 1
         met = materialise(_window_join(described, last), "met")
-        fresh = materialise(met.where("not late").select("a", "b").distinct(), "pairs")
+        fresh = materialise(_could_link(met), "pairs")
         links = links.union(_measured(given, fresh)) if not fresh.isEmpty() else links
         late = met.where("late").select(F.col("a").alias("s"), F.col("b").alias("c"))
         if last or late.isEmpty():
