@@ -45,8 +45,12 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 8, 4
 #: Expected documents and least count of the sample that finds frequent shingles, and how many of these are told apart.
 SAMPLE_DOCS, SAMPLE_COUNT, MOST_FREQUENT = 5_000, 5, 200_000
+#: Rounds in which classes of different regions get new pivots.
+PIVOT_ROUNDS = 3
+#: Bits of the filter of wanted documents: a fixed size; more documents only make it let more through.
+FILTER_BITS = 1 << 24
 #: A shingle's region is put off to the next round if it would compare more pairs than this; rounds.
-MOST_PAIRS, ROUNDS = 2_000, 3
+MOST_PAIRS, ROUNDS = 64, 4
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -99,12 +103,40 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(a) for a in arrays]).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-def _describe(docs: DataFrame, frequent) -> DataFrame:
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (_mix(ids.astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _wanted(ids: DataFrame):
+    """A broadcast bit array of FILTER_BITS that marks the documents of ids (doc_id), so that only their texts are read on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_slots(batch.column(0).to_numpy()))
+            cut = np.flatnonzero(np.concatenate([[True], at[1:] // 32 != at[:-1] // 32])) if len(at) else np.zeros(0, int)
+            word = np.bitwise_or.reduceat(np.int64(1) << (at % 32), cut) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(at[cut] // 32), pa.array(word)], ["word", "bits"])
+
+    words = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    bits[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def _of_wanted(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if wanted is not None:
+            at = _slots(batch.column(0).to_numpy())
+            batch = batch.filter(pa.array((wanted.value[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool)))
+        yield from slices(iter([batch]), 1)
+
+
+def _describe(docs: DataFrame, frequent, wanted=None) -> DataFrame:
     """doc_id, n, h1, h2 (of the set), bands, prefix; without documents of empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
-        for batch in slices(batches, 1):
+        for batch in _of_wanted(batches, wanted):
             ids, n, h1, h2, bands, prefixes = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                 s = shingles(text)
@@ -126,11 +158,11 @@ def _describe(docs: DataFrame, frequent) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>, prefix array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted=None) -> DataFrame:
     """doc_id and the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
+        for batch in _of_wanted(batches, wanted):
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(t) for t in strings(batch.column(1))])], ["doc_id", "s"])
 
     return docs.mapInArrow(run, "doc_id long, s array<long>")
@@ -151,8 +183,7 @@ def _top(counts: DataFrame) -> np.ndarray:
 
 def _measured(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b) of the pairs that link, measured on their whole sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialise(_sets(docs.join(ids, "doc_id", "left_semi")), "sets")
+    sets = materialise(_sets(docs, _wanted(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -227,13 +258,25 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     classes = materialise(all_docs.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
     # pivots and regions
-    banded = classes.select(F.struct("doc_id", "n").alias("x"), F.explode("bands").alias("band"))
-    pivots = banded.groupBy("band").agg(F.min("x").alias("p"), F.max("x").alias("q")).where("p < q")
-    to_pivots = banded.join(pivots, "band").select("x", F.explode(F.array("p", "q")).alias("y")).where("x <> y")
-    to_pivots = to_pivots.where(100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")).select(F.col("x.doc_id").alias("doc_id"), F.col("y.doc_id").alias("pivot"))
-    to_pivots = to_pivots.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
-    links = materialise(_measured(given, materialise(to_pivots, "pivots")), "near")
-    regions = materialise(components(links), "regions")
+    banded = classes.select("doc_id", "n", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
+    banded = materialise(banded.join(shared, "band", "left_semi"), "banded")
+    links, regions = None, classes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).where(F.lit(False))
+    for k in range(PIVOT_ROUNDS):
+        placed = banded.join(regions.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.struct("doc_id", "n", F.coalesce("component", "doc_id").alias("region")).alias("x"), "band")
+        chance = F.xxhash64("x.doc_id", "band", F.lit(k))  # another pivot of a band's group in each round
+        if k == 0:
+            chance = F.col("x.doc_id")
+        pivots = placed.groupBy("band").agg(F.min_by("x", chance).alias("y"))
+        to_pivots = placed.join(pivots, "band").where("x.region <> y.region").where(100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
+        to_pivots = to_pivots.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+        to_pivots = materialise(to_pivots, "pivots")
+        if to_pivots.isEmpty():
+            break
+        near = materialise(_measured(given, to_pivots), "near")
+        links = near if links is None else links.union(near)
+        regions = materialise(components(links), "regions")
+    links = links if links is not None else classes.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where(F.lit(False))
 
     # windows, recursively
     class_regions = classes.select("doc_id").join(regions.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("region"))
@@ -246,10 +289,10 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         late = met.where("late").select(F.col("a").alias("s"), F.col("b").alias("c"))
         if last or late.isEmpty():
             break
-        held = described.select("doc_id", F.explode("prefix").alias("s")).join(late, "s", "left_semi").select("doc_id").distinct()
+        held = described.select("doc_id", F.explode("prefix").alias("s")).join(late, "s", "left_semi").select("doc_id")
         frequent = np.union1d(frequent, _top(late))
-        again = given.join(held, "doc_id", "left_semi")
-        described = _describe(again, context.broadcast(frequent)).select("doc_id", "n", "prefix").join(class_regions, "doc_id")
+        again = _describe(given, context.broadcast(frequent), _wanted(held)).select("doc_id", "n", "prefix")
+        described = materialise(again.join(class_regions, "doc_id"), "described")
     found = components(links).withColumnRenamed("node", "class_id")
 
     # one narrow row a class; a hot class is many rows on the other side only
