@@ -15,7 +15,9 @@ and documents link where d <= RADIUS = 0.25.
    last (found on a bounded sample, which changes the work but never the result).
 4. *Regions join recursively.* Within a shingle's region only pairs of different regions of step 2 whose sizes allow
    a link are compared. If that would be too many, its shingle moves to the end of the order and the documents it held
-   are replicated anew, to other regions; in the last round every region is joined whatever its size. Two linked
+   are replicated anew, to other regions. What is left after the rounds are documents that consist of frequent shingles
+   for more than a quarter: each group of them that hangs together by shared prefix shingles is cut into blocks, and every
+   two blocks meet in one task, which counts shared prefix shingles and returns only pairs that could link. Two linked
    documents share prefix shingles in each order; if all of these were joined the pair was counted in full, else both
    documents are in the next round. So no link is lost.
 
@@ -49,8 +51,8 @@ SAMPLE_DOCS, SAMPLE_COUNT, MOST_FREQUENT = 5_000, 5, 200_000
 PIVOT_ROUNDS = 3
 #: Bits of the filter of wanted documents: a fixed size; more documents only make it let more through.
 FILTER_BITS = 1 << 24
-#: A shingle's region is put off to the next round if it would compare more pairs than this; rounds.
-MOST_PAIRS, ROUNDS = 64, 4
+#: A shingle's region is put off to the next round if it would compare more pairs than this; rounds; rows of a block after them.
+MOST_PAIRS, ROUNDS, BLOCK = 64, 3, 256
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -189,7 +191,7 @@ def _measured(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _pairs_by_region(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+def _pairs_by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by shingle: pairs in different regions with their sizes and number of shared prefix shingles, and shingles put off (in a; b: their pairs)."""
     for whole in _runs(batches, 1):
         token, region, doc, n = (whole[c].to_numpy() for c in ("token", "region", "doc_id", "n"))
@@ -200,7 +202,7 @@ def _pairs_by_region(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[
         for s, e in zip(cut[mixed], ends[mixed], strict=True):
             _, counts = np.unique(region[s:e], return_counts=True)
             total = ((e - s) ** 2 - int((counts.astype(np.int64) ** 2).sum())) // 2
-            if total > MOST_PAIRS and not last:
+            if total > MOST_PAIRS:
                 late.append((token[s], total))
                 continue
             for at in range(s, e, 500):  # in blocks, so a large region's pairs are never held at once
@@ -241,11 +243,53 @@ def _could_link(met: DataFrame) -> DataFrame:
     return pairs.where((100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _window_join(described: DataFrame, last: bool) -> DataFrame:
+def _window_join(described: DataFrame) -> DataFrame:
     """Replicates documents to the regions of their prefix shingles and joins these."""
     rows = described.select(F.explode("prefix").alias("token"), "region", "doc_id", "n")
     ordered = rows.repartition("token").sortWithinPartitions("token", "region", "doc_id")
-    return ordered.mapInArrow(lambda batches: _pairs_by_region(batches, last), "a long, b long, n_a long, n_b long, shared long, late boolean")
+    return ordered.mapInArrow(_pairs_by_region, "a long, b long, n_a long, n_b long, shared long, late boolean")
+
+
+def _shared_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) that could link, of each two blocks."""
+    for whole in _runs(batches, 3):
+        whole = whole.combine_chunks()
+        group = np.stack([whole[c].to_numpy() for c in ("part", "low", "high")])
+        cut = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(0)]))
+        for s, e in zip(cut, [*cut[1:], whole.num_rows], strict=True):
+            part = whole.slice(s, e - s)
+            doc, n, region, block = (part[c].to_numpy() for c in ("doc_id", "n", "region", "block"))
+            lists = part["prefix"].to_pylist()
+            tokens, at = np.unique(np.concatenate([np.array(x, dtype=np.int64) for x in lists]), return_inverse=True)
+            owner = np.repeat(np.arange(len(doc)), [len(x) for x in lists])
+            shared = np.zeros((len(doc), len(doc)), dtype=np.float32)
+            for first in range(0, len(tokens), 4096):
+                inside = (at >= first) & (at < first + 4096)
+                held = np.zeros((len(doc), min(4096, len(tokens) - first)), dtype=np.float32)
+                held[owner[inside], at[inside] - first] = 1
+                shared += held @ held.T
+            behind = -(-n * PERCENT // 100) - 1
+            less, more = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+            fits = (doc[:, None] < doc[None, :]) & (region[:, None] != region[None, :]) & (shared > 0) & (100 * less >= PERCENT * more)
+            fits &= (100 + PERCENT) * (shared + np.maximum(behind[:, None], behind[None, :])) >= PERCENT * (n[:, None] + n[None, :])
+            if group[1, s] != group[2, s]:
+                fits &= block[:, None] != block[None, :]
+            i, j = np.nonzero(fits)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(doc[j])], ["a", "b"])
+
+
+def _block_join(described: DataFrame) -> DataFrame:
+    """(a, b) that could link, of all documents of described that share a prefix shingle."""
+    rows = described.select(F.explode("prefix").alias("token"), "doc_id", "region")
+    least = rows.groupBy("token").agg(F.min("doc_id").alias("m"), F.min("region").alias("r"), F.max("region").alias("q")).where("r <> q").select("token", "m")
+    hangs = components(rows.join(least, "token").select(F.col("doc_id").alias("a"), F.col("m").alias("b")).distinct())
+    sizes = hangs.groupBy("component").agg(F.count("*").alias("size"))
+    placed = described.join(hangs.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("part"), "size"), "doc_id")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = placed.select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "n", "region", "block", "prefix")
+    ordered = met.repartition("part", "low", "high").sortWithinPartitions("part", "low", "high", "doc_id")
+    return ordered.mapInArrow(_shared_in_blocks, "a long, b long").distinct()
 
 
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -281,13 +325,15 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     # windows, recursively
     class_regions = classes.select("doc_id").join(regions.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("region"))
     described = all_docs.select("doc_id", "n", "prefix").join(class_regions, "doc_id")
-    for k in range(ROUNDS):
-        last = k == ROUNDS - 1
-        met = materialise(_window_join(described, last), "met")
+    for k in range(ROUNDS + 1):
+        if k == ROUNDS:
+            links = links.union(_measured(given, materialise(_block_join(described), "pairs")))
+            break
+        met = materialise(_window_join(described), "met")
         fresh = materialise(_could_link(met), "pairs")
         links = links.union(_measured(given, fresh)) if not fresh.isEmpty() else links
         late = met.where("late").select(F.col("a").alias("s"), F.col("b").alias("c"))
-        if last or late.isEmpty():
+        if late.isEmpty():
             break
         held = described.select("doc_id", F.explode("prefix").alias("s")).join(late, "s", "left_semi").select("doc_id")
         frequent = np.union1d(frequent, _top(late))
