@@ -137,14 +137,16 @@ def build_cascade(keys: DataFrame, rules: list[str], key: str = "key") -> list[L
 def judge(urls: DataFrame, rules: dict[str, str], url: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict."""
     names = sorted(rules)
+    if not names:
+        return with_host_and_path(urls, url).withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     df = with_host_and_path(urls, url).withColumn("candidate keys", candidate_keys(names))
     keys = df.select(F.explode("candidate keys").alias("c")).select(F.col("c.key").alias("key"))
     verdicts = sorted(set(rules.values()) - {default})
     every = build_cascade(keys, names)
     by_verdict = {v: build_cascade(keys, [r for r in names if rules[r] == v]) for v in verdicts}
-    found = F.filter("candidate keys", lambda c: listed(c["key"], every)) if every else F.col("candidate keys")
+    found = F.filter("candidate keys", lambda c: listed(c["key"], every))
     best = F.array_max(F.transform(found, lambda c: F.struct(F.length(c["key"]).alias("l"), c["host_length"].alias("h"), c["key"].alias("key"))))["key"]
-    df = df.withColumn("rule", best if every else F.lit(None).cast("string")).drop("candidate keys")
+    df = df.withColumn("rule", best).drop("candidate keys")
     verdict = F.lit(default)
     for v, cascade in by_verdict.items():
         verdict = F.when(listed(F.col("rule"), cascade), F.lit(v)).otherwise(verdict)
