@@ -295,12 +295,17 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", keep: tupl
 
 
 def unpack(df: DataFrame, ids: str = "ids", into: str = "token_ids") -> DataFrame:
-    """Adds the packed ids as an array of long."""
-    h = F.hex(F.col(ids))
-    byte = lambda i, k: F.substring(h, i * 8 + k * 2 + 1, F.lit(2))
-    n = (F.octet_length(F.col(ids)) / 4).cast("int")
-    whole = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.concat(byte(i, 3), byte(i, 2), byte(i, 1), byte(i, 0)), 16, 10).cast("long"))
-    return df.withColumn(into, F.when(n > 0, whole).otherwise(F.array().cast("array<bigint>")))
+    """Adds the packed ids as an array of long; null ids count as none. A column of the same name is replaced."""
+    df = df.drop(into)
+    at = df.columns.index(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            lists = [np.frombuffer(b or b"", dtype="<u4").astype(np.int64) for b in batch.column(at).to_pylist()]
+            starts = pa.array(np.cumsum([0] + [len(x) for x in lists]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(starts, pa.array(np.concatenate(lists)))], [*batch.schema.names, into])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.LongType()))]))
 
 
 def digest_query(spark, sf_dir: str) -> DataFrame:
