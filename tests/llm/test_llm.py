@@ -217,7 +217,6 @@ def brute_components(texts):
 
 
 def test_jaccard_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "MOST_PAIRS", 5)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(400)]
