@@ -11,15 +11,17 @@ and documents link where d <= RADIUS = 0.25.
 3. *Windows.* What is left is pairs across regions. Most documents lie at distance one from every pivot, where the
    triangle inequality says nothing, so the windows use points that split this far region: single shingles. By the
    same bound |x ^ y| <= RADIUS * |x | y|, linked sets share one of the first |x| - ceil(0.75 |x|) + 1 shingles
-   of any common order; a document is replicated to the regions of these shingles only. The order puts frequent shingles
-   last (found on a bounded sample, which changes the work but never the result).
+   of any common order; a document is replicated to the regions of these shingles only, and of |x| / SPARE more: with k
+   more on both sides, linked sets share k + 1. The order puts frequent shingles last (found on a bounded sample, which
+   changes the work but never the result).
 4. *Regions join recursively.* Within a shingle's region only pairs of different regions of step 2 whose sizes allow
-   a link are compared. If that would be too many, its shingle moves to the end of the order and the documents it held
-   are replicated anew, to other regions. What is left after the rounds are documents that consist of frequent shingles
+   a link are compared. If that would be too many, the shingle is put off. A document with no more shingles put off than
+   the spare ones has met all it could link with at another shingle; for the rest, shingles put off move to the end of
+   the order and these documents are replicated anew, to other regions. What is left after the rounds are documents that consist of frequent shingles
    for more than a quarter: each group of them that hangs together by shared prefix shingles is cut into blocks, and every
    two blocks meet in one task, which counts shared prefix shingles and returns only pairs that could link. Two linked
-   documents share prefix shingles in each order; if all of these were joined the pair was counted in full, else both
-   documents are in the next round. So no link is lost.
+   documents have met unless both have more shingles put off than spare, and then both are in the next round. So no
+   link is lost.
 
 Distances are measured on whole sets. Classes are then united over all links.
 
@@ -49,6 +51,8 @@ BANDS, ROWS = 8, 4
 SAMPLE_DOCS, SAMPLE_COUNT, MOST_FREQUENT = 5_000, 5, 200_000
 #: Rounds in which classes of different regions get new pivots.
 PIVOT_ROUNDS = 3
+#: A document has one spare prefix shingle for so many of its set.
+SPARE = 16
 #: Bits of the filter of wanted documents: a fixed size; more documents only make it let more through.
 FILTER_BITS = 1 << 24
 #: A shingle's region is put off to the next round if it would compare more pairs than this; rounds; rows of a block after them.
@@ -92,7 +96,7 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
 
 def _prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The shingles that decide where a set is replicated to: the first ones, frequent ones last."""
-    size = len(s) - -(-len(s) * PERCENT // 100) + 1
+    size = len(s) - -(-len(s) * PERCENT // 100) + 1 + len(s) // SPARE
     if len(frequent) and len(s):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         often = frequent[at] == s
@@ -235,7 +239,8 @@ def _could_link(met: DataFrame) -> DataFrame:
 
     Up to the end of the prefix that ends first both sets are known, so what they share is at most the shared prefix
     shingles and what that set has behind its prefix. A link needs 75 / 175 of both sizes together. Shingles put off
-    are not in the count: a pair that has one in common is met again in the next round.
+    are not in the count, and spare ones are counted as if they stood behind: a pair shares no more of the former than
+    there are of the latter, or both are met again in the next round.
     """
     pairs = met.where("not late").groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("shared").alias("shared"))
     behind = lambda n: F.ceil(n * PERCENT / 100) - 1
@@ -335,7 +340,9 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         late = met.where("late").select(F.col("a").alias("s"), F.col("b").alias("c"))
         if late.isEmpty():
             break
-        held = described.select("doc_id", F.explode("prefix").alias("s")).join(late, "s", "left_semi").select("doc_id")
+        held = described.select("doc_id", "n", F.explode("prefix").alias("s")).join(late, "s", "left_semi").groupBy("doc_id", "n").agg(F.count("*").alias("put_off"))
+        least_partner = F.ceil(F.col("n") * PERCENT / 100)  # no linked set is smaller, so none has fewer spare shingles than this one would
+        held = held.where(F.col("put_off") > F.floor(least_partner / SPARE)).select("doc_id")
         frequent = np.union1d(frequent, _top(late))
         again = _describe(given, context.broadcast(frequent), _wanted(held)).select("doc_id", "n", "prefix")
         described = materialise(again.join(class_regions, "doc_id"), "described")
