@@ -35,12 +35,35 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+#: Frees the shuffle files of a query as soon as it ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet to the shared folder and reads it back, so a lost executor costs no recomputation."""
+    """Cuts lineage: writes df as Parquet to the shared folder and reads it back, so a lost executor costs no recomputation.
+
+    The shuffle files behind the table go once it is written.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() that nothing reads any more; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "scratch_path", None):
+            context = t.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:

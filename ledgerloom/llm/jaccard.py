@@ -19,7 +19,7 @@ and documents link where d <= RADIUS = 0.25.
    the spare ones has met all it could link with at another shingle; for the rest, shingles put off move to the end of
    the order and these documents are replicated anew, to other regions. What is left after the rounds are documents that consist of frequent shingles
    for more than a quarter: each group of them that hangs together by shared prefix shingles is cut into blocks, and every
-   two blocks meet in one task, which counts shared prefix shingles and returns only pairs that could link. Two linked
+   two blocks meet in one task, which measures whole sets and returns the regions to unite, not pairs. Two linked
    documents have met unless both have more shingles put off than spare, and then both are in the next round. So no
    link is lost.
 
@@ -36,11 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, strings, table
+from .common import discard, materialise, slices, strings, table
 from .components import components
 from .embeddings import _runs
 
@@ -49,14 +50,14 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 8, 4
 #: Expected documents and least count of the sample that finds frequent shingles, and how many of these are told apart.
 SAMPLE_DOCS, SAMPLE_COUNT, MOST_FREQUENT = 5_000, 5, 200_000
-#: Rounds in which classes of different regions get new pivots.
-PIVOT_ROUNDS = 3
+#: Rounds in which classes of different regions get new pivots; another follows only if one found this share of what it measured near.
+PIVOT_ROUNDS, PIVOT_YIELD = 3, 0.05
 #: A document has one spare prefix shingle for so many of its set.
 SPARE = 16
 #: Bits of the filter of wanted documents: a fixed size; more documents only make it let more through.
 FILTER_BITS = 1 << 24
-#: A shingle's region is put off to the next round if it would compare more pairs than this; rounds; rows of a block after them.
-MOST_PAIRS, ROUNDS, BLOCK = 64, 3, 256
+#: A shingle's region is put off to the next round if it would compare more pairs than this; rounds; rows and shingles of a block after them.
+MOST_PAIRS, ROUNDS, BLOCK, BLOCK_SHINGLES = 64, 3, 512, 500_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -192,7 +193,9 @@ def _measured(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = materialise(_sets(docs, _wanted(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b")
+    near = materialise(both.where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b"), "near")
+    discard(sets)
+    return near
 
 
 def _pairs_by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,46 +258,55 @@ def _window_join(described: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_pairs_by_region, "a long, b long, n_a long, n_b long, shared long, late boolean")
 
 
-def _shared_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) that could link, of each two blocks."""
+def _linked(sets: pa.Array, n: np.ndarray) -> np.ndarray:
+    """Which of the sets link, as a square matrix; a shingle of one set only is in no intersection and is left out."""
+    flat, owner = sets.flatten().to_numpy(), np.repeat(np.arange(len(n)), pc.list_value_length(sets).to_numpy())
+    _, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    often = counts > 1
+    owner, at = owner[often[at]], (np.cumsum(often) - 1)[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    shared = np.zeros((len(n), len(n)), dtype=np.float32)
+    for first in range(0, int(often.sum()), 4096):
+        s, e = np.searchsorted(at, [first, first + 4096])
+        held = np.zeros((len(n), 4096), dtype=np.float32)
+        held[owner[s:e], at[s:e] - first] = 1
+        shared += held @ held.T
+    return 100 * shared >= PERCENT * (n[:, None] + n[None, :] - shared).astype(np.float64)
+
+
+def _links_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): regions that links of each two blocks' documents bring together, no more than a row a document."""
     for whole in _runs(batches, 3):
         whole = whole.combine_chunks()
         group = np.stack([whole[c].to_numpy() for c in ("part", "low", "high")])
         cut = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(0)]))
         for s, e in zip(cut, [*cut[1:], whole.num_rows], strict=True):
             part = whole.slice(s, e - s)
-            doc, n, region, block = (part[c].to_numpy() for c in ("doc_id", "n", "region", "block"))
-            lists = part["prefix"].to_pylist()
-            tokens, at = np.unique(np.concatenate([np.array(x, dtype=np.int64) for x in lists]), return_inverse=True)
-            owner = np.repeat(np.arange(len(doc)), [len(x) for x in lists])
-            shared = np.zeros((len(doc), len(doc)), dtype=np.float32)
-            for first in range(0, len(tokens), 4096):
-                inside = (at >= first) & (at < first + 4096)
-                held = np.zeros((len(doc), min(4096, len(tokens) - first)), dtype=np.float32)
-                held[owner[inside], at[inside] - first] = 1
-                shared += held @ held.T
-            behind = -(-n * PERCENT // 100) - 1
-            less, more = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-            fits = (doc[:, None] < doc[None, :]) & (region[:, None] != region[None, :]) & (shared > 0) & (100 * less >= PERCENT * more)
-            fits &= (100 + PERCENT) * (shared + np.maximum(behind[:, None], behind[None, :])) >= PERCENT * (n[:, None] + n[None, :])
-            if group[1, s] != group[2, s]:
-                fits &= block[:, None] != block[None, :]
-            i, j = np.nonzero(fits)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(doc[j])], ["a", "b"])
-
-
-def _block_join(described: DataFrame) -> DataFrame:
-    """(a, b) that could link, of all documents of described that share a prefix shingle."""
+            n, region = part["n"].to_numpy(), part["region"].to_numpy()
+            linked = _linked(part["s"].combine_chunks(), n) | (region[:, None] == region[None, :])
+            label, before = region, None
+            while before is None or (label != before).any():
+                before, label = label, np.where(linked, label[None, :], label[:, None]).min(1)
+            found = np.unique(np.stack([region, label])[:, region != label], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+
+def _block_join(docs: DataFrame, described: DataFrame) -> DataFrame:
+    """(a, b): regions to unite for the links among documents of described that share a prefix shingle, measured on whole sets."""
     rows = described.select(F.explode("prefix").alias("token"), "doc_id", "region")
     least = rows.groupBy("token").agg(F.min("doc_id").alias("m"), F.min("region").alias("r"), F.max("region").alias("q")).where("r <> q").select("token", "m")
     hangs = components(rows.join(least, "token").select(F.col("doc_id").alias("a"), F.col("m").alias("b")).distinct())
-    sizes = hangs.groupBy("component").agg(F.count("*").alias("size"))
-    placed = described.join(hangs.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("part"), "size"), "doc_id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = placed.select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "n", "region", "block", "prefix")
-    ordered = met.repartition("part", "low", "high").sortWithinPartitions("part", "low", "high", "doc_id")
-    return ordered.mapInArrow(_shared_in_blocks, "a long, b long").distinct()
+    hung = described.select("doc_id", "n", "region").join(hangs.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id")
+    sizes = hung.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    hung = materialise(hung.join(sizes, "part"), "hung")
+    sets = materialise(_sets(docs, _wanted(hung.select("doc_id"))), "sets")
+    placed = hung.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).join(sets, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = placed.select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "n", "region", "s")
+    ordered = met.repartition("part", "low", "high").sortWithinPartitions("part", "low", "high")
+    near = materialise(ordered.mapInArrow(_links_in_blocks, "a long, b long").distinct(), "near")
+    discard(hung, sets)
+    return near
 
 
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,7 +322,7 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     banded = classes.select("doc_id", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     banded = materialise(banded.join(shared, "band", "left_semi"), "banded")
-    links, regions = None, classes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).where(F.lit(False))
+    regions = classes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).where(F.lit(False))
     for k in range(PIVOT_ROUNDS):
         placed = banded.join(regions.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.struct("doc_id", "n", F.coalesce("component", "doc_id").alias("region")).alias("x"), "band")
         chance = F.xxhash64("x.doc_id", "band", F.lit(k))  # another pivot of a band's group in each round
@@ -320,23 +332,29 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         to_pivots = placed.join(pivots, "band").where("x.region <> y.region").where(100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
         to_pivots = to_pivots.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
         to_pivots = materialise(to_pivots, "pivots")
-        if to_pivots.isEmpty():
+        measured = to_pivots.count()
+        if not measured:
+            break
+        near = _measured(given, to_pivots)
+        before, regions = regions, materialise(components(near.union(regions.select(F.col("node").alias("a"), F.col("component").alias("b")))), "regions")
+        few = near.count() < PIVOT_YIELD * measured
+        discard(to_pivots, near, before)
+        if few:
             break
-        near = materialise(_measured(given, to_pivots), "near")
-        links = near if links is None else links.union(near)
-        regions = materialise(components(links), "regions")
-    links = links if links is not None else classes.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where(F.lit(False))
+    discard(banded)
+    links = regions.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
     # windows, recursively
     class_regions = classes.select("doc_id").join(regions.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("region"))
     described = all_docs.select("doc_id", "n", "prefix").join(class_regions, "doc_id")
     for k in range(ROUNDS + 1):
         if k == ROUNDS:
-            links = links.union(_measured(given, materialise(_block_join(described), "pairs")))
+            links = links.union(_block_join(given, described))
             break
         met = materialise(_window_join(described), "met")
         fresh = materialise(_could_link(met), "pairs")
         links = links.union(_measured(given, fresh)) if not fresh.isEmpty() else links
+        discard(fresh)
         late = met.where("late").select(F.col("a").alias("s"), F.col("b").alias("c"))
         if late.isEmpty():
             break
@@ -345,7 +363,8 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         held = held.where(F.col("put_off") > F.floor(least_partner / SPARE)).select("doc_id")
         frequent = np.union1d(frequent, _top(late))
         again = _describe(given, context.broadcast(frequent), _wanted(held)).select("doc_id", "n", "prefix")
-        described = materialise(again.join(class_regions, "doc_id"), "described")
+        before, described = described, materialise(again.join(class_regions, "doc_id"), "described")
+        discard(before, met)
     found = components(links).withColumnRenamed("node", "class_id")
 
     # one narrow row a class; a hot class is many rows on the other side only
