@@ -7,8 +7,11 @@ double precision, are united over all passes. Then each component counts its lin
 blocks of about BLOCK rows and every two blocks of a component meet in one task, which returns counts, not pairs. So
 the window bounds the search, not the links of a group once it is found.
 
-For a pair at cosine c one key bit is equal with probability 1 - acos(c) / pi; with n classes a window of W is
-reached if about log2(n / W) leading bits agree, in any pass. Recall is tested against brute force.
+For a pair at cosine c one key bit is equal with probability 1 - acos(c) / pi, and a window of W is reached if as many
+leading bits agree as leave W rows, in any pass: about log2(n / W) bits of n classes, more where vectors share a
+direction. How many is measured on a sample's keys, and passes are made until a pair at the limit is found with
+probability RECALL; so their number grows with the table. They run PASSES at a time, which bounds the disk in use.
+The rows at both ends of a partition meet their neighbours of the next one. Recall is tested against brute force.
 
 Defined results: vectors that are null, of norm 0, or with a null or non-finite component have no links and are their
 own component. Repeated vectors are linked with each other. Vectors of different lengths are never linked. An empty
@@ -18,18 +21,26 @@ table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 from .components import components
 
+#: Passes that run together, rows that each row is compared with, rows of a block.
 PASSES, WINDOW, BLOCK, SEED = 8, 48, 256, 17
 LIMIT = 0.95
+#: Probability, on average over the classes, that a pair of cosine LIMIT is found; closer pairs are found more often.
+RECALL = 0.999
+#: Classes whose keys tell how many passes that takes.
+SAMPLE = 2048
 _KEY_BITS = 64
+_FOUND = ("a", "b", "gap", "pass", "key", "class_id", "vector")
 
 
 def classes_of(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -61,13 +72,13 @@ def _vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_keys(batches: Iterator[pa.RecordBatch], passes: range) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             for rows, x in _vectors(part.column(1)):
                 own = part.take(pa.array(rows))
-                for which in range(PASSES):
+                for which in passes:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), which, np.int32)), pa.array(_keys(x, which)), *own.columns], ["pass", "key", "class_id", "vector"])
 
 
@@ -75,14 +86,64 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified pairs of rows at most WINDOW apart, within runs of one pass."""
-    carried = None
+def _shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of leading bits that two arrays of keys share."""
+    differ = np.unpackbits((a ^ b).astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+    return np.where(differ.any(1), differ.argmax(1), _KEY_BITS)
+
+
+def passes_needed(x: np.ndarray, n: int) -> int:
+    """Passes that find a pair of cosine LIMIT among n classes with probability RECALL, told from x, a sample of them."""
+    if len(x) < 2:
+        return PASSES
+    hit = _cosines(x, x) >= LIMIT
+    label, before = np.arange(len(x)), None
+    while before is None or (label != before).any():  # near copies lie close in every pass and are found by each other, so a group counts once
+        before, label = label, np.where(hit, label[None, :], label[:, None]).min(1)
+    x = x[label == np.arange(len(x))]
+    share = n / max(1, len(label))  # classes for each of the sample
+    if len(x) * share <= WINDOW + 1 or len(x) < 2:  # one window holds all
+        return PASSES
+    agree = 1 - np.arccos(LIMIT) / np.pi
+    place = np.arange(len(x))
+    rank = max(1, min(len(x) - 1, int(WINDOW / share)))  # rows of the sample that a window spans
+    far = min(len(x) - 1, 16 * rank)
+    found = np.zeros(len(x))
+    for which in range(PASSES):
+        key = _keys(x, which)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        bits = _shared_bits(key, key[np.minimum(place + rank, len(x) - 1)]).astype(float)
+        bits[len(x) - rank :] = 0  # the last rows' windows hold all that follows
+        if share > WINDOW and far > rank:  # the window is narrower than the sample's steps: go on at the rate at which bits divide the sample
+            wide = _shared_bits(key[: len(x) - far], key[far:]).mean()
+            bits += max(1.0, (bits[: len(x) - far].mean() - wide) / np.log2(far / rank)) * np.log2(share / WINDOW)
+        found[order] += agree ** np.minimum(bits + 1, _KEY_BITS) / PASSES
+    passes = PASSES
+    while ((1 - found) ** passes).mean() > 1 - RECALL:
+        passes += PASSES
+    return passes
+
+
+def _windows(batches: Iterator[pa.RecordBatch], ends: bool = True) -> Iterator[pa.RecordBatch]:
+    """Verified pairs of rows at most WINDOW apart, within runs of one pass; and, with the number of the gap they border on, the rows at both ends of a partition."""
+    here = TaskContext.get().partitionId() if ends else 0
+    carried, first = None, None
+
+    def border(rows: pa.Table, gap: int) -> Iterator[pa.RecordBatch]:
+        rows = rows.append_column("gap", pa.array(np.full(rows.num_rows, gap, np.int32)))
+        none = pa.nulls(rows.num_rows, pa.int64())
+        for x in rows.append_column("a", none).append_column("b", none).select(_FOUND).to_batches():
+            yield x
+
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = pa.Table.from_batches([batch.slice(at, 1000)])
             if carried is not None:
                 part = pa.concat_tables([carried, part])
+            if ends and (first is None or first.num_rows < WINDOW):
+                seen = pa.Table.from_batches([batch.slice(at, 1000)])
+                first = seen.slice(0, WINDOW) if first is None else pa.concat_tables([first, seen.slice(0, WINDOW - first.num_rows)])
             old = carried.num_rows if carried is not None else 0
             part = part.combine_chunks()
             ids, which = part["class_id"].to_numpy(), part["pass"].to_numpy()
@@ -94,17 +155,44 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     i, j = rows[lo + i], rows[lo + j]
                     near = (j > i) & (place[j] - place[i] <= WINDOW) & (which[i] == which[j]) & (j >= old)
                     if near.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[i[near]]), pa.array(ids[j[near]])], ["a", "b"])
+                        none = [pa.nulls(int(near.sum()), kind) for kind in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), part.schema.field("vector").type)]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[i[near]]), pa.array(ids[j[near]]), *none], list(_FOUND))
             carried = part.slice(max(0, part.num_rows - WINDOW))
+    if ends and carried is not None:
+        yield from border(first, here - 1)
+        yield from border(carried, here)
+
+
+def _over_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the rows that border on one gap between partitions."""
+    for whole in _runs(batches, 1):
+        whole = whole.combine_chunks()
+        gap = whole["gap"].to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], gap[1:] != gap[:-1]]))
+        for s, e in zip(cut, [*cut[1:], len(gap)], strict=True):
+            for found in _windows(iter(whole.slice(s, e - s).combine_chunks().to_batches()), ends=False):
+                yield found.select(["a", "b"])
 
 
 def pairs(classes: DataFrame) -> DataFrame:
     """(a, b): verified pairs of classes found by any pass."""
-    keyed = classes.select("class_id", "vector").mapInArrow(_with_keys, "pass int, key long, class_id long, vector array<double>")
-    keyed = materialise(keyed, "keyed")
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(n, "pass", "key", "class_id").sortWithinPartitions("pass", "key", "class_id")
-    return ordered.mapInArrow(_windows, "a long, b long").distinct()
+    n = classes.count()
+    drawn = classes.where(F.pmod(F.xxhash64("class_id"), F.lit(max(1, n))) < SAMPLE).select("vector").limit(2 * SAMPLE).toArrow()
+    sample = max((x for _, x in _vectors(drawn["vector"].combine_chunks())), key=len, default=np.zeros((0, 1))) if drawn.num_rows else np.zeros((0, 1))
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = []
+    for start in range(0, passes_needed(sample, n), PASSES):
+        passes = range(start, start + PASSES)
+        keyed = classes.select("class_id", "vector").mapInArrow(lambda batches, passes=passes: _with_keys(batches, passes), "pass int, key long, class_id long, vector array<double>")
+        keyed = materialise(keyed, "keyed")
+        ordered = keyed.repartitionByRange(parts, "pass", "key", "class_id").sortWithinPartitions("pass", "key", "class_id")
+        near = materialise(ordered.mapInArrow(_windows, "a long, b long, gap int, pass int, key long, class_id long, vector array<double>"), "near")
+        discard(keyed)
+        borders = near.where("gap is not null").select("gap", "pass", "key", "class_id", "vector").repartition("gap").sortWithinPartitions("gap", "pass", "key", "class_id")
+        both = near.where("gap is null").select("a", "b").union(borders.mapInArrow(_over_gaps, "a long, b long"))
+        found.append(materialise(both.distinct(), "pairs"))
+        discard(near)
+    return reduce(DataFrame.union, found).distinct()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

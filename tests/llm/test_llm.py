@@ -130,6 +130,21 @@ def test_vectors(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_isolated_near_vectors_are_found_as_the_table_grows(spark):
+    rng = np.random.default_rng(2)
+    n, d = 12000, 32
+    x = rng.standard_normal((n, d)) / np.sqrt(d) + 2 * np.eye(d)[0]  # a cone: mean cosine 0.8
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((400, d))
+    y -= (y * x[:400]).sum(1)[:, None] * x[:400]
+    y = 0.955 * x[:400] + np.sqrt(1 - 0.955**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    group = dict(map(tuple, embeddings.near_duplicates(df).select("vec_id", "component_id").collect()))
+    assert sum(group[i] == group[n + i] for i in range(400)) >= 396
+    few = [embeddings.passes_needed(rng.standard_normal((2048, 64)), k) for k in (10_000, 1_000_000, 100_000_000)]
+    assert few == sorted(few) and few[0] < few[1] < few[2]
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(0, i) for i in range(300, 400)] + [(i, i + 1) for i in range(500, 540)]
