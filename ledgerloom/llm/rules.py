@@ -6,12 +6,15 @@ common words, with those of each language's documents by Jensen-Shannon distance
 is kept if some language is within both limits. Texts with too few characters or words for a stable histogram
 are not judged by it: the minimum-length guards.
 
-References count all documents. The common words of a language are those that make up LEAST_WORD_SHARE of its
-words. They are found exactly in two passes: a word that reaches the share overall reaches it in at least one
-batch, so each batch names its candidates (at most 1/share), and the second pass counts these in all texts.
+References count all documents of every language that has LEAST_REFERENCE_WORDS words, whatever its share of the
+rows. The common words of a language are those that make up LEAST_WORD_SHARE of its words. They are found exactly in
+two passes: each batch names the words that reach a quarter of the share there, so what other batches left out is less
+than a quarter of the share overall; of the words named, those counted to three quarters of it (at most 4/3 of
+1/share a language) are candidates, and the second pass counts these in all texts.
 
 Defined results: a null text has no words; every count is 0 and base_failed is true. Rows without a language
-don't make references but are judged. Without any reference nothing is rejected by the method. Extra columns
+don't make references but are judged; those of a language without a reference are not judged by it, as other languages'
+references say nothing about them. Without any reference nothing is rejected by the method. Extra columns
 are kept only when named in ``keep``.
 """
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, strings, table
+from .common import discard, materialise, slices, strings, table
 
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: Word characters and words below which a histogram isn't compared.
@@ -36,8 +40,8 @@ LEAST_CHARS_JUDGED, LEAST_WORDS_JUDGED = 300, 50
 MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.25, 0.45
 #: Share of a language's words from which on a word counts as common.
 LEAST_WORD_SHARE = 1 / 500
-#: Languages need this share of the labelled rows to get a reference, which bounds their number.
-LEAST_LANGUAGE_SHARE = 1 / 1000
+#: Words that a language needs for a stable reference: a count, so rows of other languages don't matter.
+LEAST_REFERENCE_WORDS = 2000
 
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("upper", "lower", "digit", "space", "stop", "quote", "symbol", "mark", "other")
@@ -53,6 +57,26 @@ class References:
     words: list[dict[bytes, int]]  # common word -> place in the word histogram; place 0 is every other word
     shares: list[np.ndarray]
 
+    @cached_property
+    def holders(self) -> dict[bytes, tuple[list[int], list[float]]]:
+        """The languages of each common word, and its share there."""
+        out: dict[bytes, tuple[list[int], list[float]]] = {}
+        for i, (words, shares) in enumerate(zip(self.words, self.shares, strict=True)):
+            for w, at in words.items():
+                langs, parts = out.setdefault(w, ([], []))
+                langs.append(i)
+                parts.append(float(shares[at]))
+        return out
+
+    @cached_property
+    def others(self) -> np.ndarray:
+        """Each language's share of words that are not common."""
+        return np.array([x[0] for x in self.shares])
+
+    @cached_property
+    def known(self) -> frozenset[str]:
+        return frozenset(self.languages)
+
 
 def divergence(p: np.ndarray, q: np.ndarray) -> float:
     """Jensen-Shannon distance of two histograms that add up to 1: the root of the divergence in bits."""
@@ -116,7 +140,7 @@ def _count(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarray
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch and language: the class counts (word null), the number of words, and words that reach the share here."""
+    """Of each batch and language: the class counts (word null), the number of words, and words that reach a quarter of the share here."""
     for batch in batches:
         words: dict[str, Counter] = {}
         classes: dict[str, np.ndarray] = {}
@@ -127,7 +151,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 classes[lang] = classes.get(lang, 0) + _class_counts(_bytes(raw))
         for lang, found in words.items():
             n = sum(found.values())
-            common = [w for w, k in found.items() if k >= n * LEAST_WORD_SHARE]
+            common = [w for w, k in found.items() if k >= n * LEAST_WORD_SHARE / 4]
             kinds = [*range(len(CLASSES)), -1, *[-2] * len(common)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(kinds), pa.string()), pa.array(kinds, pa.int32()), pa.array([*[None] * (len(CLASSES) + 1), *common], pa.binary()), pa.array([*classes[lang].astype(int).tolist(), n, *[found[w] for w in common]], pa.int64())], ["lang", "kind", "word", "n"]
@@ -137,19 +161,22 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> References:
     """References of the languages of all documents."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    names = sorted(r["lang"] for r in sizes.where(F.col("n") >= total * LEAST_LANGUAGE_SHARE).collect())
+    first = materialise(rows.mapInArrow(_candidates, "lang string, kind int, word binary, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")), "words")
+    totals = first.where((F.col("kind") == -1) & (F.col("n") >= LEAST_REFERENCE_WORDS)).select("lang", F.col("n").alias("total"))
+    named = first.join(totals, "lang").where((F.col("kind") > -2) | (F.col("n") >= 0.75 * LEAST_WORD_SHARE * F.col("total"))).select("lang", "kind", "word", "n").toPandas()
+    discard(first)
+    # what came back: of each language a row for each class, its number of words, and at most 4/3 of 1/share words
+    n_words = {a: int(n) for a, n in named.loc[named.kind == -1, ["lang", "n"]].itertuples(index=False)}
+    names = sorted(n_words)
     if not names:
         return References([], np.zeros((0, len(CLASSES))), [], [])
-    rows = rows.where(F.col("lang").isin(names))
-    first = rows.mapInArrow(_candidates, "lang string, kind int, word binary, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"), F.count("*").alias("batches")).toPandas()
-    # what came back: a row for each class, and the words that reach the share in some batch
-    n_words = {a: int(g.loc[g.kind == -1, "n"].sum()) for a, g in first.groupby("lang")}
+    place = {a: i for i, a in enumerate(names)}
     classes = np.zeros((len(names), len(CLASSES)))
-    for a, k, n in first.loc[first.kind >= 0, ["lang", "kind", "n"]].itertuples(index=False):
-        classes[names.index(a), k] = n
-    candidates = {a: set(g.loc[g.kind == -2, "word"].map(bytes)) for a, g in first.groupby("lang")}
+    for a, k, n in named.loc[named.kind >= 0, ["lang", "kind", "n"]].itertuples(index=False):
+        classes[place[a], k] = n
+    candidates: dict[str, set[bytes]] = {a: set() for a in names}
+    for a, w in named.loc[named.kind == -2, ["lang", "word"]].itertuples(index=False):
+        candidates[a].add(bytes(w))
     shipped = rows.sparkSession.sparkContext.broadcast(candidates)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +184,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> References
             found: Counter = Counter()
             for part in slices(iter([batch]), 0):
                 for t, name in zip(strings(part.column(0)), part.column(1).to_pylist(), strict=True):
+                    if name not in shipped.value:
+                        continue
                     here = Counter(_raw(t).split())
                     for w in shipped.value[name]:
                         if n := here.get(w):
@@ -164,43 +193,59 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> References
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.string()), pa.array([w for _, w in found], pa.binary()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
     exact = rows.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    counted: dict[str, list[tuple[bytes, int]]] = {a: [] for a in names}
+    for a, w, n in exact.itertuples(index=False):
+        if n >= n_words[a] * LEAST_WORD_SHARE:
+            counted[a].append((bytes(w), int(n)))
     words, shares = [], []
     for name in names:
-        total_words = max(1, n_words.get(name, 0))
-        got = sorted((bytes(w), int(n)) for a, w, n in exact.itertuples(index=False) if a == name and n >= total_words * LEAST_WORD_SHARE)
+        got = sorted(counted[name])
         words.append({w: i for i, (w, _) in enumerate(got, 1)})
-        share = np.array([0, *(n for _, n in got)], dtype=float) / total_words
+        share = np.array([0, *(n for _, n in got)], dtype=float) / n_words[name]
         share[0] = 1 - share.sum()
         shares.append(share)
     return References(names, classes / np.maximum(1, classes.sum(1, keepdims=True)), words, shares)
 
 
+def _information(p: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The terms p log2(p / m), 0 where p is 0."""
+    return p * np.log2(np.maximum(p, 1e-300) / np.maximum(m, 1e-300))
+
+
 def distances(refs: References, histogram: np.ndarray, found: dict[bytes, int], n_words: int) -> tuple[int, float, float]:
     """The nearest language by the larger of both distances, each as a part of its limit, and these distances."""
     p = _class_counts(histogram)
     p = p / max(1.0, p.sum())
-    best = (-1, 1.0, 1.0)
-    for i in range(len(refs.languages)):
-        q = np.array([0, *(found.get(w, 0) for w in refs.words[i])], dtype=float) / max(1, n_words)
-        q[0] = 1 - q.sum()
-        a, b = divergence(p, refs.classes[i]), divergence(q, refs.shares[i])
-        if best[0] < 0 or max(a / MOST_CLASS_DISTANCE, b / MOST_WORD_DISTANCE) < max(best[1] / MOST_CLASS_DISTANCE, best[2] / MOST_WORD_DISTANCE):
-            best = (i, a, b)
-    return best
+    m = (p + refs.classes) / 2
+    by_class = np.sqrt(np.maximum(0, (_information(p, m) + _information(refs.classes, m)).sum(1) / 2))
+    # a common word that the text lacks adds half its share; only those that it holds are looked at
+    size, holders = len(refs.languages), refs.holders
+    held = [(k, *holders[w]) for w, k in found.items() if w in holders]
+    at = np.array([i for _, langs, _ in held for i in langs], dtype=np.int64)
+    q = np.array([x for _, _, parts in held for x in parts])
+    own = np.repeat(np.array([k for k, _, _ in held], dtype=float), [len(langs) for _, langs, _ in held]) / max(1, n_words)
+    m = (own + q) / 2
+    total = (1 - refs.others) / 2 + np.bincount(at, (_information(own, m) + _information(q, m) - q) / 2, size)
+    rest = np.maximum(0, 1 - np.bincount(at, own, size))
+    m = (rest + refs.others) / 2
+    by_word = np.sqrt(np.maximum(0, total + (_information(rest, m) + _information(refs.others, m)) / 2))
+    best = int(np.maximum(by_class / MOST_CLASS_DISTANCE, by_word / MOST_WORD_DISTANCE).argmin())
+    return best, float(by_class[best]), float(by_word[best])
 
 
 _OUT = (("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("nearest", pa.string()), ("class_distance", pa.float64()), ("word_distance", pa.float64()))
 
 
-def judge(df: DataFrame, refs: References, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def judge(df: DataFrame, refs: References, text: str = "text", keep: tuple[str, ...] = ("doc_id",), lang: str = "lang") -> DataFrame:
     """Result: keep..., the counts, base_failed, kept, and the nearest language with its two distances (null where not judged)."""
-    shipped = df.sparkSession.sparkContext.broadcast(refs)  # at most 1/share words for each of at most 1/share languages
+    shipped = df.sparkSession.sparkContext.broadcast(refs)  # at most 1/share words for each language of LEAST_REFERENCE_WORDS words
 
-    def one(t: str | None) -> tuple:
+    def one(t: str | None, given: str | None) -> tuple:
         figures, histogram, ids, number = _count(t)
         n = figures[0]
         failed = n < LEAST_WORDS or 100 * figures[4] > MOST_REPEATED_PERCENT * n
-        if not shipped.value.languages or n < LEAST_WORDS_JUDGED or figures[1] < LEAST_CHARS_JUDGED:
+        unknown = not shipped.value.languages or (given is not None and given not in shipped.value.known)
+        if unknown or n < LEAST_WORDS_JUDGED or figures[1] < LEAST_CHARS_JUDGED:
             return (*figures, failed, not failed, None, None, None)
         found = dict(zip(number, np.bincount(ids).tolist(), strict=True))
         i, a, b = distances(shipped.value, histogram, found, n)
@@ -208,12 +253,12 @@ def judge(df: DataFrame, refs: References, text: str = "text", keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, len(keep)):
-            got = [one(t) for t in strings(batch.column(len(keep)))]
+            got = [one(*x) for x in zip(strings(batch.column(len(keep))), batch.column(len(keep) + 1).to_pylist(), strict=True)]
             columns = zip(*got, strict=True) if got else [()] * len(_OUT)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, kind) for c, (_, kind) in zip(columns, _OUT, strict=True))], [*keep, *(n for n, _ in _OUT)])
 
     kinds = {"int64": T.LongType(), "bool": T.BooleanType(), "string": T.StringType(), "double": T.DoubleType()}
-    part = df.select(*keep, F.col(text).cast("string").alias("text to read"))
+    part = df.select(*keep, F.col(text).cast("string").alias("text to read"), (F.col(lang) if lang in df.columns else F.lit(None)).cast("string").alias("language to read"))
     return part.mapInArrow(run, T.StructType([*part.schema.fields[: len(keep)], *(T.StructField(n, kinds[str(k)]) for n, k in _OUT)]))
 
 

@@ -209,6 +209,31 @@ def test_rules(spark, docs, none):
     assert rules.divergence(p, q) == pytest.approx(1.0) and rules.divergence(p, p) == 0
 
 
+def test_rules_of_a_rare_language(spark):
+    rng = random.Random(13)
+    tongue = lambda letters: ["".join(rng.choices(letters, k=6)) for _ in range(60)]
+    common, rare, rarest = tongue("abcdefgh"), tongue("ijklmnop"), tongue("qrstuvwx")
+    text = lambda words, n: " ".join(rng.choices(words, k=n))
+    rows = [(i, text(common, 60), "common") for i in range(5000)]
+    rows += [(10000 + i, text(rare, 800), "rare") for i in range(3)] + [(20000, text(rarest, 100), "rarest"), (30000, text(rarest, 100), None), (40000, text(rarest, 800), "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = rules.learn(df)
+    assert refs.languages == ["common", "rare"]
+    words = Counter(w.encode() for _, t, a in rows if a == "rare" for w in t.split())
+    assert set(refs.words[1]) == {w for w, n in words.items() if n * 500 >= words.total()}
+    got = {r.doc_id: r for r in rules.judge(df, refs).collect()}
+    assert all(got[i].kept and got[i].nearest == "rare" for i in range(10000, 10003))
+    assert got[20000].kept and got[20000].nearest is None and not got[30000].kept and got[30000].nearest is not None
+    for i in (0, 10001, 30000):  # against the plain definition
+        t = next(t for k, t, _ in rows if k == i).encode()
+        n, p = len(t.split()), rules._class_counts(rules._bytes(t))
+        q = [np.array([0, *(t.split().count(w) for w in held)]) / n for held in refs.words]
+        q = [x + (1 - x.sum()) * (np.arange(len(x)) == 0) for x in q]
+        both = [(rules.divergence(p / p.sum(), refs.classes[k]), rules.divergence(q[k], refs.shares[k])) for k in range(2)]
+        best = min(both, key=lambda x: max(x[0] / rules.MOST_CLASS_DISTANCE, x[1] / rules.MOST_WORD_DISTANCE))
+        assert (got[i].class_distance, got[i].word_distance) == pytest.approx(best)
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts.items():
