@@ -8,7 +8,8 @@ false-positive rate; the largest corrected count decides.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; a text whose n-grams no language
 holds gets the language most common in training with score 0; of equal counts the first language by name wins.
-Rows without a language don't teach. With no teaching row at all every text is ``und``. Texts are read whole,
+Rows without a language don't teach. Every language whose rows hold LEAST_GRAMS n-grams is learned, however small its
+share of the rows. With no teaching row at all every text is ``und``. Texts are read whole,
 in overlapping parts if very long. Extra columns are kept only when named in ``keep``.
 """
 
@@ -21,18 +22,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_CHARS, held_out, slices, strings, table
+from .common import CHUNK_CHARS, discard, held_out, materialise, slices, strings, table
 
 #: Length of an n-gram in characters.
 NGRAM = 3
 #: Expected number of rows of each language that teach: a sample by hash of the text, so it depends on no order.
 ROWS_PER_LANGUAGE = 1500
-#: Languages need this share of the labelled rows to be learned, which bounds their number.
-LEAST_LANGUAGE_SHARE = 1 / 1000
+#: N-grams that a language's sample needs to be learned: a count, so rows of other languages don't matter.
+LEAST_GRAMS = 1000
 #: An n-gram is kept for a language if it makes up this share of its n-grams, so at most 1/share are kept,
 LEAST_SHARE = 1 / 8192
 #: and if its share is at least this part of its largest share in any language.
@@ -121,32 +122,32 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Learns from (text, lang) rows: a hash sample of about ROWS_PER_LANGUAGE rows of each language."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    # one row a language; those under the least share are left out here, so what returns is bounded
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    kept = {r["lang"]: r["n"] for r in sizes.where(F.col("n") >= total * LEAST_LANGUAGE_SHARE).collect()}
-    if not kept:
-        return Model([], [], np.zeros(0), "und")
-    rate = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1.0, ROWS_PER_LANGUAGE / n))) for name, n in sorted(kept.items())], F.lit(0.0))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate * (1 << 20))
-    counts = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    by_gram = counts.groupBy("gram").pivot("lang", sorted(kept)).agg(F.sum("n"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))  # one row a language
+    sampled = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.least(F.lit(1.0), F.lit(float(ROWS_PER_LANGUAGE)) / F.col("rows")) * (1 << 20))
+    counts = materialise(sampled.select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_GRAMS)
+    kept = {r["lang"]: (r["rows"], r["total"]) for r in totals.join(sizes, "lang").collect()}
     names = sorted(kept)
-    totals = by_gram.agg(*[F.sum(F.col(f"`{n}`")).alias(f"t{i}") for i, n in enumerate(names)]).first()
-    shares = by_gram.select("gram", *[(F.coalesce(F.col(f"`{n}`"), F.lit(0)) / F.lit(float(max(1, totals[i] or 1)))).alias(f"s{i}") for i, n in enumerate(names)])
-    most = F.greatest(*[F.col(f"s{i}") for i in range(len(names))]) if len(names) > 1 else F.col("s0")
-    chosen = shares.where(most >= LEAST_SHARE).select("gram", *[((F.col(f"s{i}") >= LEAST_SHARE) & (F.col(f"s{i}") >= LEAST_PART * most)).alias(f"k{i}") for i in range(len(names))]).toPandas()
-    grams = chosen["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+    if not names:
+        discard(counts)
+        return Model([], [], np.zeros(0), "und")
+    numbered = rows.sparkSession.createDataFrame([(name, i, kept[name][1]) for i, name in enumerate(names)], "lang string, number int, total long")
+    shares = counts.join(F.broadcast(numbered), "lang").select("gram", "number", (F.col("n") / F.col("total")).alias("share"))
+    most = F.max("share").over(Window.partitionBy("gram"))  # at most a row for each language
+    chosen = materialise(shares.withColumn("most", most).where((F.col("share") >= LEAST_SHARE) & (F.col("share") >= LEAST_PART * F.col("most"))).select("number", "gram"), "chosen")
     slices, rates = [], []
-    for base in range(0, len(names), 64):
+    for base in range(0, len(names), 64):  # at most 64 / LEAST_SHARE rows at once
+        found = chosen.where(F.col("number").between(base, base + 63)).toPandas()
+        number, grams = found["number"].to_numpy(), found["gram"].to_numpy(dtype=np.int64).view(np.uint64)
         cells = np.zeros(1 << CELL_BITS, dtype=np.uint64)
         for i in range(base, min(base + 64, len(names))):
             bit = np.uint64(1 << (i - base))
-            for at in _cells(grams[chosen[f"k{i}"].to_numpy(dtype=bool)]):
+            for at in _cells(grams[number == i]):
                 cells[at] |= bit
             rates.append(float(((cells & bit) != 0).mean()) ** HASHES)
         slices.append(cells)
-    return Model(names, slices, np.array(rates), max(names, key=lambda n: (kept[n], n)))
+    discard(counts, chosen)
+    return Model(names, slices, np.array(rates), max(names, key=lambda n: (kept[n][0], n)))
 
 
 def predict_batch(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

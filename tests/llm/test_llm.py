@@ -40,6 +40,20 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(none)).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned_and_kept(spark):
+    import corpus_pipeline
+
+    fi = "kissa ja koira menivät yhdessä metsään, mutta kukaan ei löytänyt heidän pientä taloaan "
+    words = lambda t, i: " ".join(random.Random(i).choices(t.split(), k=12))
+    rows = [(i, words(EN if i % 2 else DE, i), "en" if i % 2 else "de", "a", 0) for i in range(6000)] + [(10000 + i, fi * 10, "fi", "a", 0) for i in range(5)] + [(20000, fi, "zz", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.fit(df)
+    assert model.languages == ["de", "en", "fi"] and model.default in ("de", "en")
+    got = dict(map(tuple, langid.predict(df, model).where("doc_id >= 10000 or doc_id < 2").select("doc_id", "lang_pred").collect()))
+    assert [got[i] for i in (0, 1, *range(10000, 10005))] == ["de", "en", *["fi"] * 5]
+    assert corpus_pipeline.language(spark, df, "").where("lang = 'fi'").count() == 5
+
+
 def test_bloom_holds_every_language_of_a_gram():
     grams = np.arange(1, 500, dtype=np.uint64) * np.uint64(0x1234567)
     cells = np.zeros(1 << langid.CELL_BITS, dtype=np.uint64)
