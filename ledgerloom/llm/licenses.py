@@ -5,9 +5,9 @@ A word is a run of ASCII letters, ASCII digits and non-ASCII characters, lower-c
 consecutive words, so ``CC BY-NC`` and ``cc by nc`` are the same. Base phrases name a license each; further
 phrases and tags (``SPDX-License-Identifier:`` and the like) are the method's own and only add labels.
 
-An expression's operators are OR, AND and WITH, in rising order of binding, with parentheses. OR gives the union
-of both sides' alternatives, AND every combination, WITH ties an exception to its license. Its labels are all
-licenses named; it is satisfied if some alternative holds permissive licenses only. A text's score is the part of
+An expression's operators are OR, AND and WITH, in rising order of binding, with parentheses. Its labels are all
+licenses named; WITH ties an exception to its license. It is satisfied if some alternative holds permissive licenses
+only, which is so if either side of an OR, both of an AND, and the left of a WITH are. A text's score is the part of
 its evidence (notices and expressions) that is permissive, shrunk by one: p / (n + 1); so 0 without evidence.
 
 Defined results: a null text is empty; without a place first_word and last_word are null; no label is the empty
@@ -49,8 +49,6 @@ TAGS = ("spdx license identifier", "license expression")
 #: SPDX identifiers, lower-cased, whose label is not the identifier itself.
 LABEL_OF = {"apache-2.0": "apache-2", "gpl-3.0": "gpl-3", "gpl-3.0-only": "gpl-3", "gpl-3.0-or-later": "gpl-3", "gpl-2.0": "gpl-2", "gpl-2.0-only": "gpl-2", "gpl-2.0-or-later": "gpl-2", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "mpl-2.0": "mpl", "cc-by-nc-4.0": "cc-by-nc", "cc-by-sa-4.0": "cc-by-sa"}
 PERMISSIVE = frozenset({"mit", "apache-2", "bsd", "isc", "zlib", "cc0-1.0", "unlicense", "cc-by-4.0"})
-#: More alternatives than this are no longer told apart: the expression counts as not satisfied.
-MOST_ALTERNATIVES = 256
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _RAW_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -89,24 +87,24 @@ def to_postfix(expression: str) -> list[str]:
 def evaluate(expression: str) -> tuple[set[str], bool]:
     """Labels of all licenses in an expression, and whether some alternative is permissive throughout."""
     labels: set[str] = set()
-    stack: list[set[frozenset[str]]] = []
+    stack: list[tuple[set[str], bool]] = []  # an operand's licenses, and whether some alternative of it is permissive
     for token in to_postfix(expression):
         if token not in _BINDING:
             label = LABEL_OF.get(token.lower(), token.lower())
             labels.add(label)
-            stack.append({frozenset([label])})
+            stack.append(({label}, label in PERMISSIVE))
             continue
         if len(stack) < 2:
             break
-        right, left = stack.pop(), stack.pop()
+        (right, right_ok), (left, left_ok) = stack.pop(), stack.pop()
         if token == "WITH":
-            labels -= {x for a in right for x in a if not any(x in b for b in left)}  # an exception is no license
-            stack.append(left)
-        elif token == "OR":
-            stack.append(left | right)
+            labels -= right - left  # an exception is no license
+            stack.append((left, left_ok))
         else:
-            stack.append({a | b for a in left for b in right} if len(left) * len(right) <= MOST_ALTERNATIVES else {frozenset(["unresolved"])})
-    return labels, any(a <= PERMISSIVE for alternatives in stack[-1:] for a in alternatives)
+            few, many = sorted((left, right), key=len)
+            many |= few
+            stack.append((many, left_ok or right_ok if token == "OR" else left_ok and right_ok))
+    return labels, bool(stack) and stack[-1][1]
 
 
 def _automaton():

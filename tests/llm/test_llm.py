@@ -300,6 +300,14 @@ def test_licenses(spark, docs, none):
     assert licenses.scan_licenses(docs).count() == len(TEXTS) and licenses.scan_licenses(none).count() == 0
 
 
+def test_license_verdict_of_many_alternatives():
+    groups = " AND ".join(f"(MIT OR x{i})" for i in range(300))
+    assert licenses.evaluate(groups) == ({"mit", *(f"x{i}" for i in range(300))}, True)
+    assert not licenses.evaluate(groups + " AND GPL-3.0")[1]
+    assert licenses.scan(f"SPDX-License-Identifier: {groups}")[6] == 0.5
+    assert licenses.evaluate("MIT WITH x OR GPL-3.0") == ({"mit", "gpl-3"}, True) and licenses.evaluate("") == (set(), False)
+
+
 def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     import corpus_pipeline
 
