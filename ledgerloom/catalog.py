@@ -6,56 +6,30 @@ line items for bridges to parts (endorsements) and suppliers (entities), events
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import linking, records as R
 from .operators import text as X
 from .plans import ingest
-from .sources import html
+from .registry import QUERIES, SQL, Query, Tables, query as _query
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 AS_OF = "2001-01-01"
 
 
-class Tables:
-    """Lazily read tables of one folder."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-
-def _query(name: str, sql: str | None = None):
-    def add(f: Callable[[Tables], DataFrame]):
-        _QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 _KEYS = ["o_custkey", "o_orderpriority"]
 
 
 def _links(t: Tables, outcome: str = "F") -> DataFrame:
-    # orders carry a time of day; the tolerance is counted from the instant, so the match is on timestamps
     side = lambda s: t.orders.where(F.col("o_orderstatus") == s).select(*_KEYS, F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("day"))
     return linking.link(side("O"), side(outcome), _KEYS)
 
@@ -86,15 +60,6 @@ def _(t: Tables) -> DataFrame:
     return linking.reverse_link(_links(t))
 
 
-@_query("outcome_status", _link_sql() + f"select o_orderkey, case when o_orderstatus <> 'O' then null when l.outcome_id is not null then 'approved' when o_orderpriority = '5-LOW' and o_orderdate < date '1995-01-01' then 'data_gap' when date_diff('day', o_orderdate, date '{AS_OF}') <= 1000 then 'pending' else 'unknown' end status from orders left join links l on l.new_app_id = o_orderkey")
-def _(t: Tables) -> DataFrame:
-    o = t.orders.join(_links(t).select("new_app_id"), F.col("o_orderkey") == F.col("new_app_id"), "left")
-    section = F.when(F.col("o_orderstatus") == "O", "new_application").otherwise("other")
-    kind = F.when(F.col("o_orderpriority") == "5-LOW", "DISC. LIQUOR SALES").otherwise("RENEWAL")
-    status = linking.outcome_status(section, kind, F.when(F.col("new_app_id").isNotNull(), "approved"), F.to_date("o_orderdate"), F.lit(AS_OF).cast("date"), pending_days=1000, gap_before="1995-01-01")
-    return o.select("o_orderkey", status.alias("status"))
-
-
 @_query("funnel", _link_sql() + "select count(*) filter (o_orderstatus = 'O') total, count(l.new_app_id) approved, count(*) filter (o_orderstatus = 'O' and l.new_app_id is null and o_orderdate >= timestamp '1998-01-01') pending, count(*) filter (o_orderstatus = 'O' and l.new_app_id is null and o_orderdate < timestamp '1998-01-01') unknown_ from orders o left join links l on l.new_app_id = o.o_orderkey")
 def _(t: Tables) -> DataFrame:
     o = t.orders.join(_links(t).select("new_app_id"), F.col("o_orderkey") == F.col("new_app_id"), "left")
@@ -181,7 +146,7 @@ _query("alias_chain", "with recursive r(id, cur, d) as (select n_nationkey, n_na
 )
 _query("alias_expansion", "select n_nationkey from nation where n_nationkey = 3 or n_nationkey - 5 = 3")(lambda t: t.nation.where("n_nationkey = 3").select("n_nationkey").union(t.nation.where(F.col("n_nationkey") - 5 == 3).select("n_nationkey")).distinct())
 _query("merge_entities", "with c as (select p_partkey, min(p_partkey) over (partition by lower(p_name)) canon from part) select l_orderkey, canon l_partkey, min(l_linenumber) l_linenumber from lineitem join c on p_partkey = l_partkey group by all")(
-    lambda t: R.regrouped(t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber"), t.part.select(F.col("p_partkey").alias("id"), F.min("p_partkey").over(Window.partitionBy(F.lower("p_name"))).alias("canonical")), "l_partkey", ["l_orderkey"], "l_linenumber")
+    lambda t: R.regrouped(t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber"), R.least_of_name(t.part.select(F.col("p_partkey").alias("id"), "p_name"), F.lower("p_name")), "l_partkey", ["l_orderkey"], "l_linenumber")
 )
 _query("endorsement_counts", "select p_name, count(distinct l_orderkey) records, string_agg(distinct p_brand, ',' order by p_brand) codes from part left join lineitem on l_partkey = p_partkey group by p_name")(
     lambda t: t.part.join(t.lineitem, F.col("l_partkey") == F.col("p_partkey"), "left").groupBy("p_name").agg(F.countDistinct("l_orderkey").alias("records"), F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("codes"))
@@ -212,7 +177,6 @@ _query("priority_queue", "select event_id from events order by case when event_t
 _query("trigram_search", "select p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) sim from (select p_partkey, list_distinct(flatten(list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) a, list_distinct(flatten(list_transform(regexp_extract_all(lower('red widgt'), '[a-z0-9]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) b from part) where len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) > 0.3")(
     lambda t: t.part.select("p_partkey", S.trigram_similarity(S.trigrams(F.col("p_name")), S.trigrams(F.lit("red widgt"))).alias("s")).where("s > 0.3").select("p_partkey", F.round("s", 6).alias("sim"))
 )
-_query("similar_names")(lambda t: R.similar_pairs(t.part.groupBy(F.upper("p_name").alias("n")).agg(F.min("p_partkey").alias("id")), S.similarity_tokens(F.col("n")), S.blended_similarity, 0.7))
 _query("quality_report", "select 'no_items' check_name, count(*) n from orders where o_orderkey not in (select l_orderkey from lineitem) union all select 'duplicate_names', count(*) from (select upper(p_name) from part group by 1 having count(*) > 1) union all select 'idle_suppliers', count(*) from supplier where s_suppkey not in (select l_suppkey from lineitem)")(
     lambda t: t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").agg(F.lit("no_items").alias("check_name"), F.count("*").alias("n"))
     .unionByName(R.duplicates(t.part, F.upper("p_name"), "p_partkey").agg(F.lit("duplicate_names").alias("check_name"), F.count("*").alias("n")))
@@ -221,7 +185,7 @@ _query("quality_report", "select 'no_items' check_name, count(*) n from orders w
 _query("scalar_functions", r"""select p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) slug, '(' || '206' || ') ' || '555' || '-' || lpad(cast(p_partkey % 10000 as varchar), 4, '0') phone, strftime(date '1995-01-01' + cast(p_size as integer), '%Y-%m-%d') AS "day", case when p_brand = '' or p_brand is null then p_type else p_brand end filled from part""")(
     lambda t: t.part.select("p_partkey", S.slug(F.col("p_name")).alias("slug"), S.phone(F.concat(F.lit("206555"), F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0"))).alias("phone"), S.iso_date(F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), F.col("p_size")), "M/d/yyyy")).alias("day"), S.first_filled(F.col("p_brand"), F.col("p_type")).alias("filled"))
 )
-_query("page_records")(lambda t: html.records_of_pages(t.pages.select("page_id", "html"), "page_id", "html"))
-_query("incremental_ingest", "select user_id, event_type, min(event_id) first_id, count(*) seen from events group by all")(lambda t: ingest.first_seen_with_confirmations(t.events, ["user_id", "event_type"], "event_id"))
 _query("text_match", "select p_partkey from part where list_has_all(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ['red'])")(lambda t: X.matches(t.part.select("p_partkey", X.document([("A", F.col("p_name"))]).alias("doc")), "doc", "red").select("p_partkey"))
 _query("text_rank")(lambda t: X.ranked(t.part.select("p_partkey", X.document([("A", F.col("p_name")), ("B", F.col("p_type"))]).alias("doc")), "doc", "red").select("p_partkey", "rank"))
+
+from . import licensing  # noqa: E402, F401  # registers its queries

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Name endings whose dot stays, and markers in applicant lists.
-SUFFIXES = ("INC.", "LLC.", "L.L.C.", "LTD.", "CORP.", "CO.", "L.P.", "LP.", "JR.", "SR.", "N.A.", "P.S.")
-MARKERS = ("ADDITIONAL NAMES ON FILE", "AND ADDITIONAL NAMES", "SEE FILE FOR ADDITIONAL NAMES")
-ORGANISATION = r"(?iU)\b(LLC|L\.L\.C|INC|CORP|CORPORATION|COMPANY|CO|LTD|LP|LLP|PARTNERSHIP|TRUST|ASSOCIATION|FOUNDATION|HOLDINGS|ENTERPRISES|GROUP)\b"
+#: Name endings whose dot stays, markers in applicant lists (one misspelt at the source), and what marks an organisation.
+SUFFIXES = ("INC.", "LLC.", "L.L.C.", "L.L.P.", "LTD.", "CORP.", "CO.", "L.P.", "PTY.", "JR.", "SR.", "S.P.A.", "F.O.E.", "U.P.", "D.B.A.", "P.C.", "N.A.", "P.A.", "W. & S.")
+MARKERS = ("ADDITIONAL NAMES ON FILE", "ADDTIONAL NAMES ON FILE")
+ORGANISATION = r"\b(LLC|L\.?L\.?C\.?|INC\.?|CORP\.?|CORPORATION|TRUST|LTD\.?|LIMITED|PARTNERS|PARTNERSHIP|HOLDINGS|GROUP|ENTERPRISE|ENTERPRISES|ASSOCIATION|FOUNDATION|COMPANY|CO\.|L\.?P\.?)\b"
+DUPLICATE = r"(?iU)\s*(?:\(\s*DUPLICATE(?:\s+\d+)?\s*\)|\*DUPLICATE\*|\(\s*DUPLICATE(?:\s+\d+)?|DUPLICATE)"
+#: Sections as they are shown, and the archive folders that they come from.
+SECTION_LABELS = {"new_application": "New Application", "approved": "Approved", "discontinued": "Discontinued"}
+SECTION_FOLDERS = {"notifications": "new_application", "approvals": "approved", "discontinued": "discontinued"}
 
 
 def _strip(c: Column) -> Column:
@@ -19,11 +23,12 @@ def clean_name(c: Column) -> Column:
     """Upper case, single spaces, no trailing dots or commas but that of a known suffix."""
     text = F.regexp_replace(F.upper(_strip(c)), r"(?U)\s+", " ")
     keep = "|".join(s.replace(".", r"\.") for s in SUFFIXES)
-    return F.regexp_replace(text, rf"(?:(?<=\s|^)({keep})[.,\s]*|[.,][.,\s]*)$", "$1")
+    return F.regexp_replace(text, rf"(?:(?<=\s|^)({keep})[.,\s]*|\s*[.,][.,\s]*)$", "$1")
 
 
 def strip_duplicate_marker(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?iU)\s*(?:\(\s*DUPLICATE\s*\)|\[\s*DUPLICATE\s*\]|-\s*DUPLICATE\b|\*+\s*DUPLICATE\s*\**|\bDUPLICATE\b)\s*$", "")
+    """Without DUPLICATE marks, wherever they stand: bare, starred, in brackets, numbered or with the bracket left open."""
+    return _strip(F.regexp_replace(F.regexp_replace(c, DUPLICATE, ""), " {2,}", " "))
 
 
 def normalise_nbsp(c: Column) -> Column:
@@ -37,28 +42,56 @@ def iso_date(c: Column) -> Column:
 
 
 def city_state_zip(c: Column) -> Column:
-    """struct<city, state, zip> from the end of an address; defaults '', WA, ''."""
-    pattern = r"(?U),\s*([^,]+?)\s*,\s*([A-Za-z]{2})\s+(\d{5}(?:-\d{4})?)\s*$"
-    hit = F.regexp_extract(c, pattern, 1)
-    return F.when(F.coalesce(hit, F.lit("")) != "", F.struct(F.upper(hit).alias("city"), F.upper(F.regexp_extract(c, pattern, 2)).alias("state"), F.regexp_extract(c, pattern, 3).alias("zip"))).otherwise(F.struct(F.lit("").alias("city"), F.lit("WA").alias("state"), F.lit("").alias("zip")))
+    """struct<city, state, zip> of an address in capitals, without a zip if there is none; defaults '', WA, ''."""
+    place = r"(?U),\s*([A-Z][A-Z .]+?),\s*([A-Z]{2})"
+    full = place + r"\s+(\d{5}(?:-\d{4})?)"
+    found = lambda pattern: F.struct(_strip(F.regexp_extract(c, pattern, 1)).alias("city"), F.regexp_extract(c, pattern, 2).alias("state"), (F.regexp_extract(c, pattern, 3) if pattern is full else F.lit("")).alias("zip"))
+    none = F.struct(F.lit("").alias("city"), F.lit("WA").alias("state"), F.lit("").alias("zip"))
+    return F.when(c.rlike(full), found(full)).when(c.rlike(place), found(place)).otherwise(none)
 
 
 def entity_type(c: Column) -> Column:
     return F.when(c.rlike(ORGANISATION), "organization").otherwise("person")
 
 
-def has_additional_names(c: Column) -> Column:
-    return F.coalesce(F.exists(F.split(c, ";"), lambda x: F.upper(F.trim(x)).isin(*MARKERS)), F.lit(False))
+def has_additional_names(*columns: Column) -> Column:
+    """True if any ;-part of any column is a marker."""
+    return F.coalesce(F.exists(F.split(F.concat_ws(";", *columns), ";"), lambda x: _strip(x).isin(*MARKERS)), F.lit(False))
+
+
+def section_label(c: Column) -> Column:
+    """A section as it is shown; others as they are."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SECTION_LABELS.items() for x in kv]), c), c)
+
+
+def section_of_file(c: Column) -> Column:
+    """The section that a file name tells by the archive folder's name in it, else null."""
+    out = F.lit(None).cast("string")
+    for name, section in reversed(SECTION_FOLDERS.items()):
+        out = F.when(F.contains(c, F.lit(name)), section).otherwise(out)
+    return out
+
+
+def shown_time(c: Column) -> Column:
+    """struct<iso, date> of a timestamp for display; '' for null."""
+    iso = F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
+    return F.struct(iso.alias("iso"), F.substring(iso, 1, 10).alias("date"))
+
+
+def code_of(c: Column) -> Column:
+    """The code of a license type that begins with one: of "450," and "450, NAME"; else null."""
+    first = F.trim(F.split_part(c, F.lit(","), F.lit(1)))
+    return F.when(first.rlike(r"^\d+$"), first)
 
 
 def clean_list(c: Column) -> Column:
     """A ;-list with cleaned, distinct, non-empty elements in order of first place; null and '' pass through."""
-    parts = F.filter(F.transform(F.split(c, ";"), clean_name), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, ";"), lambda x: clean_name(strip_duplicate_marker(x))), lambda x: x != "")
     return F.when(c.isNull() | (c == ""), c).otherwise(F.array_join(F.array_distinct(parts), "; "))
 
 
 def applicants(c: Column) -> Column:
-    """Entities of a ;-list in order: the first element is the business and is skipped, markers too."""
+    """Entities of a ;-list in order: the first element is the business and is skipped, markers too; none without a semicolon."""
     parts = F.transform(F.split(c, ";"), lambda x: clean_name(strip_duplicate_marker(x)))
     rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     return F.array_distinct(F.filter(rest, lambda x: (x != "") & ~x.isin(*MARKERS)))
@@ -124,14 +157,25 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-#: Words that similarity ignores.
-STOP_WORDS = ("AND", "OR", "OF", "THE", "A", "AN", "FOR", "WITH", "TO", "IN", "ON")
+#: Words that similarity ignores, spellings that it evens out, and the words of a sign.
+STOP_WORDS = ("ENDORSEMENT", "THE", "AND", "OF", "FOR", "A")
+SPELLINGS = (("TAKE OUT", "TAKEOUT"),)
+SIGNS = ("PLUS", "MINUS")
+
+
+def similarity_phrase(c: Column) -> Column:
+    t = F.upper(c)
+    for old, new in SPELLINGS:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return t
 
 
 def similarity_tokens(c: Column) -> Column:
-    t = F.replace(F.upper(c), F.lit("TAKE OUT"), F.lit("TAKEOUT"))
-    t = F.regexp_replace(F.replace(t, F.lit("+"), F.lit(" PLUS ")), r"(^|\s)-(\s|$)", " MINUS ")
-    return F.filter(F.split(F.regexp_replace(t, "[^A-Z0-9]+", " "), " "), lambda x: (x != "") & ~x.isin(*STOP_WORDS))
+    """Words in capitals: + as PLUS, a - that stands alone as MINUS, other punctuation as blanks, without stop words."""
+    t = F.replace(similarity_phrase(c), F.lit("+"), F.lit(" PLUS "))
+    t = F.regexp_replace(t, "(?<![a-zA-Z0-9])-(?![a-zA-Z0-9])", " MINUS ")
+    t = F.regexp_replace(t, r"""[<>,.;:!?/\\()\[\]{}"'`@#$%^&*=|~]""", " ")
+    return F.filter(F.split(t, r"(?U)\s+"), lambda x: (x != "") & ~x.isin(*STOP_WORDS))
 
 
 def similarity_features(tokens: Column) -> Column:
@@ -141,10 +185,10 @@ def similarity_features(tokens: Column) -> Column:
 
 
 def blended_similarity(a: Column, b: Column) -> Column:
-    """0.7 * Jaccard of words and word pairs + 0.3 * containment of words; 0 if only PLUS or MINUS differ, or a side is empty."""
+    """0.7 * Jaccard of words and word pairs + 0.3 * containment of words; 0 if exactly PLUS and MINUS differ, or a side is empty."""
     fa, fb = similarity_features(a), similarity_features(b)
     jaccard = F.size(F.array_intersect(fa, fb)) / F.size(F.array_union(fa, fb))
     inside = F.size(F.array_intersect(a, b)) / F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
-    differ = F.array_union(F.array_except(a, b), F.array_except(b, a))
-    signs = (F.size(differ) > 0) & F.forall(differ, lambda x: x.isin("PLUS", "MINUS"))
+    differ = F.array_sort(F.array_union(F.array_except(a, b), F.array_except(b, a)))
+    signs = differ == F.array(*[F.lit(x) for x in sorted(SIGNS)])
     return F.when((F.size(a) == 0) | (F.size(b) == 0) | signs, 0.0).otherwise(0.7 * jaccard + 0.3 * inside)

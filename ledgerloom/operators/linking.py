@@ -27,9 +27,13 @@ class Mode:
 
 
 #: Application types by the outcome that ends them.
-APPROVAL = Mode("approved", ("RENEWAL", "NEW APPLICATION", "ASSUMPTION", "ADDED/CHANGE OF CLASS", "CHANGE OF LOCATION", "IN LIEU"))
+APPROVAL = Mode("approved", ("RENEWAL", "NEW APPLICATION", "ASSUMPTION", "ADDED/CHANGE OF CLASS", "CHANGE OF CORPORATE OFFICER", "CHANGE OF LOCATION", "RESUME BUSINESS", "IN LIEU"))
 DISCONTINUANCE = Mode("discontinued", ("DISC. LIQUOR SALES",), (("DISC. LIQUOR SALES", "DISCONTINUED"),))
 
+LINKABLE = APPROVAL.types + DISCONTINUANCE.types
+#: Days for which an application without outcome is pending, and from when on outcomes of which type are not published.
+PENDING_DAYS, DATA_GAP, GAP_TYPE = 180, "2025-05-12", "NEW APPLICATION"
+
 
 def link(applications: DataFrame, outcomes: DataFrame, keys: list[str], day: str = "day", id_: str = "id", tolerance: int = TOLERANCE_DAYS) -> DataFrame:
     """(new_app_id, outcome_id, confidence, days_gap) of two frames that share keys, an id and a date. Null keys link with nothing."""
@@ -37,11 +41,12 @@ def link(applications: DataFrame, outcomes: DataFrame, keys: list[str], day: str
     # an application is placed tolerance days early, so that "outcome >= application - tolerance" is an order of rows
     both = side(applications, True).unionByName(side(outcomes, False)).withColumn("at", F.when(F.col("app"), F.date_sub("day", tolerance)).otherwise(F.to_date("day")))
     me = F.struct("id", "day")
-    # forward: the first outcome at or after the place; equal places: applications come first in this order
-    ahead = Window.partitionBy(*keys).orderBy(F.col("at").asc(), F.col("app").desc(), F.col("id").asc()).rowsBetween(1, Window.unboundedFollowing)
+    # forward: the first outcome at or after the place; equal places: applications come first. The order is read backwards, so
+    # that both windows run from the start of a key to the row before and grow by one row at a time
+    ahead = Window.partitionBy(*keys).orderBy(F.col("at").desc(), F.col("app").asc(), F.col("id").desc()).rowsBetween(Window.unboundedPreceding, -1)
     # backward: the last application at or before the place; equal places: the highest id comes last
     behind = Window.partitionBy(*keys).orderBy(F.col("at").asc(), F.col("app").desc(), F.col("id").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    seen = both.withColumn("forward", F.first(F.when(~F.col("app"), me), ignorenulls=True).over(ahead)).withColumn("backward", F.last(F.when(F.col("app"), me), ignorenulls=True).over(behind))
+    seen = both.withColumn("forward", F.last(F.when(~F.col("app"), me), ignorenulls=True).over(ahead)).withColumn("backward", F.last(F.when(F.col("app"), me), ignorenulls=True).over(behind))
     forward = seen.where(F.col("app") & F.col("forward").isNotNull()).select("id", "day", F.col("forward.id").alias("outcome_id"), F.col("forward.day").alias("outcome_day"))
     backward = seen.where(~F.col("app") & F.col("backward").isNotNull()).select(F.col("id").alias("outcome_id"), F.col("backward.id").alias("back"))
     return forward.join(backward, "outcome_id", "left").select(
@@ -76,6 +81,15 @@ def relink_touched(records: DataFrame, links: DataFrame, touched: DataFrame) ->
     return links.join(stale, "new_app_id", "left_anti").unionByName(again)
 
 
+def link_new(records: DataFrame, links: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Links that fresh records (id) add, as each would find on its arrival: an application takes its earliest outcome, an
+    outcome its latest application; older links are not revised, and a pair that is linked already stays as it is."""
+    all_links = build_all_links(records.join(records.join(fresh.select("id"), "id", "left_semi").select("license_number").distinct(), "license_number", "left_semi"))
+    mine = fresh.select("id").distinct()
+    added = all_links.join(mine.withColumnRenamed("id", "new_app_id"), "new_app_id", "left_semi").unionByName(all_links.where("confidence = 'high'").join(mine.withColumnRenamed("id", "outcome_id"), "outcome_id", "left_semi"))
+    return added.dropDuplicates(["new_app_id", "outcome_id"]).join(links, ["new_app_id", "outcome_id"], "left_anti")
+
+
 def best_link(links: DataFrame) -> DataFrame:
     """One link an application: high first, then the lowest outcome."""
     rank = F.struct((F.col("confidence") != "high").alias("r"), F.col("outcome_id"))
@@ -96,13 +110,37 @@ def with_previous_location(records: DataFrame, links: DataFrame) -> DataFrame:
     return joined.withColumn("previous_location_id", filled).select(*records.columns)
 
 
-def outcome_status(section: Column, kind: Column, link_section: Column, day: Column, as_of: Column, linkable: tuple[str, ...] = APPROVAL.types + DISCONTINUANCE.types, pending_days: int = 180, gap_before: str = "2025-05-12") -> Column:
+def not_published(kind: Column, day: Column) -> Column:
+    """Outcomes that the source stopped to publish: of new applications after DATA_GAP."""
+    return (kind == GAP_TYPE) & (F.to_date(day) > F.lit(DATA_GAP).cast("date"))
+
+
+def outcome_status(section: Column, kind: Column, link_section: Column, day: Column, as_of: Column) -> Column:
     """approved, discontinued, data_gap, pending or unknown; null for what is no linkable application."""
-    gap = kind.isin(*DISCONTINUANCE.types) & (day < F.lit(gap_before).cast("date"))
     return (
-        F.when((section != "new_application") | ~kind.isin(*linkable), F.lit(None).cast("string"))
+        F.when((section != "new_application") | ~kind.isin(*LINKABLE), F.lit(None).cast("string"))
         .when(link_section.isin("approved", "discontinued"), link_section)
-        .when(gap, "data_gap")
-        .when(F.datediff(as_of, day) <= pending_days, "pending")
+        .when(not_published(kind, day), "data_gap")
+        .when(F.datediff(as_of, F.try_to_date(day.cast("string"), "yyyy-MM-dd")) <= PENDING_DAYS, "pending")
         .otherwise("unknown")
     )
+
+
+def with_outcome(records: DataFrame, links: DataFrame, as_of: Column) -> DataFrame:
+    """Adds the best link's outcome_id, confidence, days_gap, outcome_date and outcome_section, and outcome_status."""
+    best = best_link(links).join(records.select(F.col("id").alias("outcome_id"), F.col("record_date").alias("outcome_date"), F.col("section_type").alias("outcome_section")), "outcome_id")
+    out = records.join(best.withColumnRenamed("new_app_id", "id"), "id", "left")
+    return out.withColumn("outcome_status", outcome_status(F.col("section_type"), F.col("application_type"), F.col("outcome_section"), F.col("record_date"), as_of))
+
+
+def with_status(records: DataFrame, links: DataFrame, status: str, as_of: Column) -> DataFrame:
+    """Records of one outcome status; any other word filters nothing. Links are joined by id only."""
+    new, day = F.col("section_type") == "new_application", F.to_date("record_date")
+    if status in ("approved", "discontinued"):
+        ends = records.where(F.col("section_type") == status).select(F.col("id").alias("outcome_id"))
+        return records.join(links.join(ends, "outcome_id", "left_semi").select(F.col("new_app_id").alias("id")), "id", "left_semi")
+    if status not in ("pending", "data_gap", "unknown"):
+        return records
+    free = records.where(new & F.col("application_type").isin(*LINKABLE)).join(links.select(F.col("new_app_id").alias("id")), "id", "left_anti")
+    gap, recent = not_published(F.col("application_type"), day), day >= F.date_sub(as_of, PENDING_DAYS)
+    return free.where({"pending": recent & ~gap, "data_gap": gap, "unknown": ~recent & ~gap}[status])

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import similarity_features
+
 
 def all_of(conditions: list[Column]) -> Column:
     """Optional conditions joined by AND; true without any."""
@@ -61,7 +63,7 @@ def with_surrogate_keys(fresh: DataFrame, existing: DataFrame, id_: str, key: li
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("c"))
     before = sizes.select("bucket", F.coalesce(F.sum("c").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     n = F.row_number().over(Window.partitionBy("bucket").orderBy(*key))
-    return placed.withColumn("n", n).join(before, "bucket").select((F.lit(start) + F.col("before") + F.col("n")).alias(id_), *fresh.columns)
+    return placed.withColumn("n", n).join(before, "bucket").select((F.lit(start) + F.col("before") + F.col("n")).alias(id_), *[c for c in fresh.columns if c != id_])
 
 
 def orphans(dimension: DataFrame, key: str, *references: DataFrame) -> DataFrame:
@@ -96,11 +98,30 @@ def regrouped(bridge: DataFrame, mapping: DataFrame, node: str, keep: list[str],
     return moved.groupBy(*keep, node).agg(F.min(least).alias(least))
 
 
-def similar_pairs(names: DataFrame, tokens: Column, score, threshold: float) -> DataFrame:
-    """(a, b, score) of names that share a word and score at least threshold; the pairs come from shared words only."""
-    base = names.select("id", tokens.alias("t"))
-    words = base.select("id", F.explode(F.array_distinct("t")).alias("w"))
-    pairs = words.alias("x").join(words.alias("y"), "w").where(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+def least_of_name(nodes: DataFrame, name: Column) -> DataFrame:
+    """(id, canonical): every node and the least id of its name. Names are aggregated before they are joined, so a common one is one row."""
+    named = nodes.select("id", name.alias("n"))
+    return named.join(named.groupBy("n").agg(F.min("id").alias("canonical")), "n").select("id", "canonical")
+
+
+def similar_pairs(names: DataFrame, tokens: Column, score, threshold: float, apart: DataFrame | None = None) -> DataFrame:
+    """(a, b, score), a < b, of names (id) that score at least threshold, without the pairs of apart (a, b).
+
+    With a score of w * Jaccard(features) + (1 - w) * containment(words), w = 0.7, a pair at the threshold has at least
+    (threshold - 1 + w) / w of the smaller side's features in common. Features are sorted rarest first, and a name is
+    placed under as many of the first ones as that leaves, so a common word brings no names together on its own.
+    """
+    w = 0.7
+    least = max(0.0, (threshold - 1 + w) / w)
+    base = names.select("id", tokens.alias("t")).where("size(t) > 0")
+    features = base.select("id", F.explode(F.array_distinct(similarity_features(F.col("t")))).alias("f"))
+    often = features.groupBy("f").agg(F.count("*").alias("c"))
+    ordered = features.join(often, "f").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "f"))), lambda x: x["f"]).alias("fs"))
+    first = F.slice("fs", F.lit(1), (F.size("fs") - F.ceil(F.size("fs") * least - 1e-9) + 1).cast("int"))
+    words = ordered.select("id", F.explode(first).alias("f"))
+    pairs = words.alias("x").join(words.alias("y"), "f").where(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    if apart is not None:
+        pairs = pairs.join(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     both = pairs.join(base.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(base.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     return both.select("a", "b", score(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") >= threshold)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import valid_record
 from ..operators.records import first_wins, new_rows, with_surrogate_keys
 
 NATURAL_KEY = ["section_type", "record_date", "license_number", "application_type"]
@@ -23,6 +26,32 @@ def ingest_batch(batch: DataFrame, existing: DataFrame, order: str = "scraped_at
     return with_surrogate_keys(fresh, existing, "id", NATURAL_KEY), roles
 
 
+def outcome_of(batch: DataFrame, existing: DataFrame) -> DataFrame:
+    """(inserted, skipped, errors) of a batch: new natural keys, rows of known or repeated ones, and rows that are no valid records."""
+    valid = F.coalesce(valid_record(*[F.col(c) for c in NATURAL_KEY]), F.lit(False))
+    fresh = new_rows(batch.where(valid), existing, NATURAL_KEY).agg(F.count("*").alias("inserted"))
+    return batch.agg(F.count_if(valid).alias("valid"), F.count_if(~valid).alias("errors")).join(F.broadcast(fresh)).select("inserted", (F.col("valid") - F.col("inserted")).alias("skipped"), "errors")  # two single rows
+
+
+def stamped(done: DataFrame, records: DataFrame, step: str, version: int, at) -> DataFrame:
+    """The ledger of steps (record_id, step, version, done_at) after a step ran for records (id): one row each, the newest version."""
+    fresh = records.select(F.col("id").alias("record_id"), F.lit(step).alias("step"), F.lit(version).alias("version"), at.alias("done_at"))
+    return done.join(fresh, ["record_id", "step"], "left_anti").unionByName(fresh)
+
+
+def enriched(records: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, tuple[DataFrame | None, str]]:
+    """Each step's table, or None and what failed: a step that fails takes no other with it. Every table is counted to see that it can be read."""
+    out: dict[str, tuple[DataFrame | None, str]] = {}
+    for name, step in steps.items():
+        try:
+            table = step(records)
+            table.write.format("noop").mode("overwrite").save()
+            out[name] = (table, "")
+        except Exception as e:  # noqa: BLE001  # whatever a step raises is its result
+            out[name] = (None, f"{type(e).__name__}: {e}".splitlines()[0])
+    return out
+
+
 def unchanged(pages: DataFrame, log: DataFrame) -> DataFrame:
     """Pages whose content hash is not in the log of earlier runs."""
     return pages.withColumn("content_hash", F.sha2("html", 256)).join(log.select("content_hash").distinct(), "content_hash", "left_anti")

@@ -1,86 +1,159 @@
-"""Unified diffs: lines with their hunk and operation, added and removed runs, and replay of a chain of diffs.
+"""Unified diffs: hunk lines, added and removed runs, whole records in them, and replay of a chain of diffs.
 
-Splitting is native. A chain is sequential by nature: each section's files are one ordered group, replayed by a small
-state machine under applyInPandas; sections, and any other chain key, run in parallel.
+Splitting, hunk counts, runs and blocks are windows over lines, so files are read in parallel. Replay is sequential by nature: each
+chain's files are one ordered group, replayed by a small state machine under applyInPandas that gives back changed lines only.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
-#: A diff that contradicts this many known lines, and this part of them, starts the document anew.
+from ..functions.scalars import diff_timestamp
+from . import html
+
+#: A diff that contradicts this many known lines, and this part of them, starts the document anew.
 RESET_MIN, RESET_RATIO = 50, 0.20
+_HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+
+
+def headers(diffs: DataFrame, key: list[str], content: str = "content") -> DataFrame:
+    """(key, old_ts, new_ts) of files that are unified diffs; error pages and other texts are left out."""
+    line = lambda n: F.try_element_at(F.split(content, "\n", 3), F.lit(n))
+    return diffs.where(line(1).startswith("--- ") & line(2).startswith("+++ ")).select(*key, diff_timestamp(line(1)).alias("old_ts"), diff_timestamp(line(2)).alias("new_ts"))
 
 
 def lines(diffs: DataFrame, key: list[str], content: str = "content") -> DataFrame:
-    """(key, pos, hunk, op, text) of hunk lines; op is '+', '-' or ' '."""
+    """(key, pos, hunk, op, text) of the lines of whole hunks; op is '+', '-' or ' '. A hunk ends once its header's counts are
+    reached; one that breaks off is left out."""
+    body, counts = _counted(diffs, key, content)
+    return body.join(counts.where("complete"), [*key, "hunk"], "left_semi").select(*key, "pos", "hunk", "op", "text")
+
+
+def truncated(diffs: DataFrame, key: list[str], content: str = "content") -> DataFrame:
+    """(key, hunks, truncated): the number of whole hunks, and whether one breaks off."""
+    _, counts = _counted(diffs, key, content)
+    return counts.groupBy(*key).agg(F.count_if("complete").alias("hunks"), F.bool_or(~F.col("complete")).alias("truncated"))
+
+
+def _counted(diffs: DataFrame, key: list[str], content: str) -> tuple[DataFrame, DataFrame]:
     rows = diffs.select(*key, F.posexplode(F.split(content, "\n")).alias("pos", "line"))
-    order = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    hunks = rows.withColumn("hunk", F.sum(F.when(F.col("line").startswith("@@"), 1).otherwise(0)).over(order))
-    body = hunks.where((F.col("hunk") > 0) & ~F.col("line").startswith("@@") & F.substring("line", 1, 1).isin("+", "-", " "))
-    return body.select(*key, "pos", "hunk", F.substring("line", 1, 1).alias("op"), F.expr("substring(line, 2)").alias("text"))
+    so_far = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("hunk", F.count_if(F.col("line").startswith("@@")).over(so_far)).where("hunk > 0")
+    number = lambda k: F.coalesce(F.regexp_extract("line", _HUNK, k).try_cast("int"), F.lit(1))
+    heads = rows.where(F.col("line").rlike(_HUNK)).select(*key, "hunk", number(2).alias("want_old"), number(4).alias("want_new"))
+    body = rows.where(~F.col("line").startswith("@@") & ~F.col("line").startswith("\\")).withColumn("op", F.when(F.substring("line", 1, 1).isin("+", "-"), F.substring("line", 1, 1)).otherwise(" "))
+    before = Window.partitionBy(*key, "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda other: F.count_if(F.col("op") != other).over(before)
+    body = body.withColumn("old", seen("+")).withColumn("new", seen("-")).join(heads, [*key, "hunk"]).where("old < want_old or new < want_new")
+    text = F.when(F.substring("line", 1, 1).isin("+", "-", " "), F.expr("substring(line, 2)")).otherwise(F.col("line"))
+    body = body.select(*key, "pos", "hunk", "op", text.alias("text"))
+    got = body.groupBy(*key, "hunk").agg(F.count_if(F.col("op") != "+").alias("old"), F.count_if(F.col("op") != "-").alias("new"))
+    counts = heads.join(got, [*key, "hunk"], "left").select(*key, "hunk", ((F.coalesce("old", F.lit(0)) == F.col("want_old")) & (F.coalesce("new", F.lit(0)) == F.col("want_new"))).alias("complete"))
+    return body, counts
 
 
 def runs(diff_lines: DataFrame, key: list[str], op: str = "-") -> DataFrame:
     """Contiguous runs of one operation as lists of lines (gaps and islands)."""
-    order = Window.partitionBy(*key).orderBy("pos")
-    own = diff_lines.where(F.col("op") == op).withColumn("island", F.col("pos") - F.row_number().over(order))
+    own = run_lines(diff_lines, key, op)
     return own.groupBy(*key, "island").agg(F.min("pos").alias("pos"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("lines")).drop("island")
 
 
-def _hunks(content: str) -> list[tuple[int, list[str], list[str]]]:
-    """(first old line, old lines, new lines) of each complete hunk."""
-    out, rows, i = [], content.split("\n"), 0
+def run_lines(diff_lines: DataFrame, key: list[str], op: str = "-") -> DataFrame:
+    """The lines of one operation with island, the same for all lines of a run."""
+    order = Window.partitionBy(*key).orderBy("pos")
+    return diff_lines.where(F.col("op") == op).withColumn("island", F.col("pos") - F.row_number().over(order))
+
+
+def blocks_in_runs(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, island, block_no, pos, body): the <tbody> groups that begin and end within one run; rows come from run_lines()."""
+    low = F.lower("text")
+    run = Window.partitionBy(*key, "island").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    begun = rows.withColumn("block_no", F.count_if(F.contains(low, F.lit("<tbody"))).over(run)).where("block_no > 0")
+    block = Window.partitionBy(*key, "island", "block_no")
+    kept = begun.withColumn("end", F.min(F.when(F.contains(low, F.lit("</tbody>")), F.col("pos"))).over(block)).where("pos <= end")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+    return kept.groupBy(*key, "island", "block_no").agg(F.min("pos").alias("pos"), body.alias("body"))
+
+
+def records_of_diffs(diffs: DataFrame, key: list[str], content: str = "content") -> DataFrame:
+    """Records that stand whole in added or removed runs of diffs (key with section, content): the first by key and place wins.
+
+    Result: the natural key and fields, source (the key but section), side ('entry' or 'exit') and the html that evidences it.
+    """
+    cut = lines(diffs, key, content)
+    sides = [blocks_in_runs(run_lines(cut, key, op), key).withColumn("side", F.lit(side)) for op, side in (("+", "entry"), ("-", "exit"))]
+    blocks = sides[0].unionByName(sides[1])
+    own = [*key, "island", "block_no", "side"]
+    found = html.records(html.cells_of(blocks, own), own).drop("pos")
+    found = found.join(blocks.select(*own, F.col("pos").alias("at"), F.col("body").alias("html")).withColumnRenamed("section", "section_type"), ["section_type" if k == "section" else k for k in own])
+    natural = ["section_type", "record_date", "license_number", "application_type"]
+    source = [k for k in key if k != "section"]
+    first = F.row_number().over(Window.partitionBy(*natural).orderBy(*source, F.col("side"), "at"))
+    return found.withColumn("place in key", first).where("`place in key` = 1").select(*source, "side", "section_type", *html.DEFAULTS, "html")
+
+
+def _hunks(content: str) -> Iterator[tuple[int, list[str], list[str]]]:
+    """(first old line, old lines, new lines) of each whole hunk."""
+    rows, i, head = content.split("\n"), 0, re.compile(_HUNK)
     while i < len(rows):
-        m = _HUNK.match(rows[i])
+        m = head.match(rows[i])
         i += 1
         if not m:
             continue
         want_old, want_new, old, new = int(m[2] or 1), int(m[4] or 1), [], []
-        while i < len(rows) and (len(old) < want_old or len(new) < want_new):
-            op, text = rows[i][:1], rows[i][1:]
-            if op == "\\":
-                i += 1
-                continue
-            if op not in ("+", "-", " ", ""):
-                break
-            old += [text] * (op != "+")
-            new += [text] * (op != "-")
+        while i < len(rows) and (len(old) < want_old or len(new) < want_new) and not rows[i].startswith("@@"):
+            op, text = rows[i][:1], rows[i][1:] if rows[i][:1] in "+- " else rows[i]
+            if op != "\\":
+                old += [text] * (op != "+")
+                new += [text] * (op != "-")
             i += 1
         if (len(old), len(new)) == (want_old, want_new):
-            out.append((int(m[1]) - (want_old > 0), old, new))
-    return out
+            yield int(m[1]) - (want_old > 0), old, new
 
 
 def _replay(files: pd.DataFrame) -> pd.DataFrame:
-    """State of one chain after each file: known lines by place, with unknown ones null."""
+    """What each file of one chain changed, the document being known lines by place, with unknown ones null."""
     state: list[str | None] = []
     out = []
     for row in files.sort_values("seq").itertuples():
-        hunks = _hunks(row.content or "")
-        known = bad = 0
-        for at, old, _ in hunks:
-            for have, said in zip(state[at : at + len(old)], old, strict=False):
-                known += have is not None
-                bad += have is not None and have != said
-        reset = known >= RESET_MIN and bad >= RESET_RATIO * known
+        hunks = list(_hunks(row.content or ""))
+        met = [(have, said) for at, old, _ in hunks for have, said in zip(state[at : at + len(old)], old, strict=False) if have is not None]
+        bad = sum(have != said for have, said in met)
+        reset = len(met) >= RESET_MIN and bad >= RESET_RATIO * len(met)
         if reset:
             state = []
-        shift = 0
+        shift, changed = 0, []
         for at, old, new in hunks:
             place = at + shift
             state += [None] * (place + len(old) - len(state))
             state[place : place + len(old)] = new
+            changed.append({"place": place, "removed": len(old), "lines": new})
             shift += len(new) - len(old)
-        out.append((row.section, row.seq, len(hunks), bool(reset), len(state), sum(x is not None for x in state), "\n".join("" if x is None else x for x in state)))
-    return pd.DataFrame(out, columns=["section", "seq", "hunks", "reset", "n_lines", "n_known", "document"])
+        out.append((row.section, row.seq, len(hunks), bool(reset), bad, len(state), sum(x is not None for x in state), changed))
+    return pd.DataFrame(out, columns=["section", "seq", "hunks", "reset", "mismatches", "n_lines", "n_known", "changes"])
 
 
 def replay(files: DataFrame) -> DataFrame:
-    """Replays each section's files (section, seq, content) in order: a row a file with the document as then known."""
-    return files.select("section", "seq", "content").groupBy("section").applyInPandas(_replay, "section string, seq long, hunks long, reset boolean, n_lines long, n_known long, document string")
+    """Replays each chain's files (section, seq, content) in order: a row a file with what it changed in the document as then
+    known: at place, so many lines removed and these put in. A chain is one task that holds its document; chains run in parallel."""
+    return files.select("section", "seq", "content").groupBy("section").applyInPandas(_replay, "section string, seq long, hunks long, reset boolean, mismatches long, n_lines long, n_known long, changes array<struct<place:long,removed:long,lines:array<string>>>")
+
+
+def learned(replayed: DataFrame) -> DataFrame:
+    """(section, seq, place, text): the lines that each file of a replayed chain put into the document."""
+    each = replayed.select("section", "seq", F.explode("changes").alias("c")).select("section", "seq", F.col("c.place").alias("at"), F.posexplode("c.lines").alias("k", "text"))
+    return each.select("section", "seq", (F.col("at") + F.col("k")).alias("place"), "text")
+
+
+def work(files: DataFrame, path: Column, section: str | None = None, limit: int | None = None) -> DataFrame:
+    """Diff files to read, with their section by file name: all, of one section, or the first so many by section and name."""
+    from ..functions.scalars import section_of_file
+
+    out = files.withColumn("section", section_of_file(F.element_at(F.split(path, "/"), -1))).where("section is not null")
+    out = out.where(F.col("section") == section) if section else out
+    return out.orderBy("section", path).limit(limit) if limit is not None else out

@@ -2,59 +2,145 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import city_state_zip, iso_date
+
 #: Section headings, and the date label that begins a record of each section.
-SECTIONS = {"new license applications": "new_application", "recently approved licenses": "approved", "discontinued licenses": "discontinued"}
-DATE_LABELS = ("notification date", "approved date", "discontinued date")
-#: Labels and the fields that they fill.
-FIELDS = {"business name": "business_name", "business location": "business_location", "applicant(s)": "applicants", "applicants": "applicants", "license type": "license_type", "application type": "application_type", "license number": "license_number", "contact phone": "contact_phone", "current business name": "previous_business_name", "new business name": "business_name", "current business location": "previous_business_location", "new business location": "business_location", "current applicant(s)": "previous_applicants", "new applicant(s)": "applicants"}
+SECTIONS = {"STATEWIDE NEW LICENSE APPLICATIONS": "new_application", "STATEWIDE RECENTLY APPROVED LICENSES": "approved", "STATEWIDE DISCONTINUED LICENSES": "discontinued"}
+DATE_LABELS = {"new_application": "Notification Date:", "approved": "Approved Date:", "discontinued": "Discontinued Date:"}
+#: Labels and the fields that they fill.
+FIELDS = {
+    "Business Name:": "business_name",
+    "New Business Name:": "business_name",
+    "Current Business Name:": "previous_business_name",
+    "Business Location:": "business_location",
+    "New Business Location:": "business_location",
+    "Current Business Location:": "previous_business_location",
+    "Applicant(s):": "applicants",
+    "New Applicant(s):": "applicants",
+    "Current Applicant(s):": "previous_applicants",
+    "License Type:": "license_type",
+    "Application Type:": "application_type",
+    "\\Application Type:": "application_type",
+    "License Number:": "license_number",
+    "Contact Phone:": "contact_phone",
+}
+#: Columns of a record with what stands where nothing was given.
+DEFAULTS = {"record_date": "", "business_name": "", "business_location": "", "applicants": "", "license_type": "", "application_type": "", "license_number": "", "contact_phone": "", "city": "", "state": "WA", "zip_code": "", "previous_business_name": "", "previous_applicants": "", "previous_business_location": "", "previous_city": "", "previous_state": "", "previous_zip_code": ""}
+_PLACES = (("business_location", "city", "state", "zip_code"), ("previous_business_location", "previous_city", "previous_state", "previous_zip_code"))
+
+
+def _lookup(values: dict[str, str], c: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), c)
+
+
+def _text(content: Column) -> Column:
+    """Bytes as text: UTF-8, else Latin-1."""
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+
+
+def read_files(spark: SparkSession, path: str, pattern: str, strict: bool = False) -> DataFrame:
+    """(path, text) of whole files that fit the pattern, packed by gzip or not; of ``p`` and ``p.gz`` only the latter is read.
+
+    Bytes that are not UTF-8 are read as Latin-1; with strict, the text of a plain file with such bytes is null.
+    """
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    said = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")) if strict else _text(F.col("content"))
+    plain = plain.select("path", said.alias("text"))
+    packed = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern + ".gz").text(path)
+    packed = packed.select(F.col("_metadata.file_path").alias("path"), _text(F.col("value").cast("binary")).alias("text"))
+    name = lambda c: F.regexp_replace(F.regexp_replace(c, "^file:/+", "/"), r"\.gz$", "")
+    return plain.join(packed.select(name(F.col("path")).alias("stem")), name(F.col("path")) == F.col("stem"), "left_anti").unionByName(packed)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(path, html) of whole pages; gzip by suffix; bytes that are not UTF-8 are read as Latin-1."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").load(path)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
-    packed = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html.gz").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
-    return files.select("path", text.alias("html")).unionByName(packed)
+    """(path, html) of all snapshots below a folder."""
+    return read_files(spark, path, "*.html").withColumnRenamed("text", "html")
 
 
-def snapshot_date(path) -> F.Column:
+def snapshot_date(path: Column) -> Column:
     """The first yyyy_mm_dd in a file name as a timestamp, else null."""
     return F.try_to_timestamp(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"\d{4}_\d{2}_\d{2}", 0), F.lit("yyyy_MM_dd"))
 
 
-def _plain(c):
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "(?s)<[^>]*>", ""), "&nbsp;| ", " "), "&amp;", "&")
-    return F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"^[\s\\]+|\s+$", "")
+def _plain(c: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "(?s)<[^>]*>", ""), "&nbsp;| ", " "), "&amp;", "&")
+    return F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"^\s+|\s+$", "")
+
+
+def tables(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, section, table_no, body): tables whose first heading names a section."""
+    found = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<table\b.*?</table>"), 0)).alias("table_no", "body"))
+    heading = _plain(F.regexp_extract("body", r"(?is)<th\b[^>]*>(.*?)</th>", 1))
+    return found.withColumn("section", _lookup(SECTIONS, heading)).where("section is not null").select(key, "section", "table_no", "body")
+
+
+def cells_of(parts: DataFrame, key: list[str], body: str = "body") -> DataFrame:
+    """(key, pos, label, value): the rows of two cells of HTML fragments."""
+    rows = parts.select(*key, F.posexplode(F.regexp_extract_all(F.col(body), F.lit(r"(?is)<tr\b.*?</tr>"), 0)).alias("pos", "r"))
+    two = rows.withColumn("c", F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), 1), _plain)).where("size(c) = 2")
+    return two.select(*key, "pos", F.col("c")[0].alias("label"), F.col("c")[1].alias("value"))
 
 
 def cells(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, section, pos, label, value): rows of two cells, of tables whose first heading names a section."""
-    tables = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<table\b.*?</table>"), 0)).alias("table_no", "t"))
-    heading = F.lower(_plain(F.regexp_extract("t", r"(?is)<th\b[^>]*>(.*?)</th>", 1)))
-    section = F.try_element_at(F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv]), heading)
-    rows = tables.withColumn("section", section).where("section is not null").select(key, "section", "table_no", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?is)<tr\b.*?</tr>"), 0)).alias("pos", "r"))
-    pair = F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), 1), _plain)
-    two = rows.withColumn("c", pair).where("size(c) = 2")
-    return two.select(key, "section", "table_no", "pos", F.regexp_replace(F.lower(F.col("c")[0]), r":\s*$", "").alias("label"), F.col("c")[1].alias("value")).where("label <> ''")
-
-
-def records(cell_rows: DataFrame, key: str) -> DataFrame:
-    """Records of cells: a date label begins one; those without a license number are left out."""
-    order = Window.partitionBy(key, "section", "table_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = cell_rows.withColumn("block", F.sum(F.when(F.col("label").isin(*DATE_LABELS), 1).otherwise(0)).over(order)).where("block > 0")
-    value = lambda labels: F.first(F.when(F.col("label").isin(*labels) & (F.col("value") != ""), F.col("value")), ignorenulls=True)
+    """(key, section, table_no, pos, label, value) of whole pages."""
+    return cells_of(tables(pages, key, html), [key, "section", "table_no"])
+
+
+def _with_blocks(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Adds block and part. A date label begins a block; a field that is set again to another value begins a part of it,
+    as the date row of the next record may be missing. Parts follow from the rows before, so a block's rows, about 15, are read in order."""
+    order = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    dated = rows.withColumn("block", F.sum(F.when(F.col("label") == _lookup(DATE_LABELS, F.col("section")), 1).otherwise(0)).over(order))
+    lists = dated.groupBy(*key, "block").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "value"))).alias("rows"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    start = F.struct(none.alias("seen"), F.lit(0).alias("part"), F.array().cast("array<struct<pos:int,label:string,value:string,part:int>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        field = _lookup(FIELDS, x["label"])
+        had = F.try_element_at(s["seen"], field)
+        begins = F.coalesce((had != "") & (had != x["value"]), F.lit(False))
+        part = s["part"] + begins.cast("int")
+        own = F.map_filter(s["seen"], lambda k, _: k != field)
+        seen = F.when(field.isNull(), s["seen"]).when(begins, F.create_map(field, x["value"])).otherwise(F.map_concat(own, F.create_map(F.coalesce(field, F.lit("")), x["value"])))
+        return F.struct(seen.alias("seen"), part.alias("part"), F.concat(s["out"], F.array(F.struct(x["pos"].alias("pos"), x["label"].alias("label"), x["value"].alias("value"), part.alias("part")))).alias("out"))
+
+    return lists.select(*key, "block", F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r")).select(*key, "block", "r.*")
+
+
+def records(cell_rows: DataFrame, key: list[str]) -> DataFrame:
+    """Records of cells (key with section, pos, label, value); those without a license number are left out. Result: key, section_type, pos and DEFAULTS."""
+    rows = _with_blocks(cell_rows, key)
+    value = lambda c: F.max_by(F.when(c, F.col("value")), F.when(c, F.col("pos")))
     fields: dict[str, list[str]] = {}
     for label, name in FIELDS.items():
         fields.setdefault(name, []).append(label)
-    out = blocks.groupBy(key, "section", "table_no", "block").agg(value(DATE_LABELS).alias("record_date"), *[value(labels).alias(name) for name, labels in fields.items()])
-    from ..functions.scalars import iso_date
-
-    out = out.withColumn("record_date", iso_date(F.col("record_date"))).where("license_number is not null")
-    return out.select(key, F.col("section").alias("section_type"), "record_date", *[F.coalesce(n, F.lit("")).alias(n) for n in fields])
+    out = rows.groupBy(*key, "block", "part").agg(F.min("pos").alias("pos"), value(F.col("label") == _lookup(DATE_LABELS, F.col("section"))).alias("record_date"), *[value(F.col("label").isin(*labels)).alias(name) for name, labels in fields.items()])
+    out = out.where(F.coalesce("license_number", F.lit("")) != "").withColumn("record_date", iso_date(F.col("record_date")))
+    for place, *names in _PLACES:
+        parsed = city_state_zip(F.col(place))
+        for name, field in zip(names, ("city", "state", "zip"), strict=True):
+            out = out.withColumn(name, F.when(F.col(place).isNotNull(), parsed[field]))
+    return out.select(*[k for k in key if k != "section"], F.col("section").alias("section_type"), "pos", *[F.coalesce(n, F.lit(d)).alias(n) for n, d in DEFAULTS.items()])
 
 
 def records_of_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
-    return records(cells(pages, key, html), key)
+    """All records of pages."""
+    return records(cells(pages, key, html), [key, "section", "table_no"]).drop("table_no", "pos")
+
+
+def blocks_of(parts: DataFrame, key: list[str], body: str = "body") -> DataFrame:
+    """(key, block_no, body): the <tbody> groups of HTML fragments."""
+    return parts.select(*key, F.posexplode(F.regexp_extract_all(F.col(body), F.lit(r"(?is)<tbody\b.*?</tbody>"), 0)).alias("block_no", "body"))
+
+
+def source_blocks(parts: DataFrame, key: list[str], wanted: DataFrame) -> DataFrame:
+    """The <tbody> that evidences each wanted record (section_type, record_date, license_number, application_type): its first by
+    key and place. parts are (key with section, body)."""
+    blocks = blocks_of(parts, key)
+    found = records(cells_of(blocks, [*key, "block_no"]), [*key, "block_no"]).join(blocks.select(*key, "block_no", F.col("body").alias("html")).withColumnRenamed("section", "section_type"), [*[("section_type" if k == "section" else k) for k in key], "block_no"])
+    natural = ["section_type", "record_date", "license_number", "application_type"]
+    place = F.struct(*[k for k in key if k != "section"], "block_no", "pos")
+    return found.join(wanted.select(*natural).distinct(), natural, "left_semi").groupBy(*natural).agg(F.min_by("html", place).alias("html"))

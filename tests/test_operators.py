@@ -61,24 +61,98 @@ def test_scalars(spark):
     assert one(S.iso_date, " no date ") == "no date"
     assert one(S.phone, "2065550100") == "(206) 555-0100"
     assert one(S.slug, " A & B, Co. ") == "a-b-co"
-    assert tuple(one(S.city_state_zip, "1 MAIN ST, Seattle, WA 98101")) == ("SEATTLE", "WA", "98101")
+    assert tuple(one(S.city_state_zip, "1 MAIN ST, SEATTLE, WA 98101")) == ("SEATTLE", "WA", "98101")
+    assert tuple(one(S.city_state_zip, "1 MAIN ST, STE 2, ST. JOHN, WA 99171-1234 USA")) == ("ST. JOHN", "WA", "99171-1234")
+    assert tuple(one(S.city_state_zip, "1 MAIN ST, SEATTLE, WA")) == ("SEATTLE", "WA", "")
     assert tuple(one(S.city_state_zip, "nowhere")) == ("", "WA", "")
     assert [tuple(x) for x in one(S.license_types, "349,")] == [("349", None)]
     assert [tuple(x) for x in one(S.license_types, "450, Grocery")] == [("450", "GROCERY")]
     assert [tuple(x) for x in one(S.license_types, "a; b")] == [(None, "A"), (None, "B")]
     assert one(S.entity_type, "ACME LLC") == "organization" and one(S.entity_type, "JOHN DOE") == "person"
+    assert one(S.entity_type, "GREEN PARTNERS") == one(S.entity_type, "A LIMITED") == "organization" and one(S.entity_type, "acme llc") == "person"
+    assert one(S.has_additional_names, "A; ADDTIONAL NAMES ON FILE") and not one(S.has_additional_names, "AND ADDITIONAL NAMES") and not one(S.has_additional_names, None)
+    assert one(S.clean_name, "F.O.E.") == "F.O.E." and one(S.clean_name, "A INC..") == "A INC." and one(S.clean_name, "BERAKI .,") == "BERAKI"
+    assert one(S.section_label, "approved") == "Approved" and one(S.section_label, "x") == "x" and one(S.section_of_file, "2022-approvals-diff.txt") == "approved"
+    assert one(S.code_of, "450,") == one(S.code_of, "450, GROCERY") == "450" and one(S.code_of, "GROCERY") is None
+    assert one(S.similarity_tokens, "Take Out - Beer+Wine Endorsement, to-go") == ["TAKEOUT", "MINUS", "BEER", "PLUS", "WINE", "TO-GO"]
 
 
-def page(*records):
-    rows = "".join(f"<tr><td>{a}:</td><td>{b}</td></tr>" for r in records for a, b in r)
-    return f"<table><tr><th>New&nbsp;License Applications</th></tr>{rows}</table><table><tr><th>Other</th></tr><tr><td>x</td><td>y</td></tr></table>"
+@pytest.mark.parametrize(
+    ("given", "expected"),
+    [
+        ("ADAM (DUPLICATE) BENTON", "ADAM BENTON"),
+        ("NEALY DUPLICATE EVANS", "NEALY EVANS"),
+        ("KATIE (DUPLICATE 2) DAVIS", "KATIE DAVIS"),
+        ("PAUL *DUPLICATE* SONG", "PAUL SONG"),
+        ("DUPLICATE ITALIAN SUPPLY, LLC", "ITALIAN SUPPLY, LLC"),
+        ("JAY WON (DUPLICATE)", "JAY WON"),
+        ("ELIZABETH (DUPLICATE A MATTHEWS", "ELIZABETH A MATTHEWS"),
+    ],
+)
+def test_duplicate_marks(spark, given, expected):
+    assert spark.createDataFrame([(given,)], "v string").select(S.strip_duplicate_marker(F.col("v")).alias("o")).first().o == expected
+
+
+def test_outcomes_not_published_any_more(spark):
+    rows = [(1, "new_application", "2025-05-12", "1", "NEW APPLICATION"), (2, "new_application", "2025-05-13", "2", "NEW APPLICATION"), (3, "new_application", "2025-05-13", "3", "RESUME BUSINESS"), (4, "new_application", "2024-01-01", "4", "DISC. LIQUOR SALES"), (5, "approved", "2024-01-01", "5", "RENEWAL"), (6, "new_application", "2025-05-13", "6", "OTHER")]
+    records = spark.createDataFrame(rows, RECORD)
+    day = F.lit("2025-06-01").cast("date")
+    links = linking.build_all_links(records)
+    got = {r.id: r.outcome_status for r in linking.with_outcome(records, links, day).collect()}
+    assert got == {1: "pending", 2: "data_gap", 3: "pending", 4: "unknown", 5: None, 6: None}
+    for status in ("pending", "data_gap", "unknown"):
+        assert {r.id for r in linking.with_status(records, links, status, day).collect()} == {i for i, s in got.items() if s == status}
+    assert linking.with_status(records, links, "no such status", day).count() == 6
+
+
+def test_a_hot_key_links_in_linear_time(spark):
+    import time
+
+    n = 40_000
+    rows = spark.range(n).select(F.col("id"), F.when(F.col("id") % 2 == 0, "new_application").otherwise("approved").alias("section_type"), F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 9000).cast("int")), "yyyy-MM-dd").alias("record_date"), F.lit("1").alias("license_number"), F.lit("RENEWAL").alias("application_type"))
+    began = time.time()
+    assert linking.link_records(rows).count() > n // 4
+    assert time.time() - began < 30
+
+
+def test_incremental_links_leave_older_ones(spark):
+    rows = [app(1, "2025-01-01"), out(3, "2025-02-01"), app(2, "2025-01-20")]
+    records = spark.createDataFrame(rows, RECORD)
+    old = linking.link_records(records.where("id <> 2"))
+    assert [tuple(r) for r in old.select("new_app_id", "outcome_id", "confidence").collect()] == [(1, 3, "high")]
+    added = linking.link_new(records, old, records.where("id = 2").select("id")).collect()
+    assert [(r.new_app_id, r.outcome_id, r.confidence) for r in added] == [(2, 3, "high")]
+
+
+def page(*records, heading="STATEWIDE&nbsp;NEW LICENSE APPLICATIONS"):
+    rows = "".join(f"<tbody>{''.join(f'<tr><td>{a}:</td><td>{b}</td></tr>' for a, b in r)}</tbody>" for r in records)
+    return f"<table><tr><th>{heading}</th></tr>{rows}</table><table><tr><th>Other</th></tr><tr><td>x</td><td>y</td></tr></table>"
 
 
 def test_html_records(spark):
     first = [("Notification Date", "6/5/2025"), ("Business Name", "<b>ACME &amp; CO</b>"), (r"\Application Type", "RENEWAL"), ("License Number", "080123")]
     second = [("Notification Date", "6/6/2025"), ("Business Name", "NO NUMBER")]
-    got = html.records_of_pages(spark.createDataFrame([(1, page(first, second)), (2, None), (3, "")], "k int, html string"), "k", "html").collect()
-    assert [(r.section_type, r.record_date, r.business_name, r.application_type, r.license_number) for r in got] == [("new_application", "2025-06-05", "ACME & CO", "RENEWAL", "080123")]
+    got = html.records_of_pages(spark.createDataFrame([(1, page(first, second)), (2, None), (3, ""), (4, page(first, heading="NEW LICENSE APPLICATIONS"))], "k int, html string"), "k", "html").collect()
+    assert [(r.k, r.section_type, r.record_date, r.business_name, r.application_type, r.license_number, r.state, r.previous_state) for r in got] == [(1, "new_application", "2025-06-05", "ACME & CO", "RENEWAL", "080123", "WA", "")]
+
+
+def test_a_record_begins_where_a_field_changes(spark):
+    undated = [("License Number", "1"), ("Business Name", "A"), ("New Business Location", "1 MAIN ST, SEATTLE, WA 98101"), ("Current Business Location", "2 MAIN ST, TACOMA, WA")]
+    hybrid = [("Notification Date", "6/5/2025"), ("Business Name", "B"), ("License Number", "2"), ("License Number", "2"), ("Business Name", "C"), ("License Number", "3"), ("Contact Phone", "1")]
+    got = html.records_of_pages(spark.createDataFrame([(1, page(undated, hybrid))], "k int, html string"), "k", "html").orderBy("license_number").collect()
+    assert [(r.license_number, r.business_name, r.record_date, r.city, r.previous_city, r.contact_phone) for r in got] == [("1", "A", "", "SEATTLE", "TACOMA", ""), ("2", "B", "2025-06-05", "", "", ""), ("3", "C", "", "", "", "1")]
+
+
+def test_packed_files_shadow_plain_ones(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "2025_06_05-a.html").write_bytes("plain é".encode())
+    (tmp_path / "d" / "2025_06_05-a.html.gz").write_bytes(gzip.compress("packed é".encode("latin-1")))
+    (tmp_path / "d" / "b.html").write_bytes("caf\xe9".encode("latin-1"))
+    got = {r.path.rsplit("/", 1)[1]: (r.html, r.day) for r in html.read_pages(spark, str(tmp_path)).withColumn("day", html.snapshot_date(F.col("path")).cast("date").cast("string")).collect()}
+    assert got == {"2025_06_05-a.html.gz": ("packed é", "2025-06-05"), "b.html": ("café", None)}
+    assert html.read_files(spark, str(tmp_path), "b.html", strict=True).first().text is None
 
 
 def test_diff_replay_knows_what_it_saw(spark):
@@ -87,14 +161,28 @@ def test_diff_replay_knows_what_it_saw(spark):
         states.append([x for i, x in enumerate(states[-1]) if i != 3 + k] + [f"new {k}"])
     rows = [("a", k, "\n".join(difflib.unified_diff(x, y, lineterm=""))) for k, (x, y) in enumerate(zip(states, states[1:]))]
     rows += [("b", 0, "no diff"), ("b", 1, None)]
-    got = {(r.section, r.seq): r for r in diffs.replay(spark.createDataFrame(rows, "section string, seq long, content string")).collect()}
-    known = [x for x in got["a", 3].document.split("\n") if x]
-    assert set(known) <= set(states[-1]) and "new 3" in known and not got["a", 3].reset
-    assert got["b", 0].n_lines == 0 and got["b", 1].n_lines == 0
+    replayed = diffs.replay(spark.createDataFrame(rows, "section string, seq long, content string"))
+    got = {(r.section, r.seq): r for r in replayed.collect()}
+    assert not any(r.reset or r.mismatches for r in got.values()) and got["b", 0].n_lines == 0 and got["b", 1].n_lines == 0
+    put = {r.text for r in diffs.learned(replayed).where("section = 'a' and seq = 3").collect()}
+    assert put <= set(states[-1]) and "new 3" in put
     cut = diffs.lines(spark.createDataFrame(rows, "section string, seq long, content string"), ["section", "seq"])
     assert {tuple(r.lines) for r in diffs.runs(cut, ["section", "seq"]).collect()} == {(f"line {3 + 2 * k}",) for k in range(4)}
 
 
+def test_records_of_diffs(spark):
+    block = lambda day, number: ["<tbody>", f"<tr><td>Approved Date:</td><td>{day}</td></tr>", "<tr><td>Application Type:</td><td>RENEWAL</td></tr>", f"<tr><td>License Number:</td><td>{number}</td></tr>", "</tbody>"]
+    old, new = block("6/5/2025", 1) + ["tail"], block("6/6/2025", 2) + block("6/7/2025", 3) + ["tail"]
+    head = ["--- @\tTue, 06 Sep 2022 10:00:00 +0000", "+++ @\tWed, 07 Sep 2022 10:00:00 +0000"]
+    text = "\n".join([*head, *list(difflib.unified_diff(old, new, lineterm="", n=0))[2:]])
+    cut = "\n".join([*head, "@@ -1,3 +1,9 @@", " x"])
+    df = spark.createDataFrame([("f1", "approved", text), ("f2", "approved", text), ("f3", "approved", "error page"), ("f4", "approved", cut), ("f5", "approved", None)], "path string, section string, content string")
+    assert {(r.path, r.hunks, r.truncated) for r in diffs.truncated(df, ["path"]).collect()} >= {("f4", 0, True)}
+    assert {r.path: (r.old_ts.day, r.new_ts.day) for r in diffs.headers(df, ["path"]).collect()} == {k: (6, 7) for k in ("f1", "f2", "f4")}
+    got = diffs.records_of_diffs(df, ["path", "section"]).collect()
+    assert {(r.path, r.license_number) for r in got} <= {("f1", "1"), ("f1", "2"), ("f1", "3")} and all("</tbody>" in r.html for r in got)
+
+
 def test_ingest_is_idempotent(spark):
     schema = "section_type string, record_date string, license_number string, application_type string, scraped_at string"
     batch = spark.createDataFrame([("approved", "2025-01-01", str(i % 3), None, f"t{i}") for i in range(6)], schema)
