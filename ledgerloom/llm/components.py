@@ -14,27 +14,25 @@ def _neighbours_with_least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Count and hash of links: equal before and after a round once all are stars."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """True if every u has one v and no v is a u: each component is a star around its smallest node."""
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).union(edges.select("v", F.lit(None).cast("long")))
+    seen = ends.groupBy("node").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.bool_or(F.col("to").isNull()).alias("centre"))
+    return seen.where("low <> high or (centre and low is not null)").isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 50) -> DataFrame:
     """(node, component) of every node in a link; component is the smallest node reachable. Nodes are long."""
     links = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     edges = materialise(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = _state(edges)
-    for _ in range(most_rounds if state[0] else 0):
+    for _ in range(most_rounds):
+        if _stars(edges):
+            break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _neighbours_with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_in = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        near = _neighbours_with_least(small_in)
+        large = _neighbours_with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        near = _neighbours_with_least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         before, edges = edges, materialise(small, "links")
         discard(before)
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

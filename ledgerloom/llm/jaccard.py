@@ -61,7 +61,7 @@ FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
 #: A document has one spare prefix shingle for so many of its set.
 SPARE = 16
 #: A shingle is put off to the next round if it would compare more pairs than this; rows of a group held at most; rounds; rows and shingles of a block after them.
-MOST_PAIRS, MOST_HELD, ROUNDS, BLOCK, BLOCK_SHINGLES = 64, 4096, 3, 512, 500_000
+MOST_PAIRS, MOST_HELD, ROUNDS, BLOCK, BLOCK_SHINGLES = 64, 4096, 2, 512, 500_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -474,6 +474,7 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", trac
         described = materialise(_describe(_only(given, again), context.broadcast(frequent)).select("doc_id", "h1", "n", "prefix"), "described")
         documents = described.join(class_regions.join(again, "doc_id", "left_semi"), ["doc_id", "h1"])
     found = materialise(components(links).withColumnRenamed("node", "class_id"), "found")
+    discard(described, class_regions, regions)
 
     # one narrow row a class; a hot class is many rows on the other side only
     of_class = classes.select("h1", "h2", F.col("doc_id").alias("class_id")).join(found, "class_id", "left").select("h1", "h2", F.coalesce("component", "class_id").alias("component_id"))
