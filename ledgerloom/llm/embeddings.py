@@ -14,8 +14,9 @@ probability RECALL; so their number grows with the table. They run PASSES at a t
 The rows at both ends of a partition meet their neighbours of the next one. Recall is tested against brute force.
 
 Defined results: vectors that are null, of norm 0, or with a null or non-finite component have no links and are their
-own component. Repeated vectors are linked with each other. Vectors of different lengths are never linked. An empty
-table gives an empty result. Extra columns are ignored.
+own component. Repeated vectors are linked with each other. A vec_id that stands with several vectors has the figures
+of the one with the least hash in all its rows. Vectors of different lengths are never linked. An empty table gives an empty
+result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def classes_of(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     good = F.col(vector).isNotNull() & ~F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce(good, F.lit(False)) & (F.aggregate(values, F.lit(0.0), lambda s, x: s + x * x) > 0)
     valid = vectors.select(F.col(key).cast("long").alias("vec_id"), values.alias("vector")).where(good & F.col(key).isNotNull())
-    valid = valid.withColumn("h1", F.xxhash64("vector", F.lit(1))).withColumn("h2", F.xxhash64("vector", F.lit(2)))
+    valid = valid.withColumn("h1", F.xxhash64(F.lit(1), "vector")).withColumn("h2", F.xxhash64(F.lit(2), "vector"))
     classes = valid.groupBy("h1", "h2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     return valid.select("vec_id", "h1", "h2"), classes
 
@@ -125,8 +126,23 @@ def passes_needed(x: np.ndarray, n: int) -> int:
     return passes
 
 
+def _forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect the same rows as the pairs (i, j), one for each row but the first of what hangs together."""
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    x, y = at[: len(i)], at[len(i) :]
+    label, before = np.arange(len(rows)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        label = label[label]
+    more = label != np.arange(len(rows))
+    return rows[label[more]], rows[more]
+
+
 def _windows(batches: Iterator[pa.RecordBatch], ends: bool = True) -> Iterator[pa.RecordBatch]:
-    """Verified pairs of rows at most WINDOW apart, within runs of one pass; and, with the number of the gap they border on, the rows at both ends of a partition."""
+    """What connects verified pairs of rows at most WINDOW apart, within runs of one pass; and, with the number of the gap they border on, the rows at both ends of a partition."""
     here = TaskContext.get().partitionId() if ends else 0
     carried, first = None, None
 
@@ -155,8 +171,9 @@ def _windows(batches: Iterator[pa.RecordBatch], ends: bool = True) -> Iterator[p
                     i, j = rows[lo + i], rows[lo + j]
                     near = (j > i) & (place[j] - place[i] <= WINDOW) & (which[i] == which[j]) & (j >= old)
                     if near.any():
-                        none = [pa.nulls(int(near.sum()), kind) for kind in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), part.schema.field("vector").type)]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[i[near]]), pa.array(ids[j[near]]), *none], list(_FOUND))
+                        a, b = _forest(i[near], j[near])
+                        none = [pa.nulls(len(a), kind) for kind in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), part.schema.field("vector").type)]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), *none], list(_FOUND))
             carried = part.slice(max(0, part.num_rows - WINDOW))
     if ends and carried is not None:
         yield from border(first, here - 1)
@@ -175,7 +192,7 @@ def _over_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): verified pairs of classes found by any pass."""
+    """(a, b): what connects the verified pairs of classes found by any pass. A pair given back need not be near itself: both hang together by near ones."""
     n = classes.count()
     drawn = classes.where(F.pmod(F.xxhash64("class_id"), F.lit(max(1, n))) < SAMPLE).select("vector").limit(2 * SAMPLE).toArrow()
     sample = max((x for _, x in _vectors(drawn["vector"].combine_chunks())), key=len, default=np.zeros((0, 1))) if drawn.num_rows else np.zeros((0, 1))
@@ -259,9 +276,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     # one narrow row a class; a hot class is split by Spark's skew join, as its rows are on the other side
     figures = classes.select("h1", "h2", "class_id", "n").join(links, "class_id", "left").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     figures = figures.select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
-    own = members.join(figures, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    own = members.join(figures, ["h1", "h2"]).groupBy("vec_id").agg(F.min_by(F.struct("n_links", "component_id"), F.struct("h1", "h2")).alias("f")).select("vec_id", "f.*")
     every = vectors.select(F.col(key).cast("long").alias("vec_id"))
-    out = every.join(own.dropDuplicates(["vec_id"]), "vec_id", "left")
+    out = every.join(own, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
