@@ -13,8 +13,9 @@ task: block totals are aggregated first, and the running total over blocks reads
 Tokens: the number of words by white space unless a column is named; a text without words counts 1, so it can be drawn.
 
 Defined results: a null source is a source of its own; null texts count 1 token; rows of a null key are drawn like
-others; repeated rows each count. An empty table gives an empty result. The input's columns all stay; the columns
-epoch, block and mix_tokens are added (and replace columns of these names).
+others, all in one block; repeated rows each count. Very long texts are counted whole. An empty table gives an empty result.
+The input's columns all stay, whatever their names; the columns epoch, block and mix_tokens are added (and replace
+columns of these names). Names that begin with "mix " are the operator's own.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", tokens: Colu
     Either entropy or repetition_limit sets the exponent. Without a budget it is the least by which every source
     is read in full at least once.
     """
-    rows = df.withColumn("mix_tokens", tokens if tokens is not None else tokens_of()).withColumn("mix source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")))
+    rows = df.drop("block", "epoch").withColumn("mix_tokens", tokens if tokens is not None else tokens_of()).withColumn("mix source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")))
     sources = _sources(rows.select("mix source", "mix_tokens")).cache()  # one row a source
     total = sources.agg(F.sum("t")).first()[0]
     if not total:
@@ -93,24 +94,24 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", tokens: Colu
     power = F.pow(F.col("t") / F.lit(float(total)), F.lit(x))
     norm, least = sources.agg(F.sum(power), F.max(F.col("t") / power)).first()
     amount = float(budget) if budget is not None else norm * least
-    plan = sources.select("mix source", "t", F.round(power / norm * amount).cast("long").alias("quota"), F.ceil(F.col("rows") / BLOCK_ROWS).cast("long").alias("blocks"))
-    plan = plan.withColumn("whole", F.floor(F.col("quota") / F.col("t")).cast("int")).withColumn("rest", F.col("quota") - F.col("whole") * F.col("t"))
+    plan = sources.select("mix source", "t", F.round(power / norm * amount).cast("long").alias("quota"), F.ceil(F.col("rows") / BLOCK_ROWS).cast("long").alias("mix blocks"))
+    plan = plan.withColumn("mix whole", F.floor(F.col("quota") / F.col("t")).cast("int")).withColumn("mix rest", F.col("quota") - F.col("mix whole") * F.col("t"))
 
     # the plan has one row a source: Spark broadcasts it if it is small and splits hot sources if it is not
-    placed = rows.join(plan.select("mix source", "blocks", "whole"), "mix source").withColumn("block", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.col("blocks")))
-    full = placed.withColumn("epoch", F.explode_outer(F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)))).where("epoch is not null")
+    placed = rows.join(plan.select("mix source", "mix blocks", "mix whole"), "mix source").withColumn("block", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.col("mix blocks")))
+    full = placed.withColumn("epoch", F.explode_outer(F.when(F.col("mix whole") > 0, F.sequence(F.lit(0), F.col("mix whole") - 1)))).where("epoch is not null")
 
     # the last, partial epoch: blocks in permuted order, the boundary block by its documents
-    sizes = placed.groupBy("mix source", "block").agg(F.sum("mix_tokens").alias("block_t"))
+    sizes = placed.groupBy("mix source", "block").agg(F.sum("mix_tokens").alias("mix block t"))
     order = Window.partitionBy("mix source").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block").rowsBetween(Window.unboundedPreceding, -1)
-    begun = sizes.withColumn("before", F.coalesce(F.sum("block_t").over(order), F.lit(0))).join(plan.select("mix source", "rest"), "mix source")
-    begun = begun.where("before < rest").select("mix source", "block", "before", "rest", "block_t")
+    begun = sizes.withColumn("mix before", F.coalesce(F.sum("mix block t").over(order), F.lit(0))).join(plan.select("mix source", "mix rest"), "mix source")
+    begun = begun.where("`mix before` < `mix rest`").select("mix source", "block", "mix before", "mix rest", "mix block t")
     drawn = placed.join(begun, ["mix source", "block"])
-    entire = drawn.where("before + block_t <= rest")
+    entire = drawn.where("`mix before` + `mix block t` <= `mix rest`")
     within = Window.partitionBy("mix source", "block").orderBy(F.xxhash64(F.col(key), F.lit(seed + 2)), F.col(key)).rowsBetween(Window.unboundedPreceding, 0)
-    cut = drawn.where("before + block_t > rest").withColumn("sum so far", F.sum("mix_tokens").over(within)).where(F.col("before") + F.col("sum so far") <= F.col("rest"))
+    cut = drawn.where("`mix before` + `mix block t` > `mix rest`").withColumn("mix sum", F.sum("mix_tokens").over(within)).where(F.col("mix before") + F.col("mix sum") <= F.col("mix rest"))
     columns = [*[c for c in df.columns if c not in ("epoch", "block", "mix_tokens")], "epoch", "block", "mix_tokens"]
-    partial = entire.select(*placed.columns).unionByName(cut.select(*placed.columns)).withColumn("epoch", F.col("whole"))
+    partial = entire.select(*placed.columns).unionByName(cut.select(*placed.columns)).withColumn("epoch", F.col("mix whole"))
     return full.select(*columns).unionByName(partial.select(*columns))
 
 
