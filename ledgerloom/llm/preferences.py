@@ -7,9 +7,11 @@ are trained on; headers and other roles' turns are masked.
 A turn is rendered as ``<|role|>\n`` + text + ``<|end|>\n``; these parts are parameters. Conversations meet on a pair
 id, each as one row of its own turns in order, so no group is larger than a conversation.
 
-Defined results: turns are ordered by turn, then role and text; null roles and texts count as empty. Equal sides give
-empty completions. A side without turns has an empty completion. A pair with one side only is paired with an empty
-one. Turns of a null pair id are left out, as nothing says which belong together. An empty table gives an empty result.
+Defined results: turns are ordered by turn, then role and text; null roles and texts count as empty. Repeated turns stay, each
+a turn. Equal sides give empty completions. A side without turns has an empty completion. A pair with one side only is
+paired with an empty one. Turns of a null pair id are left out, as nothing says which belong together. Texts of any
+length are rendered whole. Extra columns are ignored. An empty table gives an empty result. A conversation is one row, so it must fit
+the memory of a task: some hundred MB; a table whose turns share one id is not a table of conversations.
 """
 
 from __future__ import annotations
@@ -70,15 +72,19 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id") -
 def format_lists(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id") -> DataFrame:
     """The same of conversations already in lists (key, c) and (key, r)."""
     none = F.array().cast("array<struct<role:string,text:string>>")
-    both = chosen.join(rejected, key, "full_outer").select(key, F.coalesce("c", none).alias("c"), F.coalesce("r", none).alias("r"))
+    return format_sides(chosen.join(rejected, key, "full_outer").select(key, F.coalesce("c", none).alias("c"), F.coalesce("r", none).alias("r")), key)
+
+
+def format_sides(both: DataFrame, key: str = "pair_id") -> DataFrame:
+    """The same of both sides in one row (key, c, r)."""
     both = both.withColumn("prompt_turns", common_turns(F.col("c"), F.col("r")))
     rest = lambda side: F.slice(side, F.col("prompt_turns") + 1, F.greatest(F.size(side) - F.col("prompt_turns"), F.lit(0)))
     both = both.select(key, "prompt_turns", F.slice("c", F.lit(1), F.col("prompt_turns")).alias("p"), rest(F.col("c")).alias("c"), rest(F.col("r")).alias("r"))
     return both.select(key, "prompt_turns", render(F.col("p")).alias("prompt"), render(F.col("c")).alias("chosen"), render(F.col("r")).alias("rejected"), spans(F.col("c")).alias("chosen_spans"), spans(F.col("r")).alias("rejected_spans"))
 
 
-def with_earlier_reply(turns: DataFrame, key: str = "conv_id") -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected sides from plain conversations, as lists by pair_id.
+def with_earlier_reply(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(pair_id, c, r): chosen and rejected sides from plain conversations.
 
     Chosen is a conversation up to its last assistant turn; rejected has the same turns but for the last reply, in
     whose place stands the assistant's reply before it, or an empty one. Conversations without an assistant turn make no pair.
@@ -89,13 +95,12 @@ def with_earlier_reply(turns: DataFrame, key: str = "conv_id") -> tuple[DataFram
     before = F.filter(F.slice("c", F.lit(1), F.size("c") - 1), lambda t: t["role"] == TRAINED_ROLE)
     reply = F.coalesce(F.try_element_at(before, F.lit(-1))["text"], F.lit(""))
     other = F.concat(F.slice("c", F.lit(1), F.size("c") - 1), F.array(F.struct(F.lit(TRAINED_ROLE).alias("role"), reply.alias("text"))))
-    return whole, whole.select("pair_id", other.alias("r"))
+    return whole.select("pair_id", "c", other.alias("r"))
 
 
 def preference_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: a preference pair of every conversation with a reply."""
-    chosen, rejected = with_earlier_reply(table(spark, sf_dir, "conversations"))
-    out = format_lists(chosen, rejected)
+    out = format_sides(with_earlier_reply(table(spark, sf_dir, "conversations")))
     mask = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"], F.when(s["trained"], 1).otherwise(0))), ",")
     return out.select(F.col("pair_id").alias("conv_id"), F.col("prompt_turns").cast("long").alias("prompt_turns"), "prompt", "chosen", "rejected", mask("chosen_spans").alias("chosen_mask"), mask("rejected_spans").alias("rejected_mask"))
 
