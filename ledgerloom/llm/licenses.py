@@ -11,8 +11,9 @@ only, which is so if either side of an OR, both of an AND, and the left of a WIT
 its evidence (notices and expressions) that is permissive, shrunk by one: p / (n + 1); so 0 without evidence.
 
 Defined results: a null text is empty; without a place first_word and last_word are null; no label is the empty
-string. Unbalanced parentheses and stray operators end an expression at what was read well. Repeated places all
-count. Extra columns are kept only when named in ``keep``.
+string. Unbalanced parentheses and stray operators end an expression at what was read well. After a tag without a colon only
+known identifiers count, so that prose gives no label. Repeated places and rows all count. Very long texts are read whole, in time
+linear in their length and tags. An empty table gives an empty result. Extra columns are kept only when named in ``keep``.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ NOTICES = {
 TAGS = ("spdx license identifier", "license expression")
 #: SPDX identifiers, lower-cased, whose label is not the identifier itself.
 LABEL_OF = {"apache-2.0": "apache-2", "gpl-3.0": "gpl-3", "gpl-3.0-only": "gpl-3", "gpl-3.0-or-later": "gpl-3", "gpl-2.0": "gpl-2", "gpl-2.0-only": "gpl-2", "gpl-2.0-or-later": "gpl-2", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "mpl-2.0": "mpl", "cc-by-nc-4.0": "cc-by-nc", "cc-by-sa-4.0": "cc-by-sa"}
+#: Further identifiers that stand for themselves.
+KNOWN = frozenset({"mit", "isc", "zlib", "unlicense", "cc0-1.0", "cc-by-4.0", "0bsd", "artistic-2.0", "bsl-1.0", "epl-2.0", "eupl-1.2", "lgpl-2.1", "lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later", "agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later", "postgresql", "wtfpl"} | set(LABEL_OF))
 PERMISSIVE = frozenset({"mit", "apache-2", "bsd", "isc", "zlib", "cc0-1.0", "unlicense", "cc-by-4.0"})
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -129,14 +132,15 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
     words = (text or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS).split()
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")
     at, base, more, permissive, evidence = [], set(), set(), 0, 0
+    tags = _Tags(text or "")
     word = seen = 0  # line[:seen] holds word blanks
     for end, (kind, label, n, length) in _automata[0].iter(line):
         start = end - length  # of the first word
         word, seen = word + line.count(" ", seen, start) if start >= seen else line.count(" ", 0, start), start
         if kind == "tag":
-            rest = _after(text, word + n - 1)
+            colon, rest = tags.after(word + n - 1)
             labels, ok = evaluate(rest)
-            if labels:
+            if labels and (colon or _said(rest)):
                 more |= labels
                 evidence, permissive = evidence + 1, permissive + ok
             continue
@@ -147,15 +151,23 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), permissive / (evidence + 1)
 
 
-def _after(text: str, n: int) -> str:
-    """What follows the first n words on the last one's line, from a colon on if there is one next."""
-    end = 0
-    for k, m in enumerate(_RAW_WORD.finditer(text), 1):
-        if k == n:
-            end = m.end()
-            break
-    rest = text[end : (text.find("\n", end) + 1 or len(text) + 1) - 1].lstrip()
-    return rest.removeprefix(":")
+def _said(rest: str) -> bool:
+    """True if an expression begins with a known identifier, in parentheses or not."""
+    return next((x.lower().rstrip(".-") in KNOWN for x in _TOKEN.findall(rest) if x != "("), False)
+
+
+class _Tags:
+    """What follows tags of one text, asked for in rising order: the text is read once."""
+
+    def __init__(self, text: str):
+        self.text, self.words, self.n, self.end = text, _RAW_WORD.finditer(text), 0, 0
+
+    def after(self, n: int) -> tuple[bool, str]:
+        """What follows the first n words on the last one's line, and whether a colon comes first; it is left out."""
+        while self.n < n and (m := next(self.words, None)):
+            self.n, self.end = self.n + 1, m.end()
+        rest = self.text[self.end : (self.text.find("\n", self.end) + 1 or len(self.text) + 1) - 1].lstrip()
+        return rest.startswith(":"), rest.removeprefix(":")
 
 
 _OUT = (("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()))
