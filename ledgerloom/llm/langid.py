@@ -8,9 +8,10 @@ false-positive rate; the largest corrected count decides.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; a text whose n-grams no language
 holds gets the language most common in training with score 0; of equal counts the first language by name wins.
+Repeated texts of a language teach once. An empty table gives an empty result.
 Rows without a language don't teach. Every language whose rows hold LEAST_GRAMS n-grams is learned, however small its
 share of the rows. With no teaching row at all every text is ``und``. Texts are read whole,
-in overlapping parts if very long. Extra columns are kept only when named in ``keep``.
+very long ones in parts that end between words, which gives the same n-grams. Extra columns are kept only when named in ``keep``.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .common import CHUNK_CHARS, discard, held_out, materialise, slices, strings
 
 #: Length of an n-gram in characters.
 NGRAM = 3
-#: Expected number of rows of each language that teach: a sample by hash of the text, so it depends on no order.
+#: Expected number of different texts of each language that teach: a sample by hash of the text, so it depends on no order.
 ROWS_PER_LANGUAGE = 1500
 #: N-grams that a language's sample needs to be learned: a count, so rows of other languages don't matter.
 LEAST_GRAMS = 1000
@@ -42,6 +43,7 @@ LEAST_PART = 0.5
 CELL_BITS, HASHES = 16, 3
 
 _LETTER = regex.compile(r"\p{L}")
+_NO_LETTER = regex.compile(r"[\s,;!?。、，！？；]")  # none is part of a word, nor changes how its neighbours are lower-cased
 _GAP = " " * NGRAM
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,13 +94,17 @@ def _cells(h: np.ndarray) -> list[np.ndarray]:
 
 
 def _parts(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
-    """Lower-cased texts in parts of a bounded total size, with each part's row; a long text's parts overlap."""
+    """Lower-cased texts in parts of a bounded total size, with each part's row; a long text is cut where no word goes on."""
     part, rows, total = [], [], 0
     for i, t in enumerate(texts):
-        for at in range(0, len(t or ""), CHUNK_CHARS):
-            part.append(t[max(0, at - NGRAM + 1) : at + CHUNK_CHARS].lower())
+        at = 0
+        while t and at < len(t):
+            cut = _NO_LETTER.search(t, at + CHUNK_CHARS) if at + CHUNK_CHARS < len(t) else None
+            end = cut.start() if cut else len(t)
+            part.append(t[at:end].lower())
             rows.append(i)
             total += len(part[-1])
+            at = end
             if total >= CHUNK_CHARS:
                 yield part, rows
                 part, rows, total = [], [], 0
@@ -120,16 +126,17 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Learns from (text, lang) rows: a hash sample of about ROWS_PER_LANGUAGE rows of each language."""
+    """Learns from (text, lang) rows: a hash sample of about ROWS_PER_LANGUAGE different texts of each language."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))  # one row a language
-    sampled = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.least(F.lit(1.0), F.lit(float(ROWS_PER_LANGUAGE)) / F.col("rows")) * (1 << 20))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    sizes = materialise(rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("texts")), "sizes")  # one row a language
+    sampled = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.lit(1), "h"), F.lit(1 << 20)) < F.least(F.lit(1.0), F.lit(float(ROWS_PER_LANGUAGE)) / F.col("texts")) * (1 << 20)).dropDuplicates(["lang", "h"])
     counts = materialise(sampled.select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_GRAMS)
     kept = {r["lang"]: (r["rows"], r["total"]) for r in totals.join(sizes, "lang").collect()}
     names = sorted(kept)
     if not names:
-        discard(counts)
+        discard(counts, sizes)
         return Model([], [], np.zeros(0), "und")
     numbered = rows.sparkSession.createDataFrame([(name, i, kept[name][1]) for i, name in enumerate(names)], "lang string, number int, total long")
     shares = counts.join(F.broadcast(numbered), "lang").select("gram", "number", (F.col("n") / F.col("total")).alias("share"))
@@ -146,7 +153,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                 cells[at] |= bit
             rates.append(float(((cells & bit) != 0).mean()) ** HASHES)
         slices.append(cells)
-    discard(counts, chosen)
+    discard(counts, chosen, sizes)
     return Model(names, slices, np.array(rates), max(names, key=lambda n: (kept[n][0], n)))
 
 
