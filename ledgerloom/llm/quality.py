@@ -10,8 +10,9 @@ Features are computed on the executors, over whole texts. Only the features of a
 rows (TRAIN_ROWS) come to the driver, where the tables are fitted.
 
 Defined results: null and empty texts have the features of a text without words and are scored like any other.
-With no labelled row, or one class only, every score is that class's share (0.5 without any). Repeated labels
-of one document each count. Extra columns are kept only when named in ``keep``.
+With no labelled row, or one class only, every score is that class's share (0.5 without any). A label that stands
+several times for one document counts once, and a labelled doc_id with several texts teaches by the least of them. Very long
+texts are read whole. An empty table gives an empty result. Extra columns are kept only when named in ``keep``.
 """
 
 from __future__ import annotations
@@ -173,11 +174,11 @@ def fit_arrays(x: np.ndarray, y: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> Model:
     """Fits on labelled documents: about TRAIN_ROWS of them by hash of the key, all if there are fewer."""
-    named = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias(key), F.col(label).cast("int").alias("y"))
+    named = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias(key), F.col(label).cast("int").alias("y")).distinct()
     n = named.count()
     if n > TRAIN_ROWS:
         named = named.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int((1 << 20) * TRAIN_ROWS / n))
-    rows = docs.select(key, text).join(F.broadcast(named), key)  # at most about TRAIN_ROWS pairs of numbers
+    rows = docs.select(key, text).join(F.broadcast(named), key).groupBy(key, "y").agg(F.min(text).alias(text))  # at most about TRAIN_ROWS pairs of numbers
     got = with_features(rows, text, (key, "y")).toPandas().sort_values([key, "y"])
     x = np.array(got["features"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     order = np.lexsort([*x.T])
