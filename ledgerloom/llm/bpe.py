@@ -223,7 +223,7 @@ class Codec:
                 found, parts = (m[0] for m in self.pattern.finditer(texts[a])), []
                 while pieces := list(islice(found, SLICE)):
                     parts.append(self.encode(pieces)[0])
-                out.append(np.concatenate(parts))
+                out.append(np.concatenate([np.zeros(0, dtype=np.int32), *parts]))
                 continue
             lists = [self.pattern.findall(t) if t else [] for t in texts[a:b]]
             ids, counts = self.encode([p for x in lists for p in x])

@@ -27,9 +27,11 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; one of our own only where none is set (tests)."""
+    """The cluster's shared folder from spark.checkpoint.dir; one of our own only where none is set and all runs on one machine (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="spark-ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")

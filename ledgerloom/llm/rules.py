@@ -14,8 +14,8 @@ than a quarter of the share overall; of the words named, those counted to three
 
 Defined results: a null text has no words; every count is 0 and base_failed is true. Rows without a language
 don't make references but are judged; those of a language without a reference are not judged by it, as other languages'
-references say nothing about them. Without any reference nothing is rejected by the method. Extra columns
-are kept only when named in ``keep``.
+references say nothing about them. Without any reference nothing is rejected by the method. Repeated rows each
+count and are each judged. Very long texts are read whole. An empty table gives an empty result. Extra columns are kept only when named in ``keep``.
 """
 
 from __future__ import annotations
