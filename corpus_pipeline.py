@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read again as the next
 stage's docs. Every stage but the last returns the columns of documents. A document read more than once in the
 mixture is a row for each time.
+
+Defined results: a null or empty text, and one without a letter, has no language and goes in the first stage. Nulls in
+other columns do no harm: a null doc_id is no near duplicate of anything, a null source is a source of its own. Repeated rows
+of one doc_id and text stay together: they are one document, kept or dropped in all its rows. Very long texts are read whole. Extra
+columns are dropped. An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, jaccard, langid, mixing, quality
-from ledgerloom.llm.common import held_out, materialise, table
+from ledgerloom.llm.common import discard, held_out, materialise, table
 
 #: A text whose language the model is less sure of than this is rejected, as is one without a language.
 LEAST_LANGUAGE_SCORE = 0.45
@@ -62,7 +67,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encoding", encoding),
 ]
 
-#: SQL cannot express the language and quality models; tests hold the stages against brute-force versions.
+#: SQL cannot express the language and quality models; tests/llm/test_brute.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -70,5 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
