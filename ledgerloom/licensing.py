@@ -39,6 +39,9 @@ _BASE = {
     "record_endorsements": "select distinct l_orderkey record_id, l_partkey % 60 endorsement_id from lineitem",
     "entities": "select s_suppkey id, case when s_suppkey % 10 = 9 then 'supplier ' || (s_suppkey - 1) else 'SUPPLIER ' || s_suppkey end name, case when s_suppkey % 2 = 0 then 'person' else 'organization' end entity_type from supplier",
     "record_entities": "select l_orderkey record_id, l_suppkey entity_id, case when l_linenumber % 2 = 1 then 'applicant' else 'previous_applicant' end role, cast(min(l_linenumber) as bigint) position from lineitem group by 1, 2, 3",
+    "source_types": "select * from (values (1, 'live_scrape', 'Live Scrape'), (2, 'co_archive', 'Page Archive'), (3, 'internet_archive', 'Internet Archive'), (4, 'co_diff_archive', 'Diff Archive'), (5, 'manual', 'Manual Entry'), (6, 'co_replay', 'Replay Extract')) t(id, slug, label)",
+    "sources": "select s_suppkey id, cast(s_suppkey % 6 + 1 as int) source_type_id, case when s_suppkey % 4 > 0 then 'p/' || s_suppkey end snapshot_path, case when s_suppkey % 7 > 0 then cast(s_nationkey as bigint) end captured_at, '{{\"k\": \"' || s_suppkey || '\"}}' metadata from supplier",
+    "record_sources": "select distinct l_orderkey record_id, l_suppkey source_id, case l_returnflag when 'A' then 'first_seen' when 'R' then 'repaired' else 'confirmed' end role from lineitem",
     "substances": "select cast(r_regionkey as bigint) id, r_name name, cast(r_regionkey * 10 as bigint) display_order from region",
     "substance_endorsements": "select cast(n_regionkey as bigint) substance_id, cast(n_nationkey as bigint) endorsement_id from nation where n_regionkey < 4",
 }
@@ -63,8 +66,8 @@ class Licensing(Tables):
     """The derived tables."""
 
     def derived(self, name: str) -> DataFrame:
-        given = {t: getattr(self, t) for t in ("orders", "customer", "nation", "part", "lineitem", "supplier", "region") if t in _BASE[name].replace("region_key", "")}
-        sql = _BASE[name].format(day="date_format(date_add(to_date(o_orderdate), 9497), 'yyyy-MM-dd')", text="string")
+        given = {t: getattr(self, t) for t in ("orders", "customer", "nation", "part", "lineitem", "supplier", "region") if f"from {t}" in _BASE[name] or f"join {t} " in _BASE[name]}
+        sql = _BASE[name].format(day="date_format(date_add(to_date(o_orderdate), 9497), 'yyyy-MM-dd')", text="string").replace("{", "{{").replace("}", "}}")
         for t in given:
             sql = sql.replace(f"from {t}", f"from {{{t}}}").replace(f"join {t} ", f"join {{{t}}} ")
         return self.spark.sql(sql, **given)
@@ -199,6 +202,47 @@ _query("repair_moves", _with("records", "locations") + "select id, coalesce(prev
     lambda t: (lambda r: D.repaired_moves(r, search.with_locations(r, t["locations"]), t["locations"]).select("id", "previous_location_id"))(t["records"].where("application_type = 'CHANGE OF LOCATION'"))
 )
 
+_query("record_provenance", _with("record_sources", "sources", "source_types") + "select source_id, role, slug, label, snapshot_path, captured_at, json_extract_string(metadata, '$.k') k from record_sources b join sources s on s.id = b.source_id join source_types t on t.id = s.source_type_id where record_id = (select min(record_id) from record_sources)")(
+    lambda t: search.provenance_of(t["record_sources"], t["sources"], t["source_types"], t["record_sources"].agg(F.min("record_id")).first()[0]).select("source_id", "role", "slug", "label", "snapshot_path", "captured_at", F.col("metadata")["k"].alias("k"))
+)
+_query("add_sources", _with("sources") + "select source_type_id, snapshot_path, count(*) n from (select distinct source_type_id, snapshot_path from sources union all select 1, 'p/new') group by all")(
+    lambda t: (lambda s: D.add_sources(s.dropDuplicates(["source_type_id", "snapshot_path"]), s.select("source_type_id", "snapshot_path").unionByName(t.spark.createDataFrame([(1, "p/new")], "source_type_id int, snapshot_path string"))).groupBy("source_type_id", "snapshot_path").agg(F.count("*").alias("n")))(t["sources"])
+)
+_query("upsert_sources", _with("sources") + "select id, case when id % 8 = 6 then 99 else captured_at end captured_at, case when id % 8 = 6 then 'new' else metadata end metadata from sources where snapshot_path is not null")(
+    lambda t: (lambda s: D.upsert_sources(s, s.where("id % 8 = 6").select("source_type_id", "snapshot_path", F.lit(99).cast("long").alias("captured_at"), F.lit("new").alias("metadata"))).select("id", "captured_at", "metadata"))(t["sources"].where("snapshot_path is not null"))
+)
+_query("link_sources", _with("record_sources") + "select * from record_sources union select record_id, 0, 'confirmed' from record_sources")(
+    lambda t: D.linked_sources(t["record_sources"], t["record_sources"].select("record_id", F.lit(0).alias("source_id"), F.lit("confirmed").alias("role")))
+)
+_query("has_source", _with("record_sources") + "select record_id, bool_or(source_id = 3) linked from record_sources group by record_id")(lambda t: search.has_source(t["record_sources"], 3))
+_query("seed_codes", _with("endorsements", "codes") + "select code, name from codes c join endorsements e on e.id = c.endorsement_id union select '405', 'NAME 2' union select '777', 'BRAND NEW'")(
+    lambda t: (lambda more, codes: codes.join(more.withColumnRenamed("id", "endorsement_id"), "endorsement_id").select("code", "name"))(*D.seeded(t["endorsements"], t["codes"], t.spark.createDataFrame([("405", "Name 2"), ("777", "brand new")], "code string, name string")))
+)
+_query("audit_insert", "select max(event_id) + 1 id, 'merge' action, '{\"from\":\"1\"}' details from events")(
+    lambda t: (lambda log: D.audited(log, t.spark.createDataFrame([("merge", {"from": "1"})], "action string, details map<string,string>")).orderBy(F.desc("id")).limit(1))(t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("action"), F.col("props").alias("details")))
+)
+_query("entity_lookup", _with("entities") + "select id, name, entity_type from entities where lower(name) = 'supplier 3'")(lambda t: search.by_name(t["entities"], "Supplier 3"))
+_query("substance_members", _with("substance_endorsements") + "select endorsement_id from substance_endorsements where substance_id = 2")(lambda t: D.members_of(t["substance_endorsements"], 2))
+_query("reprocess_code", _with("records", "codes", "record_endorsements") + "select * from record_endorsements where record_id not in (select id from records where rtrim(license_type, ',') = '405' or license_type like '405, %') union all select id, unnest([5, 19, 33]) from records where rtrim(license_type, ',') = '405' or license_type like '405, %'")(
+    lambda t: (lambda own: D.rebuilt(t["record_endorsements"], own, D.endorsement_bridge(own, t["codes"], t["endorsements"])))(D.with_code(t["records"], "405"))
+)
+_query("stale_steps", "select o_orderkey id from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber >= 3)")(
+    lambda t: ingest.stale_steps(t.orders.select(F.col("o_orderkey").alias("id")), t.lineitem.select(F.col("l_orderkey").alias("record_id"), F.lit("entities").alias("step"), F.col("l_linenumber").alias("version")), "entities", 3)
+)
+_query("step_ledger", "select o_orderkey record_id, case when o_orderkey % 3 = 0 then 2 else 1 end version from orders")(
+    lambda t: (lambda done: ingest.stamped(done, t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id")), "entities", 2, F.lit("t2")).select("record_id", "version"))(t.orders.select(F.col("o_orderkey").alias("record_id"), F.lit("entities").alias("step"), F.lit(1).alias("version"), F.lit("t1").alias("done_at")))
+)
+_query("renewal_queue", "select event_id id from events where case when event_id % 5 = 0 then null else ts end is null or ts < timestamp '2024-01-03' - interval 1 day order by case when event_id % 5 = 0 then null else ts end asc nulls first, event_id limit 300")(
+    lambda t: ingest.due_for_renewal(t.events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 5 > 0, F.col("ts")).alias("attempted_at")), "2024-01-03", 1, 300).select("id")
+)
+_query("changed_pages", "select page_id from pages where sha256(html) not in (select sha256(html) from pages where page_id % 2 = 0)")(
+    lambda t: ingest.unchanged(t.pages.select("page_id", "html"), t.pages.where("page_id % 2 = 0").select(F.sha2("html", 256).alias("content_hash"))).select("page_id")
+)
+_query("contiguous_positions", _with("record_entities") + "select record_id, entity_id, role, row_number() over (partition by record_id, role order by position, entity_id) - 1 position from record_entities")(lambda t: D.latest_position(t["record_entities"]).withColumn("position", F.col("position").cast("long")).select("record_id", "entity_id", "role", "position"))
+_query("shown_times", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') iso, strftime(ts, '%Y-%m-%d') \"date\" from events")(lambda t: t.events.select("event_id", S.shown_time(F.col("ts")).alias("s")).select("event_id", "s.*"))
+_query("chain_report", "select 3 files, 1 read_errors, 1 skipped")(
+    lambda t: diffs.report(t.spark.createDataFrame([("a", "--- x\n+++ y\n"), ("b", None), ("c", "error page")], "path string, text string"), "text").select(*[F.col(c).cast("int").alias(c) for c in ("files", "read_errors", "skipped")])
+)
 _query("run_durations", "select event_id id, event_type status, cast(event_id % 90 as bigint) as \"seconds\" from events order by event_id desc limit 5")(
     lambda t: D.durations(t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("status"), F.col("ts").alias("started_at"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("event_id") % 90)).alias("finished_at")))
 )

@@ -151,7 +151,7 @@ def seeded(endorsements: DataFrame, codes: DataFrame, seed: DataFrame) -> tuple[
 
 def seed_codes(spark, path: str) -> DataFrame:
     """(code, name) of a JSON object of code -> list of names."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("code", "names")).select("code", F.explode("names").alias("name"))
 
 
@@ -303,3 +303,8 @@ def latest_position(bridge: DataFrame) -> DataFrame:
     """Positions without gaps: rows of each record and role numbered from 0 in their order."""
     order = Window.partitionBy("record_id", "role").orderBy("position", "entity_id")
     return bridge.withColumn("position", F.row_number().over(order) - 1)
+
+
+def members_of(members: DataFrame, substance_id: int) -> DataFrame:
+    """(endorsement_id) of one substance."""
+    return members.where(F.col("substance_id") == substance_id).select("endorsement_id")

@@ -168,3 +168,13 @@ def provenance_of(record_sources: DataFrame, sources: DataFrame, source_types: D
     own = record_sources.where(F.col("record_id") == record_id)
     joined = own.join(sources.select(F.col("id").alias("source_id"), "source_type_id", "snapshot_path", "captured_at", "metadata"), "source_id").join(source_types.select(F.col("id").alias("source_type_id"), "slug", "label"), "source_type_id")
     return joined.withColumn("metadata", F.from_json("metadata", "map<string,string>")).orderBy(F.col("captured_at").desc_nulls_first(), "source_id")
+
+
+def has_source(record_sources: DataFrame, source_id: int) -> DataFrame:
+    """(record_id, linked): whether each record is linked with the source."""
+    return record_sources.groupBy("record_id").agg(F.bool_or(F.col("source_id") == source_id).alias("linked"))
+
+
+def by_name(dimension: DataFrame, name: str) -> DataFrame:
+    """Rows of a name, whatever its case."""
+    return dimension.where(F.lower("name") == name.lower())

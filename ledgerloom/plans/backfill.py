@@ -74,7 +74,7 @@ def write_extracts(table: DataFrame, folder: str) -> None:
 
 def read_extract(spark: SparkSession, folder: str, path: str) -> DataFrame:
     """(html) of one extract; no row if there is none."""
-    return spark.read.option("wholetext", "true").option("basePath", folder).text(folder).where(F.col("path") == path).select(F.col("value").alias("html"))
+    return spark.read.option("basePath", folder).text(folder, wholetext=True).where(F.col("path") == path).select(F.col("value").alias("html"))
 
 
 def without_redundant_runs(runs: DataFrame, sources: DataFrame) -> DataFrame:

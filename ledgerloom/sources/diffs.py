@@ -27,6 +27,12 @@ def headers(diffs: DataFrame, key: list[str], content: str = "content") -> DataF
     return diffs.where(line(1).startswith("--- ") & line(2).startswith("+++ ")).select(*key, diff_timestamp(line(1)).alias("old_ts"), diff_timestamp(line(2)).alias("new_ts"))
 
 
+def report(files: DataFrame, content: str = "content") -> DataFrame:
+    """(files, read_errors, skipped): files of a chain, those that could not be read (null) and those that are no diffs."""
+    real = F.col(content).rlike(r"^--- [^\n]*\n\+\+\+ ")
+    return files.agg(F.count("*").alias("files"), F.count_if(F.col(content).isNull()).alias("read_errors"), F.count_if(~real).alias("skipped"))
+
+
 def lines(diffs: DataFrame, key: list[str], content: str = "content") -> DataFrame:
     """(key, pos, hunk, op, text) of the lines of whole hunks; op is '+', '-' or ' '. A hunk ends once its header's counts are
     reached; one that breaks off is left out."""

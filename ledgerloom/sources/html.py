@@ -49,7 +49,7 @@ def read_files(spark: SparkSession, path: str, pattern: str, strict: bool = Fals
     plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     said = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")) if strict else _text(F.col("content"))
     plain = plain.select("path", said.alias("text"))
-    packed = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern + ".gz").text(path)
+    packed = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern + ".gz").text(path, wholetext=True)
     packed = packed.select(F.col("_metadata.file_path").alias("path"), _text(F.col("value").cast("binary")).alias("text"))
     name = lambda c: F.regexp_replace(F.regexp_replace(c, "^file:/+", "/"), r"\.gz$", "")
     return plain.join(packed.select(name(F.col("path")).alias("stem")), name(F.col("path")) == F.col("stem"), "left_anti").unionByName(packed)

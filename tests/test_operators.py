@@ -148,10 +148,10 @@ def test_packed_files_shadow_plain_ones(spark, tmp_path):
 
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "2025_06_05-a.html").write_bytes("plain é".encode())
-    (tmp_path / "d" / "2025_06_05-a.html.gz").write_bytes(gzip.compress("packed é".encode("latin-1")))
+    (tmp_path / "d" / "2025_06_05-a.html.gz").write_bytes(gzip.compress("packed é\nline".encode("latin-1")))
     (tmp_path / "d" / "b.html").write_bytes("caf\xe9".encode("latin-1"))
     got = {r.path.rsplit("/", 1)[1]: (r.html, r.day) for r in html.read_pages(spark, str(tmp_path)).withColumn("day", html.snapshot_date(F.col("path")).cast("date").cast("string")).collect()}
-    assert got == {"2025_06_05-a.html.gz": ("packed é", "2025-06-05"), "b.html": ("café", None)}
+    assert got == {"2025_06_05-a.html.gz": ("packed é\nline", "2025-06-05"), "b.html": ("café", None)}
     assert html.read_files(spark, str(tmp_path), "b.html", strict=True).first().text is None
 
 
@@ -207,3 +207,52 @@ def test_stream_takes_each_key_once(spark, tmp_path):
     stream = jobs.first_seen(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), ["k"], "t")
     jobs.run_batches(stream, lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_backfills(spark, tmp_path):
+    import gzip
+
+    from ledgerloom.plans import backfill
+
+    record = lambda day, number: [("Notification Date", day), ("Business Name", "A"), ("Application Type", "RENEWAL"), ("License Number", number)]
+    for name, records in (("2025_06_06-v1", [record("6/5/2025", "1"), record("6/5/2025", "2")]), ("2025_06_05-v1", [record("6/5/2025", "1"), record("no date", "9")])):
+        (tmp_path / "pages" / name).mkdir(parents=True)
+        (tmp_path / "pages" / name / f"{name}.html.gz").write_bytes(gzip.compress(page(*records).encode()))
+    seen = backfill.of_snapshots(html.read_pages(spark, str(tmp_path / "pages"))).collect()
+    assert sorted((r.license_number, str(r.captured_at.date()), r.role) for r in seen) == [("1", "2025-06-05", "first_seen"), ("1", "2025-06-06", "confirmed"), ("2", "2025-06-06", "first_seen")]
+
+    block = [x for r in (record("6/7/2025", "7"),) for x in ["<tbody>", *[f"<tr><td>{a}:</td><td>{b}</td></tr>" for a, b in r], "</tbody>"]]
+    text = "\n".join(["--- @\tTue, 06 Sep 2022 10:00:00 +0000", "+++ @\tWed, 07 Sep 2022 10:00:00 +0000", f"@@ -0,0 +1,{len(block)} @@", *["+" + x for x in block]])
+    (tmp_path / "archive" / "notifications").mkdir(parents=True)
+    for name in ("2022_09_07-00_15_00-notifications-diff.txt", "2022_09_06-00_15_00-notifications-diff.txt", "2022_09_06-00_15_00-other.txt"):
+        (tmp_path / "archive" / "notifications" / name).write_text(text)
+    found = backfill.folders(spark, str(tmp_path / "archive"), S.SECTION_FOLDERS)
+    assert [f.rsplit("/", 1)[1] for f in found] == ["notifications"] and backfill.folders(spark, str(tmp_path / "archive"), S.SECTION_FOLDERS, "approved") == []
+    files = html.read_files(spark, found[0], "*.txt", strict=True)
+    got = backfill.of_diffs(files)
+    assert [(r.license_number, r.record_date, r.path.rsplit("/", 1)[1][:10]) for r in got.collect()] == [("7", "2025-06-07", "2022_09_06")]
+    assert [r.records for r in backfill.by_file(got).collect()] == [1] and diffs.work(files, F.col("path"), limit=1).count() == 1
+
+    records = got.select("section_type", "record_date", "license_number", "application_type").withColumn("id", F.lit(5))
+    made = backfill.extracts(got, records)
+    assert [(r.record_id, r.path) for r in made.collect()] == [(5, "new-application/2025-06-07/7/renewal.html")]
+    assert tuple(backfill.extract_counts(got, records.limit(0)).first()) == (0, 1, 0)
+    backfill.write_extracts(made, str(tmp_path / "extracts"))
+    assert backfill.read_extract(spark, str(tmp_path / "extracts"), "new-application/2025-06-07/7/renewal.html").first().html == "\n".join(block) + "\n"
+    assert backfill.read_extract(spark, str(tmp_path / "extracts"), "none").count() == 0
+
+
+def test_steps_fail_alone(spark):
+    df = spark.range(3)
+    got = ingest.enriched(df, {"good": lambda d: d.where("id > 0"), "bad": lambda d: d.select(F.raise_error(F.lit("no"))), "worse": lambda d: d.select("missing")})
+    assert got["good"][0].count() == 2 and got["bad"][0] is None and got["bad"][1] and got["worse"][0] is None
+
+
+def test_similar_names_without_common_words(spark):
+    from ledgerloom.functions import scalars
+
+    names = ["BEER + WINE", "BEER - WINE", "BEER WINE SHOP", "WINE BEER SHOP", "THE SHOP ENDORSEMENT", "SHOP", "TAKE OUT", "TAKEOUT", "A", ""]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    got = {(r.a, r.b): r.score for r in R.similar_pairs(df, S.similarity_tokens(F.col("name")), S.blended_similarity, 0.7).collect()}
+    every = df.alias("x").join(df.alias("y"), F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), scalars.blended_similarity(S.similarity_tokens(F.col("x.name")), S.similarity_tokens(F.col("y.name"))).alias("score")).where("score >= 0.7")
+    assert got == {(r.a, r.b): r.score for r in every.collect()} and (4, 5) in got and (0, 1) not in got
