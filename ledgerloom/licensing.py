@@ -33,7 +33,7 @@ _RECORDS = """select o_orderkey id, case o_orderstatus when 'O' then 'new_applic
 _BASE = {
     "records": _RECORDS,
     "locations": "select c_custkey id, '1 ' || c_name raw_address, n_name city, case when c_nationkey % 2 = 0 then 'WA' else 'OR' end state, cast(10000 + c_custkey as {text}) zip_code, case c_custkey % 3 when 0 then '' when 1 then 'STD ' || n_name end std_city, case when c_custkey % 4 = 0 then 'ID' else '' end std_region, case when c_custkey % 5 = 0 then '99999' end std_postal_code from customer join nation on n_nationkey = c_nationkey",
-    "endorsements": "select p_partkey id, case when p_partkey < 11 then 'NAME ' || p_partkey when p_partkey < 20 then cast(390 + p_partkey as {text}) when p_partkey < 25 then (390 + p_partkey) || ', PLAIN ' || p_partkey else 'KIND ' || upper(p_name) || ' ' || upper(p_type) || case when p_partkey % 2 = 0 then ' ENDORSEMENT' else '' end end name from part where p_partkey < 60",
+    "endorsements": "select p_partkey id, case when p_partkey < 11 then 'NAME ' || p_partkey when p_partkey < 20 then cast(390 + p_partkey as {text}) when p_partkey < 25 then (390 + p_partkey) || ', PLAIN ' || p_partkey else 'BIG KIND GOODS SALE AT HOME WITH ' || upper(p_name) || case when p_partkey % 2 = 0 then ' ENDORSEMENT' else '' end end name from part where p_partkey < 60",
     "codes": "select cast(400 + p_partkey % 14 as {text}) code, p_partkey endorsement_id from part where p_partkey between 3 and 40",
     "aliases": "select p_partkey endorsement_id, p_partkey - 1 canonical_endorsement_id from part where p_partkey < 60 and p_partkey % 5 = 4",
     "record_endorsements": "select distinct l_orderkey record_id, l_partkey % 60 endorsement_id from lineitem",
