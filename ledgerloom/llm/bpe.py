@@ -30,8 +30,8 @@ from .common import CHUNK_CHARS, groups_by_size, slices, strings
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 128, 256, 512)
 #: Cells of a matrix at most, so that a worker's memory is bounded.
 MATRIX_CELLS = 300_000
-#: Distinct pieces a worker remembers before it starts its memory anew.
-REMEMBERED = 150_000
+#: Distinct pieces, and characters of them, that a worker remembers before it starts its memory anew.
+REMEMBERED, REMEMBERED_CHARS = 150_000, 20_000_000
 #: Matches taken at once from a text longer than a chunk.
 SLICE = 100_000
 
@@ -117,7 +117,7 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = _Numbered()
+        self.known, self.chars = _Numbered(), 0
         self.flat, self.start = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -199,12 +199,13 @@ class Codec:
 
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces in one array, and the number of ids of each piece."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._forget()
         known, old = self.known, len(self.known)
         codes = np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
         if len(known) > old:
             new = [p.encode("utf-8", "surrogatepass") for p in islice(known, old, None)]
+            self.chars += sum(map(len, new))
             whole = np.fromiter((self.rank.get(p, -1) for p in new), dtype=np.int32, count=len(new))
             hard = np.flatnonzero(whole < 0)
             ids, counts = self.merge([new[i] for i in hard])
