@@ -1,7 +1,7 @@
 """Unified diffs: hunk lines, added and removed runs, whole records in them, and replay of a chain of diffs.
 
 Splitting, hunk counts, runs and blocks are windows over lines, so files are read in parallel. Replay is sequential by nature: each
-chain's files are one ordered group, replayed by a small state machine under applyInPandas that gives back changed lines only.
+chain's files are one ordered group, replayed by a small state machine under applyInPandas that gives back blocks, not documents.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from . import html
 
 #: A diff that contradicts this many known lines, and this part of them, starts the document anew.
 RESET_MIN, RESET_RATIO = 50, 0.20
+#: Lines on either side of a change in which its block is looked for; a block is about 25 lines.
+AROUND = 200
 _HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
@@ -103,57 +105,137 @@ def records_of_diffs(diffs: DataFrame, key: list[str], content: str = "content")
     return found.withColumn("place in key", first).where("`place in key` = 1").select(*source, "side", "section_type", *html.DEFAULTS, "html")
 
 
-def _hunks(content: str) -> Iterator[tuple[int, list[str], list[str]]]:
-    """(first old line, old lines, new lines) of each whole hunk."""
-    rows, i, head = content.split("\n"), 0, re.compile(_HUNK)
+def _hunks(content: str) -> tuple[list[tuple[int, list[tuple[str, str]]]], bool]:
+    """(first old line, [(op, text)]) of each whole hunk, and whether one broke off; what follows that is left out."""
+    rows, i, head, out = content.split("\n"), 0, re.compile(_HUNK), []
+    if not (len(rows) > 1 and rows[0].startswith("--- ") and rows[1].startswith("+++ ")):
+        return [], False
     while i < len(rows):
         m = head.match(rows[i])
         i += 1
         if not m:
             continue
-        want_old, want_new, old, new = int(m[2] or 1), int(m[4] or 1), [], []
-        while i < len(rows) and (len(old) < want_old or len(new) < want_new) and not rows[i].startswith("@@"):
-            op, text = rows[i][:1], rows[i][1:] if rows[i][:1] in "+- " else rows[i]
-            if op != "\\":
-                old += [text] * (op != "+")
-                new += [text] * (op != "-")
+        old, new, body = int(m[2] or 1), int(m[4] or 1), []
+        first = int(m[1]) - (old > 0)
+        while i < len(rows) and (old > 0 or new > 0) and not rows[i].startswith("@@"):
+            op, text = (rows[i][0], rows[i][1:]) if rows[i][:1] in ("+", "-", " ") else (" ", rows[i])
+            if not rows[i].startswith("\\"):
+                body.append((op, text))
+                old, new = old - (op != "+"), new - (op != "-")
             i += 1
-        if (len(old), len(new)) == (want_old, want_new):
-            yield int(m[1]) - (want_old > 0), old, new
+        if old or new:
+            return out, True
+        out.append((first, body))
+    return out, False
+
+
+#: A line of the document: a list of its text, or of None while no file has shown it. States share their lines, so what a later file
+#: shows of a line is known in every state that holds it.
+_Line = list
+
+
+def _whole_blocks(lines: list[_Line], low: int, high: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of the <tbody> groups that touch the lines from low to high and are known throughout."""
+    begin = None
+    for k, (text,) in enumerate(lines):
+        if text is None:
+            begin = None
+            continue
+        if "<tbody" in text.lower():
+            begin = k
+        if begin is not None and "</tbody>" in text.lower():
+            if begin < high and k >= low:
+                yield begin, k + 1
+            begin = None
+
+
+def _size(lines: list[_Line]) -> tuple[int, int]:
+    """Lines up to the last known one, and how many of them are known."""
+    known = [k for k, (text,) in enumerate(lines) if text is not None]
+    return (known[-1] + 1 if known else 0), len(known)
 
 
 def _replay(files: pd.DataFrame) -> pd.DataFrame:
-    """What each file of one chain changed, the document being known lines by place, with unknown ones null."""
-    state: list[str | None] = []
-    out = []
+    """One chain: a row a file with its counts, and a row for each block that some state evidences, read once all files are known."""
+    now: list[_Line] = []
+    out, pending, fresh, first = [], [], False, True
     for row in files.sort_values("seq").itertuples():
-        hunks = list(_hunks(row.content or ""))
-        met = [(have, said) for at, old, _ in hunks for have, said in zip(state[at : at + len(old)], old, strict=False) if have is not None]
-        bad = sum(have != said for have, said in met)
-        reset = len(met) >= RESET_MIN and bad >= RESET_RATIO * len(met)
+        hunks, broken = _hunks(row.content or "")
+        if not hunks and not broken:
+            out.append((row.section, row.seq, "file", 0, False, 0, *_size(now), []))
+            continue
+        size = max((at + sum(op != "+" for op, _ in body) for at, body in hunks), default=0)
+        now += [[None] for _ in range(size + AROUND - len(now))]  # more than the file speaks of, as later ones may show what follows
+        said = [(now[at + k][0], text) for at, body in hunks for k, text in enumerate(t for op, t in body if op != "+")]
+        known, bad = sum(x is not None for x, _ in said), sum(x is not None and x != t for x, t in said)
+        reset = known >= RESET_MIN and bad >= RESET_RATIO * known
         if reset:
-            state = []
-        shift, changed = 0, []
-        for at, old, new in hunks:
-            place = at + shift
-            state += [None] * (place + len(old) - len(state))
-            state[place : place + len(old)] = new
-            changed.append({"place": place, "removed": len(old), "lines": new})
-            shift += len(new) - len(old)
-        out.append((row.section, row.seq, len(hunks), bool(reset), bad, len(state), sum(x is not None for x in state), changed))
-    return pd.DataFrame(out, columns=["section", "seq", "hunks", "reset", "mismatches", "n_lines", "n_known", "changes"])
+            now, fresh = [[None] for _ in range(size + AROUND)], True
+        old, new, seen, changed, added, at = now, [], set(), [], [], 0
+        for start, body in hunks:
+            new += old[at:start]
+            at, low, put = max(at, start), max(at, start), len(new)
+            for op, text in body:
+                if op == "+":
+                    new.append([text])
+                else:
+                    line, at = old[at], at + 1
+                    if line[0] is None:
+                        line[0] = text
+                    if op == "-":
+                        continue
+                    new.append(line if line[0] == text else [text])  # what is shown now holds from now on
+                seen.add(id(new[-1]))
+            changed += [(low, at)] * any(op == "-" for op, _ in body)
+            added += [(put, len(new))] * any(op == "+" for op, _ in body)
+        new += old[at:]
+        cut = lambda lines, low, high: (lines[max(0, low - AROUND) : high + AROUND], min(low, AROUND), min(low, AROUND) + high - low)
+        if not bad and not first and not fresh:
+            pending += [(row.seq, 1, "mutation", *cut(old, low, high), None) for low, high in changed]
+        if first:
+            pending.append((row.seq, 2, "state", old, 0, len(old), None))
+        if fresh:
+            pending.append((row.seq, 3, "state", new, 0, len(new), None))
+        for low, high in added:
+            lines, a, b = cut(new, low, high)
+            pending.append((row.seq, 4, "entry", lines, a, b, [id(x) in seen for x in lines]))
+        now, first, fresh = new, False, broken
+        out.append((row.section, row.seq, "file", len(hunks), bool(reset), 0 if reset else bad, *_size(now), []))
+        if broken:
+            now = []
+    if out:
+        pending.append((out[-1][1], 5, "final", now, 0, len(now), None))
+    section, shown = (files["section"].iloc[0] if len(files) else None), set()
+    for seq, _, origin, lines, low, high, confirmed in sorted(pending, key=lambda x: x[:2]):
+        for a, b in _whole_blocks(lines, low, high):
+            text = tuple(x[0] for x in lines[a:b])
+            if (confirmed is None or all(confirmed[a:b])) and text not in shown:
+                shown.add(text)
+                out.append((section, seq, origin, 0, False, 0, 0, 0, list(text)))
+    return pd.DataFrame(out, columns=["section", "seq", "origin", "hunks", "reset", "mismatches", "n_lines", "n_known", "lines"])
 
 
 def replay(files: DataFrame) -> DataFrame:
-    """Replays each chain's files (section, seq, content) in order: a row a file with what it changed in the document as then
-    known: at place, so many lines removed and these put in. A chain is one task that holds its document; chains run in parallel."""
-    return files.select("section", "seq", "content").groupBy("section").applyInPandas(_replay, "section string, seq long, hunks long, reset boolean, mismatches long, n_lines long, n_known long, changes array<struct<place:long,removed:long,lines:array<string>>>")
+    """Replays each chain's files (section, seq, content) in order.
 
-
-def learned(replayed: DataFrame) -> DataFrame:
-    """(section, seq, place, text): the lines that each file of a replayed chain put into the document."""
-    each = replayed.select("section", "seq", F.explode("changes").alias("c")).select("section", "seq", F.col("c.place").alias("at"), F.posexplode("c.lines").alias("k", "text"))
-    return each.select("section", "seq", (F.col("at") + F.col("k")).alias("place"), "text")
+    Result: a row a file (origin 'file') with hunks, reset, mismatches, n_lines and n_known of the document after it; and a row for each
+    different block that a state evidences, as lines, with the file and the origin that show it first: 'mutation' (in the state before),
+    'state' (whole pages at the start or after a reset), 'entry' or 'final'. A line that only a later file shows is known in
+    earlier states, too. A chain is one task that holds its document; chains run in parallel.
+    """
+    return files.select("section", "seq", "content").groupBy("section").applyInPandas(_replay, "section string, seq long, origin string, hunks long, reset boolean, mismatches long, n_lines long, n_known long, lines array<string>")
+
+
+def records_of_replay(replayed: DataFrame) -> DataFrame:
+    """Records of the blocks that a replay evidences: of each natural key the first by file and origin. Result adds seq, origin and html."""
+    blocks = replayed.where("origin <> 'file'").select("section", "seq", "origin", F.array_join("lines", "\n").alias("body")).distinct()
+    blocks = blocks.withColumn("block", F.sha2("body", 256))
+    own = ["section", "seq", "origin", "block"]
+    found = html.records(html.cells_of(blocks, own), own).drop("pos").withColumnRenamed("section_type", "section").join(blocks.select(*own, F.col("body").alias("html")), own)
+    natural = ["section", "record_date", "license_number", "application_type"]
+    rank = F.array_position(F.array(*[F.lit(x) for x in ("mutation", "state", "entry", "final")]), F.col("origin"))
+    first = F.row_number().over(Window.partitionBy(*natural).orderBy("seq", rank, "block"))
+    return found.withColumn("place in key", first).where("`place in key` = 1").select("seq", "origin", F.col("section").alias("section_type"), *html.DEFAULTS, "html")
 
 
 def work(files: DataFrame, path: Column, section: str | None = None, limit: int | None = None) -> DataFrame:

@@ -155,19 +155,53 @@ def test_packed_files_shadow_plain_ones(spark, tmp_path):
     assert html.read_files(spark, str(tmp_path), "b.html", strict=True).first().text is None
 
 
-def test_diff_replay_knows_what_it_saw(spark):
-    states = [[f"line {i}" for i in range(20)]]
-    for k in range(4):
-        states.append([x for i, x in enumerate(states[-1]) if i != 3 + k] + [f"new {k}"])
-    rows = [("a", k, "\n".join(difflib.unified_diff(x, y, lineterm=""))) for k, (x, y) in enumerate(zip(states, states[1:]))]
-    rows += [("b", 0, "no diff"), ("b", 1, None)]
-    replayed = diffs.replay(spark.createDataFrame(rows, "section string, seq long, content string"))
-    got = {(r.section, r.seq): r for r in replayed.collect()}
-    assert not any(r.reset or r.mismatches for r in got.values()) and got["b", 0].n_lines == 0 and got["b", 1].n_lines == 0
-    put = {r.text for r in diffs.learned(replayed).where("section = 'a' and seq = 3").collect()}
-    assert put <= set(states[-1]) and "new 3" in put
+def chain(states):
+    """Diffs of three lines of context between pages that are lists of (number, name); a page is a list of blocks."""
+    block = lambda number, name: ["<tbody>", "<tr><td>Notification Date:</td><td>6/5/2025</td></tr>", f"<tr><td>Business Name:</td><td>{name}</td></tr>", "<tr><td>Contact Phone:</td><td>1</td></tr>", "<tr><td>Application Type:</td><td>RENEWAL</td></tr>", f"<tr><td>License Number:</td><td>{number}</td></tr>", "</tbody>"]
+    pages = [[x for r in state for x in block(*r)] for state in states]
+    return ["\n".join(["--- @\tTue, 06 Sep 2022 10:00:00 +0000", "+++ @\tTue, 06 Sep 2022 10:00:00 +0000", *list(difflib.unified_diff(x, y, lineterm=""))[2:]]) for x, y in zip(pages, pages[1:])]
+
+
+def test_diff_replay(spark):
+    start = [(i, f"N{i}") for i in range(12)]
+    states = [start]
+    states.append([(100, "NEW"), *states[-1]])  # an entry
+    states.append([r if r[0] != 5 else (5, "RENAMED") for r in states[-1]])  # a change in place
+    states.append([r for r in states[-1] if r[0] != 7])  # an exit
+    rows = [("new_application", k, c) for k, c in enumerate(chain(states))]
+    rows += [("approved", 0, "error page"), ("approved", 1, None), ("discontinued", 0, chain(states)[0][:-30])]
+    replayed = diffs.replay(spark.createDataFrame(rows, "section string, seq long, content string")).cache()
+    files = {(r.section, r.seq): r for r in replayed.where("origin = 'file'").collect()}
+    assert len(files) == 6 and not any(r.reset or r.mismatches for r in files.values()) and files["approved", 1].n_lines == 0
+    assert 0 < files["new_application", 2].n_known < files["new_application", 2].n_lines <= 12 * 7
+    found = {(r.license_number, r.business_name): r.origin for r in diffs.records_of_replay(replayed).collect()}
+    assert found["100", "NEW"] == "entry" and ("5", "RENAMED") not in found  # its block is never shown whole
     cut = diffs.lines(spark.createDataFrame(rows, "section string, seq long, content string"), ["section", "seq"])
-    assert {tuple(r.lines) for r in diffs.runs(cut, ["section", "seq"]).collect()} == {(f"line {3 + 2 * k}",) for k in range(4)}
+    assert any("<tr><td>License Number:</td><td>7</td></tr>" in r.lines for r in diffs.runs(cut, ["section", "seq"]).collect())
+
+
+def test_replay_knows_earlier_what_a_later_file_shows():
+    import pandas as pd
+
+    start = [(i, f"N{i}") for i in range(4)]
+    rename = lambda state, number, name: [r if r[0] != number else (number, name) for r in state]
+    states = [start, rename(start, 1, "A"), [r for r in rename(start, 1, "A") if r[0] != 1], [(9, "N"), *[r for r in rename(start, 1, "A") if r[0] != 1]]]
+    got = diffs._replay(pd.DataFrame([("s", k, c) for k, c in enumerate(chain(states))], columns=["section", "seq", "content"]))
+    shown = [(o, "".join(x)) for o, x in zip(got["origin"], got["lines"]) if o != "file"]
+    assert any(o in ("state", "mutation") and "<td>N1</td>" in x and "License Number:</td><td>1<" in x for o, x in shown)  # the exit shows the lines that the rename left out
+    assert any("<td>A</td>" in x for _, x in shown) and any(o == "entry" and "<td>9<" in x for o, x in shown)
+
+
+def test_replay_starts_anew_where_a_chain_breaks():
+    import pandas as pd
+
+    a, b = [(i, f"N{i}") for i in range(40)], [(1000 + i, f"M{i}") for i in range(40)]
+    remove = lambda state: [[], state, state[:-1]]
+    rows = [("s", k, c) for k, c in enumerate([*chain(remove(a)), *chain([b, [(r[0], r[1] + "x") for r in b]])])]
+    got = diffs._replay(pd.DataFrame(rows, columns=["section", "seq", "content"]))
+    files = got[got["origin"] == "file"]
+    assert files["reset"].tolist() == [False, False, True]
+    assert sum("M" in "".join(x) for x in got.loc[got["origin"] != "file", "lines"]) >= 39
 
 
 def test_records_of_diffs(spark):
