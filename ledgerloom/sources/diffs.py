@@ -229,12 +229,12 @@ def replay(files: DataFrame) -> DataFrame:
 def records_of_replay(replayed: DataFrame) -> DataFrame:
     """Records of the blocks that a replay evidences: of each natural key the first by file and origin. Result adds seq, origin and html."""
     blocks = replayed.where("origin <> 'file'").select("section", "seq", "origin", F.array_join("lines", "\n").alias("body")).distinct()
-    blocks = blocks.withColumn("block", F.sha2("body", 256))
-    own = ["section", "seq", "origin", "block"]
+    blocks = blocks.withColumn("evidence", F.sha2("body", 256))
+    own = ["section", "seq", "origin", "evidence"]
     found = html.records(html.cells_of(blocks, own), own).drop("pos").withColumnRenamed("section_type", "section").join(blocks.select(*own, F.col("body").alias("html")), own)
     natural = ["section", "record_date", "license_number", "application_type"]
     rank = F.array_position(F.array(*[F.lit(x) for x in ("mutation", "state", "entry", "final")]), F.col("origin"))
-    first = F.row_number().over(Window.partitionBy(*natural).orderBy("seq", rank, "block"))
+    first = F.row_number().over(Window.partitionBy(*natural).orderBy("seq", rank, "evidence"))
     return found.withColumn("place in key", first).where("`place in key` = 1").select("seq", "origin", F.col("section").alias("section_type"), *html.DEFAULTS, "html")
 
 
