@@ -1,7 +1,7 @@
 """Full-text documents as weighted lexemes: match and rank with array expressions.
 
-Lexemes are lower-cased words without stop words, with a light suffix stemmer; a database's dictionary stems differ in rare
-words, and the rank is the sum of the matched lexemes' weights, which orders like, but does not equal, a cover-density rank.
+Lexemes are lower-cased words without stop words, as English stems. The rank is the sum of the matched lexemes' weights, which orders
+like, but does not equal, a cover-density rank.
 """
 
 from __future__ import annotations
@@ -9,19 +9,92 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Weights by class, stop words.
+#: Weights by class; English stop words.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
-STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
-
-
-def _stem(w: Column) -> Column:
-    plural = F.when(w.endswith("sses"), F.regexp_replace(w, "es$", "")).when(w.endswith("ies"), F.regexp_replace(w, "ies$", "i")).when(w.rlike("[^s]s$"), F.regexp_replace(w, "s$", "")).otherwise(w)
-    return F.regexp_replace(plural, "(?<=[aeiouy][a-z]{1,9})(ing|ed)$", "")
+STOP = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
+    "of at by for with about against between into through during before after above below to from up down in out on off over under again further then once "
+    "here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
+#: Fixed values of the English stemmer: words with stems of their own, words that end at the first step, and endings with what takes their place.
+IRREGULAR = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes"}
+EARLY = ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed")
+SECOND = {"ization": "ize", "ational": "ate", "fulness": "ful", "ousness": "ous", "iveness": "ive", "tional": "tion", "biliti": "ble", "lessli": "less", "entli": "ent", "ation": "ate", "alism": "al", "aliti": "al", "ousli": "ous", "iviti": "ive", "fulli": "ful", "enci": "ence", "anci": "ance", "abli": "able", "izer": "ize", "ator": "ate", "alli": "al", "bli": "ble", "ogi": "og", "li": ""}
+THIRD = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ative": "", "ical": "ic", "ness": "", "ful": ""}
+FOURTH = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic")
+
+_V, _C = "[aeiouy]", "[^aeiouy]"
+#: What stands before the first and the second region of a word; Y is a consonant.
+_R1 = rf"(?:gener|commun|arsen|(?!gener|commun|arsen){_C}*{_V}+{_C})"
+_R2 = rf"(?:{_R1}{_C}*{_V}+{_C})"
+_SHORT = rf"(?:^{_V}{_C}|.*{_C}{_V}[^aeiouywxY])"
+
+
+def _ends(w: Column, endings: dict[str, str], region: dict[str, str], before: dict[str, str]) -> Column:
+    """The longest ending that a word has is replaced if it lies in its region and follows what it must."""
+    out = w
+    for end in sorted(endings, key=len):
+        fits = w.rlike(f"^{region.get(end, region[''])}.*(?<={before[end]}){end}$" if end in before else f"^{region.get(end, region[''])}.*{end}$")
+        out = F.when(w.endswith(end), F.when(fits, F.concat(F.left(w, F.length(w) - len(end)), F.lit(endings[end]))).otherwise(w)).otherwise(out)
+    return out
+
+
+def _plural(w: Column) -> Column:
+    cut = lambda n: F.left(w, F.length(w) - n)
+    ied = F.when(F.length(w) > 4, F.concat(cut(3), F.lit("i"))).otherwise(F.concat(cut(3), F.lit("ie")))
+    return F.when(w.endswith("sses"), cut(2)).when(w.rlike("(ied|ies)$"), ied).when(w.rlike("(us|ss)$"), w).when(w.rlike(f"{_V}.+s$"), cut(1)).otherwise(w)
+
+
+def _participle(w: Column) -> Column:
+    """The word with what is left of ed and ing marked by a blank, as it may need an e."""
+    eed = F.when(w.rlike(f"^{_R1}.*eed(ly)?$"), F.regexp_replace(w, "eed(ly)?$", "ee")).otherwise(w)
+    return F.when(w.rlike("eed(ly)?$"), eed).when(w.rlike(f"{_V}.*(ed|edly|ing|ingly)$"), F.regexp_replace(w, "(edly|ingly|ed|ing)$", " ")).otherwise(w)
+
+
+def _mended(w: Column) -> Column:
+    bare = F.rtrim(w)
+    short = bare.rlike(f"{_SHORT}$") & ~bare.rlike(f"^{_R1}.")
+    mended = F.when(bare.rlike("(at|bl|iz)$"), F.concat(bare, F.lit("e"))).when(bare.rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.left(bare, F.length(bare) - 1)).when(short, F.concat(bare, F.lit("e"))).otherwise(bare)
+    return F.when(w.endswith(" "), mended).otherwise(w)
+
+
+def _last(w: Column) -> Column:
+    bare = F.left(w, F.length(w) - 1)
+    e = w.rlike(f"^{_R2}.*e$") | (w.rlike(f"^{_R1}.*e$") & ~bare.rlike(f"{_SHORT}$"))
+    return F.when(w.endswith("e") & e, bare).when(w.rlike(f"^{_R2}.*(?<=l)l$"), bare).otherwise(w)
+
+
+def stems(words: Column) -> Column:
+    """Stems of an array of lower-case words by the English Snowball rules, step by step, so that no step's text is written out twice."""
+    rest = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*IRREGULAR))
+    kept = F.transform(F.filter(words, lambda w: (F.length(w) <= 2) | w.isin(*IRREGULAR)), lambda w: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv]), w), w))
+    steps = [
+        lambda w: F.regexp_replace(F.regexp_replace(w, "^y", "Y"), "(?<=[aeiouy])y", "Y"),
+        _plural,
+    ]
+    for step in steps:
+        rest = F.transform(rest, step)
+    early = F.filter(rest, lambda w: w.isin(*EARLY))
+    rest = F.filter(rest, lambda w: ~w.isin(*EARLY))
+    region = {"": _R1}
+    for step in (
+        _participle,
+        _mended,
+        lambda w: F.regexp_replace(w, "(?<=.[^aeiouy])[yY]$", "i"),
+        lambda w: _ends(w, SECOND, region, {"ogi": "l", "li": "[cdeghkmnrt]"}),
+        lambda w: _ends(w, THIRD, region | {"ative": _R2}, {}),
+        lambda w: _ends(w, dict.fromkeys(FOURTH, ""), {"": _R2}, {"ion": "[st]"}),
+        _last,
+        F.lower,
+    ):
+        rest = F.transform(rest, step)
+    return F.concat(kept, early, rest)
 
 
 def lexemes(c: Column) -> Column:
     words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), 0)
-    return F.array_distinct(F.transform(F.filter(words, lambda w: ~w.isin(*STOP)), _stem))
+    return F.array_distinct(stems(F.filter(words, lambda w: ~w.isin(*STOP))))
 
 
 def _weighted(c: Column, weight: float) -> Column:

@@ -290,3 +290,13 @@ def test_similar_names_without_common_words(spark):
     got = {(r.a, r.b): r.score for r in R.similar_pairs(df, S.similarity_tokens(F.col("name")), S.blended_similarity, 0.7).collect()}
     every = df.alias("x").join(df.alias("y"), F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), scalars.blended_similarity(S.similarity_tokens(F.col("x.name")), S.similarity_tokens(F.col("y.name"))).alias("score")).where("score >= 0.7")
     assert got == {(r.a, r.b): r.score for r in every.collect()} and (4, 5) in got and (0, 1) not in got
+
+
+def test_english_stems(spark):
+    from ledgerloom.operators import text
+
+    pairs = "caresses caress ponies poni ties tie cats cat gas gas this this agreed agre feed feed plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall hissing hiss failing fail filing file happy happi cry cri by by say say relational relat conditional condit rational ration digitizer digit operator oper feudalism feudal hopefulness hope callousness callous triplicate triplic formative format electrical electr goodness good revival reviv allowance allow inference infer adjustment adjust adoption adopt probate probat rate rate cease ceas controlling control roll roll generously generous knightly knight consigned consign dying die news news inning inning succeed succeed skies sky communication communic widgets widget beautiful beauti analogy analog easily easili".split()
+    words, expected = pairs[::2], pairs[1::2]
+    df = spark.createDataFrame([([w],) for w in words], "w array<string>").select("w", text.stems(F.col("w")).alias("s"))
+    assert {r.w[0]: r.s[0] for r in df.collect()} == dict(zip(words, expected, strict=True))
+    assert text.lexemes(F.lit("the and of")) is not None and spark.range(1).select(text.lexemes(F.lit("The Widgets and widget")).alias("x")).first().x == ["widget"]
