@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import dimensions as D
-from .operators import linking, search
+from .operators import linking, search, stats
 from .operators import records as R
 from .operators import text as X
 from .plans import backfill, ingest
@@ -202,6 +202,31 @@ _query("repair_moves", _with("records", "locations") + "select id, coalesce(prev
     lambda t: (lambda r: D.repaired_moves(r, search.with_locations(r, t["locations"]), t["locations"]).select("id", "previous_location_id"))(t["records"].where("application_type = 'CHANGE OF LOCATION'"))
 )
 
+_query("record_totals", _with("records", "entities") + "select count(*) total_records, count(*) filter (section_type = 'new_application') new_application_count, count(*) filter (section_type = 'approved') approved_count, count(*) filter (section_type = 'discontinued') discontinued_count, min(record_date) min_date, max(record_date) max_date, count(distinct business_name) unique_businesses, count(distinct license_number) unique_licenses, (select count(*) from entities) unique_entities from records")(
+    lambda t: stats.totals(t["records"], t["entities"])
+)
+_query("outcome_funnel", _with("records", more=_LINKS) + f"select count(*) filter ({_linkable}) total, " + ", ".join(f"count(*) filter ({where}) {name}" for name, where in _CASES.items()) + " from records r")(lambda t: stats.funnel(t["records"], t["links"], _as_of()))
+_USED = "l.id in (select location_id from records where id % 100 = 0 union select previous_location_id from records where id % 100 = 0)"
+_query("state_options", _with("records", "locations") + f"select distinct coalesce(nullif(std_region, ''), state) state from locations l where {_USED}")(lambda t: stats.state_options(t["records"].where("id % 100 = 0"), t["locations"]))
+_query("cities_of_state", _with("records", "locations") + f"select distinct coalesce(nullif(std_city, ''), city) city from locations l where {_USED} and coalesce(nullif(std_region, ''), state) = 'OR'")(lambda t: stats.cities(t["records"].where("id % 100 = 0"), t["locations"], "OR"))
+_query("cities_of_no_state", "select count(*) n from orders where 1 = 0")(lambda t: stats.cities(t["records"], t["locations"], "XX").agg(F.count("*").alias("n")))
+_query("value_options", _with("records") + "select 'section_type' facet, section_type \"value\" from records group by all union all select 'application_type', application_type from records group by all")(lambda t: stats.value_options(t["records"], ["section_type", "application_type"]))
+_query("broken_keys", _with("records", "locations") + "select id record_id, 'location_id' \"column\", location_id bad_id from records where location_id not in (select id from locations where id % 10 > 0) union all select id, 'previous_location_id', previous_location_id from records where previous_location_id is not null and previous_location_id not in (select id from locations where id % 10 > 0)")(
+    lambda t: stats.broken_keys(t["records"], t["locations"].where("id % 10 > 0"))
+)
+_query("integrity", _with("records", "locations", "endorsements", "record_endorsements", "entities", "record_entities", "record_sources") + """select 'orphaned_locations' check_name, count(*) issues from locations where id not in (select location_id from records union select previous_location_id from records where previous_location_id is not null)
+  union all select 'broken_keys', count(*) filter (location_id not in (select id from locations)) + count(*) filter (previous_location_id is not null and previous_location_id not in (select id from locations)) from records
+  union all select 'no_endorsements', count(*) from records r where license_type <> '' and not exists (select 1 from record_endorsements b where b.record_id = r.id)
+  union all select 'no_entities', count(*) from records r where applicants like '%;%' and not exists (select 1 from record_entities b where b.record_id = r.id)
+  union all select 'no_provenance', count(*) from records r where not exists (select 1 from record_sources b where b.record_id = r.id)
+  union all select 'no_enrichment_tracking', count(*) from records where id % 3 > 0 union all select 'unresolved_codes', count(*) from records r where regexp_matches(license_type, '^\d') and id not in (select record_id from record_endorsements)
+  union all select 'placeholder_endorsements', count(*) from endorsements where regexp_matches(name, '^\d+$') union all select 'duplicate_entities', count(*) from (select upper(name) from entities group by 1 having count(*) > 1)""")(
+    lambda t: stats.integrity(t, t["records"].where("id % 3 = 0").select(F.col("id").alias("record_id"), F.lit("endorsements").alias("step")))
+)
+_query("endorsement_list", _with("endorsements", "codes", "aliases", "record_endorsements") + "select e.id, e.name, (select count(*) from record_endorsements b where b.endorsement_id = e.id) record_count, e.id in (select canonical_endorsement_id from aliases) is_canonical, e.id in (select endorsement_id from aliases) is_variant, (select c.name from aliases a join endorsements c on c.id = a.canonical_endorsement_id where a.endorsement_id = e.id) canonical_name, coalesce((select string_agg(distinct code, ',' order by code) from codes c where c.endorsement_id = e.id), '') codes from endorsements e")(
+    lambda t: stats.endorsement_list(t["endorsements"], t["codes"], t["aliases"], t["record_endorsements"])
+)
+_query("code_counts", _with("codes", "record_endorsements") + "select code, count(distinct record_id) records from codes c left join record_endorsements b on b.endorsement_id = c.endorsement_id group by code")(lambda t: stats.code_counts(t["codes"], t["record_endorsements"]))
 _query("record_provenance", _with("record_sources", "sources", "source_types") + "select source_id, role, slug, label, snapshot_path, captured_at, json_extract_string(metadata, '$.k') k from record_sources b join sources s on s.id = b.source_id join source_types t on t.id = s.source_type_id where record_id = (select min(record_id) from record_sources)")(
     lambda t: search.provenance_of(t["record_sources"], t["sources"], t["source_types"], t["record_sources"].agg(F.min("record_id")).first()[0]).select("source_id", "role", "slug", "label", "snapshot_path", "captured_at", F.col("metadata")["k"].alias("k"))
 )

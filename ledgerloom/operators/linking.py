@@ -133,11 +133,11 @@ def with_outcome(records: DataFrame, links: DataFrame, as_of: Column) -> DataFra
     return out.withColumn("outcome_status", outcome_status(F.col("section_type"), F.col("application_type"), F.col("outcome_section"), F.col("record_date"), as_of))
 
 
-def with_status(records: DataFrame, links: DataFrame, status: str, as_of: Column) -> DataFrame:
-    """Records of one outcome status; any other word filters nothing. Links are joined by id only."""
+def with_status(records: DataFrame, links: DataFrame, status: str, as_of: Column, outcomes: DataFrame | None = None) -> DataFrame:
+    """Records of one outcome status; any other word filters nothing. Links are joined by id only. outcomes are all records, if these are but some."""
     new, day = F.col("section_type") == "new_application", F.to_date("record_date")
     if status in ("approved", "discontinued"):
-        ends = records.where(F.col("section_type") == status).select(F.col("id").alias("outcome_id"))
+        ends = (outcomes if outcomes is not None else records).where(F.col("section_type") == status).select(F.col("id").alias("outcome_id"))
         return records.join(links.join(ends, "outcome_id", "left_semi").select(F.col("new_app_id").alias("id")), "id", "left_semi")
     if status not in ("pending", "data_gap", "unknown"):
         return records

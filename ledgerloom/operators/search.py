@@ -69,17 +69,10 @@ def search(records: DataFrame, tables: dict[str, DataFrame], *, section_type: st
     out = filtered(records, {"section_type": section_type, "application_type": application_type}, ("record_date", date_from or None, date_to or None))
     out = with_endorsements(out, tables["record_endorsements"], tables["endorsements"], tables["aliases"], endorsements) if endorsements else out
     out = in_place(out, tables["locations"], state, city) if state else out
-    out = linking.with_status(records if out is records else out, tables["links"], outcome_status, as_of) if outcome_status in ("pending", "data_gap", "unknown") else _ended(out, records, tables, outcome_status)
+    out = linking.with_status(out, tables["links"], outcome_status, as_of, records) if outcome_status else out
     return said(out, query, document) if query else out
 
 
-def _ended(found: DataFrame, records: DataFrame, tables: dict[str, DataFrame], status: str) -> DataFrame:
-    if status not in ("approved", "discontinued"):
-        return found
-    ends = records.where(F.col("section_type") == status).select(F.col("id").alias("outcome_id"))
-    return found.join(tables["links"].join(ends, "outcome_id", "left_semi").select(F.col("new_app_id").alias("id")), "id", "left_semi")
-
-
 def result_page(found: DataFrame, number: int, size: int) -> DataFrame:
     """A page by rank if there is one, then newest first."""
     return page(found, [*([F.desc("rank")] if "rank" in found.columns else []), F.desc("record_date"), F.desc("id")], number, size)

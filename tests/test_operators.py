@@ -300,3 +300,13 @@ def test_english_stems(spark):
     df = spark.createDataFrame([([w],) for w in words], "w array<string>").select("w", text.stems(F.col("w")).alias("s"))
     assert {r.w[0]: r.s[0] for r in df.collect()} == dict(zip(words, expected, strict=True))
     assert text.lexemes(F.lit("the and of")) is not None and spark.range(1).select(text.lexemes(F.lit("The Widgets and widget")).alias("x")).first().x == ["widget"]
+
+
+def test_export_rows_and_versions(spark):
+    from ledgerloom.sources import sinks
+
+    got = sinks.export_rows(spark.createDataFrame([("approved", None, 0), ("x", "A", 3)], "section_type string, business_name string, days_to_outcome int"))
+    assert got.columns == sinks.EXPORT_COLUMNS and len(got.columns) == 30
+    assert [(r.section_type, r.business_name, r.days_to_outcome, r.city) for r in got.collect()] == [("approved", "", "", ""), ("x", "A", "3", "")]
+    pages = spark.createDataFrame([("2025-01-01", 2), ("2025-01-01", 1), ("2025-01-02", 3)], "day string, captured_at int")
+    assert sorted((r.day, r.captured_at, r.version) for r in sinks.versioned(pages, spark.createDataFrame([("2025-01-01", 4)], "date string, version int")).collect()) == [("2025-01-01", 1, 5), ("2025-01-01", 2, 6), ("2025-01-02", 3, 1)]
