@@ -219,8 +219,8 @@ _query("integrity", _with("records", "locations", "endorsements", "record_endors
   union all select 'no_endorsements', count(*) from records r where license_type <> '' and not exists (select 1 from record_endorsements b where b.record_id = r.id)
   union all select 'no_entities', count(*) from records r where applicants like '%;%' and not exists (select 1 from record_entities b where b.record_id = r.id)
   union all select 'no_provenance', count(*) from records r where not exists (select 1 from record_sources b where b.record_id = r.id)
-  union all select 'no_enrichment_tracking', count(*) from records where id % 3 > 0 union all select 'unresolved_codes', count(*) from records r where regexp_matches(license_type, '^\d') and id not in (select record_id from record_endorsements)
-  union all select 'placeholder_endorsements', count(*) from endorsements where regexp_matches(name, '^\d+$') union all select 'duplicate_entities', count(*) from (select upper(name) from entities group by 1 having count(*) > 1)""")(
+  union all select 'no_enrichment_tracking', count(*) from records where id % 3 > 0 union all select 'unresolved_codes', count(*) from records r where regexp_matches(license_type, '^\\d') and id not in (select record_id from record_endorsements)
+  union all select 'placeholder_endorsements', count(*) from endorsements where regexp_matches(name, '^\\d+$') union all select 'duplicate_entities', count(*) from (select upper(name) from entities group by 1 having count(*) > 1)""")(
     lambda t: stats.integrity(t, t["records"].where("id % 3 = 0").select(F.col("id").alias("record_id"), F.lit("endorsements").alias("step")))
 )
 _query("endorsement_list", _with("endorsements", "codes", "aliases", "record_endorsements") + "select e.id, e.name, (select count(*) from record_endorsements b where b.endorsement_id = e.id) record_count, e.id in (select canonical_endorsement_id from aliases) is_canonical, e.id in (select endorsement_id from aliases) is_variant, (select c.name from aliases a join endorsements c on c.id = a.canonical_endorsement_id where a.endorsement_id = e.id) canonical_name, coalesce((select string_agg(distinct code, ',' order by code) from codes c where c.endorsement_id = e.id), '') codes from endorsements e")(
