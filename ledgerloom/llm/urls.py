@@ -145,7 +145,8 @@ def judge(urls: DataFrame, rules: dict[str, str], url: str = "url", default: str
     keys = df.select(F.explode("candidate keys").alias("c")).select(F.col("c.key").alias("key"))
     verdicts = sorted(set(rules.values()) - {default})
     every = build_cascade(keys, names)
-    by_verdict = {v: build_cascade(keys, [r for r in names if rules[r] == v]) for v in verdicts}
+    own = urls.sparkSession.createDataFrame([(r,) for r in names], "key string")  # the universe of keys that are rules, so urls are not read again
+    by_verdict = {v: build_cascade(own, [r for r in names if rules[r] == v]) for v in verdicts}
     found = F.filter("candidate keys", lambda c: listed(c["key"], every))
     best = F.array_max(F.transform(found, lambda c: F.struct(F.length(c["key"]).alias("l"), c["host_length"].alias("h"), c["key"].alias("key"))))["key"]
     df = df.withColumn("rule", best).drop("candidate keys")
