@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, materialise, table
 from .components import components
@@ -45,10 +46,14 @@ _FOUND = ("a", "b", "gap", "pass", "key", "class_id", "vector")
 
 
 def classes_of(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """(vec_id, class_id) of valid vectors, and (class_id, n, vector) of the classes of equal vectors; class_id is the least vec_id."""
-    values = F.col(vector).cast("array<double>")
+    """(vec_id, class_id) of valid vectors, and (class_id, n, vector) of the classes of equal vectors; class_id is the least vec_id.
+
+    Vectors of floats move as floats, half the bytes; every product is formed in double precision.
+    """
+    floats = isinstance(getattr(vectors.schema[vector].dataType, "elementType", None), T.FloatType)
+    values = F.col(vector) if floats else F.col(vector).cast("array<double>")
     good = F.col(vector).isNotNull() & ~F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = F.coalesce(good, F.lit(False)) & (F.aggregate(values, F.lit(0.0), lambda s, x: s + x * x) > 0)
+    good = F.coalesce(good, F.lit(False)) & (F.aggregate(values, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) > 0)
     valid = vectors.select(F.col(key).cast("long").alias("vec_id"), values.alias("vector")).where(good & F.col(key).isNotNull())
     valid = valid.withColumn("h1", F.xxhash64(F.lit(1), "vector")).withColumn("h2", F.xxhash64(F.lit(2), "vector"))
     classes = valid.groupBy("h1", "h2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n"), F.first("vector").alias("vector"))
@@ -69,7 +74,7 @@ def _vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for length in np.unique(n):
         rows = np.flatnonzero(n == length)
-        out.append((rows, flat[starts[rows][:, None] + np.arange(length)[None, :]]))
+        out.append((rows, flat[starts[rows][:, None] + np.arange(length)[None, :]].astype(np.float64)))
     return out
 
 
@@ -193,17 +198,17 @@ def _over_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pairs(classes: DataFrame) -> DataFrame:
     """(a, b): what connects the verified pairs of classes found by any pass. A pair given back need not be near itself: both hang together by near ones."""
-    n = classes.count()
+    n, kind = classes.count(), classes.schema["vector"].dataType.simpleString()
     drawn = classes.where(F.pmod(F.xxhash64("class_id"), F.lit(max(1, n))) < SAMPLE).select("vector").limit(2 * SAMPLE).toArrow()
     sample = max((x for _, x in _vectors(drawn["vector"].combine_chunks())), key=len, default=np.zeros((0, 1))) if drawn.num_rows else np.zeros((0, 1))
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = []
     for start in range(0, passes_needed(sample, n), PASSES):
         passes = range(start, start + PASSES)
-        keyed = classes.select("class_id", "vector").mapInArrow(lambda batches, passes=passes: _with_keys(batches, passes), "pass int, key long, class_id long, vector array<double>")
+        keyed = classes.select("class_id", "vector").mapInArrow(lambda batches, passes=passes: _with_keys(batches, passes), f"pass int, key long, class_id long, vector {kind}")
         keyed = materialise(keyed, "keyed")
         ordered = keyed.repartitionByRange(parts, "pass", "key", "class_id").sortWithinPartitions("pass", "key", "class_id")
-        near = materialise(ordered.mapInArrow(_windows, "a long, b long, gap int, pass int, key long, class_id long, vector array<double>"), "near")
+        near = materialise(ordered.mapInArrow(_windows, f"a long, b long, gap int, pass int, key long, class_id long, vector {kind}"), "near")
         discard(keyed)
         borders = near.where("gap is not null").select("gap", "pass", "key", "class_id", "vector").repartition("gap").sortWithinPartitions("gap", "pass", "key", "class_id")
         both = near.where("gap is null").select("a", "b").union(borders.mapInArrow(_over_gaps, "a long, b long"))
