@@ -8,7 +8,7 @@ false-positive rate; the largest corrected count decides.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; a text whose n-grams no language
 holds gets the language most common in training with score 0; of equal counts the first language by name wins.
-Repeated texts of a language teach once. An empty table gives an empty result.
+Repeated texts of a language teach once, though all count for LEAST_GRAMS. An empty table gives an empty result.
 Rows without a language don't teach. Every language whose rows hold LEAST_GRAMS n-grams is learned, however small its
 share of the rows. With no teaching row at all every text is ``und``. Texts are read whole,
 very long ones in parts that end between words, which gives the same n-grams. Extra columns are kept only when named in ``keep``.
@@ -113,16 +113,18 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, n-gram hash, count) of each batch."""
+    """(lang, n-gram hash, count, count with all copies) of each batch of (text, lang, copies)."""
     for batch in slices(batches, 0):
-        langs = batch.column(1).to_pylist()
+        langs, copies = batch.column(1).to_pylist(), batch.column(2).to_numpy()
         for part, rows in _parts(strings(batch.column(0))):
             h, at = _grams(part)
             names = sorted({langs[r] for r in rows})
             number = np.array([names.index(langs[r]) for r in rows])[at]
             for k, name in enumerate(names):
-                gram, n = np.unique(h[number == k], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                own = number == k
+                gram, place, n = np.unique(h[own], return_inverse=True, return_counts=True)
+                every = np.bincount(place, weights=copies[np.array(rows)[at[own]]], minlength=len(gram)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n), pa.array(every)], ["lang", "gram", "n", "every"])
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
@@ -130,9 +132,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     sizes = materialise(rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("texts")), "sizes")  # one row a language
-    sampled = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.lit(1), "h"), F.lit(1 << 20)) < F.least(F.lit(1.0), F.lit(float(ROWS_PER_LANGUAGE)) / F.col("texts")) * (1 << 20)).dropDuplicates(["lang", "h"])
-    counts = materialise(sampled.select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_GRAMS)
+    sampled = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.lit(1), "h"), F.lit(1 << 20)) < F.least(F.lit(1.0), F.lit(float(ROWS_PER_LANGUAGE)) / F.col("texts")) * (1 << 20))
+    sampled = sampled.groupBy("lang", "h").agg(F.min("text").alias("text"), F.count("*").alias("copies"))
+    counts = materialise(sampled.select("text", "lang", "copies").mapInArrow(_count_grams, "lang string, gram long, n long, every long").groupBy("gram", "lang").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "grams")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.sum("every").alias("every")).where(F.col("every") >= LEAST_GRAMS)
     kept = {r["lang"]: (r["rows"], r["total"]) for r in totals.join(sizes, "lang").collect()}
     names = sorted(kept)
     if not names:

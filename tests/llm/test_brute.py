@@ -60,7 +60,10 @@ def brute_language(teach: list[tuple[str, str]], texts: list[str | None]) -> lis
     counts = {a: Counter() for a in sorted({a for _, a in teach})}
     for text, lang in {(t, a) for t, a in teach}:
         counts[lang].update(grams(text))
-    counts = {a: c for a, c in counts.items() if c.total() >= langid.LEAST_GRAMS}
+    every = Counter()
+    for text, lang in teach:
+        every[lang] += grams(text).total()
+    counts = {a: c for a, c in counts.items() if every[a] >= langid.LEAST_GRAMS}
     share = {a: {g: n / c.total() for g, n in c.items()} for a, c in counts.items()}
     most = Counter()
     for s in share.values():
