@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, jaccard, langid, licenses, mixing, preferences, quality, rules, urls
+from . import bpe, embeddings, jaccard, langid, lexical, licenses, mixing, preferences, quality, rules, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_divergence_rules": rules.rules_query,
         "op9_jaccard_join": jaccard.jaccard_query,
         "op10_license_scan": licenses.license_query,
+        "op13_ranked_search": lexical.search_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_cascade": urls.ORACLE, "op7_preference_pairs": preferences.ORACLE}
+    return {"op2_url_cascade": urls.ORACLE, "op7_preference_pairs": preferences.ORACLE, "op13_ranked_search": lexical.ORACLE}
