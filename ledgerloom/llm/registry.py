@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, jaccard, langid, lexical, licenses, mixing, preferences, quality, rules, urls
+from . import bpe, embeddings, jaccard, langid, lexical, licenses, mixing, pii, preferences, quality, rules, urls, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_divergence_rules": rules.rules_query,
         "op9_jaccard_join": jaccard.jaccard_query,
         "op10_license_scan": licenses.license_query,
+        "op11_whitening": whitening.whitening_query,
+        "op12_weak_pii": pii.pii_query,
         "op13_ranked_search": lexical.search_query,
     }
 
