@@ -86,14 +86,17 @@ def search(index: DataFrame, asked: DataFrame, top: int = TOP) -> DataFrame:
     n_terms, n_docs = index.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tf"), F.lit(0))).first()
     own = index.where("term is not null")
     weight = F.floor(F.lit(1000.0) * F.log((F.lit(2.0) * n_docs + 2) / (F.lit(2.0) * F.count("*") + 1))).cast("long")
-    weights = own.groupBy("term").agg(weight.alias("w"))
+    weights = materialise(own.groupBy("term").agg(weight.alias("w")), "weights")  # so Spark knows its size and joins it without moving postings
     mass = F.expr(f"75L + (25L * n * {n_docs}L) div {max(1, n_terms)}L")
     gain = own.join(weights, "term").withColumn("m", mass).select("term", "doc_id", "place", F.expr("w * ((1000000000L * tf) div (1000L * tf + 12L * m))").alias("gain"))
     # by document, so that the sums by item and document need no further shuffle
     met = gain.repartition("place").join(asked, "term")
     sums = met.groupBy("item_id", "place", "doc_id").agg(F.sum(F.col("gain") * F.col("times")).alias("score")).where("score > 0")
     best = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("place"))
-    return sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
+    ranked = sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
+    found = materialise(ranked, "ranked")
+    discard(weights)
+    return found
 
 
 def ranked_search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
@@ -101,7 +104,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFram
     asked = materialise(terms_of(items), "asked")
     wanted = materialise(asked.select("term").distinct(), "wanted")
     index = postings(docs, wanted=wanted)
-    found = materialise(search(index, asked, top), "ranked")
+    found = search(index, asked, top)
     discard(asked, wanted, index)
     return found
 
