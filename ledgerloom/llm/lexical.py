@@ -32,6 +32,8 @@ from .common import discard, materialise, slices, strings, table
 TOP = 20
 #: Postings of a document lie in one of so many parts of a term's bucket.
 SHARDS = 16
+#: Rows in a file of the tables of items' terms and weights.
+FILE_ROWS = 1_000_000
 _TO_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _POSTING = "term string, doc_id long, place long, n long, tf long"
 
@@ -81,12 +83,20 @@ def terms_of(items: DataFrame, key: str = "item_id", text: str = "text") -> Data
     return items.select(F.col(key).alias("item_id"), F.explode(found).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("times"))
 
 
+def _compact(df: DataFrame, name: str) -> DataFrame:
+    """A table written in files of about FILE_ROWS rows, so that Spark sees the size of its rows, not of many small files, when it chooses a join."""
+    many = materialise(df, name)
+    few = materialise(many.coalesce(many.count() // FILE_ROWS + 1), name)
+    discard(many)
+    return few
+
+
 def search(index: DataFrame, asked: DataFrame, top: int = TOP) -> DataFrame:
     """(item_id, rank, doc_id, score): of each item in asked (item_id, term, times) the documents of postings that score highest, above 0."""
     n_terms, n_docs = index.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tf"), F.lit(0))).first()
     own = index.where("term is not null")
     weight = F.floor(F.lit(1000.0) * F.log((F.lit(2.0) * n_docs + 2) / (F.lit(2.0) * F.count("*") + 1))).cast("long")
-    weights = materialise(own.groupBy("term").agg(weight.alias("w")), "weights")  # so Spark knows its size and joins it without moving postings
+    weights = _compact(own.groupBy("term").agg(weight.alias("w")), "weights")
     mass = F.expr(f"75L + (25L * n * {n_docs}L) div {max(1, n_terms)}L")
     gain = own.join(weights, "term").withColumn("m", mass).select("term", "doc_id", "place", F.expr("w * ((1000000000L * tf) div (1000L * tf + 12L * m))").alias("gain"))
     # by document, so that the sums by item and document need no further shuffle
@@ -101,8 +111,8 @@ def search(index: DataFrame, asked: DataFrame, top: int = TOP) -> DataFrame:
 
 def ranked_search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     """search() of all items over all documents."""
-    asked = materialise(terms_of(items), "asked")
-    wanted = materialise(asked.select("term").distinct(), "wanted")
+    asked = _compact(terms_of(items), "asked")
+    wanted = _compact(asked.select("term").distinct(), "wanted")
     index = postings(docs, wanted=wanted)
     found = search(index, asked, top)
     discard(asked, wanted, index)
