@@ -340,6 +340,7 @@ def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = find(docs, fit(docs))
     base = F.filter("found", lambda s: s["base"])
     said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [number(kind) for kind in BASE_KINDS]
     score = F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0))
     return each.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("found")).alias("spans"), score.alias("score"))
