@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,11 @@ from pyspark.sql import functions as F
 SUFFIXES = ("INC.", "LLC.", "L.L.C.", "L.L.P.", "LTD.", "CORP.", "CO.", "L.P.", "PTY.", "JR.", "SR.", "S.P.A.", "F.O.E.", "U.P.", "D.B.A.", "P.C.", "N.A.", "P.A.", "W. & S.")
 MARKERS = ("ADDITIONAL NAMES ON FILE", "ADDTIONAL NAMES ON FILE")
 ORGANISATION = r"\b(LLC|L\.?L\.?C\.?|INC\.?|CORP\.?|CORPORATION|TRUST|LTD\.?|LIMITED|PARTNERS|PARTNERSHIP|HOLDINGS|GROUP|ENTERPRISE|ENTERPRISES|ASSOCIATION|FOUNDATION|COMPANY|CO\.|L\.?P\.?)\b"
+#: Marks of repeated names, places in addresses with and without a zip, and punctuation that similarity reads as blanks.
 DUPLICATE = r"(?iU)\s*(?:\(\s*DUPLICATE(?:\s+\d+)?\s*\)|\*DUPLICATE\*|\(\s*DUPLICATE(?:\s+\d+)?|DUPLICATE)"
+PLACE = r"(?U),\s*([A-Z][A-Z .]+?),\s*([A-Z]{2})"
+PLACE_WITH_ZIP = PLACE + r"\s+(\d{5}(?:-\d{4})?)"
+PUNCTUATION = r"""[<>,.;:!?/\\()\[\]{}"'`@#$%^&*=|~]"""
 #: Sections as they are shown, and the archive folders that they come from.
 SECTION_LABELS = {"new_application": "New Application", "approved": "Approved", "discontinued": "Discontinued"}
 SECTION_FOLDERS = {"notifications": "new_application", "approvals": "approved", "discontinued": "discontinued"}
@@ -19,6 +25,31 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space of any kind at either end, the non-breaking blank and the separators 28 to 31 included."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point; null for what is none."""
+    real = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    return F.when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+
+
+def unescaped(c: Column) -> Column:
+    """Text with its character references read, each once: named ones with a semicolon, numeric ones with or without. Others stay as they are."""
+    named = F.create_map(*[F.lit(x) for name, point in {**name2codepoint, "apos": 39}.items() for x in (name, chr(point))])
+
+    def read(t: Column) -> Column:
+        digits = F.rtrim(F.substr(t, F.lit(3)), F.lit(";"))
+        number = F.when(t.rlike("^&#[xX]"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits).try_cast("long")
+        said = F.when(t.startswith("&#"), _character(number)).otherwise(F.try_element_at(named, F.rtrim(F.substr(t, F.lit(2)), F.lit(";"))))
+        return F.when(t.startswith("&") & (F.length(t) > 1), F.coalesce(said, t)).otherwise(t)
+
+    pieces = F.regexp_extract_all(c, F.lit(r"&#[xX][0-9a-fA-F]{1,8};?|&#[0-9]{1,10};?|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"), 0)
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, read), "")).otherwise(c)
+
+
 def clean_name(c: Column) -> Column:
     """Upper case, single spaces, no trailing dots or commas but that of a known suffix."""
     text = F.regexp_replace(F.upper(_strip(c)), r"(?U)\s+", " ")
@@ -43,8 +74,7 @@ def iso_date(c: Column) -> Column:
 
 def city_state_zip(c: Column) -> Column:
     """struct<city, state, zip> of an address in capitals, without a zip if there is none; defaults '', WA, ''."""
-    place = r"(?U),\s*([A-Z][A-Z .]+?),\s*([A-Z]{2})"
-    full = place + r"\s+(\d{5}(?:-\d{4})?)"
+    place, full = PLACE, PLACE_WITH_ZIP
     found = lambda pattern: F.struct(_strip(F.regexp_extract(c, pattern, 1)).alias("city"), F.regexp_extract(c, pattern, 2).alias("state"), (F.regexp_extract(c, pattern, 3) if pattern is full else F.lit("")).alias("zip"))
     none = F.struct(F.lit("").alias("city"), F.lit("WA").alias("state"), F.lit("").alias("zip"))
     return F.when(c.rlike(full), found(full)).when(c.rlike(place), found(place)).otherwise(none)
@@ -100,7 +130,7 @@ def applicants(c: Column) -> Column:
 def license_types(c: Column) -> Column:
     """array<struct<code, name>> of the three forms: a bare code, ``code, name`` or a ;-list of names."""
     entry = lambda code, name: F.struct(code.cast("string").alias("code"), name.cast("string").alias("name"))
-    t = F.rtrim(F.trim(c), F.lit(","))
+    t = _strip(F.rtrim(c, F.lit(",")))
     none = F.lit(None).cast("string")
     names = F.transform(F.filter(F.transform(F.split(c, ";"), _strip), lambda x: x != ""), lambda x: entry(none, F.upper(x)))
     return (
@@ -174,7 +204,7 @@ def similarity_tokens(c: Column) -> Column:
     """Words in capitals: + as PLUS, a - that stands alone as MINUS, other punctuation as blanks, without stop words."""
     t = F.replace(similarity_phrase(c), F.lit("+"), F.lit(" PLUS "))
     t = F.regexp_replace(t, "(?<![a-zA-Z0-9])-(?![a-zA-Z0-9])", " MINUS ")
-    t = F.regexp_replace(t, r"""[<>,.;:!?/\\()\[\]{}"'`@#$%^&*=|~]""", " ")
+    t = F.regexp_replace(t, PUNCTUATION, " ")
     return F.filter(F.split(t, r"(?U)\s+"), lambda x: (x != "") & ~x.isin(*STOP_WORDS))
 
 

@@ -105,8 +105,43 @@ _CASES = {
 for _status, _where in _CASES.items():
     _query(f"filter_{_status}", _with("records", more=_LINKS) + f"select r.id from records r where {_where}")(lambda t, s=_status: linking.with_status(t["records"], t["links"], s, _as_of()).select("id"))
 
-_query("link_new_records", _with("records", more=_LINKS) + "select new_app_id, outcome_id, confidence, days_gap from links l where new_app_id % 10 = 0 or (outcome_id % 10 = 0 and confidence = 'high')")(
-    lambda t: linking.link_new(t["records"], t["links"].limit(0), t["records"].where("id % 10 = 0").select("id")).select("new_app_id", "outcome_id", "confidence", "days_gap")
+#: One record after the other, as it arrives: what each finds are the two statements of the incremental worker, over what was there before it.
+_SEEN = "(x.id % 10 > 0 or x.id <= r.id)"
+_APPROVED = "('RENEWAL', 'NEW APPLICATION', 'ASSUMPTION', 'ADDED/CHANGE OF CLASS', 'CHANGE OF CORPORATE OFFICER', 'CHANGE OF LOCATION', 'RESUME BUSINESS', 'IN LIEU')"
+_FIRST = "(select {0} from records x where x.section_type = {1} and x.license_number = r.license_number and x.application_type = {2} and " + _SEEN + " and cast(x.record_date as date) {3})"
+_ARRIVALS = f"""asked as (select id, record_date, license_number, application_type, section_type, case when application_type = 'DISC. LIQUOR SALES' then 'discontinued' else 'approved' end out_section, case when application_type = 'DISC. LIQUOR SALES' then 'DISCONTINUED' else application_type end out_type, case when application_type = 'DISCONTINUED' then 'DISC. LIQUOR SALES' else application_type end app_type from records
+    where id % 10 = 0 and (section_type = 'new_application' and (application_type = 'DISC. LIQUOR SALES' or application_type in {_APPROVED}) or section_type = 'approved' and application_type in {_APPROVED} or section_type = 'discontinued' and application_type = 'DISCONTINUED')),
+  ahead as (select r.*, {_FIRST.format("arg_min(x.id, (x.record_date, x.id))", "r.out_section", "r.out_type", ">= cast(r.record_date as date) - interval 7 days")} other from asked r where section_type = 'new_application'),
+  back as (select r.*, {_FIRST.format("arg_max(x.id, (x.record_date, x.id))", "'new_application'", "r.app_type", "<= cast(r.record_date as date) + interval 7 days")} other from asked r where section_type <> 'new_application'),
+  dated as (select r.*, o.record_date other_date from (select * from ahead union all select * from back) r join records o on o.id = r.other),
+  chosen as (select r.*, case when section_type = 'new_application' then {_FIRST.format("arg_max(x.id, (x.record_date, x.id))", "'new_application'", "r.app_type", "<= cast(r.other_date as date) + interval 7 days")}
+    else {_FIRST.format("arg_min(x.id, (x.record_date, x.id))", "r.section_type", "r.out_type", ">= cast(r.other_date as date) - interval 7 days")} end best from dated r),
+  added as (select case when section_type = 'new_application' then id else other end new_app_id, case when section_type = 'new_application' then other else id end outcome_id, case when best = id then 'high' else 'medium' end confidence,
+    case when section_type = 'new_application' then date_diff('day', cast(record_date as date), cast(other_date as date)) else date_diff('day', cast(other_date as date), cast(record_date as date)) end days_gap from chosen)"""
+
+
+def _arrived(t: Licensing) -> DataFrame:
+    """Links that every tenth record adds as it arrives after all others."""
+    return linking.link_new(t["records"], t["links"].limit(0), t["records"].where("id % 10 = 0").select("id"))
+
+
+_query("link_new_records", _with("records", more=_ARRIVALS) + "select * from added")(_arrived)
+_query("link_new_keeps_old", _with("records", more=_LINKS + ",\n" + _ARRIVALS) + "select * from links union all select * from added a where not exists (select 1 from links l where l.new_app_id = a.new_app_id and l.outcome_id = a.outcome_id)")(
+    lambda t: t["links"].unionByName(linking.link_new(t["records"], t["links"], t["records"].where("id % 10 = 0").select("id")))
+)
+#: Every pair of one license, so that applications have several links, high ones among them.
+_PAIRS = "pairs as (select n.id new_app_id, o.id outcome_id, case when (n.id + o.id) % 3 = 0 then 'high' else 'medium' end confidence, date_diff('day', cast(n.record_date as date), cast(o.record_date as date)) days_gap from records n join records o on o.license_number = n.license_number and n.section_type = 'new_application' and o.section_type = 'approved')"
+
+
+def _pairs(t: Licensing) -> DataFrame:
+    day = lambda c: F.to_date(f"{c}.record_date")
+    n, o = t["records"].where("section_type = 'new_application'").alias("n"), t["records"].where("section_type = 'approved'").alias("o")
+    return n.join(o, F.col("n.license_number") == F.col("o.license_number")).select(F.col("n.id").alias("new_app_id"), F.col("o.id").alias("outcome_id"), F.when((F.col("n.id") + F.col("o.id")) % 3 == 0, "high").otherwise("medium").alias("confidence"), F.datediff(day("o"), day("n")).cast("long").alias("days_gap"))
+
+
+_query("best_link_bulk", _with("records", more=_PAIRS) + "select new_app_id, outcome_id, confidence, days_gap from pairs qualify row_number() over (partition by new_app_id order by confidence, case when confidence = 'high' then -outcome_id else outcome_id end) = 1")(lambda t: linking.best_link(_pairs(t)))
+_query("reverse_link_details", _with("records", more=_LINKS) + "select outcome_id, new_app_id, confidence, days_gap, n.record_date new_app_date, n.business_name new_app_business_name, n.application_type new_app_type from links join records n on n.id = new_app_id join records o on o.id = outcome_id where o.section_type in ('approved', 'discontinued') qualify row_number() over (partition by outcome_id order by new_app_id) = 1")(
+    lambda t: linking.reverse_link_details(t["records"], t["links"])
 )
 _query("previous_location_backfill", _with("records", more=_LINKS) + "select r.id, case when r.application_type = 'CHANGE OF LOCATION' then coalesce(r.previous_location_id, (select min(n.previous_location_id) from links l join records n on n.id = l.new_app_id where l.outcome_id = r.id)) else r.previous_location_id end previous_location_id from records r")(
     lambda t: linking.with_previous_location(t["records"], t["links"]).select("id", "previous_location_id")
@@ -154,10 +189,63 @@ _query("missing_entities", _with("records", "record_entities") + "select id from
 _query("merged_entities", _with("entities", "record_entities") + "select record_id, role, canonical entity_id, min(position) position from record_entities join (select id entity_id, min(id) over (partition by lower(name)) canonical from entities) using (entity_id) group by 1, 2, 3")(lambda t: D.merged_entities(t["entities"], t["record_entities"])[1].select("record_id", "role", "entity_id", "position"))
 _MEANT = """meant as (select id record_id, regexp_extract(license_type, '^(\\d+),', 1) code, nullif(upper(trim(regexp_extract(license_type, '^\\d+,(.*)$', 1))), '') name from records where regexp_matches(license_type, '^\\d+,')
   union all select id, null, unnest(list_transform(string_split(license_type, ';'), lambda x: upper(trim(x)))) from records where not regexp_matches(license_type, '^\\d+,'))"""
-_query("endorsement_bridge", _with("records", "codes", more=_MEANT) + "select distinct record_id, coalesce('#' || endorsement_id, name, m.code) endorsement from meant m left join codes c on c.code = m.code")(
-    lambda t: (lambda more: D.endorsement_bridge(t["records"], t["codes"], more).join(more.withColumnRenamed("id", "endorsement_id").join(t["codes"].select("endorsement_id").distinct().withColumn("coded", F.lit(True)), "endorsement_id", "left"), "endorsement_id").select("record_id", F.when(F.col("coded"), F.concat(F.lit("#"), F.col("endorsement_id"))).otherwise(F.col("name")).alias("endorsement")))(
-        D.add_endorsements(t["endorsements"].join(t["codes"].select(F.col("endorsement_id").alias("id")), "id", "left_semi").withColumn("name", F.concat(F.lit("#"), F.col("id"))), D.wanted_endorsements(t["records"], t["codes"]))
+#: Records come in two batches, even ids first; the first that bears an unknown code names it.
+_REGISTERED = _MEANT + """,
+  first as (select code, arg_min(coalesce(name, code), (record_id % 2, record_id)) name from meant where code is not null and code not in (select code from codes) group by code)"""
+
+
+def _two_batches(t: Licensing) -> tuple[DataFrame, DataFrame]:
+    """Endorsements and codes after both batches; those that codes stand for at first are named #id."""
+    known = t["endorsements"].join(t["codes"].select(F.col("endorsement_id").alias("id")), "id", "left_semi").withColumn("name", F.concat(F.lit("#"), F.col("id")))
+    more, codes = D.registered(t["records"].where("id % 2 = 0"), t["codes"], known)
+    return D.registered(t["records"].where("id % 2 = 1"), codes, more)
+
+
+_query("endorsement_bridge", _with("records", "codes", more=_REGISTERED) + "select distinct record_id, coalesce('#' || endorsement_id, f.name, m.name) endorsement from meant m left join codes c on c.code = m.code left join first f on f.code = m.code")(
+    lambda t: (lambda more, codes: D.endorsement_bridge(t["records"], codes, more).join(more.select(F.col("id").alias("endorsement_id"), F.col("name").alias("endorsement")), "endorsement_id").select("record_id", "endorsement"))(*_two_batches(t))
+)
+_query("registered_codes", _with("records", "codes", more=_REGISTERED) + "select code, '#' || endorsement_id name from codes union all select code, name from first")(
+    lambda t: (lambda more, codes: codes.join(more.withColumnRenamed("id", "endorsement_id"), "endorsement_id").select("code", "name"))(*_two_batches(t))
+)
+_RESULTS = """results as (select o_custkey location_id, o_orderdate + o_orderkey % 86400 * interval 1 second "at", case when o_orderkey % 11 = 0 then 'standardize' else 'validate' end "mode", case o_orderkey % 4 when 0 then 'confirmed' when 1 then 'not_confirmed' when 2 then 'confirmed_bad_secondary' end status,
+    case when o_orderkey % 5 > 0 then 'D' || o_orderkey % 5 end dpv_match_code, o_orderkey || ' MAIN ST' address_line_1, cast(null as {text}) address_line_2, 'CITY ' || o_orderkey % 50 city, 'WA' region, cast(o_orderkey % 90000 + 10000 as {text}) postal_code, case o_orderkey % 3 when 0 then 'US' when 1 then 'USA' end country, o_orderkey || ' MAIN' validated, o_orderkey % 90 + 0.5 latitude, 0.5 - o_orderkey % 90 longitude from orders)"""
+_MERGED = _RESULTS.format(text="varchar") + """,
+  given as (select *, "mode" = 'standardize' std, "mode" <> 'standardize' and status in ('confirmed', 'confirmed_missing_secondary', 'confirmed_bad_secondary') ok from results where status is not null or "mode" = 'standardize'),
+  last as (select location_id, arg_max(case when std then 'standardized' else status end, "at") validation_status, (arg_max({'x': dpv_match_code}, "at") filter (not std)).x dpv_match_code,
+    (arg_max({'x': city}, "at") filter (std or ok)).x std_city, (arg_max({'x': case when country = 'US' then 'US' else '' end}, "at") filter (std or ok)).x std_country, (arg_max({'x': validated}, "at") filter (std or ok)).x std_address_string, arg_max(latitude, "at") filter (ok) latitude,
+    max("at") filter (std or ok) t1, max("at") filter (ok) t2, max("at") filter (not std) t3 from given group by 1)"""
+
+
+def _service_results(t: Licensing) -> DataFrame:
+    key = F.col("o_orderkey")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    return t.orders.select(
+        F.col("o_custkey").alias("location_id"),
+        (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), key % 86400)).alias("at"),
+        F.when(key % 11 == 0, "standardize").otherwise("validate").alias("mode"),
+        F.when(key % 4 == 0, "confirmed").when(key % 4 == 1, "not_confirmed").when(key % 4 == 2, "confirmed_bad_secondary").alias("status"),
+        F.when(key % 5 > 0, text("D", key % 5)).alias("dpv_match_code"),
+        text(key, " MAIN ST").alias("address_line_1"),
+        F.lit(None).cast("string").alias("address_line_2"),
+        text("CITY ", key % 50).alias("city"),
+        F.lit("WA").alias("region"),
+        (key % 90000 + 10000).cast("string").alias("postal_code"),
+        F.when(key % 3 == 0, "US").when(key % 3 == 1, "USA").alias("country"),
+        text(key, " MAIN").alias("validated"),
+        (key % 90 + 0.5).alias("latitude"),
+        (0.5 - key % 90).alias("longitude"),
     )
+
+
+def _unvalidated(t: Licensing) -> DataFrame:
+    """Customers as locations that no service has seen, some of them with an address that is known already, some without any."""
+    text = lambda c, value=None: F.lit(value).cast("string").alias(c)
+    time = lambda c: F.lit(None).cast("timestamp_ntz").alias(c)
+    return t.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 > 0, F.col("c_name")).alias("raw_address"), text("std_address_line_1"), text("std_address_line_2"), F.when(F.col("c_custkey") % 2 == 0, "OLD").alias("std_city"), text("std_region"), text("std_postal_code"), text("std_country"), text("std_address_string"), text("validation_status"), text("dpv_match_code"), F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"), time("address_standardized_at"), time("address_validated_at"), time("address_validation_attempted_at"))
+
+
+_query("merged_validations", "with " + _MERGED + """ select c_custkey id, validation_status, dpv_match_code, case when t1 is not null then std_city when c_custkey % 2 = 0 then 'OLD' end std_city, std_country, std_address_string, cast(latitude as double) latitude, t1 address_standardized_at, t2 address_validated_at, t3 address_validation_attempted_at from customer left join last on location_id = c_custkey and c_custkey % 7 > 0""")(
+    lambda t: (lambda once: D.merged_validations(once, _service_results(t)).select("id", "validation_status", "dpv_match_code", "std_city", "std_country", "std_address_string", "latitude", "address_standardized_at", "address_validated_at", "address_validation_attempted_at"))(D.merged_validations(_unvalidated(t), _service_results(t)))
 )
 _query("records_with_code", _with("records") + "select id from records where rtrim(license_type, ',') = '405' or license_type like '405, %'")(lambda t: D.with_code(t["records"], "405").select("id"))
 _query("resolved_endorsements", _with("records", "endorsements", "aliases", "record_endorsements") + "select r.id, coalesce((select string_agg(coalesce(c.name, e.name), '; ' order by e.name, coalesce(c.name, e.name)) from record_endorsements b join endorsements e on e.id = b.endorsement_id left join aliases a on a.endorsement_id = e.id left join endorsements c on c.id = a.canonical_endorsement_id where b.record_id = r.id), '') resolved_endorsements from records r")(

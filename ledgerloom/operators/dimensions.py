@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.scalars import applicants, clean_name, code_of, entity_type, license_types, normalise_nbsp
 from .records import alias_upsert, first_wins, new_rows, regrouped, with_surrogate_keys
 
+#: What names of digits only and "CODE, NAME" look like, the statuses that confirm an address, and the version of the endorsement step.
 NUMERIC = r"^\d+$"
 CODE_NAME = r"^(\d+),\s+(.+)$"
+CONFIRMED = ("confirmed", "confirmed_missing_secondary", "confirmed_bad_secondary")
+REPROCESS_VERSION = 2
 
 
 def _added(dimension: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
@@ -75,20 +78,143 @@ def _meant(records: DataFrame) -> DataFrame:
     return records.select(F.col("id").alias("record_id"), F.explode(license_types(F.col("license_type"))).alias("x")).select("record_id", "x.code", "x.name")
 
 
-def wanted_endorsements(records: DataFrame, codes: DataFrame) -> DataFrame:
-    """(name) that records need: names, of a code that is not known the name beside it, or the code itself."""
-    free = _meant(records).join(codes.select("code").distinct(), "code", "left_anti")
-    return free.select(F.coalesce("name", "code").alias("name")).distinct()
+def registered(records: DataFrame, codes: DataFrame, endorsements: DataFrame, order: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Endorsements and codes after records came one by one, by order: an unknown code is registered by the first record that
+    bears it, with the name beside it, or as a placeholder named like the code; later ones, bare or with another name, resolve to that.
+    """
+    meant = records.select(F.col(order).alias("order"), F.explode(license_types(F.col("license_type"))).alias("x")).select("order", "x.code", "x.name")
+    free = meant.where("code is not null").join(codes.select("code").distinct(), "code", "left_anti")
+    # of one record two entries of a code cannot be: a license type has one code at most
+    first = free.groupBy("code").agg(F.min_by(F.upper(F.trim(F.coalesce("name", "code"))), "order").alias("name"))
+    more = add_endorsements(endorsements, meant.where("code is null").select("name").union(first.select("name")))
+    named = first.join(more.select("name", F.col("id").alias("endorsement_id")), "name")
+    return more, codes.unionByName(named.select("code", "endorsement_id"))
 
 
 def endorsement_bridge(records: DataFrame, codes: DataFrame, endorsements: DataFrame) -> DataFrame:
-    """(record_id, endorsement_id) of all records: a known code stands for all its endorsements, another for the name beside it or a placeholder."""
+    """(record_id, endorsement_id) of all records: a code stands for all its endorsements, other names for themselves. Codes and names
+    that are not there yet give nothing: registered() brings them in."""
     meant = _meant(records)
     coded = meant.join(codes, "code").select("record_id", "endorsement_id")
-    free = meant.join(codes.select("code").distinct(), "code", "left_anti").select("record_id", F.upper(F.trim(F.coalesce("name", "code"))).alias("name"))
+    free = meant.where("code is null").select("record_id", F.upper(F.trim("name")).alias("name"))
     return coded.union(free.join(endorsements.select(F.col("id").alias("endorsement_id"), "name"), "name").select("record_id", "endorsement_id")).distinct()
 
 
+def reprocessed(records: DataFrame, bridge: DataFrame, codes: DataFrame, endorsements: DataFrame, aliases: DataFrame, done: DataFrame, at: Column, of: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Endorsements of records (all, or of (id)) made anew from their license types: tables bridge, codes, endorsements, resolved
+    (record_id, endorsements) of the records that were processed, and done, the step ledger. Records without a license type stay as they are."""
+    from ..plans.ingest import stamped
+    from .search import shown_endorsements
+
+    own = records if of is None else records.join(of.select("id").distinct(), "id", "left_semi")
+    own = own.where(F.coalesce("license_type", F.lit("")) != "")
+    more, all_codes = registered(own, codes, endorsements)
+    again = rebuilt(bridge, own, endorsement_bridge(own, all_codes, more))
+    mine = again.join(own.select(F.col("id").alias("record_id")), "record_id", "left_semi")
+    names = shown_endorsements(mine, more, aliases, by_variant=True)
+    shown = own.select(F.col("id").alias("record_id")).join(names, "record_id", "left").select("record_id", F.coalesce("endorsements", F.lit("")).alias("endorsements"))
+    return {"bridge": again, "codes": all_codes, "endorsements": more, "resolved": shown, "done": stamped(done, own, "endorsements", REPROCESS_VERSION, at)}
+
+
+def unaliased(records: DataFrame, bridge: DataFrame, codes: DataFrame, endorsements: DataFrame, aliases: DataFrame, done: DataFrame, log: DataFrame, endorsement_id: int, email: str, at: Column) -> dict[str, DataFrame]:
+    """A variant made an endorsement of its own: tables aliases, those of reprocessed() for the records that have it, and log with the action.
+
+    An error if it is none or no variant.
+    """
+    known = aliases.where(F.col("endorsement_id") == endorsement_id)
+    names = endorsements.select(F.col("id").alias("canonical_endorsement_id"), F.col("name").alias("canonical_name"))
+    own = endorsements.where(F.col("id") == endorsement_id).select(F.col("id").alias("endorsement_id"), F.col("name").alias("variant_name"))
+    if own.isEmpty():
+        raise ValueError(f"endorsement {endorsement_id} is not there")
+    left = remove_alias(aliases, endorsement_id)
+    affected = bridge.where(F.col("endorsement_id") == endorsement_id).select(F.col("record_id").alias("id"))
+    tables = reprocessed(records, bridge, codes, endorsements, left, done, at, affected)
+    told = known.join(own, "endorsement_id").join(names, "canonical_endorsement_id", "left").withColumn("n", F.lit(affected.count()))
+    details = F.create_map(F.lit("variant_name"), F.col("variant_name"), F.lit("canonical_id"), F.col("canonical_endorsement_id").cast("string"), F.lit("canonical_name"), F.coalesce("canonical_name", F.col("canonical_endorsement_id").cast("string")), F.lit("records_reprocessed"), F.col("n").cast("string"))
+    action = told.select(F.lit(email).alias("email"), F.lit("endorsement.remove_alias").alias("action"), F.lit("endorsement").alias("target_type"), F.lit(endorsement_id).cast("long").alias("target_id"), details.alias("details"))
+    return {**tables, "aliases": left, "log": audited(log, action)}
+
+
+def code_changed(records: DataFrame, bridge: DataFrame, codes: DataFrame, endorsements: DataFrame, aliases: DataFrame, done: DataFrame, log: DataFrame, code: str, email: str, at: Column, add: tuple[int, ...] = (), remove: tuple[int, ...] = ()) -> dict[str, DataFrame]:
+    """Endorsements added to or taken from a code's expansion, and its records made anew: tables of reprocessed() and log with an action for
+    each endorsement that made a change. A change that is none leaves everything as it is. An empty code is an error."""
+    if not (code := code.strip()):
+        raise ValueError("code must not be empty")
+    spark = codes.sparkSession
+    asked = spark.createDataFrame([(code, e, "endorsement.code_add") for e in dict.fromkeys(add)] + [(code, e, "endorsement.code_remove") for e in dict.fromkeys(remove)], "code string, endorsement_id long, action string")
+    there = codes.withColumn("there", F.lit(True))
+    real = asked.join(there, ["code", "endorsement_id"], "left").where(F.coalesce("there", F.lit(False)) == (F.col("action") == "endorsement.code_remove")).drop("there")
+    now = codes.join(real.where("action = 'endorsement.code_remove'"), ["code", "endorsement_id"], "left_anti").unionByName(real.where("action = 'endorsement.code_add'").select("code", "endorsement_id"))
+    affected = with_code(records, code).withColumn("code", F.lit(code)).join(real.select("code").distinct(), "code", "left_semi").select("id")
+    tables = reprocessed(records, bridge, now, endorsements, aliases, done, at, affected)
+    action = real.withColumn("n", F.lit(tables["resolved"].count())).select(F.lit(email).alias("email"), "action", F.lit("endorsement").alias("target_type"), F.col("endorsement_id").alias("target_id"), F.create_map(F.lit("code"), F.col("code"), F.lit("reprocessed_records"), F.col("n").cast("string")).alias("details"))
+    return {**tables, "log": audited(log, action)}
+
+
+def learned_merge(bridge: DataFrame, codes: DataFrame, endorsements: DataFrame, learned: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bridge, codes, endorsements) after codes were learned (code, name, place: the order of a code's names): names become
+    endorsements, codes map to them, and a placeholder named like the code goes into its first name; then all records of that one get the other names, too."""
+    named = learned.withColumn("name", F.upper(F.trim("name"))).where("name <> ''")
+    more = add_endorsements(endorsements, named.select("name"))
+    each = named.join(more.select("name", F.col("id").alias("endorsement_id")), "name")
+    mapped = codes.unionByName(each.select("code", "endorsement_id")).distinct()
+    heads = each.groupBy("code").agg(F.min_by("endorsement_id", "place").alias("first"))
+    holders = more.select(F.col("name").alias("code"), F.col("id").alias("id")).join(heads, "code")
+    to = holders.where("id <> first").select("id", F.col("first").alias("canonical"))
+    links, kept = moved(bridge, mapped, to)
+    rest = each.join(holders.select("code", "first"), "code").where("endorsement_id <> first").select("first", F.col("endorsement_id").alias("other"))
+    fan = links.join(rest, links["endorsement_id"] == rest["first"]).select("record_id", F.col("other").alias("endorsement_id"))
+    return links.select("record_id", "endorsement_id").union(fan).distinct(), kept, more.join(to.select("id"), "id", "left_anti")
+
+
+#: What a confirmed result overlays: column of the location, and field of the result.
+_OVERLAID = {"std_address_line_1": "address_line_1", "std_address_line_2": "address_line_2", "std_city": "city", "std_region": "region", "std_postal_code": "postal_code", "std_country": "country"}
+
+
+def merged_validations(locations: DataFrame, results: DataFrame) -> DataFrame:
+    """Locations after results of an address service (location_id, at, mode, status, dpv_match_code, address_line_1, address_line_2, city, region,
+    postal_code, country, validated, latitude, longitude) came in the order of at.
+
+    A validation that confirms overlays the standardised address, place and all three times; any other leaves these alone and
+    sets status, match code and the time of the attempt. A standardisation (mode 'standardize'; validated is the string it gave) sets the address,
+    the status 'standardized' and its time, but no attempt. Of several results each column has what the last one that sets it
+    said, so a result merged again changes nothing. A null status is a service that failed: nothing is set. Locations without an address take nothing.
+    """
+    raw = F.coalesce(F.trim("raw_address"), F.lit("")) != ""
+    only = F.coalesce(F.col("mode"), F.lit("validate")) == "standardize"
+    confirmed = ~only & F.col("status").isin(*CONFIRMED)
+    field = lambda f: F.coalesce(F.col(f).cast("string"), F.lit(""))
+    country_ = F.when(field("country").rlike("^[A-Za-z]{2}$"), field("country")).otherwise("")
+    said = {c: country_ if f == "country" else field(f) for c, f in _OVERLAID.items()}
+    given = results.where(F.col("status").isNotNull() | only).select(
+        F.col("location_id").alias("id"),
+        F.col("at").alias("result at"),
+        F.when(only, "standardized").otherwise(F.col("status")).alias("validation_status"),
+        F.col("dpv_match_code").alias("dpv_match_code"),
+        only.alias("only"),
+        confirmed.alias("confirmed"),
+        F.struct(*[v.alias(c) for c, v in said.items()], F.col("validated").alias("std_address_string")).alias("address"),
+        F.struct("latitude", "longitude").alias("place"),
+    )
+    last = lambda value, when: F.max_by(F.when(when, value), F.when(when, F.struct("result at", F.xxhash64("address", "validation_status"))))
+    every, at = F.lit(True), F.col("result at")
+    merged = given.groupBy("id").agg(
+        last(F.struct("validation_status"), every).alias("s"),
+        last(F.struct("dpv_match_code"), ~F.col("only")).alias("m"),
+        last(F.col("address"), F.col("confirmed") | F.col("only")).alias("a"),
+        last(F.col("place"), F.col("confirmed")).alias("p"),
+        F.max(F.when(F.col("confirmed") | F.col("only"), at)).alias("t1"),
+        F.max(F.when(F.col("confirmed"), at)).alias("t2"),
+        F.max(F.when(~F.col("only"), at)).alias("t3"),
+    )
+    both = locations.join(merged, "id", "left")
+    over = lambda group, column: F.when(raw & F.col(group).isNotNull(), F.col(f"{group}.{column}")).otherwise(F.col(column)).alias(column)
+    time = lambda t, column: F.when(raw & F.col(t).isNotNull(), F.col(t)).otherwise(F.col(column)).alias(column)
+    new = {"validation_status": over("s", "validation_status"), "dpv_match_code": over("m", "dpv_match_code"), **{c: over("a", c) for c in (*_OVERLAID, "std_address_string")}, **{c: over("p", c) for c in ("latitude", "longitude")}}
+    new |= {"address_standardized_at": time("t1", "address_standardized_at"), "address_validated_at": time("t2", "address_validated_at"), "address_validation_attempted_at": time("t3", "address_validation_attempted_at")}
+    return both.select(*[new.get(c, F.col(c)) for c in locations.columns])
+
+
 def rebuilt(bridge: DataFrame, records: DataFrame, again: DataFrame, key: str = "record_id") -> DataFrame:
     """A bridge in which the rows of records (id) are replaced by again; the rest stays."""
     return bridge.join(records.select(F.col("id").alias(key)), key, "left_anti").unionByName(again.select(*bridge.columns))

@@ -31,6 +31,8 @@ APPROVAL = Mode("approved", ("RENEWAL", "NEW APPLICATION", "ASSUMPTION", "ADDED/
 DISCONTINUANCE = Mode("discontinued", ("DISC. LIQUOR SALES",), (("DISC. LIQUOR SALES", "DISCONTINUED"),))
 
 LINKABLE = APPROVAL.types + DISCONTINUANCE.types
+#: What an application shares with its outcome.
+KEYS = ["license_number", "kind"]
 #: Days for which an application without outcome is pending, and from when on outcomes of which type are not published.
 PENDING_DAYS, DATA_GAP, GAP_TYPE = 180, "2025-05-12", "NEW APPLICATION"
 
@@ -40,38 +42,45 @@ def link(applications: DataFrame, outcomes: DataFrame, keys: list[str], day: str
     side = lambda df, app: df.select(*keys, F.col(id_).cast("long").alias("id"), F.col(day).alias("day"), F.lit(app).alias("app")).dropna(subset=[*keys, "day"])
     # an application is placed tolerance days early, so that "outcome >= application - tolerance" is an order of rows
     both = side(applications, True).unionByName(side(outcomes, False)).withColumn("at", F.when(F.col("app"), F.date_sub("day", tolerance)).otherwise(F.to_date("day")))
-    me = F.struct("id", "day")
-    # forward: the first outcome at or after the place; equal places: applications come first. The order is read backwards, so
-    # that both windows run from the start of a key to the row before and grow by one row at a time
-    ahead = Window.partitionBy(*keys).orderBy(F.col("at").desc(), F.col("app").asc(), F.col("id").desc()).rowsBetween(Window.unboundedPreceding, -1)
     # backward: the last application at or before the place; equal places: the highest id comes last
     behind = Window.partitionBy(*keys).orderBy(F.col("at").asc(), F.col("app").desc(), F.col("id").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    seen = both.withColumn("forward", F.last(F.when(~F.col("app"), me), ignorenulls=True).over(ahead)).withColumn("backward", F.last(F.when(F.col("app"), me), ignorenulls=True).over(behind))
-    forward = seen.where(F.col("app") & F.col("forward").isNotNull()).select("id", "day", F.col("forward.id").alias("outcome_id"), F.col("forward.day").alias("outcome_day"))
-    backward = seen.where(~F.col("app") & F.col("backward").isNotNull()).select(F.col("id").alias("outcome_id"), F.col("backward.id").alias("back"))
-    return forward.join(backward, "outcome_id", "left").select(
+    seen = both.withColumn("back", F.last(F.when(F.col("app"), F.col("id")), ignorenulls=True).over(behind))
+    # forward: the first outcome at or after the place, with its own backward match; equal places: applications come first. The
+    # order is read backwards, so that both windows run from the start of a key to the row before and grow by one row at a time
+    ahead = Window.partitionBy(*keys).orderBy(F.col("at").desc(), F.col("app").asc(), F.col("id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    seen = seen.withColumn("forward", F.last(F.when(~F.col("app"), F.struct("id", "day", "back")), ignorenulls=True).over(ahead))
+    return seen.where(F.col("app") & F.col("forward").isNotNull()).select(
         F.col("id").alias("new_app_id"),
-        "outcome_id",
-        F.when(F.col("back") == F.col("id"), "high").otherwise("medium").alias("confidence"),
-        F.datediff("outcome_day", "day").cast("long").alias("days_gap"),
+        F.col("forward.id").alias("outcome_id"),
+        F.when(F.col("forward.back") == F.col("id"), "high").otherwise("medium").alias("confidence"),
+        F.datediff("forward.day", "day").cast("long").alias("days_gap"),
     )
 
 
-def link_records(records: DataFrame, mode: Mode = APPROVAL) -> DataFrame:
-    """Links of one mode over licensing records (id, section_type, record_date, license_number, application_type)."""
-    kind = F.col("application_type")
-    for old, new in mode.renamed:
-        kind = F.when(F.col("application_type") == old, new).otherwise(kind)
-    day = F.to_date("record_date")
-    keys = ["license_number", "kind"]
-    apps = records.where((F.col("section_type") == "new_application") & F.col("application_type").isin(*mode.types)).select("id", "license_number", kind.alias("kind"), day.alias("day"))
-    outs = records.where(F.col("section_type") == mode.outcome).select("id", "license_number", F.col("application_type").alias("kind"), day.alias("day"))
-    return link(apps, outs, keys)
+def sides(records: DataFrame, modes: tuple[Mode, ...] = (APPROVAL, DISCONTINUANCE)) -> DataFrame:
+    """(license_number, kind, id, day, app) of records that can be linked: an application and its outcome have the same kind, the outcome's
+    section and type, so all modes are one table. Rows without a license or date are left out, as they link with nothing."""
+    section, type_ = F.col("section_type"), F.col("application_type")
+    app = kind = F.lit(None)
+    for mode in modes:
+        names = dict(mode.renamed)
+        for given in mode.types:
+            ends = names.get(given, given)
+            said = F.lit(f"{mode.outcome}:{ends}")
+            kind = F.when((section == "new_application") & (type_ == given), said).when((section == mode.outcome) & (type_ == ends), said).otherwise(kind)
+    app = section == "new_application"
+    return records.select("license_number", kind.cast("string").alias("kind"), F.col("id").cast("long").alias("id"), F.to_date("record_date").alias("day"), app.alias("app")).dropna()
+
+
+def link_records(records: DataFrame, *modes: Mode) -> DataFrame:
+    """Links over licensing records (id, section_type, record_date, license_number, application_type) of some modes, or of all."""
+    rows = sides(records, modes or (APPROVAL, DISCONTINUANCE))
+    return link(rows.where("app"), rows.where("not app"), KEYS)
 
 
 def build_all_links(records: DataFrame) -> DataFrame:
-    """Both modes, as a full rebuild."""
-    return link_records(records, APPROVAL).unionByName(link_records(records, DISCONTINUANCE))
+    """Both modes, as a full rebuild, in one pass over records."""
+    return link_records(records)
 
 
 def relink_touched(records: DataFrame, links: DataFrame, touched: DataFrame) -> DataFrame:
@@ -81,20 +90,66 @@ def relink_touched(records: DataFrame, links: DataFrame, touched: DataFrame) ->
     return links.join(stale, "new_app_id", "left_anti").unionByName(again)
 
 
-def link_new(records: DataFrame, links: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Links that fresh records (id) add, as each would find on its arrival: an application takes its earliest outcome, an
-    outcome its latest application; older links are not revised, and a pair that is linked already stays as it is."""
-    all_links = build_all_links(records.join(records.join(fresh.select("id"), "id", "left_semi").select("license_number").distinct(), "license_number", "left_semi"))
-    mine = fresh.select("id").distinct()
-    added = all_links.join(mine.withColumnRenamed("id", "new_app_id"), "new_app_id", "left_semi").unionByName(all_links.where("confidence = 'high'").join(mine.withColumnRenamed("id", "outcome_id"), "outcome_id", "left_semi"))
-    return added.dropDuplicates(["new_app_id", "outcome_id"]).join(links, ["new_app_id", "outcome_id"], "left_anti")
-
-
-def best_link(links: DataFrame) -> DataFrame:
-    """One link an application: high first, then the lowest outcome."""
-    rank = F.struct((F.col("confidence") != "high").alias("r"), F.col("outcome_id"))
-    row = F.struct("outcome_id", "confidence", "days_gap")
-    return links.groupBy("new_app_id").agg(F.min_by(row, rank).alias("b")).select("new_app_id", "b.*")
+def match_by_arrival(providers: DataFrame, queries: DataFrame, keys: list[str], ahead: bool) -> DataFrame:
+    """queries (keys, arrival, at, ...) with found, a struct of day and id, or null: of the providers (keys, arrival, id, day) of the same key that
+    arrived before, the first at or after ``at`` (ties: lowest id), or the last at or before it (ties: highest id). A null arrival is before all.
+
+    Two orders meet here, of arrival and of time, so one running window does not do. Rows that arrive are numbered within
+    their key; at each binary digit of these numbers blocks halve, and a query in a right half meets the providers of its left half: each
+    earlier provider at exactly one digit. Within a half the order of time is a running window. A key with n arrivals has log2(n) digits.
+    Providers without an arrival meet all queries at a step of their own.
+    """
+    fields = [c for c in queries.columns if c not in keys]
+    mine = queries.withColumn("query", F.struct(*fields)).select(*keys, "arrival", "at", F.lit(1).alias("side"), F.lit(None).cast("long").alias("id"), "query")
+    given = providers.select(*keys, "arrival", F.col("day").alias("at"), F.lit(0).alias("side"), F.col("id").cast("long").alias("id"))
+    both = mine.unionByName(given, allowMissingColumns=True)
+    # only rows that arrive are numbered; a row of a query stands before those that arrive with it
+    numbered = both.where("arrival is not null").withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("arrival", F.desc("side"), "id")) - 1)
+    numbered = numbered.withColumn("digits", F.length(F.bin(F.count("*").over(Window.partitionBy(*keys)) - 1)))
+    steps = numbered.withColumn("digit", F.explode(F.expr("filter(sequence(0, digits - 1), k -> getbit(r, k) = side)"))).withColumn("block", F.expr("shiftright(r, digit + 1)"))
+    old = both.where("arrival is null or side = 1").withColumns({"digit": F.lit(-1), "block": F.lit(0)})
+    rows = steps.select(*keys, "digit", "block", "at", "side", "id", "query").unionByName(old.select(*keys, "digit", "block", "at", "side", "id", "query"))
+    order = (F.col("at").desc(), F.col("side").asc(), F.col("id").desc()) if ahead else (F.col("at").asc(), F.col("side").asc(), F.col("id").asc())
+    run = Window.partitionBy(*keys, "digit", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumn("found", F.last(F.when(F.col("side") == 0, F.struct(F.col("at").alias("day"), "id")), ignorenulls=True).over(run)).where("side = 1")
+    best = F.min("found") if ahead else F.max("found")
+    return seen.groupBy(*keys, "query").agg(best.alias("found")).select(*keys, "query.*", "found")
+
+
+def link_new(records: DataFrame, links: DataFrame, fresh: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
+    """Links that fresh records (id, and order if they did not arrive by id) add as they arrive one after the other; records has them, too.
+
+    Each sees what was there and what arrived before it. An application takes its earliest outcome, an outcome its latest
+    application; the link is high if the other side, at that time, would choose the same, else medium. Older links are not
+    revised, and a pair that is linked already stays as it is. Only licenses of fresh records are read.
+    """
+    came = fresh.select(F.col("id").cast("long").alias("id"), (F.col("order") if "order" in fresh.columns else F.col("id")).cast("long").alias("arrival")).groupBy("id").agg(F.min("arrival").alias("arrival"))
+    every = sides(records).join(came, "id", "left")
+    touched = every.where("arrival is not null").select("license_number").distinct()
+    every = every.join(touched, "license_number", "left_semi")
+    apps, outcomes = every.where("app"), every.where("not app")
+    shifted = lambda c, days: F.date_add(c, days)
+
+    def found(side: DataFrame, other: DataFrame, ahead: bool) -> DataFrame:
+        """Each arriving row of a side with the row of the other that it takes, and the row of its own side that this one would have taken before."""
+        asked = side.where("arrival is not null").select(*KEYS, "arrival", shifted(F.col("day"), -tolerance if ahead else tolerance).alias("at"), F.struct("day", "id").alias("me"))
+        taken = match_by_arrival(other, asked, KEYS, ahead).where("found is not null")
+        back = taken.select(*KEYS, "arrival", shifted(F.col("found.day"), tolerance if ahead else -tolerance).alias("at"), "me", F.col("found").alias("it"))
+        return match_by_arrival(side, back, KEYS, not ahead)
+
+    forward, backward = found(apps, outcomes, True), found(outcomes, apps, False)
+    high = lambda wins: F.when(F.col("found").isNull() | wins, "high").otherwise("medium").alias("confidence")
+    gap = lambda app, outcome: F.datediff(F.col(f"{outcome}.day"), F.col(f"{app}.day")).cast("long").alias("days_gap")
+    added = forward.select(F.col("me.id").alias("new_app_id"), F.col("it.id").alias("outcome_id"), high(F.col("found") < F.col("me")), gap("me", "it"))
+    added = added.unionByName(backward.select(F.col("it.id").alias("new_app_id"), F.col("me.id").alias("outcome_id"), high(F.col("found") > F.col("me")), gap("it", "me")))
+    return added.join(links.select("new_app_id", "outcome_id"), ["new_app_id", "outcome_id"], "left_anti")
+
+
+def best_link(links: DataFrame, order: str = "outcome_id") -> DataFrame:
+    """One link an application: the last one that is high, by order, else the first one."""
+    row, high = F.struct("outcome_id", "confidence", "days_gap"), F.col("confidence") == "high"
+    best = F.coalesce(F.max_by(F.when(high, row), F.when(high, F.col(order))), F.min_by(row, order))
+    return links.groupBy("new_app_id").agg(best.alias("b")).select("new_app_id", "b.*")
 
 
 def reverse_link(links: DataFrame) -> DataFrame:
@@ -102,6 +157,15 @@ def reverse_link(links: DataFrame) -> DataFrame:
     return links.groupBy("outcome_id").agg(F.min("new_app_id").alias("new_app_id"))
 
 
+def reverse_link_details(records: DataFrame, links: DataFrame) -> DataFrame:
+    """(outcome_id, new_app_id, confidence, days_gap, new_app_date, new_app_business_name, new_app_type) of approved and discontinued
+    records that some application led to; of several the lowest id."""
+    ends = records.where(F.col("section_type").isin("approved", "discontinued")).select(F.col("id").alias("outcome_id"))
+    first = links.join(ends, "outcome_id", "left_semi").groupBy("outcome_id").agg(F.min(F.struct("new_app_id", "confidence", "days_gap")).alias("l")).select("outcome_id", "l.*")
+    apps = records.select(F.col("id").alias("new_app_id"), F.col("record_date").alias("new_app_date"), F.col("business_name").alias("new_app_business_name"), F.col("application_type").alias("new_app_type"))
+    return first.join(apps, "new_app_id").select("outcome_id", "new_app_id", "confidence", "days_gap", "new_app_date", "new_app_business_name", "new_app_type")
+
+
 def with_previous_location(records: DataFrame, links: DataFrame) -> DataFrame:
     """Copies an application's previous_location_id to its CHANGE OF LOCATION outcome where that is null."""
     given = links.join(records.select(F.col("id").alias("new_app_id"), F.col("previous_location_id").alias("p")), "new_app_id").where("p is not null").groupBy("outcome_id").agg(F.min("p").alias("p"))

@@ -55,9 +55,13 @@ def new_rows(candidates: DataFrame, existing: DataFrame, key: list[str]) -> Data
     return candidates.dropDuplicates(key).alias("a").join(existing.select(*key).distinct().alias("b"), same, "left_anti")
 
 
-def with_surrogate_keys(fresh: DataFrame, existing: DataFrame, id_: str, key: list[str], buckets: int = 1024) -> DataFrame:
+#: Hash buckets of new keys: one row each is summed in one task, and 10^11 rows are still under two million to a bucket.
+BUCKETS = 65_536
+
+
+def with_surrogate_keys(fresh: DataFrame, existing: DataFrame, id_: str, key: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Ids that follow the greatest one there is, the same on every run: rows are numbered within hash buckets of their
-    key, and buckets follow each other by a running total over one row a bucket."""
+    key, and buckets follow each other by a running total over one row a bucket. The greatest id is fetched when this is called."""
     start = existing.agg(F.max(id_)).first()[0] or 0
     placed = fresh.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("c"))

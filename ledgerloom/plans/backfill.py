@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import slug, valid_record
+from ..functions.scalars import clean_list, clean_name, normalise_nbsp, slug, valid_record
 from ..sources import diffs, html
 from .ingest import NATURAL_KEY
 
@@ -29,6 +29,46 @@ def of_snapshots(pages: DataFrame) -> DataFrame:
     return first_evidence(found.dropDuplicates(["path", *NATURAL_KEY]), [F.asc_nulls_last("captured_at"), F.asc("path")])
 
 
+def snapshot_backfill(pages: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
+    """All snapshots (path, html) ingested and repaired in the order of their paths, over records that exist (natural key, business_name, applicants, previous_location: an address).
+
+    A natural key that is new is inserted as its first row says. An ASSUMPTION without a business name takes name and applicants of the
+    earliest row that has one, a CHANGE OF LOCATION without a previous location that of the earliest row of its section, day and license that has one.
+    Every key is one aggregate over its rows, so snapshots are read in parallel and a key's rows are not ordered.
+
+    Tables: records (natural key, business_name, applicants, previous_location, inserted, repaired), evidence (path, natural key, role: first_seen,
+    confirmed or repaired), counts (path, inserted, skipped, repaired) of every readable page, and bad (path, error): pages that are null or have no section.
+    """
+    sections = html.tables(pages, "path", "html").select("path").distinct()
+    bad = pages.join(sections, "path", "left_anti").select("path", F.when(F.col("html").isNull(), "not readable").otherwise("no section").alias("error"))
+    cells = html.cells(pages, "path", "html")
+    rows = _valid(html.records(cells, ["path", "section", "table_no"]))
+    order = F.struct("path", "table_no", "pos")
+    name, people = clean_name(F.col("business_name")), clean_list(F.col("applicants"))
+    rows = rows.select("path", *NATURAL_KEY, order.alias("order"), F.coalesce(name, F.lit("")).alias("business_name"), F.coalesce(people, F.lit("")).alias("applicants"), F.nullif(F.trim(normalise_nbsp(F.col("previous_business_location"))), F.lit("")).alias("previous_location"))
+    there = existing.select(*NATURAL_KEY, F.struct(F.coalesce("business_name", F.lit("")).alias("business_name"), F.coalesce("applicants", F.lit("")).alias("applicants"), "previous_location").alias("old"))
+    own = F.struct("business_name", "applicants", "previous_location")
+    named, moved = F.col("business_name") != "", F.col("previous_location").isNotNull()
+    pick = lambda what, when: F.min(F.when(when, F.struct("order", what.alias("x"))))
+    each = rows.groupBy(*NATURAL_KEY).agg(pick(own, F.lit(True)).alias("first"), pick(own, (F.col("application_type") == "ASSUMPTION") & named).alias("name"))
+    place = rows.where((F.col("application_type") == "CHANGE OF LOCATION") & moved).groupBy("section_type", "record_date", "license_number").agg(F.min(F.struct("order", "previous_location")).alias("place"))
+    met = each.join(there, NATURAL_KEY, "full").join(place, ["section_type", "record_date", "license_number"], "left")
+    base, inserted = F.coalesce("old", "first.x"), F.col("old").isNull()
+    met = met.select(*NATURAL_KEY, "first", "name", "place", base.alias("base"), inserted.alias("inserted"))
+    fills_name = (F.col("application_type") == "ASSUMPTION") & (F.col("base.business_name") == "") & F.col("name").isNotNull()
+    fills_place = (F.col("application_type") == "CHANGE OF LOCATION") & F.col("base.previous_location").isNull() & F.col("place").isNotNull()
+    taken = lambda c: F.when(fills_name, F.col(f"name.x.{c}")).otherwise(F.col(f"base.{c}")).alias(c)
+    by = F.when(fills_name, F.col("name.order.path")).when(fills_place, F.col("place.order.path"))
+    full = met.select(*NATURAL_KEY, taken("business_name"), taken("applicants"), F.when(fills_place, F.col("place.previous_location")).otherwise(F.col("base.previous_location")).alias("previous_location"), "inserted", by.isNotNull().alias("repaired"), by.alias("by"), F.col("first.order").alias("at"))
+    saw = rows.join(full.select(*NATURAL_KEY, "inserted", "at"), NATURAL_KEY).select("path", *NATURAL_KEY, F.when(F.col("inserted") & (F.col("order") == F.col("at")), "first_seen").otherwise("confirmed").alias("role"))
+    mended = full.where("repaired").select(F.col("by").alias("path"), *NATURAL_KEY, F.lit("repaired").alias("role"))
+    every = saw.unionByName(mended)
+    number = lambda role: F.count_if(F.col("role") == role)
+    counted = every.groupBy("path").agg(number("first_seen").alias("inserted"), number("confirmed").alias("skipped"), number("repaired").alias("repaired"))
+    counts = sections.join(counted, "path", "left").na.fill(0)
+    return {"records": full.drop("by", "at"), "evidence": every.distinct(), "counts": counts, "bad": bad}
+
+
 def of_diffs(files: DataFrame) -> DataFrame:
     """Valid records of diff files (path, text), each with the file that shows it first, in the order of file names."""
     given = diffs.work(files, F.col("path")).select("path", "section", F.col("text").alias("content"))
@@ -67,8 +107,69 @@ def extract_counts(found: DataFrame, records: DataFrame) -> DataFrame:
     return each.agg(F.count("known").alias("matched"), F.count_if(F.col("known").isNull()).alias("unmatched"), (F.count("known") - F.countDistinct("path")).alias("collisions"))
 
 
+#: Buckets of an archive; the same in all its runs.
+BUCKETS = 256
+
+
+def _bucket(path: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
+def _archive(spark: SparkSession, folder: str) -> DataFrame:
+    schema = "path string, record_id long, " + ", ".join(f"{k} string" for k in NATURAL_KEY) + ", html string, bucket int"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
+
+
+def archive_changes(found: DataFrame, records: DataFrame, old: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(path, record_id, natural key, html, bucket, change) of found records (natural key, html) against an archive: change is new, changed,
+    unchanged, collision (the path belongs to another key, here or in the archive: the first one keeps it) or unmatched (no such record; no path)."""
+    own = records.groupBy(*NATURAL_KEY).agg(F.min("id").cast("long").alias("record_id"))
+    once = found.groupBy(*NATURAL_KEY).agg(F.min("html").alias("html"))
+    met = once.join(own, NATURAL_KEY, "left").withColumn("path", F.when(F.col("record_id").isNotNull(), extract_path()))
+    key = F.struct(*NATURAL_KEY)
+    heads = met.where("path is not null").groupBy("path").agg(F.min(key).alias("head"))
+    known = old.select("path", key.alias("held"), F.xxhash64("html").alias("h1"), F.crc32("html").alias("h2"))
+    both = met.join(heads, "path", "left").join(known, "path", "left")
+    same = (F.col("h1") == F.xxhash64("html")) & (F.col("h2") == F.crc32("html"))
+    owner = F.coalesce("held", "head")
+    change = F.when(F.col("path").isNull(), "unmatched").when(~owner.eqNullSafe(key), "collision").when(F.col("held").isNull(), "new").when(same, "unchanged").otherwise("changed")
+    return both.select("path", "record_id", *NATURAL_KEY, "html", _bucket(F.col("path"), buckets).alias("bucket"), change.alias("change"))
+
+
+def archive_extracts(found: DataFrame, records: DataFrame, folder: str, scratch: str, buckets: int = BUCKETS) -> DataFrame:
+    """Brings an archive of extracts up to date and returns (change, n), how many found records changed what.
+
+    The archive is Parquet in buckets by hash of path, each one file in the order of paths with a Bloom filter of them. Only buckets that get a new
+    or changed extract are written again: first below scratch, then in the place of the old ones, so a run that dies between repeats with the same result.
+    """
+    spark = found.sparkSession
+    old = _archive(spark, folder)
+    at = f"{scratch}/changes"
+    archive_changes(found, records, old, buckets).write.mode("overwrite").parquet(at)
+    changes = spark.read.parquet(at)
+    put = changes.where("change in ('new', 'changed')")
+    columns = ["path", "record_id", *NATURAL_KEY, "html", "bucket"]
+    touched = put.select("bucket").distinct()
+    kept = old.join(touched, "bucket", "left_semi").join(put.select("path"), "path", "left_anti")
+    merged = f"{scratch}/merged"
+    kept.select(*columns).unionByName(put.select(*columns)).write.mode("overwrite").parquet(merged)
+    fresh = spark.read.parquet(merged)
+    if not put.isEmpty():
+        ordered = fresh.repartition("bucket").sortWithinPartitions("bucket", "path")
+        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#path", "true").partitionBy("bucket").parquet(folder)
+    return changes.groupBy("change").agg(F.count("*").alias("n"))
+
+
+def archived(spark: SparkSession, folder: str, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """(html) of one extract, from its bucket alone; no row if there is none."""
+    place = spark.range(1).select(_bucket(F.lit(path), buckets)).first()[0]
+    return _archive(spark, folder).where((F.col("bucket") == place) & (F.col("path") == path)).select("html")
+
+
 def write_extracts(table: DataFrame, folder: str) -> None:
-    """Writes extracts as gzip text by path, each with a closing line end; read_extract() finds them by their partition."""
+    """Writes extracts as gzip text by path, each with a closing line end: a folder a record, for small exports. Archives are archive_extracts()."""
     table.select("path", F.col("html").alias("value")).write.mode("overwrite").partitionBy("path").option("compression", "gzip").text(folder)
 
 

@@ -39,13 +39,21 @@ def stamped(done: DataFrame, records: DataFrame, step: str, version: int, at) ->
     return done.join(fresh, ["record_id", "step"], "left_anti").unionByName(fresh)
 
 
-def enriched(records: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, tuple[DataFrame | None, str]]:
-    """Each step's table, or None and what failed: a step that fails takes no other with it. Every table is counted to see that it can be read."""
+def enriched(records: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]], folder: str | None = None) -> dict[str, tuple[DataFrame | None, str]]:
+    """Each step's table, or None and what failed: a step that fails takes no other with it.
+
+    With a folder each table is computed once, written below it and read back; without, it is run to see that it can be, and again when it is read.
+    Steps over several tables that must count together are batches.run_batch().
+    """
     out: dict[str, tuple[DataFrame | None, str]] = {}
     for name, step in steps.items():
         try:
             table = step(records)
-            table.write.format("noop").mode("overwrite").save()
+            if folder is None:
+                table.write.format("noop").mode("overwrite").save()
+            else:
+                table.write.mode("overwrite").parquet(f"{folder}/{name}")
+                table = records.sparkSession.read.schema(table.schema).parquet(f"{folder}/{name}")
             out[name] = (table, "")
         except Exception as e:  # noqa: BLE001  # whatever a step raises is its result
             out[name] = (None, f"{type(e).__name__}: {e}".splitlines()[0])

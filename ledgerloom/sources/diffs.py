@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import diff_timestamp
+from ..functions.scalars import diff_timestamp, valid_record
 from . import html
 
 #: A diff that contradicts this many known lines, and this part of them, starts the document anew.
@@ -88,6 +88,78 @@ def blocks_in_runs(rows: DataFrame, key: list[str]) -> DataFrame:
     return kept.groupBy(*key, "island", "block_no").agg(F.min("pos").alias("pos"), body.alias("body"))
 
 
+def streams(diffs: DataFrame, key: list[str], content: str = "content", now: Column | None = None) -> DataFrame:
+    """(key, old_ts, new_ts, added, removed, new_side, old_side) of each diff: its added and its removed lines as texts, and both with the
+    lines around them. Header lines are left out wherever they stand; hunk counts are not asked. A time that cannot be read is now."""
+    rows = F.split(content, "\n")
+    head = lambda x: x.startswith("--- ") | x.startswith("+++ ") | x.startswith("@@")
+    bare = lambda x: F.when(x.startswith("+") | x.startswith("-"), F.substr(x, F.lit(2))).otherwise(x)
+    of = lambda keep: F.array_join(F.transform(F.filter(rows, lambda x: ~head(x) & keep(x)), bare), "\n")
+    time = lambda mark: F.coalesce(diff_timestamp(F.try_element_at(F.filter(rows, lambda x: x.startswith(mark)), F.lit(-1))), now if now is not None else F.current_timestamp())
+    return diffs.select(
+        *key,
+        time("--- ").alias("old_ts"),
+        time("+++ ").alias("new_ts"),
+        of(lambda x: x.startswith("+")).alias("added"),
+        of(lambda x: x.startswith("-")).alias("removed"),
+        of(lambda x: ~x.startswith("-")).alias("new_side"),
+        of(lambda x: ~x.startswith("+")).alias("old_side"),
+    )
+
+
+def extract_records(diffs: DataFrame, key: list[str], content: str = "content", now: Column | None = None) -> DataFrame:
+    """Valid records of single diffs (key with section, content), each natural key once a diff: of the added lines, else of the removed ones.
+
+    Only where these give a record with a license number that is not valid, as its rows were not changed and stand around, are the
+    sides with context read too, for natural keys that the first pass lacks. Rows need no <tbody>. Result: key, section_type, html.DEFAULTS, scraped_at.
+    """
+    texts = streams(diffs, key, content, now)
+    side = lambda no, ts, body: F.struct(F.lit(no).alias("side"), F.col(ts).alias("scraped_at"), F.col(body).alias("body"))
+    own = [*key, "side", "scraped_at"]
+
+    def read(of: DataFrame, *sides: Column) -> DataFrame:
+        parts = of.select(*key, F.explode(F.array(*sides)).alias("s")).select(*key, "s.*").where("body <> ''")
+        found = html.records(html.cells_of(parts, own), own)
+        return found.withColumn("valid", F.coalesce(valid_record(*[F.col(c) for c in html.NATURAL_KEY]), F.lit(False)))
+
+    first = read(texts, side(0, "new_ts", "added"), side(1, "old_ts", "removed"))
+    source = [k for k in key if k != "section"]
+    broken = first.where("not valid").select(*source, F.col("section_type").alias("section")).distinct()
+    second = read(texts.join(broken, key, "left_semi"), side(2, "new_ts", "new_side"), side(3, "old_ts", "old_side"))
+    place = F.row_number().over(Window.partitionBy(*source, *html.NATURAL_KEY).orderBy("side", "pos"))
+    every = first.unionByName(second).where("valid").withColumn("place in key", place).where("`place in key` = 1")
+    return every.select(*source, "section_type", *html.DEFAULTS, "scraped_at")
+
+
+def viewer_blocks(diffs: DataFrame, key: list[str], content: str = "content") -> DataFrame:
+    """(key, side, block_no, body): record groups of a diff's added lines (side 0) and removed ones (side 1), as the source viewer shows them.
+
+    A group goes from a line with <tbody to the next with </tbody>. Where a side has no <tbody at all, from a line with a cell that says a date
+    label to the next such line, wrapped in <tbody>.
+    """
+    texts = streams(diffs, key, content).select(*key, F.posexplode(F.array("added", "removed")).alias("side", "text"))
+    rows = texts.select(*key, "side", F.contains(F.lower("text"), F.lit("<tbody")).alias("wrapped"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    low = F.lower("line")
+    label = "|".join(x.replace(".", r"\.") for x in html.DATE_LABELS.values())
+    dated = F.col("line").rlike(rf"(?i)<td[^>]*>\s*(?:<[^>]+>)*\s*(?:{label})\s*(?:</[^>]+>)*\s*</td>")
+    opens, closes = F.contains(low, F.lit("<tbody")), F.contains(low, F.lit("</tbody>"))
+    before = Window.partitionBy(*key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    # a wrapped group lies between two closing lines; bare ones begin at each date label
+    numbered = rows.withColumn("group", F.when(F.col("wrapped"), F.coalesce(F.count_if(closes).over(before), F.lit(0))).otherwise(F.count_if(dated).over(upto)))
+    whole = Window.partitionBy(*key, "side", "group")
+    kept = numbered.withColumn("first", F.min(F.when(opens, F.col("pos"))).over(whole)).withColumn("last", F.max(F.when(closes, F.col("pos"))).over(whole))
+    kept = kept.where((F.col("wrapped") & (F.col("pos") >= F.col("first")) & F.col("last").isNotNull()) | (~F.col("wrapped") & (F.col("group") > 0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    body = F.when(F.first("wrapped"), text).otherwise(F.concat(F.lit("<tbody>\n"), text, F.lit("\n</tbody>")))
+    return kept.groupBy(*key, "side", F.col("group").alias("block_no")).agg(body.alias("body"))
+
+
+def source_blocks_of_diffs(diffs: DataFrame, key: list[str], wanted: DataFrame, content: str = "content") -> DataFrame:
+    """(key but section, natural key, html): in each diff, the first group that evidences a wanted record, added lines first."""
+    return html.evidence(viewer_blocks(diffs, key, content), [*key, "side", "block_no"], wanted, ["side", "block_no"], [k for k in key if k != "section"])
+
+
 def records_of_diffs(diffs: DataFrame, key: list[str], content: str = "content") -> DataFrame:
     """Records that stand whole in added or removed runs of diffs (key with section, content): the first by key and place wins.
 

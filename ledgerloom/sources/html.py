@@ -1,11 +1,16 @@
-"""Source pages: label/value tables to records, natively, by tokenising cells and numbering record blocks with a window."""
+"""Source pages: label/value tables to records, natively, by tokenising cells and numbering record blocks with a window.
+
+Elements are cut at their opening tags and end where their end tag stands, or, as end tags may be missing, where the next one begins or
+what holds them ends. A cell's text is its text nodes, each with its character references read and without white space at its
+ends, put together without anything between. Tables within tables are not told from tables that follow each other.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import city_state_zip, iso_date
+from ..functions.scalars import city_state_zip, iso_date, trimmed, unescaped
 
 #: Section headings, and the date label that begins a record of each section.
 SECTIONS = {"STATEWIDE NEW LICENSE APPLICATIONS": "new_application", "STATEWIDE RECENTLY APPROVED LICENSES": "approved", "STATEWIDE DISCONTINUED LICENSES": "discontinued"}
@@ -27,7 +32,7 @@ FIELDS = {
     "License Number:": "license_number",
     "Contact Phone:": "contact_phone",
 }
-#: Columns of a record with what stands where nothing was given.
+#: Columns of a record with what stands where nothing was given.
 DEFAULTS = {"record_date": "", "business_name": "", "business_location": "", "applicants": "", "license_type": "", "application_type": "", "license_number": "", "contact_phone": "", "city": "", "state": "WA", "zip_code": "", "previous_business_name": "", "previous_applicants": "", "previous_business_location": "", "previous_city": "", "previous_state": "", "previous_zip_code": ""}
 _PLACES = (("business_location", "city", "state", "zip_code"), ("previous_business_location", "previous_city", "previous_state", "previous_zip_code"))
 
@@ -65,23 +70,38 @@ def snapshot_date(path: Column) -> Column:
     return F.try_to_timestamp(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"\d{4}_\d{2}_\d{2}", 0), F.lit("yyyy_MM_dd"))
 
 
-def _plain(c: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "(?s)<[^>]*>", ""), "&nbsp;| ", " "), "&amp;", "&")
-    return F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"^\s+|\s+$", "")
+#: A tag: quoted values may hold its end. One with a quote left open ends at the first >.
+_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_TAG = rf"<[a-zA-Z/!?]{_ATTRIBUTES}>|<[a-zA-Z/!?][^>]*+>"
+
+
+def elements(c: Column, name: str, ends: str = "") -> Column:
+    """The contents of each element of a name, in order: from its opening tag to its end tag, to the next opening tag or to one of ends (a pattern of tags' beginnings)."""
+    opening = rf"(?i)<{name}(?=[\s/>])(?:{_ATTRIBUTES}>|[^>]*+>)"
+    parts = F.split(c, opening)
+    stop = f"</{name}" + (f"|{ends}" if ends else "")
+    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.regexp_replace(x, rf"(?is)(?:{stop})(?=[\s/>]).*$", ""))
+
+
+def text_of(c: Column) -> Column:
+    """What an element's content says."""
+    nodes = F.transform(F.split(c, _TAG), lambda x: trimmed(unescaped(x)))
+    return F.array_join(nodes, "")
 
 
 def tables(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, section, table_no, body): tables whose first heading names a section."""
-    found = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<table\b.*?</table>"), 0)).alias("table_no", "body"))
-    heading = _plain(F.regexp_extract("body", r"(?is)<th\b[^>]*>(.*?)</th>", 1))
+    """(key, section, table_no, body): tables whose first heading names a section; comments are left out."""
+    bare = F.regexp_replace(F.col(html), "(?s)<!--.*?-->", "")
+    found = pages.select(key, F.posexplode(elements(bare, "table")).alias("table_no", "body"))
+    heading = F.replace(text_of(F.get(elements(F.col("body"), "th", "<th|<td|</tr|<tr|</thead"), F.lit(0))), F.lit("\u00a0"), F.lit(" "))
     return found.withColumn("section", _lookup(SECTIONS, heading)).where("section is not null").select(key, "section", "table_no", "body")
 
 
 def cells_of(parts: DataFrame, key: list[str], body: str = "body") -> DataFrame:
     """(key, pos, label, value): the rows of two cells of HTML fragments."""
-    rows = parts.select(*key, F.posexplode(F.regexp_extract_all(F.col(body), F.lit(r"(?is)<tr\b.*?</tr>"), 0)).alias("pos", "r"))
-    two = rows.withColumn("c", F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), 1), _plain)).where("size(c) = 2")
-    return two.select(*key, "pos", F.col("c")[0].alias("label"), F.col("c")[1].alias("value"))
+    rows = parts.select(*key, F.posexplode(elements(F.col(body), "tr", "</tbody|</thead|</tfoot|</table|<tbody|<thead|<tfoot")).alias("pos", "r"))
+    two = rows.withColumn("c", elements(F.col("r"), "td", "<th")).where("size(c) = 2")
+    return two.select(*key, "pos", text_of(F.col("c")[0]).alias("label"), text_of(F.col("c")[1]).alias("value"))
 
 
 def cells(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -132,15 +152,32 @@ def records_of_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def blocks_of(parts: DataFrame, key: list[str], body: str = "body") -> DataFrame:
-    """(key, block_no, body): the <tbody> groups of HTML fragments."""
-    return parts.select(*key, F.posexplode(F.regexp_extract_all(F.col(body), F.lit(r"(?is)<tbody\b.*?</tbody>"), 0)).alias("block_no", "body"))
+    """(key, block_no, body): the <tbody> groups of HTML fragments, with their tags."""
+    found = F.regexp_extract_all(F.col(body), F.lit(r"(?is)<tbody(?=[\s/>]).*?(?=</tbody|<tbody|</table|\z)"), 0)
+    return parts.select(*key, F.posexplode(F.transform(found, lambda x: F.concat(x, F.lit("</tbody>")))).alias("block_no", "body"))
+
+
+NATURAL_KEY = ["section_type", "record_date", "license_number", "application_type"]
+
+
+def keys_of_blocks(blocks: DataFrame, key: list[str]) -> DataFrame:
+    """key with section_type for section, and the natural key that each block's rows say; of a label that stands twice the last row counts."""
+    rows = cells_of(blocks, key)
+    said = lambda c: F.coalesce(F.max_by(F.when(c, F.col("value")), F.when(c, F.col("pos"))), F.lit(""))
+    labels = {"license_number": ["License Number:"], "application_type": ["Application Type:", "\\Application Type:"]}
+    each = rows.groupBy(*key).agg(iso_date(said(F.col("label") == _lookup(DATE_LABELS, F.col("section")))).alias("record_date"), *[said(F.col("label").isin(*names)).alias(c) for c, names in labels.items()])
+    return each.withColumnRenamed("section", "section_type")
+
+
+def evidence(blocks: DataFrame, key: list[str], wanted: DataFrame, order: list[str], among: list[str] | None = None) -> DataFrame:
+    """The block (key with section, body) that evidences each wanted natural key: the first by order; one for each of among (columns), if given. Result: among, the natural key, html."""
+    found = keys_of_blocks(blocks, key).join(wanted.select(*NATURAL_KEY).distinct(), NATURAL_KEY, "left_semi")
+    own = ["section_type" if k == "section" else k for k in key]
+    held = found.join(blocks.select(*key, F.col("body").alias("html")).withColumnRenamed("section", "section_type"), own)
+    return held.groupBy(*(among or []), *NATURAL_KEY).agg(F.min_by("html", F.struct(*order)).alias("html"))
 
 
 def source_blocks(parts: DataFrame, key: list[str], wanted: DataFrame) -> DataFrame:
     """The <tbody> that evidences each wanted record (section_type, record_date, license_number, application_type): its first by
     key and place. parts are (key with section, body)."""
-    blocks = blocks_of(parts, key)
-    found = records(cells_of(blocks, [*key, "block_no"]), [*key, "block_no"]).join(blocks.select(*key, "block_no", F.col("body").alias("html")).withColumnRenamed("section", "section_type"), [*[("section_type" if k == "section" else k) for k in key], "block_no"])
-    natural = ["section_type", "record_date", "license_number", "application_type"]
-    place = F.struct(*[k for k in key if k != "section"], "block_no", "pos")
-    return found.join(wanted.select(*natural).distinct(), natural, "left_semi").groupBy(*natural).agg(F.min_by("html", place).alias("html"))
+    return evidence(blocks_of(parts, key), [*key, "block_no"], wanted, [*[k for k in key if k != "section"], "block_no"])
