@@ -38,13 +38,12 @@ def _character(number: Column) -> Column:
 
 def unescaped(c: Column) -> Column:
     """Text with its character references read, each once: named ones with a semicolon, numeric ones with or without. Others stay as they are."""
-    named = F.create_map(*[F.lit(x) for name, point in {**name2codepoint, "apos": 39}.items() for x in (name, chr(point))])
+    named = F.str_to_map(F.lit(" ".join(f"{name}={point}" for name, point in {**name2codepoint, "apos": 39}.items())), F.lit(" "), F.lit("="))
 
     def read(t: Column) -> Column:
-        digits = F.rtrim(F.substr(t, F.lit(3)), F.lit(";"))
-        number = F.when(t.rlike("^&#[xX]"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits).try_cast("long")
-        said = F.when(t.startswith("&#"), _character(number)).otherwise(F.try_element_at(named, F.rtrim(F.substr(t, F.lit(2)), F.lit(";"))))
-        return F.when(t.startswith("&") & (F.length(t) > 1), F.coalesce(said, t)).otherwise(t)
+        said = F.rtrim(F.substr(t, F.lit(2)), F.lit(";"))
+        number = F.when(t.rlike("^&#[xX]"), F.conv(F.substr(said, F.lit(3)), 16, 10)).when(t.startswith("&#"), F.substr(said, F.lit(2))).otherwise(F.try_element_at(named, said))
+        return F.when(t.startswith("&") & (F.length(t) > 1), F.coalesce(_character(number.try_cast("long")), t)).otherwise(t)
 
     pieces = F.regexp_extract_all(c, F.lit(r"&#[xX][0-9a-fA-F]{1,8};?|&#[0-9]{1,10};?|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"), 0)
     return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, read), "")).otherwise(c)

@@ -28,15 +28,17 @@ _RECORDS = """select o_orderkey id, case o_orderstatus when 'O' then 'new_applic
   'BUSINESS ' || o_custkey business_name,
   case when o_orderkey % 4 = 0 then '' else 'BUSINESS ' || o_custkey || '; PERSON ' || (o_orderkey % 7) || '; person ' || (o_orderkey % 5) || ' llc.,; ADDITIONAL NAMES ON FILE; PERSON ' || (o_orderkey % 7) end applicants,
   case when o_orderkey % 9 = 0 then 'BUSINESS; JANE (DUPLICATE) DOE' else '' end previous_applicants,
-  case o_orderkey % 3 when 0 then (o_orderkey % 20 + 400) || ',' when 1 then (o_orderkey % 20 + 400) || ', Name ' || (o_orderkey % 6) else 'name ' || (o_orderkey % 6) || '; NAME ' || (o_orderkey % 11) end license_type,
+  case o_orderkey % 3 when 0 then (o_orderkey % 1009 + 400) || ',' when 1 then (o_orderkey % 1009 + 400) || ', Name ' || (o_orderkey % 600) else 'name ' || (o_orderkey % 600) || '; NAME ' || (o_orderkey % 1100) end license_type,
   cast(o_custkey as bigint) location_id, cast(case when o_orderkey % 3 = 0 then o_custkey % 97 end as bigint) previous_location_id from orders"""
 _BASE = {
     "records": _RECORDS,
     "locations": "select c_custkey id, '1 ' || c_name raw_address, n_name city, case when c_nationkey % 2 = 0 then 'WA' else 'OR' end state, cast(10000 + c_custkey as {text}) zip_code, case c_custkey % 3 when 0 then '' when 1 then 'STD ' || n_name end std_city, case when c_custkey % 4 = 0 then 'ID' else '' end std_region, case when c_custkey % 5 = 0 then '99999' end std_postal_code from customer join nation on n_nationkey = c_nationkey",
-    "endorsements": "select p_partkey id, case when p_partkey < 11 then 'NAME ' || p_partkey when p_partkey < 20 then cast(390 + p_partkey as {text}) when p_partkey < 25 then (390 + p_partkey) || ', PLAIN ' || p_partkey else 'BIG KIND GOODS SALE AT HOME WITH ' || upper(p_name) || case when p_partkey % 2 = 0 then ' ENDORSEMENT' else '' end end name from part where p_partkey < 60",
-    "codes": "select cast(400 + p_partkey % 14 as {text}) code, p_partkey endorsement_id from part where p_partkey between 3 and 40",
-    "aliases": "select p_partkey endorsement_id, p_partkey - 1 canonical_endorsement_id from part where p_partkey < 60 and p_partkey % 5 = 4",
-    "record_endorsements": "select distinct l_orderkey record_id, l_partkey % 60 endorsement_id from lineitem",
+    # of every ten parts one is a plain name, one a placeholder of a code, one "CODE, NAME"; the others are names that resemble each other
+    "endorsements": """select p_partkey id, case p_partkey % 10 when 0 then 'NAME ' || p_partkey when 1 then cast(400 + p_partkey div 10 as {text}) when 2 then (400 + p_partkey div 10) || ', PLAIN ' || p_partkey
+      else 'KIND' || p_partkey div 10 || ' OF GOODS' || p_partkey div 10 || ' SALE' || p_partkey div 10 || ' AT' || p_partkey div 10 || ' HOME' || p_partkey div 10 || ' WITH' || p_partkey || case when p_partkey % 2 = 0 then ' ENDORSEMENT' else '' end end name from part""",
+    "codes": "select cast(400 + p_partkey div 10 as {text}) code, p_partkey endorsement_id from part where p_partkey % 10 in (3, 4) and p_partkey % 30 < 20",
+    "aliases": "select p_partkey endorsement_id, p_partkey - 1 canonical_endorsement_id from part where p_partkey % 5 = 1",
+    "record_endorsements": "select distinct l_orderkey record_id, l_partkey endorsement_id from lineitem",
     "entities": "select s_suppkey id, case when s_suppkey % 10 = 9 then 'supplier ' || (s_suppkey - 1) else 'SUPPLIER ' || s_suppkey end name, case when s_suppkey % 2 = 0 then 'person' else 'organization' end entity_type from supplier",
     "record_entities": "select l_orderkey record_id, l_suppkey entity_id, case when l_linenumber % 2 = 1 then 'applicant' else 'previous_applicant' end role, cast(min(l_linenumber) as bigint) position from lineitem group by 1, 2, 3",
     "source_types": "select * from (values (1, 'live_scrape', 'Live Scrape'), (2, 'co_archive', 'Page Archive'), (3, 'internet_archive', 'Internet Archive'), (4, 'co_diff_archive', 'Diff Archive'), (5, 'manual', 'Manual Entry'), (6, 'co_replay', 'Replay Extract')) t(id, slug, label)",
@@ -58,7 +60,7 @@ _STATUS = f"""case (select o.section_type from links l join records o on o.id =
 def _with(*names: str, more: str = "") -> str:
     """The WITH clause of base tables in the oracle's SQL."""
     day = "strftime(o_orderdate + interval 9497 days, '%Y-%m-%d')"
-    parts = [f"{n} as ({_BASE[n].format(day=day, text='varchar')})" for n in names]
+    parts = [f"{n} as ({_BASE[n].format(day=day, text='varchar').replace(' div ', ' // ')})" for n in names]
     return "with " + ",\n".join([*parts, *([more] if more else [])]) + "\n"
 
 
@@ -122,7 +124,7 @@ _ARRIVALS = f"""asked as (select id, record_date, license_number, application_ty
 
 def _arrived(t: Licensing) -> DataFrame:
     """Links that every tenth record adds as it arrives after all others."""
-    return linking.link_new(t["records"], t["links"].limit(0), t["records"].where("id % 10 = 0").select("id"))
+    return linking.link_new(t["records"], t["links"].where(F.lit(False)), t["records"].where("id % 10 = 0").select("id"))
 
 
 _query("link_new_records", _with("records", more=_ARRIVALS) + "select * from added")(_arrived)
@@ -152,10 +154,12 @@ _CITY = "coalesce(nullif({0}std_city, ''), {0}city) = (select max(n_name) from n
 _query("search_by_place", _with("records", "locations") + f"select r.id from records r left join locations a on a.id = r.location_id left join locations b on b.id = r.previous_location_id where ({_PLACE.format('a.')} or {_PLACE.format('b.')}) and ({_CITY.format('a.')} or {_CITY.format('b.')})")(
     lambda t: search.in_place(t["records"], t["locations"], "OR", t.nation.where("n_nationkey % 2 = 1").agg(F.max("n_name")).first()[0]).select("id")
 )
-_query("search_by_endorsements", _with("records", "endorsements", "aliases", "record_endorsements") + "select id from records where id in (select record_id from record_endorsements where endorsement_id in (select id from endorsements where name in ('NAME 3', 'NAME 8') union select endorsement_id from aliases where canonical_endorsement_id in (select id from endorsements where name in ('NAME 3', 'NAME 8'))))")(
-    lambda t: search.search(t["records"], t, endorsements=["NAME 3", "NAME 8", "NO SUCH NAME"]).select("id")
+_query("search_by_endorsements", _with("records", "endorsements", "aliases", "record_endorsements") + "select id from records where id in (select record_id from record_endorsements where endorsement_id in (select id from endorsements where name in ('NAME 10', 'NAME 20') union select endorsement_id from aliases where canonical_endorsement_id in (select id from endorsements where name in ('NAME 10', 'NAME 20'))))")(
+    lambda t: search.search(t["records"], t, endorsements=["NAME 10", "NAME 20", "NO SUCH NAME"]).select("id")
+)
+_query("search_unknown_endorsement", _with("records", "endorsements", "aliases", "record_endorsements") + "select 'NO SUCH NAME' name, count(*) filter (id in (select record_id from record_endorsements b join endorsements e on e.id = b.endorsement_id where e.name = 'NO SUCH NAME')) n from records union all select 'NAME 0', count(*) filter (id in (select record_id from record_endorsements b where endorsement_id in (select id from endorsements where name = 'NAME 0' union select endorsement_id from aliases where canonical_endorsement_id in (select id from endorsements where name = 'NAME 0')))) from records")(
+    lambda t: (lambda n: n("NO SUCH NAME").unionByName(n("NAME 0")))(lambda name: search.search(t["records"], t, endorsements=[name]).agg(F.lit(name).alias("name"), F.count("*").alias("n")))
 )
-_query("search_unknown_endorsement", _with("records") + "select count(*) n from records where 1 = 0")(lambda t: search.search(t["records"], t, endorsements=["NO SUCH NAME"]).agg(F.count("*").alias("n")))
 _query("search_page", _with("records", "locations", "endorsements", "aliases", "record_endorsements", more=_LINKS) + f"select r.id, r.record_date from records r left join locations a on a.id = r.location_id left join locations b on b.id = r.previous_location_id where r.section_type = 'new_application' and r.record_date >= '2022-01-01' and r.record_date <= '2026-12-31' and ({_PLACE.format('a.')} or {_PLACE.format('b.')}) and {_CASES['unknown']} order by r.record_date desc, r.id desc limit 20 offset 20")(
     lambda t: search.result_page(search.search(t["records"], t, section_type="new_application", state="OR", date_from="2022-01-01", date_to="2026-12-31", outcome_status="unknown", as_of=_as_of()), 2, 20).select("id", "record_date")
 )
@@ -254,26 +258,28 @@ _query("resolved_endorsements", _with("records", "endorsements", "aliases", "rec
 _query("code_groups", _with("endorsements", "codes", "record_endorsements") + "select code, (select count(distinct record_id) from record_endorsements b join codes c on c.endorsement_id = b.endorsement_id where c.code = g.code) records, string_agg(distinct name, '; ' order by name) names from endorsements e join codes g on g.endorsement_id = e.id group by code union all select null, (select count(distinct record_id) from record_endorsements where endorsement_id not in (select endorsement_id from codes)), string_agg(distinct name, '; ' order by name) from endorsements where id not in (select endorsement_id from codes)")(
     lambda t: D.code_groups(t["endorsements"], t["codes"], t["record_endorsements"])
 )
-_query("endorsement_options", _with("endorsements", "aliases", "record_endorsements") + "select distinct coalesce(c.name, e.name) name from endorsements e join record_endorsements b on b.endorsement_id = e.id left join aliases a on a.endorsement_id = e.id left join endorsements c on c.id = a.canonical_endorsement_id where b.record_id % 50 = 0")(
-    lambda t: D.options(t["endorsements"], t["aliases"], t["record_endorsements"].where("record_id % 50 = 0"))
+_query("endorsement_options", _with("endorsements", "aliases", "record_endorsements") + "select distinct coalesce(c.name, e.name) name from endorsements e join record_endorsements b on b.endorsement_id = e.id left join aliases a on a.endorsement_id = e.id left join endorsements c on c.id = a.canonical_endorsement_id")(
+    lambda t: D.options(t["endorsements"], t["aliases"], t["record_endorsements"])
 )
 _query("placeholders", _with("endorsements", "codes") + "select e.id, c.endorsement_id canonical from endorsements e join codes c on c.code = e.name join endorsements x on x.id = c.endorsement_id where regexp_matches(e.name, '^\\d+$') and x.name <> e.name")(lambda t: D.placeholders(t["endorsements"], t["codes"]))
 _query("placeholder_merge", _with("endorsements", "codes", "record_endorsements") + "select distinct b.record_id, coalesce(m.canonical, b.endorsement_id) endorsement_id from record_endorsements b left join (select e.id, c.endorsement_id canonical from endorsements e join codes c on c.code = e.name join endorsements x on x.id = c.endorsement_id where regexp_matches(e.name, '^\\d+$') and x.name <> e.name) m on m.id = b.endorsement_id")(
     lambda t: D.moved(t["record_endorsements"], t["codes"], D.placeholders(t["endorsements"], t["codes"]))[0].select("record_id", "endorsement_id")
 )
-_query("code_name_repair", _with("endorsements", "codes") + "select e.id, c.endorsement_id canonical from endorsements e join codes c on c.code = regexp_extract(e.name, '^(\\d+),\\s+(.+)$', 1) where regexp_matches(e.name, '^\\d+,\\s+.+$') and c.endorsement_id not between 20 and 24")(
+_query("code_name_repair", _with("endorsements", "codes") + "select e.id, c.endorsement_id canonical from endorsements e join codes c on c.code = regexp_extract(e.name, '^(\\d+),\\s+(.+)$', 1) where regexp_matches(e.name, '^\\d+,\\s+.+$')")(
     lambda t: (lambda m: m.join(t["endorsements"].select(F.col("id").alias("canonical")), "canonical", "left_semi").select("id", "canonical"))(D.code_name_repair(t["endorsements"], t["codes"])[2])
 )
 _query("mixed_case_merge", _with("entities") + "select min(id) id, upper(name) name from entities group by upper(name)")(lambda t: D.mixed_case(t["entities"].select("id", "name"))[0])
-_query("rename_by_alias", _with("aliases") + "select endorsement_id, canonical_endorsement_id from aliases where endorsement_id <> 4 union all select 4, 60")(lambda t: D.renamed(t["endorsements"], t["aliases"], 4, "a new name")[1])
-_query("remove_alias", _with("aliases") + "select * from aliases where endorsement_id <> 9")(lambda t: D.remove_alias(t["aliases"], 9))
-_query("change_codes", _with("codes") + "select * from codes where not (code = '403' and endorsement_id = 3) union select '999', 5")(lambda t: D.add_code(D.remove_code(t["codes"], "403", 3), "999", 5))
-_query("dismiss_pair", "select cast(2 as bigint) a, cast(7 as bigint) b")(lambda t: D.dismissed(D.dismissed(t.spark.createDataFrame([], "a long, b long"), 7, 2), 2, 7))
+_query("rename_by_alias", _with("aliases") + "select endorsement_id, canonical_endorsement_id from aliases where endorsement_id <> 11 union all select 11, max(p_partkey) + 1 from part")(lambda t: D.renamed(t["endorsements"], t["aliases"], 11, "a new name")[1])
+_query("remove_alias", _with("aliases") + "select * from aliases where endorsement_id <> 6")(lambda t: D.remove_alias(t["aliases"], 6))
+_query("change_codes", _with("codes") + "select * from codes where not (code = '403' and endorsement_id = 33) union select '999', 5")(lambda t: D.add_code(D.remove_code(t["codes"], "403", 33), "999", 5))
+_query("dismiss_pair", "select s_suppkey a, s_suppkey + 1 b from supplier union select 2, 7")(lambda t: D.dismissed(D.dismissed(t.supplier.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b")), 7, 2), 2, 7))
 _TOKENS = "list_filter(string_split(trim(regexp_replace(replace(upper(name), '+', ' PLUS '), '\\s+', ' ', 'g')), ' '), lambda x: x <> '' and x not in ('ENDORSEMENT', 'THE', 'AND', 'OF', 'FOR', 'A'))"
 _SCORES = f"""tokens as (select e.id, {_TOKENS} t from endorsements e where e.id not in (select endorsement_id from aliases)),
   features as (select id, list_distinct(t) u, list_distinct(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) f from tokens where len(t) > 0),
   scores as (select x.id a, y.id b, 0.7 * len(list_intersect(x.f, y.f)) / len(list_distinct(list_concat(x.f, y.f))) + 0.3 * len(list_intersect(x.u, y.u)) / least(len(x.u), len(y.u)) score from features x join features y on x.id < y.id)"""
-_query("similar_names", _with("endorsements", "aliases", more=_SCORES) + "select a, b, round(score, 3) score from scores where score >= 0.7 and not (a = 25 and b = 27)")(lambda t: D.suggestions(t["endorsements"], t["aliases"], t.spark.createDataFrame([(27, 25)], "a long, b long")))
+_query("similar_names", _with("endorsements", "aliases", more=_SCORES) + "select a, b, round(score, 3) score from scores where score >= 0.7 and not (a % 10 = 3 and b = a + 2)")(
+    lambda t: D.suggestions(t["endorsements"], t["aliases"], t.part.where("p_partkey % 10 = 3").select((F.col("p_partkey") + 2).alias("a"), F.col("p_partkey").alias("b")))
+)
 _query("substances", _with("substances", "substance_endorsements", "endorsements") + "select s.id, s.name, s.display_order, coalesce(string_agg(e.name, '; ' order by e.name), '') endorsements from substances s left join substance_endorsements m on m.substance_id = s.id left join endorsements e on e.id = m.endorsement_id group by all")(lambda t: D.substance_list(t["substances"], t["substance_endorsements"], t["endorsements"]))
 _query("next_display_order", _with("substances") + "select coalesce(max(display_order), 0) + 1 display_order from substances")(lambda t: D.next_order(t["substances"]))
 _query("set_substance", _with("substance_endorsements") + "select * from substance_endorsements where substance_id <> 1 union all select 1, 50 union all select 1, 51")(lambda t: D.set_members(t["substance_endorsements"], 1, [51, 50, 51]))
@@ -294,10 +300,12 @@ _query("record_totals", _with("records", "entities") + "select count(*) total_re
     lambda t: stats.totals(t["records"], t["entities"])
 )
 _query("outcome_funnel", _with("records", more=_LINKS) + f"select count(*) filter ({_linkable}) total, " + ", ".join(f"count(*) filter ({where}) {name}" for name, where in _CASES.items()) + " from records r")(lambda t: stats.funnel(t["records"], t["links"], _as_of()))
-_USED = "l.id in (select location_id from records where id % 100 = 0 union select previous_location_id from records where id % 100 = 0)"
-_query("state_options", _with("records", "locations") + f"select distinct coalesce(nullif(std_region, ''), state) state from locations l where {_USED}")(lambda t: stats.state_options(t["records"].where("id % 100 = 0"), t["locations"]))
-_query("cities_of_state", _with("records", "locations") + f"select distinct coalesce(nullif(std_city, ''), city) city from locations l where {_USED} and coalesce(nullif(std_region, ''), state) = 'OR'")(lambda t: stats.cities(t["records"].where("id % 100 = 0"), t["locations"], "OR"))
-_query("cities_of_no_state", "select count(*) n from orders where 1 = 0")(lambda t: stats.cities(t["records"], t["locations"], "XX").agg(F.count("*").alias("n")))
+_USED = "l.id in (select location_id from records union select previous_location_id from records)"
+_query("state_options", _with("records", "locations") + f"select distinct coalesce(nullif(std_region, ''), state) state from locations l where {_USED}")(lambda t: stats.state_options(t["records"], t["locations"]))
+_query("cities_of_state", _with("records", "locations") + f"select distinct coalesce(nullif(std_city, ''), city) city from locations l where {_USED} and coalesce(nullif(std_region, ''), state) = 'OR'")(lambda t: stats.cities(t["records"], t["locations"], "OR"))
+_query("cities_of_no_state", _with("records", "locations") + f"select s.state, count(distinct coalesce(nullif(std_city, ''), city)) n from (values ('WA'), ('XX')) s(state) left join locations l on {_USED} and coalesce(nullif(std_region, ''), l.state) = s.state group by 1")(
+    lambda t: (lambda n: n("WA").unionByName(n("XX")))(lambda state: stats.cities(t["records"], t["locations"], state).agg(F.lit(state).alias("state"), F.count("*").alias("n")))
+)
 _query("value_options", _with("records") + "select 'section_type' facet, section_type \"value\" from records group by all union all select 'application_type', application_type from records group by all")(lambda t: stats.value_options(t["records"], ["section_type", "application_type"]))
 _query("broken_keys", _with("records", "locations") + "select id record_id, 'location_id' \"column\", location_id bad_id from records where location_id not in (select id from locations where id % 10 > 0) union all select id, 'previous_location_id', previous_location_id from records where previous_location_id is not null and previous_location_id not in (select id from locations where id % 10 > 0)")(
     lambda t: stats.broken_keys(t["records"], t["locations"].where("id % 10 > 0"))
@@ -328,16 +336,16 @@ _query("link_sources", _with("record_sources") + "select * from record_sources u
     lambda t: D.linked_sources(t["record_sources"], t["record_sources"].select("record_id", F.lit(0).alias("source_id"), F.lit("confirmed").alias("role")))
 )
 _query("has_source", _with("record_sources") + "select record_id, bool_or(source_id = 3) linked from record_sources group by record_id")(lambda t: search.has_source(t["record_sources"], 3))
-_query("seed_codes", _with("endorsements", "codes") + "select code, name from codes c join endorsements e on e.id = c.endorsement_id union select '405', 'NAME 2' union select '777', 'BRAND NEW'")(
-    lambda t: (lambda more, codes: codes.join(more.withColumnRenamed("id", "endorsement_id"), "endorsement_id").select("code", "name"))(*D.seeded(t["endorsements"], t["codes"], t.spark.createDataFrame([("405", "Name 2"), ("777", "brand new")], "code string, name string")))
+_query("seed_codes", _with("endorsements", "codes") + "select code, name from codes c join endorsements e on e.id = c.endorsement_id union select '405', 'NAME 20' union select '777', 'BRAND NEW'")(
+    lambda t: (lambda more, codes: codes.join(more.withColumnRenamed("id", "endorsement_id"), "endorsement_id").select("code", "name"))(*D.seeded(t["endorsements"], t["codes"], t.spark.createDataFrame([("405", "Name 20"), ("777", "brand new")], "code string, name string")))
 )
 _query("audit_insert", "select max(event_id) + 1 id, 'merge' action, '{\"from\":\"1\"}' details from events")(
     lambda t: (lambda log: D.audited(log, t.spark.createDataFrame([("merge", {"from": "1"})], "action string, details map<string,string>")).orderBy(F.desc("id")).limit(1))(t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("action"), F.col("props").alias("details")))
 )
 _query("entity_lookup", _with("entities") + "select id, name, entity_type from entities where lower(name) = 'supplier 3'")(lambda t: search.by_name(t["entities"], "Supplier 3"))
 _query("substance_members", _with("substance_endorsements") + "select endorsement_id from substance_endorsements where substance_id = 2")(lambda t: D.members_of(t["substance_endorsements"], 2))
-_query("reprocess_code", _with("records", "codes", "record_endorsements") + "select * from record_endorsements where record_id not in (select id from records where rtrim(license_type, ',') = '405' or license_type like '405, %') union all select id, unnest([5, 19, 33]) from records where rtrim(license_type, ',') = '405' or license_type like '405, %'")(
-    lambda t: (lambda own: D.rebuilt(t["record_endorsements"], own, D.endorsement_bridge(own, t["codes"], t["endorsements"])))(D.with_code(t["records"], "405"))
+_query("reprocess_code", _with("records", "codes", "record_endorsements") + "select * from record_endorsements where record_id not in (select id from records where rtrim(license_type, ',') = '404' or license_type like '404, %') union all select id, endorsement_id from records, codes where code = '404' and (rtrim(license_type, ',') = '404' or license_type like '404, %')")(
+    lambda t: (lambda own: D.rebuilt(t["record_endorsements"], own, D.endorsement_bridge(own, t["codes"], t["endorsements"])))(D.with_code(t["records"], "404"))
 )
 _query("stale_steps", "select o_orderkey id from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber >= 3)")(
     lambda t: ingest.stale_steps(t.orders.select(F.col("o_orderkey").alias("id")), t.lineitem.select(F.col("l_orderkey").alias("record_id"), F.lit("entities").alias("step"), F.col("l_linenumber").alias("version")), "entities", 3)
@@ -353,8 +361,8 @@ _query("changed_pages", "select page_id from pages where sha256(html) not in (se
 )
 _query("contiguous_positions", _with("record_entities") + "select record_id, entity_id, role, row_number() over (partition by record_id, role order by position, entity_id) - 1 position from record_entities")(lambda t: D.latest_position(t["record_entities"]).withColumn("position", F.col("position").cast("long")).select("record_id", "entity_id", "role", "position"))
 _query("shown_times", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') iso, strftime(ts, '%Y-%m-%d') \"date\" from events")(lambda t: t.events.select("event_id", S.shown_time(F.col("ts")).alias("s")).select("event_id", "s.*"))
-_query("chain_report", "select 3 files, 1 read_errors, 1 skipped")(
-    lambda t: diffs.report(t.spark.createDataFrame([("a", "--- x\n+++ y\n"), ("b", None), ("c", "error page")], "path string, text string"), "text").select(*[F.col(c).cast("int").alias(c) for c in ("files", "read_errors", "skipped")])
+_query("chain_report", "select count(*) files, count(*) filter (o_orderkey % 5 = 0) read_errors, count(*) filter (o_orderkey % 5 > 0 and o_orderkey % 3 = 0) skipped from orders")(
+    lambda t: diffs.report(t.orders.select(F.when(F.col("o_orderkey") % 5 > 0, F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("error page "), F.col("o_orderkey"))).otherwise(F.concat(F.lit("--- x\n+++ y\n@@ "), F.col("o_orderkey")))).alias("text")), "text")
 )
 _query("run_durations", "select event_id id, event_type status, cast(event_id % 90 as bigint) as \"seconds\" from events order by event_id desc limit 5")(
     lambda t: D.durations(t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("status"), F.col("ts").alias("started_at"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("event_id") % 90)).alias("finished_at")))
@@ -373,42 +381,127 @@ _query("batch_counts", _with("records") + "select count(distinct (section_type,
     lambda t: ingest.outcome_of(t["records"], t["records"].where("id % 2 = 0"))
 )
 
-_PAGE = r"""'<table><thead><tr><th>STATEWIDE&nbsp;NEW LICENSE APPLICATIONS</th></tr></thead>' || string_agg('<tbody><tr><td><b>Notification Date:</b></td><td>' || strftime(o_orderdate, '%-m/%-d/%Y') || '</td></tr><tr><td>Business Name:</td><td>B &amp; ' || o_custkey || '</td></tr><tr><td>Business Location:</td><td>1 MAIN ST, SEATTLE, WA 98101</td></tr><tr><td>\Application Type:</td><td>RENEWAL</td></tr><tr><td>License Number:</td><td>' || o_orderkey || '</td></tr></tbody>', '')"""
-
 
 def _pages(t: Licensing) -> DataFrame:
-    """A page for each customer whose rows are its applications."""
-    cell = lambda a, b: F.concat(F.lit(f"<tr><td>{a}</td><td>"), b, F.lit("</td></tr>"))
-    body = F.concat(F.lit("<tbody>"), cell("<b>Notification Date:</b>", F.date_format("o_orderdate", "M/d/yyyy")), cell("Business Name:", F.concat(F.lit("B &amp; "), F.col("o_custkey"))), cell("Business Location:", F.lit("1 MAIN ST, SEATTLE, WA 98101")), cell("\\Application Type:", F.lit("RENEWAL")), cell("License Number:", F.col("o_orderkey")), F.lit("</tbody>"))
+    """A page for each customer whose rows are its applications; every other one leaves its end tags out."""
+
+    def cell(a: str, b) -> DataFrame:
+        return F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(f"<tr><td class='a > b'>{a}</td><td>"), b, F.lit("</td></tr>"))).otherwise(F.concat(F.lit(f"<TR><td>{a}<td>"), b))
+
+    said = F.concat(F.lit("<i>&nbsp;O&#39;B </i>&amp; &quot;CAF&Eacute;&quot;&nbsp;"), F.col("o_custkey"))
+    body = F.concat(F.lit("<tbody>"), cell("<b>Notification Date:</b>", F.date_format("o_orderdate", "M/d/yyyy")), cell("Business Name:", said), cell("Business Location:", F.lit("1 MAIN ST, SEATTLE, WA 98101")), cell("\\Application Type:", F.lit("RENEWAL")), cell("License Number:", F.col("o_orderkey")), F.when(F.col("o_orderkey") % 2 == 0, "</tbody>").otherwise("<!-- </table> -->"))
     made = t.orders.where("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(body)), "").alias("b"))
     return made.select("o_custkey", F.concat(F.lit("<table><thead><tr><th>STATEWIDE&nbsp;NEW LICENSE APPLICATIONS</th></tr></thead>"), "b", F.lit("</table>")).alias("html"))
 
 
-_query("page_records", "select o_custkey, 'new_application' section_type, strftime(o_orderdate, '%Y-%m-%d') record_date, 'B & ' || o_custkey business_name, 'RENEWAL' application_type, cast(o_orderkey as varchar) license_number, 'SEATTLE' city, 'WA' state, '98101' zip_code, '' previous_state from orders where o_orderstatus = 'O'")(
+_query("page_records", "select o_custkey, 'new_application' section_type, strftime(o_orderdate, '%Y-%m-%d') record_date, 'O''B& \"CAFÉ\"' || chr(160) || o_custkey business_name, 'RENEWAL' application_type, cast(o_orderkey as varchar) license_number, 'SEATTLE' city, 'WA' state, '98101' zip_code, '' previous_state from orders where o_orderstatus = 'O'")(
     lambda t: html.records_of_pages(_pages(t), "o_custkey", "html").select("o_custkey", "section_type", "record_date", "business_name", "application_type", "license_number", "city", "state", "zip_code", "previous_state")
 )
-_query("source_blocks", "select cast(o_orderkey as varchar) license_number, count(*) n from orders where o_orderstatus = 'O' and o_orderkey % 5 = 0 group by 1")(
-    lambda t: html.source_blocks(html.tables(_pages(t), "o_custkey", "html").drop("table_no"), ["o_custkey", "section"], t.orders.where("o_orderstatus = 'O' and o_orderkey % 5 = 0").select(F.lit("new_application").alias("section_type"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("record_date"), F.col("o_orderkey").cast("string").alias("license_number"), F.lit("RENEWAL").alias("application_type"))).groupBy("license_number").agg(F.count("html").alias("n"))
+
+
+def _asked(t: Licensing) -> DataFrame:
+    return t.orders.where("o_orderstatus = 'O'").select(F.lit("new_application").alias("section_type"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("record_date"), F.col("o_orderkey").cast("string").alias("license_number"), F.lit("RENEWAL").alias("application_type"))
+
+
+_query("source_blocks", "select cast(o_orderkey as varchar) license_number, count(*) n from orders where o_orderstatus = 'O' group by 1")(
+    lambda t: html.source_blocks(html.tables(_pages(t), "o_custkey", "html").drop("table_no"), ["o_custkey", "section"], _asked(t)).groupBy("license_number").agg(F.count("html").alias("n"))
 )
 
+_ENTRY, _EXIT = "o_orderstatus = 'O'", "o_orderstatus = 'F'"
+
+
+def _rows(op, wrapped: bool):
+    """The lines of one record's rows; op is the mark of its lines, or a mark for each of date, type and number."""
+    mark = (op,) * 3 if isinstance(op, str) else op
+    row = lambda m, a, b: F.concat(F.lit(f"{m}<tr><td>{a}</td><td>"), b, F.lit("</td></tr>\n"))
+    rows = [row(mark[0], "Notification Date:", F.date_format("o_orderdate", "M/d/yyyy")), row(mark[1], "\\Application Type:", F.lit("RENEWAL")), row(mark[2], "License Number:", F.col("o_orderkey"))]
+    return F.concat(F.lit(f"{mark[0]}<tbody>\n"), *rows, F.lit(f"{mark[0]}</tbody>\n")) if wrapped else F.concat(*rows)
+
+
+def _diffs(t: Licensing, entry, exit_) -> DataFrame:
+    """A diff for each customer, dated by its orders, with a hunk of its approvals' lines and one of its applications'; every seventh breaks off."""
+    of = lambda kind, rows: F.array_join(F.array_sort(F.collect_list(F.when(F.expr(kind), rows))), "")
+    made = t.orders.where("o_orderstatus in ('O', 'F')").groupBy("o_custkey").agg(of(_EXIT, exit_).alias("removed"), of(_ENTRY, entry).alias("added"), F.min("o_orderdate").alias("old"), F.max("o_orderdate").alias("new"))
+    time = lambda c: F.concat(F.date_format(c, "EEE, dd MMM yyyy"), F.lit(" 10:00:00 +0000"))
+    size = lambda c, marks: F.regexp_count(c, F.lit(f"(?m)^[{marks}]"))
+    hunk = lambda c: F.when(F.col(c) != "", F.concat(F.lit("@@ -1,"), size(c, " -"), F.lit(" +1,"), size(c, " +"), F.lit(" @@\n"), c)).otherwise("")
+    broken = F.when(F.col("o_custkey") % 7 == 3, "@@ -900,3 +900,3 @@\n x\n").otherwise("")
+    return made.select("o_custkey", F.lit("new_application").alias("section"), F.concat(F.lit("--- @\t"), time("old"), F.lit("\n+++ @\t"), time("new"), F.lit("\n"), hunk("removed"), hunk("added"), broken).alias("content"))
 
-def _diffs(t: Licensing) -> DataFrame:
-    """A diff for each customer that adds its applications' blocks and removes those of its approvals."""
-    row = lambda op, a, b: F.concat(F.lit(f"{op}<tr><td>{a}</td><td>"), b, F.lit("</td></tr>\n"))
-    block = lambda op: F.concat(F.lit(f"{op}<tbody>\n"), row(op, "Notification Date:", F.date_format("o_orderdate", "M/d/yyyy")), row(op, "\\Application Type:", F.lit("RENEWAL")), row(op, "License Number:", F.col("o_orderkey")), F.lit(f"{op}</tbody>\n"))
-    of = lambda status, op: F.array_join(F.array_sort(F.collect_list(F.when(F.col("o_orderstatus") == status, block(op)))), "")
-    made = t.orders.where("o_orderstatus in ('O', 'F')").groupBy("o_custkey").agg(of("F", "-").alias("removed"), of("O", "+").alias("added"), (5 * F.count_if(F.col("o_orderstatus") == "F")).alias("old"), (5 * F.count_if(F.col("o_orderstatus") == "O")).alias("new"))
-    head = F.concat(F.lit("--- @\tTue, 06 Sep 2022 10:00:00 +0000\n+++ @\tWed, 07 Sep 2022 10:00:00 +0000\n@@ -1,"), "old", F.lit(" +1,"), "new", F.lit(" @@\n"))
-    return made.select("o_custkey", F.lit("new_application").alias("section"), F.concat(head, "removed", "added").alias("content"))
+
+def _wrapped(t: Licensing) -> DataFrame:
+    """Diffs of whole blocks."""
+    return _diffs(t, _rows("+", True), _rows("-", True))
+
+
+def _bare(t: Licensing) -> DataFrame:
+    """Diffs of bare rows, in which of a record that goes only the number's row is marked: the others stand around it."""
+    return _diffs(t, _rows("+", False), _rows((" ", " ", "-"), False))
 
 
 _query("diff_records", "select o_custkey, case o_orderstatus when 'O' then 'entry' else 'exit' end side, strftime(o_orderdate, '%Y-%m-%d') record_date, cast(o_orderkey as varchar) license_number from orders where o_orderstatus in ('O', 'F')")(
-    lambda t: diffs.records_of_diffs(_diffs(t), ["o_custkey", "section"]).select("o_custkey", "side", "record_date", "license_number")
+    lambda t: diffs.records_of_diffs(_wrapped(t), ["o_custkey", "section"]).select("o_custkey", "side", "record_date", "license_number")
+)
+_query("single_diff_records", "select o_custkey, strftime(o_orderdate, '%Y-%m-%d') record_date, cast(o_orderkey as varchar) license_number, case o_orderstatus when 'O' then new_ts else old_ts end scraped_at from orders join (select o_custkey, date_trunc('day', min(o_orderdate)) + interval 10 hours old_ts, date_trunc('day', max(o_orderdate)) + interval 10 hours new_ts from orders where o_orderstatus in ('O', 'F') group by 1) using (o_custkey) where o_orderstatus in ('O', 'F')")(
+    lambda t: diffs.extract_records(_bare(t), ["o_custkey", "section"]).select("o_custkey", "record_date", "license_number", F.col("scraped_at").cast("timestamp_ntz").alias("scraped_at"))
 )
-_query("diff_headers", "select distinct o_custkey, timestamp '2022-09-06 10:00:00' old_ts, timestamp '2022-09-07 10:00:00' new_ts from orders where o_orderstatus in ('O', 'F')")(
-    lambda t: diffs.headers(_diffs(t), ["o_custkey"]).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("old_ts", "new_ts")})
+_query("diff_source_blocks", "select o_custkey, cast(o_orderkey as varchar) license_number, '<tbody>' || chr(10) || '<tr><td>Notification Date:</td><td>' || strftime(o_orderdate, '%-m/%-d/%Y') || '</td></tr>' || chr(10) || '<tr><td>\\Application Type:</td><td>RENEWAL</td></tr>' || chr(10) || '<tr><td>License Number:</td><td>' || o_orderkey || '</td></tr>' || chr(10) || '</tbody>' html from orders where o_orderstatus = 'O'")(
+    lambda t: diffs.source_blocks_of_diffs(_bare(t), ["o_custkey", "section"], _asked(t)).select("o_custkey", "license_number", "html")
+)
+_query("diff_headers", "select o_custkey, date_trunc('day', min(o_orderdate)) + interval 10 hours old_ts, date_trunc('day', max(o_orderdate)) + interval 10 hours new_ts from orders where o_orderstatus in ('O', 'F') group by 1")(
+    lambda t: diffs.headers(_wrapped(t), ["o_custkey"]).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("old_ts", "new_ts")})
+)
+_query("diff_hunks", "select o_custkey, count(distinct o_orderstatus) hunks, o_custkey % 7 = 3 truncated from orders where o_orderstatus in ('O', 'F') group by o_custkey")(lambda t: diffs.truncated(_wrapped(t), ["o_custkey"]))
+
+#: Four snapshots a group of customers; an application is in all from the one that its number gives on, and its name is blank in some of them.
+_SNAPSHOTS = """shown as (select o_orderkey, o_orderdate, o_orderpriority, 'p' || k || '-' || (o_custkey % 20) path, k, case when o_orderpriority <> '4-NOT SPECIFIED' or (o_orderkey + k) % 3 > 0 then 'BUSINESS ' || o_orderkey || ' IN ' || k else '' end business_name from orders, range(4) t(k) where o_orderstatus = 'O' and k >= o_orderkey % 4),
+  firsts as (select o_orderkey, arg_min(path, k) path, arg_min(business_name, k) business_name, arg_min(path, k) filter (business_name <> '') named_in, arg_min(business_name, k) filter (business_name <> '') later from shown group by 1),
+  inserted as (select *, business_name = '' and later is not null repaired from firsts)"""
+
+
+def _snapshots(t: Licensing) -> DataFrame:
+    cell = lambda a, b: F.concat(F.lit(f"<tr><td>{a}:<td>"), b)
+    shown = t.orders.where(_ENTRY).withColumn("k", F.explode(F.sequence(F.pmod("o_orderkey", F.lit(4)), F.lit(3))))
+    kind = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "ASSUMPTION").otherwise("RENEWAL")
+    name = F.when((F.col("o_orderpriority") != "4-NOT SPECIFIED") | ((F.col("o_orderkey") + F.col("k")) % 3 > 0), F.concat(F.lit("Business "), "o_orderkey", F.lit(" in "), "k")).otherwise("")
+    block = F.concat(cell("Notification Date", F.date_format("o_orderdate", "M/d/yyyy")), cell("New Business Name", name), cell("Application Type", kind), cell("License Number", F.col("o_orderkey")))
+    pages = shown.groupBy(F.concat(F.lit("p"), "k", F.lit("-"), F.col("o_custkey") % 20).alias("path")).agg(F.array_join(F.array_sort(F.collect_list(block)), "").alias("b"))
+    return pages.select("path", F.concat(F.lit("<table><tr><th>STATEWIDE NEW LICENSE APPLICATIONS"), "b", F.lit("</table>")).alias("html"))
+
+
+def _backfilled(t: Licensing) -> dict[str, DataFrame]:
+    none = t["records"].where(F.lit(False)).select(*ingest.NATURAL_KEY, "business_name", "applicants", F.lit(None).cast("string").alias("previous_location"))
+    return backfill.snapshot_backfill(_snapshots(t), none)
+
+
+_query("snapshot_backfill", "with " + _SNAPSHOTS + " select cast(o_orderkey as varchar) license_number, coalesce(case when repaired then later else business_name end, '') business_name, true inserted, repaired from inserted")(
+    lambda t: _backfilled(t)["records"].select("license_number", "business_name", "inserted", "repaired")
+)
+_query("snapshot_counts", "with " + _SNAPSHOTS + " select path, count(*) filter (path = f.first) inserted, count(*) filter (path <> f.first) skipped, count(*) filter (f.repaired and path = f.named_in) repaired from shown join (select o_orderkey, path \"first\", named_in, repaired from inserted) f using (o_orderkey) group by path")(
+    lambda t: _backfilled(t)["counts"]
+)
+#: Found records whose paths meet: "L 1" and "L-1" give the same one. Every third key is in the archive, some with another text.
+_FOUND = """found as (select 'approved' section_type, '2025-01-01' record_date, case when o_orderkey % 2 = 0 then 'L ' else 'L-' end || (o_custkey % 997) license_number, o_orderpriority application_type, min('text ' || o_orderkey) html from orders where o_orderstatus = 'F' group by all),
+  keys as (select *, replace(license_number, ' ', '-') slug, row_number() over (partition by replace(license_number, ' ', '-'), application_type order by license_number) place, cast(substr(license_number, 3) as bigint) % 3 = 0 held, length(html) % 2 = 0 same, cast(substr(license_number, 3) as bigint) % 5 < 4 known from found),
+  owned as (select *, bool_or(held and license_number = replace(license_number, '-', ' ')) over (partition by slug, application_type) spaced, bool_or(held) over (partition by slug, application_type) anyone, min(case when known then license_number end) over (partition by slug, application_type) head from keys)"""
+
+
+def _found(t: Licensing) -> DataFrame:
+    number = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "L ").otherwise("L-"), F.col("o_custkey") % 997)
+    return t.orders.where(_EXIT).groupBy(F.lit("approved").alias("section_type"), F.lit("2025-01-01").alias("record_date"), number.alias("license_number"), F.col("o_orderpriority").alias("application_type")).agg(F.min(F.concat(F.lit("text "), "o_orderkey")).alias("html"))
+
+
+def _archived(t: Licensing) -> DataFrame:
+    """Changes against an archive of every third number's spaced keys, half of them with the text that is found."""
+    own = _found(t).withColumn("n", F.expr("cast(substring(license_number, 3) as long)"))
+    records = own.where("n % 5 < 4").withColumn("id", F.xxhash64(*ingest.NATURAL_KEY))
+    old = records.where("n % 3 = 0 and license_number like 'L %'").select(backfill.extract_path().alias("path"), F.col("id").alias("record_id"), *ingest.NATURAL_KEY, F.when(F.length("html") % 2 == 0, F.col("html")).otherwise("other").alias("html"), F.lit(0).alias("bucket"))
+    return backfill.archive_changes(own.drop("n"), records, old)
+
+
+_query("archive_changes", "with " + _FOUND + " select license_number, application_type, case when not known then 'unmatched' when license_number <> head then 'collision' when held and license_number like 'L %' then case when same then 'unchanged' else 'changed' end else 'new' end change from owned")(
+    lambda t: _archived(t).select("license_number", "application_type", "change")
 )
-_query("diff_hunks", "select o_custkey, cast(1 as bigint) hunks, false truncated from orders where o_orderstatus in ('O', 'F') group by o_custkey")(lambda t: diffs.truncated(_diffs(t), ["o_custkey"]))
 _query("first_evidence", "select cast(o_orderkey % 50 as varchar) license_number, min(o_custkey) path, count(*) - 1 confirmed from orders group by 1")(
     lambda t: backfill.first_evidence(t.orders.select(F.lit("approved").alias("section_type"), F.lit("2025-01-01").alias("record_date"), (F.col("o_orderkey") % 50).cast("string").alias("license_number"), F.lit("RENEWAL").alias("application_type"), F.col("o_custkey").alias("path")), [F.asc("path")]).groupBy("license_number").agg(F.min(F.when(F.col("role") == "first_seen", F.col("path"))).alias("path"), F.count_if(F.col("role") == "confirmed").alias("confirmed"))
 )

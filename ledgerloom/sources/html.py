@@ -78,9 +78,8 @@ _TAG = rf"<[a-zA-Z/!?]{_ATTRIBUTES}>|<[a-zA-Z/!?][^>]*+>"
 def elements(c: Column, name: str, ends: str = "") -> Column:
     """The contents of each element of a name, in order: from its opening tag to its end tag, to the next opening tag or to one of ends (a pattern of tags' beginnings)."""
     opening = rf"(?i)<{name}(?=[\s/>])(?:{_ATTRIBUTES}>|[^>]*+>)"
-    parts = F.split(c, opening)
     stop = f"</{name}" + (f"|{ends}" if ends else "")
-    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.regexp_replace(x, rf"(?is)(?:{stop})(?=[\s/>]).*$", ""))
+    return F.transform(F.slice(F.split(c, opening), 2, 1_000_000_000), lambda x: F.regexp_replace(x, rf"(?is)(?:{stop})(?=[\s/>]).*$", ""))
 
 
 def text_of(c: Column) -> Column:
@@ -99,9 +98,9 @@ def tables(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 def cells_of(parts: DataFrame, key: list[str], body: str = "body") -> DataFrame:
     """(key, pos, label, value): the rows of two cells of HTML fragments."""
-    rows = parts.select(*key, F.posexplode(elements(F.col(body), "tr", "</tbody|</thead|</tfoot|</table|<tbody|<thead|<tfoot")).alias("pos", "r"))
-    two = rows.withColumn("c", elements(F.col("r"), "td", "<th")).where("size(c) = 2")
-    return two.select(*key, "pos", text_of(F.col("c")[0]).alias("label"), text_of(F.col("c")[1]).alias("value"))
+    rows = elements(F.col(body), "tr", "</tbody|</thead|</tfoot|</table|<tbody|<thead|<tfoot")
+    said = parts.select(*key, F.posexplode(F.transform(rows, lambda r: F.transform(elements(r, "td", "<th"), text_of))).alias("pos", "c"))
+    return said.where("size(c) = 2").select(*key, "pos", F.col("c")[0].alias("label"), F.col("c")[1].alias("value"))
 
 
 def cells(pages: DataFrame, key: str, html: str) -> DataFrame:
