@@ -22,12 +22,17 @@ def _stars(edges: DataFrame) -> bool:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 50) -> DataFrame:
-    """(node, component) of every node in a link; component is the smallest node reachable. Nodes are long."""
+    """(node, component) of every node in a link; component is the smallest node reachable. Nodes are long.
+
+    Rounds grow with the logarithm of the longest chain; an error says so if most_rounds of them did not do.
+    """
     links = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     edges = materialise(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    for _ in range(most_rounds):
-        if _stars(edges):
-            break
+    rounds = 0
+    while not _stars(edges):
+        rounds += 1
+        if rounds > most_rounds:
+            raise RuntimeError(f"components are not found after {most_rounds} rounds")
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _neighbours_with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         near = _neighbours_with_least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))

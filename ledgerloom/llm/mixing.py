@@ -10,10 +10,14 @@ taken as the quota holds, and of one more epoch the first blocks in permuted ord
 documents while their running total is within the quota. Nothing is ordered or summed over a whole source in one
 task: block totals are aggregated first, and the running total over blocks reads one row a block.
 
+All is decided on narrow rows (source, tokens, hashes), written once; the documents themselves are read a second time only, to be met by what
+was decided for their block: how often it is read, and up to which place. Documents stand in the order of a hash of their key, then the key, then
+a hash of the whole row, so which of a key's rows are read does not depend on the order of the input.
+
 Tokens: the number of words by white space unless a column is named; a text without words counts 1, so it can be drawn.
 
 Defined results: a null source is a source of its own; null texts count 1 token; rows of a null key are drawn like
-others, all in one block; repeated rows each count. Very long texts are counted whole. An empty table gives an empty result.
+others, all in one block; repeated rows each count, and are read together or not at all. Very long texts are counted whole. An empty table gives an empty result.
 The input's columns all stay, whatever their names; the columns epoch, block and mix_tokens are added (and replace
 columns of these names). Names that begin with "mix " are the operator's own.
 """
@@ -25,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, materialise, table
 
 BLOCK_ROWS = 2_000
 #: Interior points of the exponent's interval looked at in one pass, and passes: four halvings each.
@@ -84,12 +88,16 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", tokens: Colu
     Either entropy or repetition_limit sets the exponent. Without a budget it is the least by which every source
     is read in full at least once.
     """
-    rows = df.drop("block", "epoch").withColumn("mix_tokens", tokens if tokens is not None else tokens_of()).withColumn("mix source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")))
-    sources = _sources(rows.select("mix source", "mix_tokens")).cache()  # one row a source
+    kept = [c for c in df.columns if c not in ("epoch", "block", "mix_tokens")]
+    count = tokens if tokens is not None else tokens_of()
+    named = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    place = F.struct(F.xxhash64(F.col(key), F.lit(seed + 2)).alias("h"), F.col(key).alias("k"), F.xxhash64(*plain).alias("r"))
+    narrow = materialise(df.select(named.alias("mix source"), count.alias("mix_tokens"), F.xxhash64(F.col(key), F.lit(seed)).alias("mix hash"), place.alias("mix place")), "mix-rows")
+    sources = materialise(_sources(narrow), "mix-sources")  # one row a source
     total = sources.agg(F.sum("t")).first()[0]
     if not total:
-        sources.unpersist()
-        return df.withColumns({"mix_tokens": F.lit(1).cast("long"), "epoch": F.lit(0), "block": F.lit(0).cast("long")}).where(F.lit(False))
+        return df.withColumns({"mix_tokens": F.lit(1).cast("long"), "epoch": F.lit(0), "block": F.lit(0).cast("long")}).where(F.lit(False)).select(*kept, "epoch", "block", "mix_tokens")
     x = exponent_for_entropy(sources, total, entropy) if entropy is not None else exponent_for_repetition(sources, total, repetition_limit)
     power = F.pow(F.col("t") / F.lit(float(total)), F.lit(x))
     norm, least = sources.agg(F.sum(power), F.max(F.col("t") / power)).first()
@@ -98,21 +106,25 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", tokens: Colu
     plan = plan.withColumn("mix whole", F.floor(F.col("quota") / F.col("t")).cast("int")).withColumn("mix rest", F.col("quota") - F.col("mix whole") * F.col("t"))
 
     # the plan has one row a source: Spark broadcasts it if it is small and splits hot sources if it is not
-    placed = rows.join(plan.select("mix source", "mix blocks", "mix whole"), "mix source").withColumn("block", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.col("mix blocks")))
-    full = placed.withColumn("epoch", F.explode_outer(F.when(F.col("mix whole") > 0, F.sequence(F.lit(0), F.col("mix whole") - 1)))).where("epoch is not null")
-
+    in_block = F.pmod(F.col("mix hash"), F.col("mix blocks"))
+    placed = narrow.join(plan.select("mix source", "mix blocks"), "mix source").select("mix source", in_block.alias("block"), "mix_tokens", "mix place")
     # the last, partial epoch: blocks in permuted order, the boundary block by its documents
     sizes = placed.groupBy("mix source", "block").agg(F.sum("mix_tokens").alias("mix block t"))
     order = Window.partitionBy("mix source").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block").rowsBetween(Window.unboundedPreceding, -1)
-    begun = sizes.withColumn("mix before", F.coalesce(F.sum("mix block t").over(order), F.lit(0))).join(plan.select("mix source", "mix rest"), "mix source")
-    begun = begun.where("`mix before` < `mix rest`").select("mix source", "block", "mix before", "mix rest", "mix block t")
-    drawn = placed.join(begun, ["mix source", "block"])
-    entire = drawn.where("`mix before` + `mix block t` <= `mix rest`")
-    within = Window.partitionBy("mix source", "block").orderBy(F.xxhash64(F.col(key), F.lit(seed + 2)), F.col(key)).rowsBetween(Window.unboundedPreceding, 0)
-    cut = drawn.where("`mix before` + `mix block t` > `mix rest`").withColumn("mix sum", F.sum("mix_tokens").over(within)).where(F.col("mix before") + F.col("mix sum") <= F.col("mix rest"))
-    columns = [*[c for c in df.columns if c not in ("epoch", "block", "mix_tokens")], "epoch", "block", "mix_tokens"]
-    partial = entire.select(*placed.columns).unionByName(cut.select(*placed.columns)).withColumn("epoch", F.col("mix whole"))
-    return full.select(*columns).unionByName(partial.select(*columns))
+    begun = sizes.withColumn("mix before", F.coalesce(F.sum("mix block t").over(order), F.lit(0))).join(plan.select("mix source", "mix rest"), "mix source").where("`mix before` < `mix rest`")
+    begun = begun.select("mix source", "block", "mix before", "mix rest", (F.col("mix before") + F.col("mix block t") <= F.col("mix rest")).alias("mix entire"))
+    edge = placed.join(begun.where("not `mix entire`"), ["mix source", "block"])
+    upto = F.sum("mix_tokens").over(Window.partitionBy("mix source", "block").orderBy("mix place"))  # with all rows of one place
+    ends = edge.withColumn("mix sum", upto).where(F.col("mix before") + F.col("mix sum") <= F.col("mix rest")).groupBy("mix source", "block").agg(F.max("mix place").alias("mix end"))
+    decided = begun.join(ends, ["mix source", "block"], "left").select("mix source", "block", "mix entire", "mix end")
+    decided = materialise(decided, "mix-blocks")
+    discard(narrow)
+
+    rows = df.select(*kept, count.alias("mix_tokens"), named.alias("mix source"), F.xxhash64(F.col(key), F.lit(seed)).alias("mix hash"), place.alias("mix place"))
+    met = rows.join(plan.select("mix source", "mix blocks", "mix whole"), "mix source").withColumn("block", in_block).join(decided, ["mix source", "block"], "left")
+    more = F.coalesce(F.col("mix entire") | F.coalesce(F.col("mix place") <= F.col("mix end"), F.lit(False)), F.lit(False))
+    times = F.col("mix whole") + more.cast("int")
+    return met.withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)))).select(*kept, "epoch", "block", "mix_tokens")
 
 
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:

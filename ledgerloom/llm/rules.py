@@ -1,7 +1,7 @@
 """Quality rules: counts over words and lines, and divergence from language references.
 
 A word is a run of characters other than space and the controls 9 to 13. ``counts`` gives the plain rules'
-figures. The method proper compares two histograms of a text, of its character classes and of the language's
+figures. The method proper compares two histograms of a text, of its characters' classes (code points by Unicode category) and of the language's
 common words, with those of each language's documents by Jensen-Shannon distance (base 2, so from 0 to 1); a text
 is kept if some language is within both limits. Texts with too few characters or words for a stable histogram
 are not judged by it: the minimum-length guards.
@@ -20,10 +20,11 @@ count and are each judged. Very long texts are read whole. An empty table gives
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,19 @@ LEAST_REFERENCE_WORDS = 2000
 
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("upper", "lower", "digit", "space", "stop", "quote", "symbol", "mark", "other")
-_CLASS = np.full(256, 1, dtype=np.int64)  # bytes of other scripts' letters count as lower case
+_CLASS = np.full(128, 1, dtype=np.int64)
 for _k, _chars in ((0, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (2, b"0123456789"), (3, b" \t\n\r\x0b\x0c"), (4, b".,;:?"), (5, b"'\"()-"), (6, SYMBOLS), (7, b"!"), (8, bytes(range(9)) + bytes(range(14, 32)) + b"@^~=+\\/{}[]_`\x7f")):
     _CLASS[list(_chars)] = _k
+#: Classes of the other characters by Unicode category; letters without case, and marks on letters, count as lower case, and what is not named as other.
+_OF_CATEGORY = {"Lu": 0, "Lt": 0, "Ll": 1, "Lm": 1, "Lo": 1, "Mn": 1, "Mc": 1, "Me": 1, "Nd": 2, "Nl": 2, "No": 2, "Zs": 3, "Zl": 3, "Zp": 3, "Po": 4, "Pi": 5, "Pf": 5, "Ps": 5, "Pe": 5, "Pd": 5, "Pc": 5}
+
+
+@cache
+def _class_of_points() -> np.ndarray:
+    """The class of every code point."""
+    every = np.fromiter((_OF_CATEGORY.get(unicodedata.category(chr(c)), 8) for c in range(0x110000)), dtype=np.uint8, count=0x110000)
+    every[:128] = _CLASS
+    return every
 
 
 @dataclass
@@ -93,8 +104,12 @@ def _bytes(raw: bytes) -> np.ndarray:
     return np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
 
 
-def _class_counts(histogram: np.ndarray) -> np.ndarray:
-    return np.bincount(_CLASS, weights=histogram, minlength=len(CLASSES))
+def _class_counts(text: str | None, histogram: np.ndarray) -> np.ndarray:
+    """Characters of each class in a text, whose bytes are counted already."""
+    if not histogram[128:].any():
+        return np.bincount(_CLASS, weights=histogram[:128], minlength=len(CLASSES))
+    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.bincount(_class_of_points()[points], minlength=len(CLASSES)).astype(float)
 
 
 def _numbered(words: list[bytes]) -> tuple[np.ndarray, dict[bytes, int]]:
@@ -130,13 +145,13 @@ def counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def _count(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarray, np.ndarray, dict[bytes, int]]:
-    """The counts, the histogram of bytes, and the words' numbers with their dictionary."""
+    """The counts, the histogram of character classes, and the words' numbers with their dictionary."""
     raw = _raw(text)
     words, histogram = raw.split(), _bytes(raw)  # bytes.split() cuts at exactly the six ASCII blanks
     lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
     ids, number = _numbered(words)
     chars = len(text or "") - int(histogram[_BLANKS].sum())
-    return (len(words), chars, int(histogram[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated(ids, len(number))), histogram, ids, number
+    return (len(words), chars, int(histogram[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated(ids, len(number))), _class_counts(text, histogram), ids, number
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +163,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t, lang in zip(strings(part.column(0)), part.column(1).to_pylist(), strict=True):
                 raw = _raw(t)
                 words.setdefault(lang, Counter()).update(raw.split())
-                classes[lang] = classes.get(lang, 0) + _class_counts(_bytes(raw))
+                classes[lang] = classes.get(lang, 0) + _class_counts(t, _bytes(raw))
         for lang, found in words.items():
             n = sum(found.values())
             common = [w for w, k in found.items() if k >= n * LEAST_WORD_SHARE / 4]
@@ -212,10 +227,9 @@ def _information(p: np.ndarray, m: np.ndarray) -> np.ndarray:
     return p * np.log2(np.maximum(p, 1e-300) / np.maximum(m, 1e-300))
 
 
-def distances(refs: References, histogram: np.ndarray, found: dict[bytes, int], n_words: int) -> tuple[int, float, float]:
+def distances(refs: References, classes: np.ndarray, found: dict[bytes, int], n_words: int) -> tuple[int, float, float]:
     """The nearest language by the larger of both distances, each as a part of its limit, and these distances."""
-    p = _class_counts(histogram)
-    p = p / max(1.0, p.sum())
+    p = classes / max(1.0, classes.sum())
     m = (p + refs.classes) / 2
     by_class = np.sqrt(np.maximum(0, (_information(p, m) + _information(refs.classes, m)).sum(1) / 2))
     # a common word that the text lacks adds half its share; only those that it holds are looked at
@@ -241,14 +255,14 @@ def judge(df: DataFrame, refs: References, text: str = "text", keep: tuple[str,
     shipped = df.sparkSession.sparkContext.broadcast(refs)  # at most 1/share words for each language of LEAST_REFERENCE_WORDS words
 
     def one(t: str | None, given: str | None) -> tuple:
-        figures, histogram, ids, number = _count(t)
+        figures, classes, ids, number = _count(t)
         n = figures[0]
         failed = n < LEAST_WORDS or 100 * figures[4] > MOST_REPEATED_PERCENT * n
         unknown = not shipped.value.languages or (given is not None and given not in shipped.value.known)
         if unknown or n < LEAST_WORDS_JUDGED or figures[1] < LEAST_CHARS_JUDGED:
             return (*figures, failed, not failed, None, None, None)
         found = dict(zip(number, np.bincount(ids).tolist(), strict=True))
-        i, a, b = distances(shipped.value, histogram, found, n)
+        i, a, b = distances(shipped.value, classes, found, n)
         return (*figures, failed, not failed and a <= MOST_CLASS_DISTANCE and b <= MOST_WORD_DISTANCE, shipped.value.languages[i], a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

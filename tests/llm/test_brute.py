@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -154,7 +155,7 @@ def _hashes(spark, ids, seed=11):
 
 def test_mixing_against_plain_version(spark, docs, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 20)
-    rows = [r for r in dict.fromkeys(corpus()) if r[0] is not None]  # ties of a key have no order
+    rows = [r for r in dict.fromkeys(corpus()) if r[0] is not None]
     df = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     got = mixing.mix(df)
     assert set(docs.columns) <= set(got.columns)  # blocks, whole, rest and before stay
@@ -165,6 +166,21 @@ def test_mixing_against_plain_version(spark, docs, monkeypatch):
     assert mixing.mix(docs).count() >= len(corpus())
 
 
+def test_mixing_does_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    """Rows that share a key, whole copies among them, lie on both sides of the quota's end."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 20)
+    rows = [(i // 6, "w " * (2 + i % 18), "a" if i % 40 else "b", i % 7) for i in range(240)] + [(7, "w w", "a", 1)] * 5 + [(None, "w", "a", k % 2) for k in range(9)]
+    draws = []
+    for seed in range(4):
+        mixed = list(rows)
+        random.Random(seed).shuffle(mixed)
+        df = spark.createDataFrame(mixed, "doc_id long, text string, source string, more int").repartition(seed + 1)
+        draws.append(Counter(map(tuple, mixing.mix(df, budget=1500).select("doc_id", "text", "source", "more", "epoch", "block").collect())))
+    assert draws[0] and all(d == draws[0] for d in draws)
+    assert 1300 < sum(len(t.split()) * n for (_, t, *_), n in draws[0].items()) <= 1500
+    assert {n for r, n in draws[0].items() if r[:4] == (7, "w w", "a", 1)} <= {5}  # copies of a row together or not at all
+
+
 def test_gam_against_loops(docs, spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, 1), (3, 1)], "doc_id long, quality int")
     model = quality.fit(docs, labels)
@@ -178,6 +194,25 @@ def test_gam_against_loops(docs, spark):
     assert len(model.tables) == len(quality.FEATURES) and len(model.pairs) == quality.PAIRS
 
 
+def plain_class(c: str) -> int:
+    """The class of a character: ASCII as listed, others by what Python says of them."""
+    for k, chars in enumerate(("", "", "0123456789", " \t\n\r\x0b\x0c", ".,;:?", "'\"()-", "#*$%&|<>", "!")):
+        if c in chars:
+            return k
+    if c.isascii():
+        return 0 if c.isupper() else 1 if c.islower() else 8
+    if c.isupper() or c.istitle():
+        return 0
+    kind = unicodedata.category(c)
+    return 1 if kind[0] in "LM" else 2 if kind[0] == "N" else 3 if kind[0] == "Z" else 4 if kind == "Po" else 5 if kind[0] == "P" else 8
+
+
+def test_characters_are_classed_by_what_they_are():
+    texts = ["\uff0c", "\U0001f600", "É", "é", "漢字", "٣", "\u00a0", "«»", "e\u0301", "A,é!", "ǅ"]
+    names = [[rules.CLASSES[k] for k in np.repeat(np.arange(len(rules.CLASSES)), rules._count(t)[1].astype(int))] for t in texts]
+    assert names == [["stop"], ["other"], ["upper"], ["lower"], ["lower"] * 2, ["digit"], ["space"], ["quote"] * 2, ["lower"] * 2, ["upper", "lower", "stop", "mark"], ["upper"]]
+
+
 def test_rules_verdict_against_plain_divergence(docs):
     rows = corpus(n=240)
     refs = rules.learn(docs)
@@ -189,7 +224,7 @@ def test_rules_verdict_against_plain_divergence(docs):
         failed = n < 50 or 100 * len({j for k in range(n - 2) if windows[tuple(words[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}) > 50 * n
         near = True
         if n >= rules.LEAST_WORDS_JUDGED and sum(map(len, words)) >= rules.LEAST_CHARS_JUDGED and refs.languages and (lang is None or lang in refs.languages):
-            p = rules._class_counts(np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256))
+            p = np.bincount([plain_class(c) for c in text], minlength=len(rules.CLASSES))
             q = [np.array([0, *(words.count(w.decode()) for w in held)]) / n for held in refs.words]
             q = [x + (1 - x.sum()) * (np.arange(len(x)) == 0) for x in q]
             near = any(rules.divergence(p / p.sum(), refs.classes[k]) <= rules.MOST_CLASS_DISTANCE and rules.divergence(q[k], refs.shares[k]) <= rules.MOST_WORD_DISTANCE for k in range(len(refs.languages)))

@@ -159,6 +159,16 @@ def test_isolated_near_vectors_are_found_as_the_table_grows(spark):
     assert few == sorted(few) and few[0] < few[1] < few[2]
 
 
+def test_components_of_a_long_chain(spark):
+    n = 1 << 14
+    order = np.random.default_rng(1).permutation(n)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in zip(order, order[1:], strict=False)], "a long, b long")
+    found = components.components(links)
+    assert found.count() == n and found.where("component = 0").count() == n
+    with pytest.raises(RuntimeError, match="rounds"):
+        components.components(links, most_rounds=1)
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(0, i) for i in range(300, 400)] + [(i, i + 1) for i in range(500, 540)]
@@ -240,7 +250,7 @@ def test_rules_of_a_rare_language(spark):
     assert got[20000].kept and got[20000].nearest is None and not got[30000].kept and got[30000].nearest is not None
     for i in (0, 10001, 30000):  # against the plain definition
         t = next(t for k, t, _ in rows if k == i).encode()
-        n, p = len(t.split()), rules._class_counts(rules._bytes(t))
+        n, p = len(t.split()), rules._class_counts(t.decode(), rules._bytes(t))
         q = [np.array([0, *(t.split().count(w) for w in held)]) / n for held in refs.words]
         q = [x + (1 - x.sum()) * (np.arange(len(x)) == 0) for x in q]
         both = [(rules.divergence(p / p.sum(), refs.classes[k]), rules.divergence(q[k], refs.shares[k])) for k in range(2)]
