@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import linking, records as R
 from .operators import text as X
+from .operators import trigrams
 from .plans import ingest
 from .registry import QUERIES, SQL, Query, Tables, query as _query
 
@@ -174,8 +175,8 @@ _query("recency_counts", "select count(*) total, count(*) filter (ts >= m - inte
 _query("priority_queue", "select event_id from events order by case when event_type = (select min(event_type) from events) then null else ts end asc nulls first, event_id limit 100")(
     lambda t: t.events.orderBy(F.when(F.col("event_type") == t.events.agg(F.min("event_type")).scalar(), None).otherwise(F.col("ts")).asc_nulls_first(), "event_id").limit(100).select("event_id")
 )
-_query("trigram_search", "select p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) sim from (select p_partkey, list_distinct(flatten(list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) a, list_distinct(flatten(list_transform(regexp_extract_all(lower('red widgt'), '[a-z0-9]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) b from part) where len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) > 0.3")(
-    lambda t: t.part.select("p_partkey", S.trigram_similarity(S.trigrams(F.col("p_name")), S.trigrams(F.lit("red widgt"))).alias("s")).where("s > 0.3").select("p_partkey", F.round("s", 6).alias("sim"))
+_query("trigram_search", "select p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) sim from (select p_partkey, list_distinct(flatten(list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) a, list_distinct(flatten(list_transform(regexp_extract_all(lower('red widgt'), '[a-z0-9]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) b from part) where len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= 0.3")(
+    lambda t: t.part.select("p_partkey", S.trigram_similarity(S.trigrams(F.col("p_name")), S.trigrams(F.lit("red widgt"))).alias("s")).where("s >= 0.3").select("p_partkey", F.round("s", 6).alias("sim"))
 )
 _query("quality_report", "select 'no_items' check_name, count(*) n from orders where o_orderkey not in (select l_orderkey from lineitem) union all select 'duplicate_names', count(*) from (select upper(p_name) from part group by 1 having count(*) > 1) union all select 'idle_suppliers', count(*) from supplier where s_suppkey not in (select l_suppkey from lineitem)")(
     lambda t: t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").agg(F.lit("no_items").alias("check_name"), F.count("*").alias("n"))
@@ -186,6 +187,19 @@ _query("scalar_functions", r"""select p_partkey, trim(regexp_replace(regexp_repl
     lambda t: t.part.select("p_partkey", S.slug(F.col("p_name")).alias("slug"), S.phone(F.concat(F.lit("206555"), F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0"))).alias("phone"), S.iso_date(F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), F.col("p_size")), "M/d/yyyy")).alias("day"), S.first_filled(F.col("p_brand"), F.col("p_type")).alias("filled"))
 )
 _query("text_match", "select p_partkey from part where list_has_all(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ['red'])")(lambda t: X.matches(t.part.select("p_partkey", X.document([("A", F.col("p_name"))]).alias("doc")), "doc", "red").select("p_partkey"))
-_query("text_rank")(lambda t: X.ranked(t.part.select("p_partkey", X.document([("A", F.col("p_name")), ("B", F.col("p_type"))]).alias("doc")), "doc", "red").select("p_partkey", "rank"))
+_RANKED = """with d as (select p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') a, regexp_extract_all(lower(p_type), '[a-z0-9]+') b from part),
+  places as (select p_partkey, unnest(a) w, generate_subscripts(a, 1) pos, 1.0::double weight from d union all select p_partkey, unnest(b), generate_subscripts(b, 1) + len(a), 0.4::double from d)"""
+_query("text_rank", _RANKED + """, own as (select *, row_number() over (partition by p_partkey order by pos) j from places where w = 'red')
+  select p_partkey, round((max(weight) + sum(weight / (j * j)) - max(weight) / pow(arg_max(j, (weight, -j)), 2)) / 1.64493406685, 6) rank from own group by 1""")(
+    lambda t: X.ranked(t.part.select("p_partkey", X.document([("A", F.col("p_name")), ("B", F.col("p_type"))]).alias("doc")), "doc", "red").select("p_partkey", F.round("rank", 6).alias("rank"))
+)
+_query("text_rank_of_words", _RANKED + """ select x.p_partkey, round(1 - product(1 - sqrt(x.weight * y.weight * case when abs(x.pos - y.pos) > 100 then 1e-30 else 1 / (1.005 + 0.05 * exp(abs(x.pos - y.pos) / 1.5 - 2)) end)), 6) rank
+  from places x join places y on x.p_partkey = y.p_partkey and x.w = 'red' and y.w = 'widget' and x.pos <> y.pos group by 1""")(
+    lambda t: X.ranked(t.part.select("p_partkey", X.document([("A", F.col("p_name")), ("B", F.col("p_type"))]).alias("doc")), "doc", "the widgets are red").select("p_partkey", F.round("rank", 6).alias("rank"))
+)
+_TRIGRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+_query("trigram_matches", f"with n as (select p_partkey id, {_TRIGRAMS.format("p_name || ' ' || p_type")} t from part), q as (select n_nationkey query_id, {_TRIGRAMS.format("replace(p_name, 'e', '') || ' ' || p_type")} q from nation join part on p_partkey = n_nationkey), s as (select query_id, id, len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q))) s from n, q) select query_id, id, round(s, 6) similarity from s where s >= 0.3")(
+    lambda t: trigrams.resembling(t.part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("name")), t.nation.join(t.part, F.col("p_partkey") == F.col("n_nationkey")).select(F.col("n_nationkey").alias("query_id"), F.concat_ws(" ", F.replace("p_name", F.lit("e"), F.lit("")), "p_type").alias("query"))).withColumn("similarity", F.round("similarity", 6))
+)
 
 from . import licensing  # noqa: E402, F401  # registers its queries

@@ -178,12 +178,13 @@ def valid_record(section: Column, day: Column, license_: Column, kind: Column) -
 
 def trigrams(c: Column) -> Column:
     """Distinct trigrams of the words of lower-cased text, each word with two blanks before and one behind."""
-    words = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), 0)
     return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    """Shared trigrams by all; 0 if there are none at all."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
 
 
 #: Words that similarity ignores, spellings that it evens out, and the words of a sign.

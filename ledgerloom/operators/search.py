@@ -50,18 +50,24 @@ def in_place(records: DataFrame, locations: DataFrame, state: str = "", city: st
     return out.where(either("s") & either("c") if city else either("s")).select(*records.columns)
 
 
-def said(records: DataFrame, query: str, document: Column, fuzzy: tuple[str, ...] = ("business_name", "applicants")) -> DataFrame:
-    """Records that hold all words of the query, or resemble it in a fuzzy column by trigrams; adds rank. An empty query keeps all."""
+def said(records: DataFrame, query: str, document: Column, fuzzy: tuple[str, ...] = ("business_name", "applicants"), resembling: DataFrame | None = None) -> DataFrame:
+    """Records that hold all words of the query, or resemble it in a fuzzy column by trigrams; adds rank. An empty query keeps all.
+
+    With resembling (id), from trigrams.lookup() over an index of the fuzzy columns, no column is compared row by row.
+    """
     if not query:
         return records.withColumn("rank", F.lit(0.0))
     doc, q = F.col("searched document"), text.lexemes(F.lit(query))
     lexemes = F.transform(doc, lambda x: x["lexeme"])
     whole = (F.size(q) > 0) & (F.size(F.array_except(q, lexemes)) == 0)
-    near = F.lit(False)
-    for c in fuzzy:
-        near = near | F.coalesce(trigram_similarity(trigrams(F.col(c)), trigrams(F.lit(query))) > TRIGRAM_LIMIT, F.lit(False))
-    rank = F.aggregate(F.filter(doc, lambda x: F.array_contains(q, x["lexeme"])), F.lit(0.0), lambda s, x: s + x["weight"])
-    return records.withColumn("searched document", document).where(whole | near).withColumn("rank", rank).drop("searched document")
+    out, near = records, F.lit(False)
+    if resembling is not None:
+        out = records.join(resembling.select("id").distinct().withColumn("it resembles", F.lit(True)), "id", "left")
+        near = F.coalesce("it resembles", F.lit(False))
+    else:
+        for c in fuzzy:
+            near = near | F.coalesce(trigram_similarity(trigrams(F.col(c)), trigrams(F.lit(query))) >= TRIGRAM_LIMIT, F.lit(False))
+    return out.withColumn("searched document", document).where(whole | near).withColumn("rank", text.rank_of(doc, q)).select(*records.columns, "rank")
 
 
 def search(records: DataFrame, tables: dict[str, DataFrame], *, section_type: str = "", application_type: str = "", endorsements: list[str] | None = None, state: str = "", city: str = "", date_from: str = "", date_to: str = "", outcome_status: str = "", as_of: Column | None = None, query: str = "", document: Column | None = None) -> DataFrame:

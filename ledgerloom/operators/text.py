@@ -1,7 +1,9 @@
-"""Full-text documents as weighted lexemes: match and rank with array expressions.
+"""Full-text documents as lexemes with places and weights: match and rank with array expressions.
 
-Lexemes are lower-cased words without stop words, as English stems. The rank is the sum of the matched lexemes' weights, which orders
-like, but does not equal, a cover-density rank.
+Lexemes are lower-cased words without stop words, as English stems. A document is an array of (lexeme, pos, weight): words are numbered
+through all parts, stop words too, each part after the last lexeme of the one before. The rank is the database's default one: of
+one lexeme the sum of its weights by the squares of their places in the list, the greatest first; of several, how near
+each two occurrences of different lexemes stand, put together like independent chances.
 """
 
 from __future__ import annotations
@@ -9,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Weights by class; English stop words.
+#: Weights by class; the last place that counts, the places of a lexeme that count, and the rank of words that are never apart; English stop words.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+LAST_PLACE, MOST_PLACES, NO_RANK = 16383, 256, 1e-20
+WORD = r"[\p{L}\p{N}\p{M}]+"
 STOP = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
     "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
@@ -65,19 +69,15 @@ def _last(w: Column) -> Column:
     return F.when(w.endswith("e") & e, bare).when(w.rlike(f"^{_R2}.*(?<=l)l$"), bare).otherwise(w)
 
 
-def stems(words: Column) -> Column:
-    """Stems of an array of lower-case words by the English Snowball rules, step by step, so that no step's text is written out twice."""
-    rest = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*IRREGULAR))
-    kept = F.transform(F.filter(words, lambda w: (F.length(w) <= 2) | w.isin(*IRREGULAR)), lambda w: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv]), w), w))
-    steps = [
-        lambda w: F.regexp_replace(F.regexp_replace(w, "^y", "Y"), "(?<=[aeiouy])y", "Y"),
-        _plural,
-    ]
-    for step in steps:
-        rest = F.transform(rest, step)
-    early = F.filter(rest, lambda w: w.isin(*EARLY))
-    rest = F.filter(rest, lambda w: ~w.isin(*EARLY))
+def _stemmed(words: Column) -> Column:
+    """An array of (w, pos) with English stems for its lower-case words, by the Snowball rules, step by step, so that no step's text is written out twice."""
+    irregular = F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv])
+    now = F.transform(words, lambda x: F.struct(F.coalesce(F.try_element_at(irregular, x["w"]), x["w"]).alias("w"), x["pos"].alias("pos"), ((F.length(x["w"]) <= 2) | x["w"].isin(*IRREGULAR)).alias("done")))
+    apply = lambda rows, step, ends=lambda w: F.lit(False): F.transform(rows, lambda x: F.struct(F.when(x["done"], x["w"]).otherwise(step(x["w"])).alias("w"), x["pos"].alias("pos"), (x["done"] | ends(x["w"])).alias("done")))
     region = {"": _R1}
+    now = apply(now, lambda w: F.regexp_replace(F.regexp_replace(w, "^y", "Y"), "(?<=[aeiouy])y", "Y"))
+    now = apply(now, _plural)
+    now = apply(now, lambda w: w, lambda w: w.isin(*EARLY))
     for step in (
         _participle,
         _mended,
@@ -88,22 +88,63 @@ def stems(words: Column) -> Column:
         _last,
         F.lower,
     ):
-        rest = F.transform(rest, step)
-    return F.concat(kept, early, rest)
+        now = apply(now, step)
+    return now
+
+
+def _numbered(words: Column) -> Column:
+    return F.transform(words, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("pos")))
+
+
+def stems(words: Column) -> Column:
+    """Stems of an array of lower-case words, in their order."""
+    return F.transform(_stemmed(_numbered(words)), lambda x: x["w"])
+
+
+def _placed(c: Column) -> Column:
+    """(w, pos) of a text's stems; stop words have places, but are left out."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), 0)
+    return _stemmed(F.filter(_numbered(words), lambda x: ~x["w"].isin(*STOP)))
 
 
 def lexemes(c: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), 0)
-    return F.array_distinct(stems(F.filter(words, lambda w: ~w.isin(*STOP))))
+    """Different lexemes in the order in which they come."""
+    return F.array_distinct(F.transform(_placed(c), lambda x: x["w"]))
+
+
+def document(parts: list[tuple[str, Column]]) -> Column:
+    """array<struct<lexeme, pos, weight>> of weighted columns, in the order of places."""
+    none = F.array().cast("array<struct<lexeme:string,pos:int,weight:double>>")
+
+    each = F.array(*[_weighted(c, WEIGHTS[k]) for k, c in parts])
+    return F.aggregate(each, none, _after)
 
 
 def _weighted(c: Column, weight: float) -> Column:
-    return F.transform(lexemes(c), lambda x: F.struct(x.alias("lexeme"), F.lit(weight).alias("weight")))
+    return F.transform(_placed(c), lambda x: F.struct(x["w"].alias("lexeme"), x["pos"].cast("int").alias("pos"), F.lit(weight).alias("weight")))
 
 
-def document(parts: list[tuple[str, Column]]) -> Column:
-    """array<struct<lexeme, weight>> of weighted columns."""
-    return F.flatten(F.array(*[_weighted(c, WEIGHTS[k]) for k, c in parts]))
+def _after(sofar: Column, part: Column) -> Column:
+    """A document with one more part, whose places follow the last one."""
+    last = F.coalesce(F.try_element_at(sofar, F.lit(-1))["pos"], F.lit(0))
+    return F.concat(sofar, F.transform(part, lambda x: F.struct(x["lexeme"].alias("lexeme"), F.least(x["pos"] + last, F.lit(LAST_PLACE)).cast("int").alias("pos"), x["weight"].alias("weight"))))
+
+
+def rank_of(doc: Column, query: Column) -> Column:
+    """Rank of a document for the different lexemes of a query, all of which it should hold."""
+    hits = F.filter(doc, lambda x: F.array_contains(query, x["lexeme"]))
+    first = F.slice(hits, 1, MOST_PLACES)
+    weights = F.transform(first, lambda x: x["weight"])
+    most = F.array_max(weights)
+    summed = F.aggregate(F.transform(weights, lambda w, j: w / ((j + 1) * (j + 1))), F.lit(0.0), lambda s, x: s + x)
+    at = F.array_position(weights, most)
+    one = (most + summed - most / (at * at)) / 1.64493406685
+    near = lambda d: F.when(d > 100, 1e-30).otherwise(1.0 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
+    apart = lambda a, b: F.sqrt(a["weight"] * b["weight"] * near(F.abs(a["pos"] - b["pos"])))
+    pairs = lambda a: F.aggregate(hits, F.lit(1.0), lambda s, b: F.when((b["lexeme"] < a["lexeme"]) & (a["pos"] != b["pos"]), s * (1.0 - apart(a, b))).otherwise(s))
+    some = F.exists(hits, lambda a: F.exists(hits, lambda b: (b["lexeme"] < a["lexeme"]) & (a["pos"] != b["pos"])))
+    all_ = F.when(some, 1.0 - F.aggregate(hits, F.lit(1.0), lambda s, a: s * pairs(a))).otherwise(NO_RANK)
+    return F.when(F.size(hits) == 0, 0.0).when(F.size(query) < 2, one).otherwise(all_)
 
 
 def matches(df: DataFrame, doc: str, query: str) -> DataFrame:
@@ -114,5 +155,4 @@ def matches(df: DataFrame, doc: str, query: str) -> DataFrame:
 
 def ranked(df: DataFrame, doc: str, query: str) -> DataFrame:
     """Matches with rank."""
-    q = lexemes(F.lit(query))
-    return matches(df, doc, query).withColumn("rank", F.aggregate(F.filter(doc, lambda x: F.array_contains(q, x["lexeme"])), F.lit(0.0), lambda s, x: s + x["weight"]))
+    return matches(df, doc, query).withColumn("rank", rank_of(F.col(doc), lexemes(F.lit(query))))
