@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_CHARS, discard, held_out, materialise, slices, strings, table
+from .common import discard, held_out, materialise, slices, strings, table
 
 #: Length of an n-gram in characters.
 NGRAM = 3
@@ -44,6 +44,8 @@ CELL_BITS, HASHES = 16, 3
 
 _LETTER = regex.compile(r"\p{L}")
 _NO_LETTER = regex.compile(r"[\s,;!?。、，！？；]")  # none is part of a word, nor changes how its neighbours are lower-cased
+#: Characters whose n-grams a task holds at once.
+PART_CHARS = 250_000
 _GAP = " " * NGRAM
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,13 +101,13 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
     for i, t in enumerate(texts):
         at = 0
         while t and at < len(t):
-            cut = _NO_LETTER.search(t, at + CHUNK_CHARS) if at + CHUNK_CHARS < len(t) else None
+            cut = _NO_LETTER.search(t, at + PART_CHARS) if at + PART_CHARS < len(t) else None
             end = cut.start() if cut else len(t)
             part.append(t[at:end].lower())
             rows.append(i)
             total += len(part[-1])
             at = end
-            if total >= CHUNK_CHARS:
+            if total >= PART_CHARS:
                 yield part, rows
                 part, rows, total = [], [], 0
     if part:
