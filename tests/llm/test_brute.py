@@ -93,7 +93,7 @@ def test_language_against_sets(docs):
 def test_a_cut_text_has_the_grams_of_the_whole(monkeypatch):
     text = " ".join(random.Random(3).choices(" ".join(WORDS.values()).split(), k=5000)) + "x" * 3000
     whole = np.sort(np.concatenate([langid._grams(p)[0] for p, _ in langid._parts([text])]))
-    monkeypatch.setattr(langid, "CHUNK_CHARS", 1000)
+    monkeypatch.setattr(langid, "PART_CHARS", 1000)
     parts = list(langid._parts([text, None, "", text]))
     assert len(parts) > 20
     got = [np.sort(np.concatenate([h[np.array(rows)[at] == k] for p, rows in parts for h, at in [langid._grams(p)]])) for k in (0, 3)]
