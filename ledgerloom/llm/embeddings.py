@@ -7,9 +7,11 @@ double precision, are united over all passes. Then each component counts its lin
 blocks of about BLOCK rows and every two blocks of a component meet in one task, which returns counts, not pairs. So
 the window bounds the search, not the links of a group once it is found.
 
-For a pair at cosine c one key bit is equal with probability 1 - acos(c) / pi, and a window of W is reached if as many
-leading bits agree as leave W rows, in any pass: about log2(n / W) bits of n classes, more where vectors share a
-direction. How many is measured on a sample's keys, and passes are made until a pair at the limit is found with
+Keys are made of unit vectors less their mean, so that a direction that all share takes no bits; cosines are those of the
+vectors as they are. For a pair whose vectors so centred have cosine c one key bit is equal with probability
+1 - acos(c) / pi, and a window of W is reached if as many leading bits agree as leave W rows, in any pass: about
+log2(n / W) bits of n classes, more where some vectors crowd. The bits and, for a pair at the limit, c are measured on a
+sample, and passes are made until such a pair of the classes that are found least, a share of HARDEST, is found with
 probability RECALL; so their number grows with the table. They run PASSES at a time, which bounds the disk in use.
 The rows at both ends of a partition meet their neighbours of the next one. Recall is tested against brute force.
 
@@ -34,11 +36,11 @@ from pyspark.sql import types as T
 from .common import discard, materialise, table
 from .components import components
 
-#: Passes that run together, rows that each row is compared with, rows of a block.
-PASSES, WINDOW, BLOCK, SEED = 8, 48, 256, 17
+#: Passes that run together, the fewest made, rows that each row is compared with, rows of a block.
+PASSES, LEAST, WINDOW, BLOCK, SEED = 8, 16, 128, 256, 17
 LIMIT = 0.95
-#: Probability, on average over the classes, that a pair of cosine LIMIT is found; closer pairs are found more often.
-RECALL = 0.999
+#: Probability, on average over the share of classes that are found least, that a pair of cosine LIMIT is found; closer pairs are found more often.
+RECALL, HARDEST = 0.99, 0.1
 #: Classes whose keys tell how many passes that takes.
 SAMPLE = 2048
 _KEY_BITS = 64
@@ -60,10 +62,21 @@ def classes_of(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     return valid.select("vec_id", "h1", "h2"), classes
 
 
-def _keys(x: np.ndarray, which: int) -> np.ndarray:
+def _centred(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Unit vectors less the centre; vectors of another length than it are left at that."""
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    return unit - centre if x.shape[1] == len(centre) else unit
+
+
+def _centre(x: np.ndarray) -> np.ndarray:
+    """Mean of unit vectors."""
+    return _centred(x, np.zeros(0)).mean(0) if len(x) else np.zeros(0)
+
+
+def _keys(x: np.ndarray, which: int, centre: np.ndarray) -> np.ndarray:
     """Sign bits of one pass, as integers that sort like the bit strings."""
     planes = np.random.default_rng([SEED, which, x.shape[1]]).standard_normal((x.shape[1], _KEY_BITS))
-    bits = np.packbits(x @ planes > 0, axis=1)
+    bits = np.packbits(_centred(x, centre) @ planes > 0, axis=1)
     return (bits.view(">u8").astype(np.uint64).ravel() ^ np.uint64(1 << 63)).view(np.int64)
 
 
@@ -78,14 +91,14 @@ def _vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _with_keys(batches: Iterator[pa.RecordBatch], passes: range) -> Iterator[pa.RecordBatch]:
+def _with_keys(batches: Iterator[pa.RecordBatch], passes: range, centre: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             for rows, x in _vectors(part.column(1)):
                 own = part.take(pa.array(rows))
                 for which in passes:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), which, np.int32)), pa.array(_keys(x, which)), *own.columns], ["pass", "key", "class_id", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), which, np.int32)), pa.array(_keys(x, which, centre)), *own.columns], ["pass", "key", "class_id", "vector"])
 
 
 def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -102,6 +115,7 @@ def passes_needed(x: np.ndarray, n: int) -> int:
     """Passes that find a pair of cosine LIMIT among n classes with probability RECALL, told from x, a sample of them."""
     if len(x) < 2:
         return PASSES
+    centre = _centre(x)
     hit = _cosines(x, x) >= LIMIT
     label, before = np.arange(len(x)), None
     while before is None or (label != before).any():  # near copies lie close in every pass and are found by each other, so a group counts once
@@ -110,13 +124,15 @@ def passes_needed(x: np.ndarray, n: int) -> int:
     share = n / max(1, len(label))  # classes for each of the sample
     if len(x) * share <= WINDOW + 1 or len(x) < 2:  # one window holds all
         return PASSES
-    agree = 1 - np.arccos(LIMIT) / np.pi
+    # both vectors of a pair lie about as far from the centre, and 2 - 2 * LIMIT apart by square
+    off = np.maximum((_centred(x, centre) ** 2).sum(1), 1 - LIMIT)
+    agree = 1 - np.arccos(1 - (1 - LIMIT) / off) / np.pi
     place = np.arange(len(x))
     rank = max(1, min(len(x) - 1, int(WINDOW / share)))  # rows of the sample that a window spans
     far = min(len(x) - 1, 16 * rank)
     found = np.zeros(len(x))
     for which in range(PASSES):
-        key = _keys(x, which)
+        key = _keys(x, which, centre)
         order = np.argsort(key, kind="stable")
         key = key[order]
         bits = _shared_bits(key, key[np.minimum(place + rank, len(x) - 1)]).astype(float)
@@ -124,8 +140,9 @@ def passes_needed(x: np.ndarray, n: int) -> int:
         if share > WINDOW and far > rank:  # the window is narrower than the sample's steps: go on at the rate at which bits divide the sample
             wide = _shared_bits(key[: len(x) - far], key[far:]).mean()
             bits += max(1.0, (bits[: len(x) - far].mean() - wide) / np.log2(far / rank)) * np.log2(share / WINDOW)
-        found[order] += agree ** np.minimum(bits + 1, _KEY_BITS) / PASSES
-    passes = PASSES
+        found[order] += agree[order] ** np.minimum(bits + 1, _KEY_BITS) / PASSES
+    found = np.sort(found)[: max(1, int(HARDEST * len(found)))]
+    passes = LEAST
     while ((1 - found) ** passes).mean() > 1 - RECALL:
         passes += PASSES
     return passes
@@ -202,10 +219,10 @@ def pairs(classes: DataFrame) -> DataFrame:
     drawn = classes.where(F.pmod(F.xxhash64("class_id"), F.lit(max(1, n))) < SAMPLE).select("vector").limit(2 * SAMPLE).toArrow()
     sample = max((x for _, x in _vectors(drawn["vector"].combine_chunks())), key=len, default=np.zeros((0, 1))) if drawn.num_rows else np.zeros((0, 1))
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = []
+    found, centre = [], _centre(sample)
     for start in range(0, passes_needed(sample, n), PASSES):
         passes = range(start, start + PASSES)
-        keyed = classes.select("class_id", "vector").mapInArrow(lambda batches, passes=passes: _with_keys(batches, passes), f"pass int, key long, class_id long, vector {kind}")
+        keyed = classes.select("class_id", "vector").mapInArrow(lambda batches, passes=passes: _with_keys(batches, passes, centre), f"pass int, key long, class_id long, vector {kind}")
         keyed = materialise(keyed, "keyed")
         ordered = keyed.repartitionByRange(parts, "pass", "key", "class_id").sortWithinPartitions("pass", "key", "class_id")
         near = materialise(ordered.mapInArrow(_windows, f"a long, b long, gap int, pass int, key long, class_id long, vector {kind}"), "near")

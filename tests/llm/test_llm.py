@@ -159,6 +159,39 @@ def test_isolated_near_vectors_are_found_as_the_table_grows(spark):
     assert few == sorted(few) and few[0] < few[1] < few[2]
 
 
+def cone(n, mean, seed, d=64):
+    x = np.sqrt(1 - mean) * np.random.default_rng(seed).standard_normal((n, d)) / np.sqrt(d) + np.sqrt(mean) * np.eye(d)[0]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("mean", [0.88, 0.9, 0.91])
+def test_natural_links_in_a_dense_cone_are_found(mean):
+    """Links that no one planted, over one sorted list a pass: nearly all lie within one component of what the windows find."""
+    x = cone(20000, mean, 0)
+    a, b = (np.concatenate(k) for k in zip(*[(i[j > i + s] + s, j[j > i + s]) for s in range(0, len(x), 2000) for i, j in [np.nonzero(x[s : s + 2000] @ x.T >= embeddings.LIMIT)]], strict=True))
+    sample = x[np.random.default_rng(1).choice(len(x), embeddings.SAMPLE, replace=False)]
+    centre, seen = embeddings._centre(sample), np.zeros(len(a), bool)
+    for which in range(embeddings.passes_needed(sample, len(x))):
+        place = np.argsort(np.argsort(embeddings._keys(x, which, centre), kind="stable"))
+        seen |= np.abs(place[a] - place[b]) <= embeddings.WINDOW
+    label, before = np.arange(len(x)), None
+    while before is None or (label != before).any():
+        before, least = label.copy(), np.minimum(label[a[seen]], label[b[seen]])
+        np.minimum.at(label, a[seen], least)
+        np.minimum.at(label, b[seen], least)
+        label = label[label]
+    assert (label[a] == label[b]).mean() >= 0.99
+
+
+def test_links_in_a_dense_cone_are_counted(spark):
+    x = cone(4000, 0.9, 3).astype(np.float32)
+    got = dict(map(tuple, embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).select("vec_id", "n_links").collect()))
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = (y @ y.T >= embeddings.LIMIT).sum(1) - 1
+    got = np.array([got[i] for i in range(len(x))])
+    assert want.sum() > 1000 and (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
 def test_components_of_a_long_chain(spark):
     n = 1 << 14
     order = np.random.default_rng(1).permutation(n)
