@@ -308,3 +308,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 def embedding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: links, component and verdict of every vector."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs and every node reachable from each: the exact result, which the passes find with the stated probability. For small tables.
+ORACLE = """with recursive given as (select vec_id, list_transform(embedding, lambda c: coalesce(c, 'nan'::float)::double) v from embeddings),
+  valid as (select vec_id, v, sqrt(list_inner_product(v, v)) norm from given where v is not null and len(list_filter(v, lambda c: not isfinite(c))) = 0 and list_inner_product(v, v) > 0),
+  links as (select a.vec_id a, b.vec_id b from valid a join valid b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.95),
+  reached as (select vec_id, vec_id other from embeddings union select vec_id, b from reached join links on a = other),
+  least as (select vec_id, min(other) component_id from reached group by vec_id)
+select vec_id, (select count(*) from links where a = vec_id) n_links, component_id, vec_id = component_id kept from least"""

@@ -486,3 +486,15 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", trac
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: set size and component of every document."""
     return components_of(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle and every document reachable from each. For small tables.
+ORACLE = r"""with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+  placed as (select doc_id, len(w) n, unnest(w) word, generate_subscripts(w, 1) place from words),
+  runs as (select doc_id, n, place, concat_ws(' ', word, lead(word, 1) over run, lead(word, 2) over run, lead(word, 3) over run, lead(word, 4) over run) sh from placed window run as (partition by doc_id order by place)),
+  held as (select distinct doc_id, sh from runs where place <= greatest(1, n - 4)),
+  sizes as (select doc_id, count(sh) n from documents left join held using (doc_id) group by doc_id),
+  links as (select x.doc_id a, y.doc_id b from held x join held y on x.sh = y.sh and x.doc_id <> y.doc_id join sizes p on p.doc_id = x.doc_id join sizes q on q.doc_id = y.doc_id
+    group by x.doc_id, y.doc_id, p.n, q.n having 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+  reached as (select doc_id, doc_id other from documents union select doc_id, b from reached join links on a = other)
+select doc_id, any_value(n) n_shingles, min(other) component_id from reached join sizes using (doc_id) group by doc_id"""

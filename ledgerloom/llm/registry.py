@@ -28,4 +28,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_cascade": urls.ORACLE, "op7_preference_pairs": preferences.ORACLE, "op13_ranked_search": lexical.ORACLE}
+    return {
+        "op2_url_cascade": urls.ORACLE,
+        "op5_sorted_projections": embeddings.ORACLE,
+        "op7_preference_pairs": preferences.ORACLE,
+        "op9_jaccard_join": jaccard.ORACLE,
+        "op13_ranked_search": lexical.ORACLE,
+    }

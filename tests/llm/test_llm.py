@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -159,6 +161,20 @@ def test_isolated_near_vectors_are_found_as_the_table_grows(spark):
     assert few == sorted(few) and few[0] < few[1] < few[2]
 
 
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    folder, c = os.environ.get("SF_DIR", "/root/testdata/sf0.001"), duckdb.connect()
+    for t in os.listdir(folder):
+        c.execute(f"create view {t.split('.')[0]} as select * from '{folder}/{t}'")
+    want = c.execute(registry.oracle_sql()[name])
+    columns = sorted(x[0] for x in want.description)
+    at = [[x[0] for x in want.description].index(k) for k in columns]
+    got = registry.queries()[name](spark, folder)
+    assert sorted(got.columns) == columns
+    plain = lambda rows: sorted(map(repr, rows))
+    assert plain(tuple(r) for r in got.select(*columns).collect()) == plain(tuple(r[i] for i in at) for r in want.fetchall())
+
+
 def cone(n, mean, seed, d=64):
     x = np.sqrt(1 - mean) * np.random.default_rng(seed).standard_normal((n, d)) / np.sqrt(d) + np.sqrt(mean) * np.eye(d)[0]
     return x / np.linalg.norm(x, axis=1)[:, None]
