@@ -62,6 +62,8 @@ def resembling(names: DataFrame, queries: DataFrame, limit: float = LIMIT) -> Da
     missing = F.col("size") - F.size("o")
     left = (F.col("size") - F.ceil(F.col("size") * limit - 1e-9) + 1 - missing).cast("int")
     first = ordered.where(left > 0).select("query_id", "size", F.explode(F.slice("o", F.lit(1), left)).alias("x")).select("query_id", "size", "x.trigram")
-    pairs = first.join(index, "trigram").where((F.col("n") >= F.col("size") * limit - 1e-9) & (F.col("n") * limit <= F.col("size") + 1e-9)).select("query_id", "id").distinct()
-    both = pairs.join(asked, "query_id").join(given, "id")
+    # names are never broadcast: their files are far smaller than their trigrams, which Spark's estimate cannot tell. The asked trigrams are few.
+    near = index.join(F.broadcast(first.select("trigram").distinct()), "trigram", "left_semi").hint("merge")
+    pairs = first.join(near, "trigram").where((F.col("n") >= F.col("size") * limit - 1e-9) & (F.col("n") * limit <= F.col("size") + 1e-9)).select("query_id", "id").distinct()
+    both = pairs.join(asked, "query_id").join(given.hint("merge"), "id")
     return both.select("query_id", "id", trigram_similarity(F.col("t"), F.col("q")).alias("similarity")).where(F.col("similarity") >= limit)
