@@ -378,13 +378,14 @@ def merged_entities(entities: DataFrame, bridge: DataFrame) -> tuple[DataFrame,
 
 
 def repaired_assumptions(records: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Blank business_name and applicants of ASSUMPTION applications filled from a snapshot's rows of the same natural key; repaired says which."""
+    """ASSUMPTION applications without a business_name take name and applicants of a snapshot's row of the same natural key that has one; repaired says which.
+    Applicants are never filled on their own."""
     natural = ["section_type", "record_date", "license_number", "application_type"]
-    given = snapshot.where(F.col("application_type") == "ASSUMPTION").groupBy(*natural).agg(F.max("business_name").alias("new name"), F.max("applicants").alias("new list"))
-    both = records.join(given, natural, "left")
-    fill = lambda old, new: F.when(F.coalesce(F.trim(old), F.lit("")) == "", F.coalesce(F.col(new), F.col(old))).otherwise(F.col(old))
-    out = both.withColumn("repaired", ~fill("business_name", "new name").eqNullSafe(F.col("business_name")) | ~fill("applicants", "new list").eqNullSafe(F.col("applicants")))
-    return out.withColumn("business_name", fill("business_name", "new name")).withColumn("applicants", fill("applicants", "new list")).select(*records.columns, "repaired")
+    blank = F.coalesce(F.trim("business_name"), F.lit("")) == ""
+    given = snapshot.where((F.col("application_type") == "ASSUMPTION") & ~blank).groupBy(*natural).agg(F.max(F.struct("business_name", "applicants")).alias("given"))
+    both = records.join(given, natural, "left").withColumn("repaired", blank & F.col("given").isNotNull())
+    fill = lambda c: F.when(F.col("repaired"), F.col("given")[c]).otherwise(F.col(c))
+    return both.withColumns({c: fill(c) for c in ("business_name", "applicants")}).select(*records.columns, "repaired")
 
 
 def repaired_moves(records: DataFrame, snapshot: DataFrame, locations: DataFrame) -> DataFrame:
