@@ -1,6 +1,6 @@
 """Unified diffs: hunk lines, added and removed runs, whole records in them, and replay of a chain of diffs.
 
-Splitting, hunk counts, runs and blocks are windows over lines, so files are read in parallel. Replay is sequential by nature: each
+Files are read in parallel, each cut into hunks, runs and blocks within its row. Replay is sequential by nature: each
 chain's files are one ordered group, replayed by a small state machine under applyInPandas that gives back blocks, not documents.
 """
 
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import diff_timestamp, valid_record
+from ..functions.scalars import diff_timestamp, iso_date, valid_record
 from . import html
 
 #: A diff that contradicts this many known lines, and this part of them, starts the document anew.
@@ -38,31 +38,56 @@ def report(files: DataFrame, content: str = "content") -> DataFrame:
 def lines(diffs: DataFrame, key: list[str], content: str = "content") -> DataFrame:
     """(key, pos, hunk, op, text) of the lines of whole hunks; op is '+', '-' or ' '. A hunk ends once its header's counts are
     reached; one that breaks off is left out."""
-    body, counts = _counted(diffs, key, content)
-    return body.join(counts.where("complete"), [*key, "hunk"], "left_semi").select(*key, "pos", "hunk", "op", "text")
+    own = _bodies(diffs, key, content).where("complete")
+    return own.select(*key, "hunk", F.explode("body").alias("x")).select(*key, "x.pos", "hunk", "x.op", "x.text")
 
 
 def truncated(diffs: DataFrame, key: list[str], content: str = "content") -> DataFrame:
     """(key, hunks, truncated): the number of whole hunks, and whether one breaks off."""
-    _, counts = _counted(diffs, key, content)
-    return counts.groupBy(*key).agg(F.count_if("complete").alias("hunks"), F.bool_or(~F.col("complete")).alias("truncated"))
-
-
-def _counted(diffs: DataFrame, key: list[str], content: str) -> tuple[DataFrame, DataFrame]:
-    rows = diffs.select(*key, F.posexplode(F.split(content, "\n")).alias("pos", "line"))
-    so_far = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("hunk", F.count_if(F.col("line").startswith("@@")).over(so_far)).where("hunk > 0")
-    number = lambda k: F.coalesce(F.regexp_extract("line", _HUNK, k).try_cast("int"), F.lit(1))
-    heads = rows.where(F.col("line").rlike(_HUNK)).select(*key, "hunk", number(2).alias("want_old"), number(4).alias("want_new"))
-    body = rows.where(~F.col("line").startswith("@@") & ~F.col("line").startswith("\\")).withColumn("op", F.when(F.substring("line", 1, 1).isin("+", "-"), F.substring("line", 1, 1)).otherwise(" "))
-    before = Window.partitionBy(*key, "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    seen = lambda other: F.count_if(F.col("op") != other).over(before)
-    body = body.withColumn("old", seen("+")).withColumn("new", seen("-")).join(heads, [*key, "hunk"]).where("old < want_old or new < want_new")
-    text = F.when(F.substring("line", 1, 1).isin("+", "-", " "), F.expr("substring(line, 2)")).otherwise(F.col("line"))
-    body = body.select(*key, "pos", "hunk", "op", text.alias("text"))
-    got = body.groupBy(*key, "hunk").agg(F.count_if(F.col("op") != "+").alias("old"), F.count_if(F.col("op") != "-").alias("new"))
-    counts = heads.join(got, [*key, "hunk"], "left").select(*key, "hunk", ((F.coalesce("old", F.lit(0)) == F.col("want_old")) & (F.coalesce("new", F.lit(0)) == F.col("want_new"))).alias("complete"))
-    return body, counts
+    return _bodies(diffs, key, content).groupBy(*key).agg(F.count_if("complete").alias("hunks"), F.bool_or(~F.col("complete")).alias("truncated"))
+
+
+def _bodies(diffs: DataFrame, key: list[str], content: str) -> DataFrame:
+    """(key, hunk, complete, body) of the hunks of diffs, cut within their rows: body has pos, op and text of the lines that the header's counts ask for."""
+    op = lambda x: F.when(F.substring(x, 1, 1).isin("+", "-"), F.substring(x, 1, 1)).otherwise(" ")
+    text = lambda x: F.when(F.substring(x, 1, 1).isin("+", "-", " "), F.substr(x, F.lit(2))).otherwise(x)
+    places = lambda rows, is_one: F.filter(F.transform(rows, lambda x, i: F.when(is_one(x), i)), lambda i: i.isNotNull())
+    number = lambda h, k: F.coalesce(F.regexp_extract(F.get(h["rows"], F.lit(0)), _HUNK, k).try_cast("int"), F.lit(1))
+
+    def said(h: Column) -> Column:
+        placed = F.filter(F.transform(h["rows"], lambda x, i: F.struct((i + h["at"]).alias("pos"), x.alias("line"))), lambda x: ~x["line"].startswith("@@") & ~x["line"].startswith("\\"))
+        return F.struct(h["no"].alias("hunk"), number(h, 2).alias("old"), number(h, 4).alias("new"), F.transform(placed, lambda x: F.struct(x["pos"].alias("pos"), op(x["line"]).alias("op"), text(x["line"]).alias("text"))).alias("rows"))
+
+    def cut(h: Column) -> Column:
+        sides = F.struct(places(h["rows"], lambda x: x["op"] != "+").alias("old"), places(h["rows"], lambda x: x["op"] != "-").alias("new"))
+        # the line at which a side's count is reached; all lines if it never is
+        last = lambda at, side: F.when(h[side] <= 0, 0).otherwise(F.coalesce(F.get(at[side], h[side] - 1) + 1, F.size(h["rows"])))
+        got = lambda at, side, n: F.size(F.filter(at[side], lambda i: i < n)) == h[side]
+        whole = lambda at, n: F.struct(h["hunk"].alias("hunk"), (got(at, "old", n) & got(at, "new", n)).alias("complete"), F.slice(h["rows"], F.lit(1), n).alias("body"))
+        return html.let(sides, lambda at: html.let(F.greatest(last(at, "old"), last(at, "new")), lambda n: whole(at, n)))
+
+    def hunks(rows: Column) -> Column:
+        # from each line that begins a hunk to the next such line
+        spans = html.let(places(rows, lambda x: x.startswith("@@")), lambda at: F.transform(at, lambda a, k: F.struct((k + 1).alias("no"), a.alias("at"), F.slice(rows, a + 1, F.coalesce(F.get(at, k + 1), F.size(rows)) - a).alias("rows"))))
+        return F.transform(F.transform(F.filter(spans, lambda h: F.get(h["rows"], F.lit(0)).rlike(_HUNK)), said), cut)
+
+    # worked out within the generator, as a filter on its result would else have it worked out again
+    return diffs.select(*key, F.explode(html.let(F.split(content, "\n"), hunks)).alias("h")).select(*key, "h.*")
+
+
+def _run_blocks(body: Column, op: Column) -> Column:
+    """The <tbody> groups, as texts, that begin and end within one run of an operation's lines in a hunk's body."""
+    # a blank line begins a new piece: where another operation or a gap stands, and before each line with <tbody
+    opens = lambda x: F.contains(F.lower(x["text"]), F.lit("<tbody"))
+    gap = lambda x, i: (i > 0) & (F.get(body, i - 1)["pos"] + 1 < x["pos"])
+    line = lambda x, i: F.when(x["op"] != op, F.lit("\n")).otherwise(F.concat(F.when(opens(x) | gap(x, i), F.lit("\n")).otherwise(""), op, x["text"], F.lit("\n")))
+    pieces = F.transform(F.split(F.array_join(F.transform(body, line), ""), "\n\n+"), lambda x: F.split(F.regexp_replace(x, r"\A\n+|\n+\z", ""), "\n"))
+    bare = F.transform(pieces, lambda p: F.transform(p, lambda x: F.substr(x, F.lit(2))))
+    begun = F.filter(bare, lambda p: F.contains(F.lower(p[0]), F.lit("<tbody")))
+    closes = lambda x: F.contains(F.lower(x), F.lit("</tbody>"))
+    closed = F.filter(begun, lambda p: F.exists(p, closes))
+    first = lambda p: F.array_min(F.filter(F.transform(p, lambda x, i: F.when(closes(x), i + 1)), lambda i: i.isNotNull()))
+    return F.transform(closed, lambda p: F.array_join(F.slice(p, F.lit(1), first(p)), "\n"))
 
 
 def runs(diff_lines: DataFrame, key: list[str], op: str = "-") -> DataFrame:
@@ -77,17 +102,6 @@ def run_lines(diff_lines: DataFrame, key: list[str], op: str = "-") -> DataFrame
     return diff_lines.where(F.col("op") == op).withColumn("island", F.col("pos") - F.row_number().over(order))
 
 
-def blocks_in_runs(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(key, island, block_no, pos, body): the <tbody> groups that begin and end within one run; rows come from run_lines()."""
-    low = F.lower("text")
-    run = Window.partitionBy(*key, "island").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    begun = rows.withColumn("block_no", F.count_if(F.contains(low, F.lit("<tbody"))).over(run)).where("block_no > 0")
-    block = Window.partitionBy(*key, "island", "block_no")
-    kept = begun.withColumn("end", F.min(F.when(F.contains(low, F.lit("</tbody>")), F.col("pos"))).over(block)).where("pos <= end")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
-    return kept.groupBy(*key, "island", "block_no").agg(F.min("pos").alias("pos"), body.alias("body"))
-
-
 def streams(diffs: DataFrame, key: list[str], content: str = "content", now: Column | None = None) -> DataFrame:
     """(key, old_ts, new_ts, added, removed, new_side, old_side) of each diff: its added and its removed lines as texts, and both with the
     lines around them. Header lines are left out wherever they stand; hunk counts are not asked. A time that cannot be read is now."""
@@ -113,21 +127,20 @@ def extract_records(diffs: DataFrame, key: list[str], content: str = "content",
     Only where these give a record with a license number that is not valid, as its rows were not changed and stand around, are the
     sides with context read too, for natural keys that the first pass lacks. Rows need no <tbody>. Result: key, section_type, html.DEFAULTS, scraped_at.
     """
-    texts = streams(diffs, key, content, now)
-    side = lambda no, ts, body: F.struct(F.lit(no).alias("side"), F.col(ts).alias("scraped_at"), F.col(body).alias("body"))
+    section = F.col("section")
+    texts = streams(diffs, key, content, now).select("*", html.parts_of(section, F.col("added")).alias("own added"), html.parts_of(section, F.col("removed")).alias("own removed"))
+    valid = lambda p: F.coalesce(valid_record(section, iso_date(html.said_by(p, "record_date")), html.said_by(p, "license_number"), html.said_by(p, "application_type")), F.lit(False))
+    cut = lambda c: F.coalesce(F.exists(c, lambda p: (F.coalesce(html.said_by(p, "license_number"), F.lit("")) != "") & ~valid(p)), F.lit(False))
+    broken = cut(F.col("own added")) | cut(F.col("own removed"))
+    side = lambda no, ts, parts: F.struct(F.lit(no).alias("side"), F.col(ts).alias("scraped_at"), parts.alias("parts"))
+    around = lambda c: F.when(F.col("broken"), html.parts_of(section, F.col(c)))
+    sides = F.array(side(0, "new_ts", F.col("own added")), side(1, "old_ts", F.col("own removed")), side(2, "new_ts", around("new_side")), side(3, "old_ts", around("old_side")))
+    each = texts.withColumn("broken", broken).select(*key, F.explode(sides).alias("s"))
     own = [*key, "side", "scraped_at"]
-
-    def read(of: DataFrame, *sides: Column) -> DataFrame:
-        parts = of.select(*key, F.explode(F.array(*sides)).alias("s")).select(*key, "s.*").where("body <> ''")
-        found = html.records(html.cells_of(parts, own), own)
-        return found.withColumn("valid", F.coalesce(valid_record(*[F.col(c) for c in html.NATURAL_KEY]), F.lit(False)))
-
-    first = read(texts, side(0, "new_ts", "added"), side(1, "old_ts", "removed"))
+    found = html.filled(each.select(*key, "s.side", "s.scraped_at", F.explode("s.parts").alias("part")), own)
     source = [k for k in key if k != "section"]
-    broken = first.where("not valid").select(*source, F.col("section_type").alias("section")).distinct()
-    second = read(texts.join(broken, key, "left_semi"), side(2, "new_ts", "new_side"), side(3, "old_ts", "old_side"))
     place = F.row_number().over(Window.partitionBy(*source, *html.NATURAL_KEY).orderBy("side", "pos"))
-    every = first.unionByName(second).where("valid").withColumn("place in key", place).where("`place in key` = 1")
+    every = found.where(valid_record(*[F.col(c) for c in html.NATURAL_KEY])).withColumn("place in key", place).where("`place in key` = 1")
     return every.select(*source, "section_type", *html.DEFAULTS, "scraped_at")
 
 
@@ -165,15 +178,15 @@ def records_of_diffs(diffs: DataFrame, key: list[str], content: str = "content")
 
     Result: the natural key and fields, source (the key but section), side ('entry' or 'exit') and the html that evidences it.
     """
-    cut = lines(diffs, key, content)
-    sides = [blocks_in_runs(run_lines(cut, key, op), key).withColumn("side", F.lit(side)) for op, side in (("+", "entry"), ("-", "exit"))]
-    blocks = sides[0].unionByName(sides[1])
-    own = [*key, "island", "block_no", "side"]
-    found = html.records(html.cells_of(blocks, own), own).drop("pos")
-    found = found.join(blocks.select(*own, F.col("pos").alias("at"), F.col("body").alias("html")).withColumnRenamed("section", "section_type"), ["section_type" if k == "section" else k for k in own])
+    cut = _bodies(diffs, key, content).where("complete")
+    mark = F.array(*[F.struct(F.lit(op).alias("op"), F.lit(side).alias("side")) for op, side in (("+", "entry"), ("-", "exit"))])
+    each = cut.select(*key, "hunk", "body", F.explode(mark).alias("m"))
+    blocks = each.select(*key, "hunk", "m.side", F.posexplode(_run_blocks(F.col("body"), F.col("m.op"))).alias("block_no", "html"))
+    own = [*key, "hunk", "block_no", "side", "html"]
+    found = html.records(blocks, own, "html").drop("pos")
     natural = ["section_type", "record_date", "license_number", "application_type"]
     source = [k for k in key if k != "section"]
-    first = F.row_number().over(Window.partitionBy(*natural).orderBy(*source, F.col("side"), "at"))
+    first = F.row_number().over(Window.partitionBy(*natural).orderBy(*source, F.col("side"), "hunk", "block_no"))
     return found.withColumn("place in key", first).where("`place in key` = 1").select(*source, "side", "section_type", *html.DEFAULTS, "html")
 
 
@@ -303,7 +316,7 @@ def records_of_replay(replayed: DataFrame) -> DataFrame:
     blocks = replayed.where("origin <> 'file'").select("section", "seq", "origin", F.array_join("lines", "\n").alias("body")).distinct()
     blocks = blocks.withColumn("evidence", F.sha2("body", 256))
     own = ["section", "seq", "origin", "evidence"]
-    found = html.records(html.cells_of(blocks, own), own).drop("pos").withColumnRenamed("section_type", "section").join(blocks.select(*own, F.col("body").alias("html")), own)
+    found = html.records(blocks.withColumnRenamed("body", "html"), [*own, "html"], "html").drop("pos").withColumnRenamed("section_type", "section")
     natural = ["section", "record_date", "license_number", "application_type"]
     rank = F.array_position(F.array(*[F.lit(x) for x in ("mutation", "state", "entry", "final")]), F.col("origin"))
     first = F.row_number().over(Window.partitionBy(*natural).orderBy("seq", rank, "evidence"))

@@ -1,4 +1,4 @@
-"""Source pages: label/value tables to records, natively, by tokenising cells and numbering record blocks with a window.
+"""Source pages: label/value tables to records, natively, by cutting each page into cells and its cells at date labels.
 
 Elements are cut at their opening tags and end where their end tag stands, or, as end tags may be missing, where the next one begins or
 what holds them ends. A cell's text is its text nodes, each with its character references read and without white space at its
@@ -7,7 +7,7 @@ ends, put together without anything between. Tables within tables are not told f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import city_state_zip, iso_date, trimmed, unescaped
@@ -96,26 +96,35 @@ def tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     return found.withColumn("section", _lookup(SECTIONS, heading)).where("section is not null").select(key, "section", "table_no", "body")
 
 
+def _rows_of(body: Column) -> Column:
+    """array<struct<pos, label, value>> of an HTML fragment's rows of two cells."""
+    rows = elements(body, "tr", "</tbody|</thead|</tfoot|</table|<tbody|<thead|<tfoot")
+    said = F.transform(rows, lambda r, i: F.struct(i.alias("pos"), F.transform(elements(r, "td", "<th"), text_of).alias("c")))
+    return F.transform(F.filter(said, lambda x: F.size(x["c"]) == 2), lambda x: F.struct(x["pos"].alias("pos"), x["c"][0].alias("label"), x["c"][1].alias("value")))
+
+
 def cells_of(parts: DataFrame, key: list[str], body: str = "body") -> DataFrame:
     """(key, pos, label, value): the rows of two cells of HTML fragments."""
-    rows = elements(F.col(body), "tr", "</tbody|</thead|</tfoot|</table|<tbody|<thead|<tfoot")
-    said = parts.select(*key, F.posexplode(F.transform(rows, lambda r: F.transform(elements(r, "td", "<th"), text_of))).alias("pos", "c"))
-    return said.where("size(c) = 2").select(*key, "pos", F.col("c")[0].alias("label"), F.col("c")[1].alias("value"))
+    return parts.select(*key, F.explode(_rows_of(F.col(body))).alias("r")).select(*key, "r.*")
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
-def cells(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, section, table_no, pos, label, value) of whole pages."""
-    return cells_of(tables(pages, key, html), [key, "section", "table_no"])
+def _blocks(rows: Column, section: Column) -> Column:
+    """The rows cut at each date label, in order; what stands before the first is a block, too."""
+    dates = F.filter(F.transform(rows, lambda x, i: F.when(x["label"] == _lookup(DATE_LABELS, section), i)), lambda i: i.isNotNull())
+    cut = let(dates, lambda d: F.zip_with(F.concat(F.array(F.lit(0)), d), F.concat(d, F.array(F.size(rows))), lambda a, b: F.slice(rows, a + 1, b - a)))
+    return F.filter(cut, lambda b: F.size(b) > 0)
 
 
-def _with_blocks(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Adds block and part. A date label begins a block; a field that is set again to another value begins a part of it,
-    as the date row of the next record may be missing. Parts follow from the rows before, so a block's rows, about 15, are read in order."""
-    order = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    dated = rows.withColumn("block", F.sum(F.when(F.col("label") == _lookup(DATE_LABELS, F.col("section")), 1).otherwise(0)).over(order))
-    lists = dated.groupBy(*key, "block").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "value"))).alias("rows"))
+def _split_block(rows: Column) -> Column:
+    """A block's parts, each its rows: a field that is set again to another value begins a part, as the date row of the next record may be
+    missing. Parts follow from the rows before, so a block's rows, about 15, are read in order; one that sets no field twice is a part as it stands."""
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    start = F.struct(none.alias("seen"), F.lit(0).alias("part"), F.array().cast("array<struct<pos:int,label:string,value:string,part:int>>").alias("out"))
+    start = F.struct(none.alias("seen"), F.lit(0).alias("part"), F.array().cast("array<struct<part:int,row:struct<pos:int,label:string,value:string>>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         field = _lookup(FIELDS, x["label"])
@@ -124,30 +133,47 @@ def _with_blocks(rows: DataFrame, key: list[str]) -> DataFrame:
         part = s["part"] + begins.cast("int")
         own = F.map_filter(s["seen"], lambda k, _: k != field)
         seen = F.when(field.isNull(), s["seen"]).when(begins, F.create_map(field, x["value"])).otherwise(F.map_concat(own, F.create_map(F.coalesce(field, F.lit("")), x["value"])))
-        return F.struct(seen.alias("seen"), part.alias("part"), F.concat(s["out"], F.array(F.struct(x["pos"].alias("pos"), x["label"].alias("label"), x["value"].alias("value"), part.alias("part")))).alias("out"))
-
-    return lists.select(*key, "block", F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r")).select(*key, "block", "r.*")
-
-
-def records(cell_rows: DataFrame, key: list[str]) -> DataFrame:
-    """Records of cells (key with section, pos, label, value); those without a license number are left out. Result: key, section_type, pos and DEFAULTS."""
-    rows = _with_blocks(cell_rows, key)
-    value = lambda c: F.max_by(F.when(c, F.col("value")), F.when(c, F.col("pos")))
-    fields: dict[str, list[str]] = {}
-    for label, name in FIELDS.items():
-        fields.setdefault(name, []).append(label)
-    out = rows.groupBy(*key, "block", "part").agg(F.min("pos").alias("pos"), value(F.col("label") == _lookup(DATE_LABELS, F.col("section"))).alias("record_date"), *[value(F.col("label").isin(*labels)).alias(name) for name, labels in fields.items()])
-    out = out.where(F.coalesce("license_number", F.lit("")) != "").withColumn("record_date", iso_date(F.col("record_date")))
-    for place, *names in _PLACES:
-        parsed = city_state_zip(F.col(place))
-        for name, field in zip(names, ("city", "state", "zip"), strict=True):
-            out = out.withColumn(name, F.when(F.col(place).isNotNull(), parsed[field]))
+        return F.struct(seen.alias("seen"), part.alias("part"), F.concat(s["out"], F.array(F.struct(part.alias("part"), x.alias("row")))).alias("out"))
+
+    read = F.aggregate(rows, start, step, lambda s: s["out"])
+    parts = let(read, lambda out: F.transform(F.sequence(F.lit(0), F.array_max(out["part"])), lambda p: F.transform(F.filter(out, lambda x: x["part"] == p), lambda x: x["row"])))
+    fields = F.filter(F.transform(rows, lambda x: _lookup(FIELDS, x["label"])), lambda f: f.isNotNull())
+    once = let(fields, lambda f: F.size(F.array_distinct(f)) == F.size(f))
+    return F.when(once, F.array(rows)).otherwise(parts)
+
+
+def parts_of(section: Column, body: Column) -> Column:
+    """array<struct<pos, fields, values>>: what each record of an HTML fragment of a section says, the last row first, and the place of its first row."""
+    field = lambda x: F.coalesce(_lookup(FIELDS, x["label"]), F.when(x["label"] == _lookup(DATE_LABELS, section), "record_date"))
+    said = lambda p: F.struct(F.get(p, F.lit(0))["pos"].alias("pos"), F.transform(F.reverse(p), field).alias("fields"), F.reverse(p["value"]).alias("values"))
+    return let(_rows_of(body), lambda rows: F.transform(F.flatten(F.transform(_blocks(rows, section), _split_block)), said))
+
+
+def said_by(part: Column, field: str) -> Column:
+    """The value of a field in one of parts_of(), null if it is not given; of a field that stands twice the last row counts."""
+    at = F.array_position(part["fields"], F.lit(field)).cast("int")
+    return F.when(at > 0, F.get(part["values"], at - 1))
+
+
+def filled(parts: DataFrame, key: list[str], part: str = "part") -> DataFrame:
+    """Records of rows (key with section, part: one of parts_of()); those without a license number are left out. Result: key, section_type, pos and DEFAULTS."""
+    of = lambda name: said_by(F.col(part), name)
+    given = parts.where(F.coalesce(of("license_number"), F.lit("")) != "")
+    names = ["record_date", *dict.fromkeys(FIELDS.values())]
+    out = given.select(*key, F.col(part)["pos"].alias("pos"), *[(iso_date(of(n)) if n == "record_date" else of(n)).alias(n) for n in names])
+    out = out.withColumns({f"{place} parts": F.when(F.col(place).isNotNull(), city_state_zip(F.col(place))) for place, *_ in _PLACES})
+    out = out.withColumns({n: F.col(f"{place} parts")[field] for place, *own in _PLACES for n, field in zip(own, ("city", "state", "zip"), strict=True)})
     return out.select(*[k for k in key if k != "section"], F.col("section").alias("section_type"), "pos", *[F.coalesce(n, F.lit(d)).alias(n) for n, d in DEFAULTS.items()])
 
 
+def records(parts: DataFrame, key: list[str], body: str = "body") -> DataFrame:
+    """Records of HTML fragments (key with section, body), read within their rows, without a shuffle. Result: key, section_type, pos and DEFAULTS."""
+    return filled(parts.select(*key, F.explode(parts_of(F.col("section"), F.col(body))).alias("part")), key)
+
+
 def records_of_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
     """All records of pages."""
-    return records(cells(pages, key, html), [key, "section", "table_no"]).drop("table_no", "pos")
+    return records(tables(pages, key, html), [key, "section", "table_no"]).drop("table_no", "pos")
 
 
 def blocks_of(parts: DataFrame, key: list[str], body: str = "body") -> DataFrame:
