@@ -34,39 +34,41 @@ def snapshot_backfill(pages: DataFrame, existing: DataFrame) -> dict[str, DataFr
 
     A natural key that is new is inserted as its first row says. An ASSUMPTION without a business name takes name and applicants of the
     earliest row that has one, a CHANGE OF LOCATION without a previous location that of the earliest row of its section, day and license that has one.
-    Every key is one aggregate over its rows, so snapshots are read in parallel and a key's rows are not ordered.
+    A page is read once, within its row; a key's rows meet in one window, which needs no order, and each row tells its own evidence.
 
     Tables: records (natural key, business_name, applicants, previous_location, inserted, repaired), evidence (path, natural key, role: first_seen,
     confirmed or repaired), counts (path, inserted, skipped, repaired) of every readable page, and bad (path, error): pages that are null or have no section.
     """
     sections = html.tables(pages, "path", "html").select("path").distinct()
     bad = pages.join(sections, "path", "left_anti").select("path", F.when(F.col("html").isNull(), "not readable").otherwise("no section").alias("error"))
-    cells = html.cells(pages, "path", "html")
-    rows = _valid(html.records(cells, ["path", "section", "table_no"]))
+    rows = _valid(html.records(html.tables(pages, "path", "html"), ["path", "section", "table_no"], "body"))
     order = F.struct("path", "table_no", "pos")
     name, people = clean_name(F.col("business_name")), clean_list(F.col("applicants"))
-    rows = rows.select("path", *NATURAL_KEY, order.alias("order"), F.coalesce(name, F.lit("")).alias("business_name"), F.coalesce(people, F.lit("")).alias("applicants"), F.nullif(F.trim(normalise_nbsp(F.col("previous_business_location"))), F.lit("")).alias("previous_location"))
+    rows = rows.select(*NATURAL_KEY, order.alias("order"), F.coalesce(name, F.lit("")).alias("business_name"), F.coalesce(people, F.lit("")).alias("applicants"), F.nullif(F.trim(normalise_nbsp(F.col("previous_business_location"))), F.lit("")).alias("previous_location"))
     there = existing.select(*NATURAL_KEY, F.struct(F.coalesce("business_name", F.lit("")).alias("business_name"), F.coalesce("applicants", F.lit("")).alias("applicants"), "previous_location").alias("old"))
     own = F.struct("business_name", "applicants", "previous_location")
-    named, moved = F.col("business_name") != "", F.col("previous_location").isNotNull()
-    pick = lambda what, when: F.min(F.when(when, F.struct("order", what.alias("x"))))
-    each = rows.groupBy(*NATURAL_KEY).agg(pick(own, F.lit(True)).alias("first"), pick(own, (F.col("application_type") == "ASSUMPTION") & named).alias("name"))
-    place = rows.where((F.col("application_type") == "CHANGE OF LOCATION") & moved).groupBy("section_type", "record_date", "license_number").agg(F.min(F.struct("order", "previous_location")).alias("place"))
-    met = each.join(there, NATURAL_KEY, "full").join(place, ["section_type", "record_date", "license_number"], "left")
-    base, inserted = F.coalesce("old", "first.x"), F.col("old").isNull()
-    met = met.select(*NATURAL_KEY, "first", "name", "place", base.alias("base"), inserted.alias("inserted"))
+    named = (F.col("application_type") == "ASSUMPTION") & (F.col("business_name") != "")
+    moved = (F.col("application_type") == "CHANGE OF LOCATION") & F.col("previous_location").isNotNull()
+    key = Window.partitionBy(*NATURAL_KEY)
+    # the rows of a section, day and license that may tell a previous location are those of one natural key
+    pick = lambda when: F.min(F.when(when, F.struct("order", own.alias("x")))).over(key)
+    picked = rows.withColumns({"first": F.min(F.struct("order", own.alias("x"))).over(key), "name": pick(named), "place": pick(moved)})
+    # a key that only exists has no row of its own
+    met = picked.join(there, NATURAL_KEY, "full")
     fills_name = (F.col("application_type") == "ASSUMPTION") & (F.col("base.business_name") == "") & F.col("name").isNotNull()
     fills_place = (F.col("application_type") == "CHANGE OF LOCATION") & F.col("base.previous_location").isNull() & F.col("place").isNotNull()
     taken = lambda c: F.when(fills_name, F.col(f"name.x.{c}")).otherwise(F.col(f"base.{c}")).alias(c)
-    by = F.when(fills_name, F.col("name.order.path")).when(fills_place, F.col("place.order.path"))
-    full = met.select(*NATURAL_KEY, taken("business_name"), taken("applicants"), F.when(fills_place, F.col("place.previous_location")).otherwise(F.col("base.previous_location")).alias("previous_location"), "inserted", by.isNotNull().alias("repaired"), by.alias("by"), F.col("first.order").alias("at"))
-    saw = rows.join(full.select(*NATURAL_KEY, "inserted", "at"), NATURAL_KEY).select("path", *NATURAL_KEY, F.when(F.col("inserted") & (F.col("order") == F.col("at")), "first_seen").otherwise("confirmed").alias("role"))
-    mended = full.where("repaired").select(F.col("by").alias("path"), *NATURAL_KEY, F.lit("repaired").alias("role"))
-    every = saw.unionByName(mended)
+    met = met.select(*NATURAL_KEY, "order", "first", "name", "place", F.coalesce("old", "first.x").alias("base"), F.col("old").isNull().alias("inserted"))
+    by = F.when(fills_name, F.col("name.order")).when(fills_place, F.col("place.order"))
+    leads = F.col("order").isNull() | (F.col("order") == F.col("first.order"))
+    full = met.where(leads).select(*NATURAL_KEY, taken("business_name"), taken("applicants"), F.when(fills_place, F.col("place.x.previous_location")).otherwise(F.col("base.previous_location")).alias("previous_location"), "inserted", by.isNotNull().alias("repaired"))
+    saw = F.when(F.col("inserted") & leads, "first_seen").otherwise("confirmed")
+    roles = F.when(F.coalesce(by == F.col("order"), F.lit(False)), F.array(saw, F.lit("repaired"))).otherwise(F.array(saw))
+    every = met.where("order is not null").select(F.col("order.path").alias("path"), *NATURAL_KEY, F.explode(roles).alias("role"))
     number = lambda role: F.count_if(F.col("role") == role)
     counted = every.groupBy("path").agg(number("first_seen").alias("inserted"), number("confirmed").alias("skipped"), number("repaired").alias("repaired"))
     counts = sections.join(counted, "path", "left").na.fill(0)
-    return {"records": full.drop("by", "at"), "evidence": every.distinct(), "counts": counts, "bad": bad}
+    return {"records": full, "evidence": every.distinct(), "counts": counts, "bad": bad}
 
 
 def of_diffs(files: DataFrame) -> DataFrame:
