@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import applicants, clean_name, code_of, entity_type, license_types, normalise_nbsp
-from .records import alias_upsert, first_wins, new_rows, regrouped, with_surrogate_keys
+from .records import alias_upsert, dealt, first_wins, new_rows, regrouped, with_surrogate_keys
 
 #: What names of digits only and "CODE, NAME" look like, the statuses that confirm an address, and the version of the endorsement step.
 NUMERIC = r"^\d+$"
@@ -58,7 +58,7 @@ def upsert_sources(sources: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def linked_sources(record_sources: DataFrame, wanted: DataFrame) -> DataFrame:
     """Provenance with the wanted rows, each once."""
-    return record_sources.unionByName(wanted.select(*record_sources.columns)).dropDuplicates(["record_id", "source_id", "role"])
+    return dealt(record_sources.unionByName(wanted.select(*record_sources.columns)), "record_id").dropDuplicates(["record_id", "source_id", "role"])
 
 
 def entity_bridge(records: DataFrame, entities: DataFrame) -> DataFrame:
