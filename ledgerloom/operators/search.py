@@ -44,9 +44,11 @@ def in_place(records: DataFrame, locations: DataFrame, state: str = "", city: st
     shown = lambda std, raw: F.coalesce(F.nullif(F.col(std), F.lit("")), F.col(raw))
     flags = locations.select("id", F.coalesce(shown("std_region", "state") == state, F.lit(False)).alias("s"), F.coalesce(shown("std_city", "city") == city, F.lit(False)).alias("c") if city else F.lit(True).alias("c"))
     hits = flags.where("s or c")
-    now, before = (hits.select(F.col("id").alias(k), F.col("s").alias(f"{k} s"), F.col("c").alias(f"{k} c")) for k in ("location_id", "previous_location_id"))
+    now, before = (hits.select(F.col("id").cast("string").alias(f"{k} k"), F.col("s").alias(f"{k} s"), F.col("c").alias(f"{k} c")) for k in ("location_id", "previous_location_id"))
+    # most records have no previous location: those without one take a key of their own, so that they do not meet in one task
+    keys = {f"{k} k": F.coalesce(F.col(k).cast("string"), F.concat(F.lit("none "), F.col("id").cast("string"))) for k in ("location_id", "previous_location_id")}
     either = lambda f: F.coalesce(F.col(f"location_id {f}"), F.lit(False)) | F.coalesce(F.col(f"previous_location_id {f}"), F.lit(False))
-    out = records.join(now, "location_id", "left").join(before, "previous_location_id", "left")
+    out = records.withColumns(keys).join(now, "location_id k", "left").join(before, "previous_location_id k", "left")
     return out.where(either("s") & either("c") if city else either("s")).select(*records.columns)
 
 
