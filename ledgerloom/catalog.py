@@ -186,16 +186,16 @@ _query("quality_report", "select 'no_items' check_name, count(*) n from orders w
 _query("scalar_functions", r"""select p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) slug, '(' || '206' || ') ' || '555' || '-' || lpad(cast(p_partkey % 10000 as varchar), 4, '0') phone, strftime(date '1995-01-01' + cast(p_size as integer), '%Y-%m-%d') AS "day", case when p_brand = '' or p_brand is null then p_type else p_brand end filled from part""")(
     lambda t: t.part.select("p_partkey", S.slug(F.col("p_name")).alias("slug"), S.phone(F.concat(F.lit("206555"), F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0"))).alias("phone"), S.iso_date(F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), F.col("p_size")), "M/d/yyyy")).alias("day"), S.first_filled(F.col("p_brand"), F.col("p_type")).alias("filled"))
 )
-_query("text_match", "select p_partkey from part where list_has_all(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ['red'])")(lambda t: X.matches(t.part.select("p_partkey", X.document([("A", F.col("p_name"))]).alias("doc")), "doc", "red").select("p_partkey"))
+_query("text_match", "select p_partkey from part where list_has_all(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ['red'])")(lambda t: X.matches(X.with_document(t.part.select("p_partkey", "p_name"), [("A", F.col("p_name"))]), "doc", "red").select("p_partkey"))
 _RANKED = """with d as (select p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') a, regexp_extract_all(lower(p_type), '[a-z0-9]+') b from part),
   places as (select p_partkey, unnest(a) w, generate_subscripts(a, 1) pos, 1.0::double weight from d union all select p_partkey, unnest(b), generate_subscripts(b, 1) + len(a), 0.4::double from d)"""
 _query("text_rank", _RANKED + """, own as (select *, row_number() over (partition by p_partkey order by pos) j from places where w = 'red')
   select p_partkey, round((max(weight) + sum(weight / (j * j)) - max(weight) / pow(arg_max(j, (weight, -j)), 2)) / 1.64493406685, 6) rank from own group by 1""")(
-    lambda t: X.ranked(t.part.select("p_partkey", X.document([("A", F.col("p_name")), ("B", F.col("p_type"))]).alias("doc")), "doc", "red").select("p_partkey", F.round("rank", 6).alias("rank"))
+    lambda t: X.ranked(X.with_document(t.part.select("p_partkey", "p_name", "p_type"), [("A", F.col("p_name")), ("B", F.col("p_type"))]), "doc", "red").select("p_partkey", F.round("rank", 6).alias("rank"))
 )
 _query("text_rank_of_words", _RANKED + """ select x.p_partkey, round(1 - product(1 - sqrt(x.weight * y.weight * case when abs(x.pos - y.pos) > 100 then 1e-30 else 1 / (1.005 + 0.05 * exp(abs(x.pos - y.pos) / 1.5 - 2)) end)), 6) rank
   from places x join places y on x.p_partkey = y.p_partkey and x.w = 'red' and y.w = 'widget' and x.pos <> y.pos group by 1""")(
-    lambda t: X.ranked(t.part.select("p_partkey", X.document([("A", F.col("p_name")), ("B", F.col("p_type"))]).alias("doc")), "doc", "the widgets are red").select("p_partkey", F.round("rank", 6).alias("rank"))
+    lambda t: X.ranked(X.with_document(t.part.select("p_partkey", "p_name", "p_type"), [("A", F.col("p_name")), ("B", F.col("p_type"))]), "doc", "the widgets are red").select("p_partkey", F.round("rank", 6).alias("rank"))
 )
 _TRIGRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 _query("trigram_matches", f"with n as (select p_partkey id, {_TRIGRAMS.format("p_name || ' ' || p_type")} t from part), q as (select n_nationkey query_id, {_TRIGRAMS.format("replace(p_name, 'e', '') || ' ' || p_type")} q from nation join part on p_partkey = n_nationkey), s as (select query_id, id, len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q))) s from n, q) select query_id, id, round(s, 6) similarity from s where s >= 0.3")(

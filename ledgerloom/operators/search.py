@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import first_filled, trigram_similarity, trigrams
 from . import linking, text
-from .records import filtered, page
+from .records import dealt, filtered, page
 
 #: Columns of a location, and what stands for null in the two roles.
 _PLACE = ("raw_address", "city", "state", "zip_code", "std_address_line_1", "std_address_line_2", "std_city", "std_region", "std_postal_code", "std_country")
@@ -69,7 +69,7 @@ def said(records: DataFrame, query: str, document: Column, fuzzy: tuple[str, ...
     else:
         for c in fuzzy:
             near = near | F.coalesce(trigram_similarity(trigrams(F.col(c)), trigrams(F.lit(query))) >= TRIGRAM_LIMIT, F.lit(False))
-    return out.withColumn("searched document", document).where(whole | near).withColumn("rank", text.rank_of(doc, q)).select(*records.columns, "rank")
+    return dealt(out).select("*", F.explode(F.array(document)).alias("searched document")).where(whole | near).withColumn("rank", text.rank_of(doc, q)).select(*records.columns, "rank")
 
 
 def search(records: DataFrame, tables: dict[str, DataFrame], *, section_type: str = "", application_type: str = "", endorsements: list[str] | None = None, state: str = "", city: str = "", date_from: str = "", date_to: str = "", outcome_status: str = "", as_of: Column | None = None, query: str = "", document: Column | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .records import dealt
+
 #: Weights by class; the last place that counts, the places of a lexeme that count, and the rank of words that are never apart; English stop words.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 LAST_PLACE, MOST_PLACES, NO_RANK = 16383, 256, 1e-20
@@ -130,6 +132,12 @@ def _after(sofar: Column, part: Column) -> Column:
     return F.concat(sofar, F.transform(part, lambda x: F.struct(x["lexeme"].alias("lexeme"), F.least(x["pos"] + last, F.lit(LAST_PLACE)).cast("int").alias("pos"), x["weight"].alias("weight"))))
 
 
+def with_document(df: DataFrame, parts: list[tuple[str, Column]], name: str = "doc") -> DataFrame:
+    """Rows with their document, dealt out first: stems cost far more time than a small file's bytes let Spark expect. As the one
+    row of a list a document is made once, however often a filter and a rank name it, and filters stay behind it."""
+    return dealt(df).select("*", F.explode(F.array(document(parts))).alias(name))
+
+
 def rank_of(doc: Column, query: Column) -> Column:
     """Rank of a document for the different lexemes of a query, all of which it should hold."""
     hits = F.filter(doc, lambda x: F.array_contains(query, x["lexeme"]))
