@@ -16,6 +16,8 @@ DUPLICATE = r"(?iU)\s*(?:\(\s*DUPLICATE(?:\s+\d+)?\s*\)|\*DUPLICATE\*|\(\s*DUPLI
 PLACE = r"(?U),\s*([A-Z][A-Z .]+?),\s*([A-Z]{2})"
 PLACE_WITH_ZIP = PLACE + r"\s+(\d{5}(?:-\d{4})?)"
 PUNCTUATION = r"""[<>,.;:!?/\\()\[\]{}"'`@#$%^&*=|~]"""
+#: The character references that a look-up, which reads names in turn, tries first.
+COMMON_REFERENCES = ("amp", "nbsp", "quot", "apos", "lt", "gt", "eacute", "Eacute")
 #: Sections as they are shown, and the archive folders that they come from.
 SECTION_LABELS = {"new_application": "New Application", "approved": "Approved", "discontinued": "Discontinued"}
 SECTION_FOLDERS = {"notifications": "new_application", "approvals": "approved", "discontinued": "discontinued"}
@@ -38,12 +40,14 @@ def _character(number: Column) -> Column:
 
 def unescaped(c: Column) -> Column:
     """Text with its character references read, each once: named ones with a semicolon, numeric ones with or without. Others stay as they are."""
-    named = F.str_to_map(F.lit(" ".join(f"{name}={point}" for name, point in {**name2codepoint, "apos": 39}.items())), F.lit(" "), F.lit("="))
+    points = {name: name2codepoint.get(name, 39) for name in dict.fromkeys([*COMMON_REFERENCES, *name2codepoint])}
+    named = F.str_to_map(F.lit(" ".join(f"{name}={chr(point)}" for name, point in points.items())), F.lit(" "), F.lit("="))
 
     def read(t: Column) -> Column:
         said = F.rtrim(F.substr(t, F.lit(2)), F.lit(";"))
-        number = F.when(t.rlike("^&#[xX]"), F.conv(F.substr(said, F.lit(3)), 16, 10)).when(t.startswith("&#"), F.substr(said, F.lit(2))).otherwise(F.try_element_at(named, said))
-        return F.when(t.startswith("&") & (F.length(t) > 1), F.coalesce(_character(number.try_cast("long")), t)).otherwise(t)
+        number = F.when(t.rlike("^&#[xX]"), F.conv(F.substr(said, F.lit(3)), 16, 10)).otherwise(F.substr(said, F.lit(2)))
+        character = F.transform(F.array(number.try_cast("long")), _character)[0]
+        return F.when(t.startswith("&#"), F.coalesce(character, t)).when(t.startswith("&") & (F.length(t) > 1), F.coalesce(F.try_element_at(named, said), t)).otherwise(t)
 
     pieces = F.regexp_extract_all(c, F.lit(r"&#[xX][0-9a-fA-F]{1,8};?|&#[0-9]{1,10};?|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"), 0)
     return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, read), "")).otherwise(c)

@@ -70,22 +70,52 @@ def snapshot_date(path: Column) -> Column:
     return F.try_to_timestamp(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"\d{4}_\d{2}_\d{2}", 0), F.lit("yyyy_MM_dd"))
 
 
-#: A tag: quoted values may hold its end. One with a quote left open ends at the first >.
-_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-_TAG = rf"<[a-zA-Z/!?]{_ATTRIBUTES}>|<[a-zA-Z/!?][^>]*+>"
+#: Marks that cells are cut at: of rows, of cells, of tags, and one that stands before a letter for a mark in the text itself.
+_ROW, _CELL, _MARK, _ESCAPE = "\x01", "\x02", "\x03", "\x04"
+_LETTERS = ((_ESCAPE, "d"), (_ROW, "a"), (_CELL, "b"), (_MARK, "c"))
+
+
+def _tag(names: str, within: str = "") -> str:
+    """A tag whose name fits: quoted values may hold its end; one with a quote left open ends at the first >. It does not go beyond the characters of within."""
+    return rf"""{names}(?:(?:[^>"'{within}]++|"[^"{within}]*+"|'[^'{within}]*+')*+>|[^>{within}]*+>)"""
+
+
+def _opening(name: str, within: str = "") -> str:
+    return _tag(rf"(?i)<{name}(?=[\s/>])", within)
+
+
+_ANY = "<[a-zA-Z/!?]"
 
 
 def elements(c: Column, name: str, ends: str = "") -> Column:
     """The contents of each element of a name, in order: from its opening tag to its end tag, to the next opening tag or to one of ends (a pattern of tags' beginnings)."""
-    opening = rf"(?i)<{name}(?=[\s/>])(?:{_ATTRIBUTES}>|[^>]*+>)"
     stop = f"</{name}" + (f"|{ends}" if ends else "")
-    return F.transform(F.slice(F.split(c, opening), 2, 1_000_000_000), lambda x: F.regexp_replace(x, rf"(?is)(?:{stop})(?=[\s/>]).*$", ""))
+    return F.transform(F.slice(F.split(c, _opening(name)), 2, 1_000_000_000), lambda x: F.regexp_replace(x, rf"(?is)(?:{stop})(?=[\s/>]).*$", ""))
+
+
+def _marked(c: Column) -> Column:
+    """Text without marks of its own."""
+    for mark, letter in _LETTERS:
+        c = F.replace(c, F.lit(mark), F.lit(_ESCAPE + letter))
+    return c
+
+
+def _node(x: Column) -> Column:
+    """What a text node of marked text says."""
+    own = x
+    for mark, letter in reversed(_LETTERS):
+        own = F.replace(own, F.lit(_ESCAPE + letter), F.lit(mark))
+    return let(F.when(F.contains(x, F.lit(_ESCAPE)), own).otherwise(x), lambda t: trimmed(unescaped(t)))
+
+
+def _said(c: Column) -> Column:
+    """What marked text says whose tags are marks."""
+    return F.when(F.contains(c, F.lit(_MARK)), F.array_join(F.transform(F.split(c, _MARK), _node), "")).otherwise(_node(c))
 
 
 def text_of(c: Column) -> Column:
     """What an element's content says."""
-    nodes = F.transform(F.split(c, _TAG), lambda x: trimmed(unescaped(x)))
-    return F.array_join(nodes, "")
+    return let(F.regexp_replace(_marked(c), _tag(_ANY), _MARK), _said)
 
 
 def tables(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -97,10 +127,23 @@ def tables(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def _rows_of(body: Column) -> Column:
-    """array<struct<pos, label, value>> of an HTML fragment's rows of two cells."""
-    rows = elements(body, "tr", "</tbody|</thead|</tfoot|</table|<tbody|<thead|<tfoot")
-    said = F.transform(rows, lambda r, i: F.struct(i.alias("pos"), F.transform(elements(r, "td", "<th"), text_of).alias("c")))
-    return F.transform(F.filter(said, lambda x: F.size(x["c"]) == 2), lambda x: F.struct(x["pos"].alias("pos"), x["c"][0].alias("label"), x["c"][1].alias("value")))
+    """array<struct<pos, label, value>> of an HTML fragment's rows of two cells.
+
+    Spark compiles the pattern of a split for every text that it cuts, but that of a replacement once. So the beginnings of rows and cells and
+    all tags become marks in the whole fragment, what follows an end goes up to the next mark, and rows and cells are cut at single characters.
+    """
+    steps = [
+        (_opening("tr"), _ROW),
+        (rf"(?i)<(?:/(?:tr|tbody|thead|tfoot|table)|tbody|thead|tfoot)(?=[\s/>])[^{_ROW}]*+", ""),
+        (_opening("td", _ROW), _CELL),
+        (rf"(?i)<(?:/td|th)(?=[\s/>])[^{_ROW}{_CELL}]*+", ""),
+        (_tag(_ANY, _ROW + _CELL), _MARK),
+    ]
+    cut = _marked(body)
+    for pattern, mark in steps:
+        cut = F.regexp_replace(cut, pattern, mark)
+    rows = F.transform(F.slice(F.split(cut, _ROW), 2, 1_000_000_000), lambda r, i: F.struct(i.alias("pos"), F.split(r, _CELL).alias("c")))
+    return F.transform(F.filter(rows, lambda x: F.size(x["c"]) == 3), lambda x: F.struct(x["pos"].alias("pos"), _said(x["c"][1]).alias("label"), _said(x["c"][2]).alias("value")))
 
 
 def cells_of(parts: DataFrame, key: list[str], body: str = "body") -> DataFrame:
@@ -113,9 +156,9 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _blocks(rows: Column, section: Column) -> Column:
-    """The rows cut at each date label, in order; what stands before the first is a block, too."""
-    dates = F.filter(F.transform(rows, lambda x, i: F.when(x["label"] == _lookup(DATE_LABELS, section), i)), lambda i: i.isNotNull())
+def _blocks(rows: Column) -> Column:
+    """The rows (pos, field, value) cut at each date, in order; what stands before the first is a block, too."""
+    dates = F.filter(F.transform(rows, lambda x, i: F.when(x["field"] == "record_date", i)), lambda i: i.isNotNull())
     cut = let(dates, lambda d: F.zip_with(F.concat(F.array(F.lit(0)), d), F.concat(d, F.array(F.size(rows))), lambda a, b: F.slice(rows, a + 1, b - a)))
     return F.filter(cut, lambda b: F.size(b) > 0)
 
@@ -124,10 +167,10 @@ def _split_block(rows: Column) -> Column:
     """A block's parts, each its rows: a field that is set again to another value begins a part, as the date row of the next record may be
     missing. Parts follow from the rows before, so a block's rows, about 15, are read in order; one that sets no field twice is a part as it stands."""
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    start = F.struct(none.alias("seen"), F.lit(0).alias("part"), F.array().cast("array<struct<part:int,row:struct<pos:int,label:string,value:string>>>").alias("out"))
+    start = F.struct(none.alias("seen"), F.lit(0).alias("part"), F.array().cast("array<struct<part:int,row:struct<pos:int,field:string,value:string>>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        field = _lookup(FIELDS, x["label"])
+        field = x["field"]
         had = F.try_element_at(s["seen"], field)
         begins = F.coalesce((had != "") & (had != x["value"]), F.lit(False))
         part = s["part"] + begins.cast("int")
@@ -137,19 +180,24 @@ def _split_block(rows: Column) -> Column:
 
     read = F.aggregate(rows, start, step, lambda s: s["out"])
     parts = let(read, lambda out: F.transform(F.sequence(F.lit(0), F.array_max(out["part"])), lambda p: F.transform(F.filter(out, lambda x: x["part"] == p), lambda x: x["row"])))
-    fields = F.filter(F.transform(rows, lambda x: _lookup(FIELDS, x["label"])), lambda f: f.isNotNull())
+    fields = F.filter(rows["field"], lambda f: f.isNotNull())
     once = let(fields, lambda f: F.size(F.array_distinct(f)) == F.size(f))
     return F.when(once, F.array(rows)).otherwise(parts)
 
 
 def parts_of(section: Column, body: Column) -> Column:
-    """array<struct<pos, fields, values>>: what each record of an HTML fragment of a section says, the last row first, and the place of its first row."""
+    """array<struct<pos, fields, values>>: what each record of an HTML fragment of a section says, the last row first, and the place of its first row.
+
+    Dates are read here, once: a filter on the records would have them read again.
+    """
     field = lambda x: F.coalesce(_lookup(FIELDS, x["label"]), F.when(x["label"] == _lookup(DATE_LABELS, section), "record_date"))
-    said = lambda p: F.struct(F.get(p, F.lit(0))["pos"].alias("pos"), F.transform(F.reverse(p), field).alias("fields"), F.reverse(p["value"]).alias("values"))
-    return let(_rows_of(body), lambda rows: F.transform(F.flatten(F.transform(_blocks(rows, section), _split_block)), said))
+    named = F.transform(_rows_of(body), lambda x: F.struct(x["pos"].alias("pos"), field(x).alias("field"), x["value"].alias("value")))
+    rows = F.transform(named, lambda x: F.struct(x["pos"].alias("pos"), x["field"].alias("field"), F.when(x["field"] == "record_date", iso_date(x["value"])).otherwise(x["value"]).alias("value")))
+    said = lambda p: F.struct(F.get(p, F.lit(0))["pos"].alias("pos"), F.reverse(p["field"]).alias("fields"), F.reverse(p["value"]).alias("values"))
+    return let(rows, lambda r: F.transform(F.flatten(F.transform(_blocks(r), _split_block)), said))
 
 
-def said_by(part: Column, field: str) -> Column:
+def said_by(part: Column, field: str | Column) -> Column:
     """The value of a field in one of parts_of(), null if it is not given; of a field that stands twice the last row counts."""
     at = F.array_position(part["fields"], F.lit(field)).cast("int")
     return F.when(at > 0, F.get(part["values"], at - 1))
@@ -157,11 +205,13 @@ def said_by(part: Column, field: str) -> Column:
 
 def filled(parts: DataFrame, key: list[str], part: str = "part") -> DataFrame:
     """Records of rows (key with section, part: one of parts_of()); those without a license number are left out. Result: key, section_type, pos and DEFAULTS."""
-    of = lambda name: said_by(F.col(part), name)
-    given = parts.where(F.coalesce(of("license_number"), F.lit("")) != "")
+    given = parts.where(F.coalesce(said_by(F.col(part), "license_number"), F.lit("")) != "")
     names = ["record_date", *dict.fromkeys(FIELDS.values())]
-    out = given.select(*key, F.col(part)["pos"].alias("pos"), *[(iso_date(of(n)) if n == "record_date" else of(n)).alias(n) for n in names])
-    out = out.withColumns({f"{place} parts": F.when(F.col(place).isNotNull(), city_state_zip(F.col(place))) for place, *_ in _PLACES})
+    # looked up in one loop: with a look-up for each column the generated method grows beyond what the JVM compiles
+    said = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: said_by(F.col(part), n))
+    of = lambda name: F.get("said", F.lit(names.index(name)))
+    out = given.select(*key, F.col(part)["pos"].alias("pos"), said.alias("said"))
+    out = out.select(*key, "pos", *[of(n).alias(n) for n in names], *[F.when(of(place).isNotNull(), city_state_zip(of(place))).alias(f"{place} parts") for place, *_ in _PLACES])
     out = out.withColumns({n: F.col(f"{place} parts")[field] for place, *own in _PLACES for n, field in zip(own, ("city", "state", "zip"), strict=True)})
     return out.select(*[k for k in key if k != "section"], F.col("section").alias("section_type"), "pos", *[F.coalesce(n, F.lit(d)).alias(n) for n, d in DEFAULTS.items()])
 
