@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import diff_timestamp, iso_date, valid_record
+from ..functions.scalars import diff_timestamp, valid_record
 from . import html
 
 #: A diff that contradicts this many known lines, and this part of them, starts the document anew.
@@ -105,12 +105,14 @@ def run_lines(diff_lines: DataFrame, key: list[str], op: str = "-") -> DataFrame
 def streams(diffs: DataFrame, key: list[str], content: str = "content", now: Column | None = None) -> DataFrame:
     """(key, old_ts, new_ts, added, removed, new_side, old_side) of each diff: its added and its removed lines as texts, and both with the
     lines around them. Header lines are left out wherever they stand; hunk counts are not asked. A time that cannot be read is now."""
-    rows = F.split(content, "\n")
     head = lambda x: x.startswith("--- ") | x.startswith("+++ ") | x.startswith("@@")
-    bare = lambda x: F.when(x.startswith("+") | x.startswith("-"), F.substr(x, F.lit(2))).otherwise(x)
-    of = lambda keep: F.array_join(F.transform(F.filter(rows, lambda x: ~head(x) & keep(x)), bare), "\n")
-    time = lambda mark: F.coalesce(diff_timestamp(F.try_element_at(F.filter(rows, lambda x: x.startswith(mark)), F.lit(-1))), now if now is not None else F.current_timestamp())
-    return diffs.select(
+    bare = lambda rows: F.transform(rows, lambda x: F.when(x.startswith("+") | x.startswith("-"), F.substr(x, F.lit(2))).otherwise(x))
+    of = lambda keep: F.array_join(bare(F.filter("body", keep)), "\n")
+    time = lambda mark: F.coalesce(diff_timestamp(F.try_element_at(F.filter("heads", lambda x: x.startswith(mark)), F.lit(-1))), now if now is not None else F.current_timestamp())
+    # cut once, as each of the columns reads all lines
+    rows = diffs.select(*key, F.split(content, "\n").alias("rows"))
+    cut = rows.select(*key, F.filter("rows", head).alias("heads"), F.filter("rows", lambda x: ~head(x)).alias("body"))
+    return cut.select(
         *key,
         time("--- ").alias("old_ts"),
         time("+++ ").alias("new_ts"),
@@ -129,15 +131,15 @@ def extract_records(diffs: DataFrame, key: list[str], content: str = "content",
     """
     section = F.col("section")
     texts = streams(diffs, key, content, now).select("*", html.parts_of(section, F.col("added")).alias("own added"), html.parts_of(section, F.col("removed")).alias("own removed"))
-    valid = lambda p: F.coalesce(valid_record(section, iso_date(html.said_by(p, "record_date")), html.said_by(p, "license_number"), html.said_by(p, "application_type")), F.lit(False))
+    valid = lambda p: F.coalesce(valid_record(section, html.said_by(p, "record_date"), html.said_by(p, "license_number"), html.said_by(p, "application_type")), F.lit(False))
     cut = lambda c: F.coalesce(F.exists(c, lambda p: (F.coalesce(html.said_by(p, "license_number"), F.lit("")) != "") & ~valid(p)), F.lit(False))
     broken = cut(F.col("own added")) | cut(F.col("own removed"))
-    side = lambda no, ts, parts: F.struct(F.lit(no).alias("side"), F.col(ts).alias("scraped_at"), parts.alias("parts"))
+    side = lambda no, ts, parts: F.transform(parts, lambda p: F.struct(F.lit(no).alias("side"), F.col(ts).alias("scraped_at"), p.alias("part")))
     around = lambda c: F.when(F.col("broken"), html.parts_of(section, F.col(c)))
     sides = F.array(side(0, "new_ts", F.col("own added")), side(1, "old_ts", F.col("own removed")), side(2, "new_ts", around("new_side")), side(3, "old_ts", around("old_side")))
-    each = texts.withColumn("broken", broken).select(*key, F.explode(sides).alias("s"))
+    each = texts.withColumn("broken", broken).select(*key, F.explode(F.flatten(F.filter(sides, lambda s: s.isNotNull()))).alias("s"))
     own = [*key, "side", "scraped_at"]
-    found = html.filled(each.select(*key, "s.side", "s.scraped_at", F.explode("s.parts").alias("part")), own)
+    found = html.filled(each.select(*key, "s.*"), own)
     source = [k for k in key if k != "section"]
     place = F.row_number().over(Window.partitionBy(*source, *html.NATURAL_KEY).orderBy("side", "pos"))
     every = found.where(valid_record(*[F.col(c) for c in html.NATURAL_KEY])).withColumn("place in key", place).where("`place in key` = 1")
